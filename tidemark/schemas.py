@@ -5,22 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import timedelta
 
-from pyspark.sql import types as T
-
-
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
 
 # Table and feature names, types, defaults, time-to-live, service names and
-# catalog lists are the public interface and must stay as they are.
+# catalog lists are the public interface and must stay as they are. Schemas are DDL strings, which
+# every Spark reader and ``createDataFrame`` take.
 
-TRANSACTION = _struct(
+TRANSACTION = (
     "transaction_id string, customer_id string, card_id string, merchant_id string, merchant_category string, "
     "amount decimal(18,4), currency string, country string, timestamp timestamp, requested_model string"
 )
 
-LABEL = _struct(
+LABEL = (
     "transaction_id string, is_fraud boolean, label_timestamp timestamp, label_source string, "
     "label_confidence decimal(9,6), annotator_id string, reason_code string"
 )
@@ -69,29 +64,29 @@ def _columns(features: dict[str, str]) -> str:
 
 
 TABLES = {
-    "fraud_transactions": _struct(
+    "fraud_transactions": (
         "transaction_id string, customer_id string, card_id string, merchant_id string, merchant_category string, "
         "amount double, currency string, country string, event_timestamp timestamp, created_timestamp timestamp"
     ),
-    "customer_transaction_stats": _struct(
+    "customer_transaction_stats": (
         f"customer_id string, event_timestamp timestamp, created_timestamp timestamp, {_columns(CUSTOMER_FEATURES)}"
     ),
-    "merchant_risk_features": _struct(
+    "merchant_risk_features": (
         f"merchant_id string, event_timestamp timestamp, created_timestamp timestamp, {_columns(MERCHANT_FEATURES)}"
     ),
-    "fraud_prediction_logs": _struct(
+    "fraud_prediction_logs": (
         "transaction_id string, model string, model_version string, fraud_score double, decision string, "
         "features_used array<string>, inference_timestamp timestamp, created_timestamp timestamp"
     ),
-    "fraud_transaction_processing": _struct(
+    "fraud_transaction_processing": (
         "transaction_id string, model string, status string, error_message string, "
         "started_timestamp timestamp, updated_timestamp timestamp"
     ),
-    "fraud_labels": _struct(
+    "fraud_labels": (
         "transaction_id string, is_fraud int, label_timestamp timestamp, label_source string, label_confidence double, "
         "annotator_id string, reason_code string, created_timestamp timestamp, updated_timestamp timestamp"
     ),
-    "fraud_label_events": _struct(
+    "fraud_label_events": (
         "transaction_id string, is_fraud int, label_timestamp timestamp, label_source string, label_confidence double, "
         "annotator_id string, reason_code string, created_timestamp timestamp"
     ),

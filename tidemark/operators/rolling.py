@@ -8,12 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import DataFrame
 
 from tidemark.functions.scalars import DAY_MS, HOUR_MS, epoch_ms, half_up_ratio, is_cross_border, to_cents
-from tidemark.operators.running import SLICE_ROWS, apply_by_heat, key_heat, running
+from tidemark.operators.running import SLICE_ROWS, apply_by_heat, by_key, key_heat, running
 from tidemark.schemas import HOME_COUNTRY
 
 WINDOW_1H = HOUR_MS
@@ -24,8 +22,6 @@ WINDOW_7D = 7 * DAY_MS
 # whose cost does not depend on the window, are cheaper.
 FRAME_ROWS = 2_000
 
-_HELPERS = ["_ms", "_cents", "_abroad"]
-
 
 def rolling_customer_stats(
     transactions: DataFrame,
@@ -49,23 +45,22 @@ def rolling_customer_stats(
 
 
 def add_rolling(tx: DataFrame, home: str | Iterable[str] = HOME_COUNTRY, *, sliced: bool, frames: bool) -> DataFrame:
-    rows = tx.select(
+    rows = tx.selectExpr(
         "*",
-        epoch_ms(F.col("event_timestamp")).alias("_ms"),
-        to_cents(F.col("amount")).alias("_cents"),
-        is_cross_border(F.col("country"), home).cast("bigint").alias("_abroad"),
+        f"{epoch_ms('event_timestamp')} AS _ms",
+        f"{to_cents('amount')} AS _cents",
+        f"cast({is_cross_border('country', home)} AS bigint) AS _abroad",
     )
     sums = _by_frames(rows) if frames else _by_running_sums(rows, sliced)
-    n7 = F.greatest(F.lit(1).cast("bigint"), F.col("_n7d"))
-    return sums.select(
+    return sums.selectExpr(
         *tx.columns,
-        F.col("_n1h").alias("customer_transaction_count_1h"),
-        F.col("_n24h").alias("customer_transaction_count_24h"),
-        (F.col("_sum24h") / F.lit(100.0)).alias("customer_total_amount_24h"),
-        (half_up_ratio(F.col("_sum7d"), n7, 0) / F.lit(100.0)).alias("customer_avg_amount_7d"),
-        (F.col("_max7d") / F.lit(100.0)).alias("customer_max_amount_7d"),
-        F.col("_merchants24h").alias("customer_distinct_merchants_24h"),
-        F.col("_abroad7d").alias("customer_cross_border_count_7d"),
+        "_n1h AS customer_transaction_count_1h",
+        "_n24h AS customer_transaction_count_24h",
+        "_sum24h / 100.0D AS customer_total_amount_24h",
+        f"{half_up_ratio('_sum7d', 'greatest(1L, _n7d)', 0)} / 100.0D AS customer_avg_amount_7d",
+        "_max7d / 100.0D AS customer_max_amount_7d",
+        "_merchants24h AS customer_distinct_merchants_24h",
+        "_abroad7d AS customer_cross_border_count_7d",
     )
 
 
@@ -75,121 +70,126 @@ def _by_frames(rows: DataFrame) -> DataFrame:
     The order key is the millisecond with the position inside it, so that a frame ends at the
     current transaction and not at its last neighbour of the same millisecond.
     """
-    peers = Window.partitionBy("customer_id", "_ms").orderBy("transaction_id")
-    at = F.shiftleft(F.col("_ms"), 20) + F.row_number().over(peers)
-    rows = rows.repartition("customer_id").withColumn("_at", at)
-    by_time = Window.partitionBy("customer_id").orderBy("_at")
+    peers = "row_number() OVER (PARTITION BY customer_id, _ms ORDER BY transaction_id)"
+    rows = by_key(rows, "customer_id").selectExpr("*", f"shiftleft(_ms, 20) + {peers} AS _at")
 
-    def last(width_ms: int):
-        return by_time.rangeBetween(-((width_ms << 20) + (1 << 19)), Window.currentRow)
+    def over(width_ms: int) -> str:
+        reach = (width_ms << 20) + (1 << 19)
+        return f"OVER (PARTITION BY customer_id ORDER BY _at RANGE BETWEEN {reach}L PRECEDING AND CURRENT ROW)"
 
-    one = F.count(F.lit(1))
-    return rows.select(
+    hour, day, week = over(WINDOW_1H), over(WINDOW_24H), over(WINDOW_7D)
+    return rows.selectExpr(
         "*",
-        one.over(last(WINDOW_1H)).alias("_n1h"),
-        one.over(last(WINDOW_24H)).alias("_n24h"),
-        F.sum("_cents").over(last(WINDOW_24H)).alias("_sum24h"),
-        F.size(F.collect_set("merchant_id").over(last(WINDOW_24H))).cast("bigint").alias("_merchants24h"),
-        one.over(last(WINDOW_7D)).alias("_n7d"),
-        F.sum("_cents").over(last(WINDOW_7D)).alias("_sum7d"),
-        F.max("_cents").over(last(WINDOW_7D)).alias("_max7d"),
-        F.sum("_abroad").over(last(WINDOW_7D)).alias("_abroad7d"),
+        f"count(1) {hour} AS _n1h",
+        f"count(1) {day} AS _n24h",
+        f"sum(_cents) {day} AS _sum24h",
+        f"cast(size(collect_set(merchant_id) {day}) AS bigint) AS _merchants24h",
+        f"count(1) {week} AS _n7d",
+        f"sum(_cents) {week} AS _sum7d",
+        f"max(_cents) {week} AS _max7d",
+        f"sum(_abroad) {week} AS _abroad7d",
     )
 
 
+# Running totals and what a transaction adds when it enters.
+_TOTALS = {
+    "_n1h": "1",
+    "_n24h": "1",
+    "_sum24h": "_cents",
+    "_merchants24h": "1",
+    "_n7d": "1",
+    "_sum7d": "_cents",
+    "_abroad7d": "_abroad",
+}
+
+
+def _change(at: str, by: str, enters: int, phase: int, **deltas: str) -> str:
+    amounts = ", ".join(f"'d{name}', cast({deltas.get(name, '0')} AS bigint)" for name in _TOTALS)
+    return f"named_struct('at', {at}, 'by', {by}, 'enters', {enters}, 'phase', {phase}, {amounts})"
+
+
 def _by_running_sums(rows: DataFrame, sliced: bool) -> DataFrame:
     """Windows as running sums: a transaction adds itself when it happens and takes itself out when it leaves.
 
-    A merchant leaves the 24 hour set when its transaction expires, unless the same merchant came
-    again before; then the newer transaction takes over. The 7 day maximum is not a difference of
-    sums, so time is cut into blocks as long as the window: a window covers the end of one block
-    and the start of the next, a running maximum backwards and one forwards.
+    A merchant leaves the 24 hour set when its transaction expires; if the same merchant comes again
+    before that, the newer transaction takes over the place at its own turn. The 7 day maximum is
+    not a difference of sums, so time is cut into blocks as long as the window: a window covers the
+    end of one block and the start of the next, a running maximum backwards and one forwards.
     """
     if not sliced:
-        rows = rows.repartition("customer_id")
+        rows = by_key(rows, "customer_id")
+    columns = rows.columns
     rows = running(
         rows,
         ["customer_id", "merchant_id"],
-        [F.col("_ms").desc(), F.col("transaction_id").desc()],
-        {"_again": ("last", F.struct("_ms", "transaction_id"))},
+        ["_ms DESC", "transaction_id DESC"],
+        {"_again": ("last", "struct(_ms, transaction_id)")},
         before=True,
         sliced=sliced,
     )
 
-    block = WINDOW_7D + 1
-    ms, cents, abroad = F.col("_ms"), F.col("_cents"), F.col("_abroad")
-    none = F.lit(0).cast("bigint")
-
-    totals = ["_n1h", "_n24h", "_sum24h", "_merchants24h", "_n7d", "_sum7d", "_abroad7d"]
-
-    def change(at: Column, by_id: Column, enters: int, expires: int, **by: Column) -> Column:
-        return F.struct(
-            at.alias("_at"),
-            by_id.alias("_by"),
-            F.lit(enters).alias("_enters"),
-            F.lit(1 - expires).alias("_phase"),
-            *[by.get(name, none).cast("bigint").alias(name) for name in totals],
-        )
-
-    one = F.lit(1)
-    me = F.col("transaction_id")
-    # The same merchant within 24 hours: the newer transaction takes the place at its own turn.
-    replaced = F.coalesce(F.col("_again._ms") <= ms + WINDOW_24H, F.lit(False))
-    changes = F.array(
-        change(ms, me, 1, 0, _n1h=one, _n24h=one, _sum24h=cents, _merchants24h=one, _n7d=one, _sum7d=cents, _abroad7d=abroad),
-        change(ms + (WINDOW_1H + 1), me, 0, 1, _n1h=-one),
-        change(ms + (WINDOW_24H + 1), me, 0, 1, _n24h=-one, _sum24h=-cents, _merchants24h=F.when(replaced, 0).otherwise(-1)),
-        change(ms + (WINDOW_7D + 1), me, 0, 1, _n7d=-one, _sum7d=-cents, _abroad7d=-abroad),
-    )
-    handover = change(F.col("_again._ms"), F.col("_again.transaction_id"), 0, 0, _merchants24h=-one)
-    changes = F.when(replaced, F.concat(changes, F.array(handover))).otherwise(changes)
+    # Phase 0: leaving ahead of everything that happens at that moment; phase 1: at its turn.
+    replaced = f"coalesce(_again._ms <= _ms + {WINDOW_24H}, false)"
+    changes = [
+        _change("_ms", "transaction_id", 1, 1, **_TOTALS),
+        _change(f"_ms + {WINDOW_1H + 1}", "transaction_id", 0, 0, _n1h="-1"),
+        _change(
+            f"_ms + {WINDOW_24H + 1}", "transaction_id", 0, 0, _n24h="-1", _sum24h="-_cents",
+            _merchants24h=f"if({replaced}, 0, -1)",
+        ),
+        _change(f"_ms + {WINDOW_7D + 1}", "transaction_id", 0, 0, _n7d="-1", _sum7d="-_cents", _abroad7d="-_abroad"),
+    ]
+    handover = _change("_again._ms", "_again.transaction_id", 0, 1, _merchants24h="-1")
+    listed = ", ".join(changes)
     # Only the entering row carries the transaction; the leaving rows stay narrow.
-    payload = F.struct(*[F.col(c) for c in rows.columns if c != "_again"])
-    moves = rows.select("customer_id", payload.alias("_tx"), F.explode(changes).alias("_move")).select(
+    moves = rows.selectExpr(
+        "customer_id",
+        f"struct({', '.join(columns)}) AS _tx",
+        f"explode(if({replaced}, array({listed}, {handover}), array({listed}))) AS _move",
+    ).selectExpr(
         "customer_id",
-        F.when(F.col("_move._enters") == 1, F.col("_tx")).alias("_tx"),
-        F.floor(F.col("_move._at") / F.lit(block)).alias("_block"),
-        *[F.col(f"_move.{name}").alias(name) for name in ("_at", "_by", "_enters", "_phase")],
-        *[F.col(f"_move.{name}").alias(f"_d{name}") for name in totals],
+        "if(_move.enters = 1, _tx, null) AS _tx",
+        "if(_move.enters = 1, _tx._cents, null) AS _cents",
+        f"_move.at DIV {WINDOW_7D + 1}L AS _block",
+        *[f"_move.{name} AS _{name}" for name in ("at", "by", "enters", "phase")],
+        *[f"_move.d{name} AS _d{name}" for name in _TOTALS],
     )
-    time_order = [F.col("_at"), F.col("_phase"), F.col("_by"), F.col("_enters")]
+    turn = ["_at", "_phase", "_by", "_enters"]
     moves = running(
         moves,
         ["customer_id"],
-        [F.col("_block"), *time_order],
-        {name: ("sum", F.col(f"_d{name}")) for name in totals},
+        ["_block", *turn],
+        {name: ("sum", f"_d{name}") for name in _TOTALS},
         sliced=sliced,
     )
     moves = running(
-        moves,
-        ["customer_id", "_block"],
-        time_order,
-        {"_max_here": ("max", F.col("_tx._cents"))},
-        sliced=sliced,
+        moves, ["customer_id", "_block"], turn, {"_max_here": ("max", "_cents")}, sliced=sliced
     ).where("_enters = 1")
 
-    sides = moves.select(
+    sides = moves.selectExpr(
         "customer_id",
         "_by",
-        *totals,
+        "_cents",
+        *_TOTALS,
         "_max_here",
-        F.explode(
-            F.array(
-                F.struct(F.col("_block").alias("block"), F.col("_at").alias("at"), F.lit(0).alias("asks")),
-                F.struct((F.col("_block") - 1).alias("block"), (F.col("_at") - WINDOW_7D).alias("at"), F.lit(1).alias("asks")),
-            )
-        ).alias("_side"),
         "_tx",
-    ).select(
-        "*", F.col("_side.block").alias("_look"), F.col("_side.at").alias("_from"), F.col("_side.asks").alias("_asks")
-    )
-    answered = running(
-        sides,
-        ["customer_id", "_look"],
-        [F.col("_from").desc(), F.col("_asks"), F.col("_by")],
-        {"_max_before": ("max", F.when(F.col("_asks") == 0, F.col("_tx._cents")))},
-        sliced=sliced,
-    ).where("_asks = 1")
-    return answered.select(
-        F.col("_tx.*"), *totals, F.greatest("_max_here", "_max_before").alias("_max7d")
+        "explode(array("
+        "named_struct('block', _block, 'at', _at, 'asks', 0), "
+        f"named_struct('block', _block - 1, 'at', _at - {WINDOW_7D}L, 'asks', 1))) AS _side",
+    ).selectExpr("*", "_side.block AS _look", "_side.at AS _from", "_side.asks AS _asks")
+    return (
+        running(
+            sides,
+            ["customer_id", "_look"],
+            ["_from DESC", "_asks", "_by"],
+            {"_max_before": ("max", "if(_asks = 0, _cents, null)")},
+            sliced=sliced,
+        )
+        .where("_asks = 1")
+        .selectExpr(
+            "customer_id",
+            *[f"_tx.{c} AS {c}" for c in columns if c != "customer_id"],
+            *_TOTALS,
+            "greatest(_max_here, _max_before) AS _max7d",
+        )
     )

@@ -13,91 +13,103 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.session import cut_lineage
 
-_AGGREGATE = {
-    "sum": F.sum,
-    "max": F.max,
-    "min": F.min,
-    "last": lambda value: F.last(value, ignorenulls=True),
-}
-
 _COMBINE = {
-    "sum": lambda carried, here: F.coalesce(carried + here, carried, here),
-    "max": lambda carried, here: F.greatest(carried, here),
-    "min": lambda carried, here: F.least(carried, here),
-    "last": lambda carried, here: F.coalesce(here, carried),
+    "sum": "coalesce({carried} + {here}, {carried}, {here})",
+    "max": "greatest({carried}, {here})",
+    "min": "least({carried}, {here})",
+    "last": "coalesce({here}, {carried})",
 }
 
 
+def _aggregate(how: str, value: str) -> str:
+    return f"last({value}, true)" if how == "last" else f"{how}({value})"
+
+
+def _over(keys: Sequence[str], order: Sequence[str], before: bool) -> str:
+    partition = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    end = "1 PRECEDING" if before else "CURRENT ROW"
+    return f"OVER ({partition}ORDER BY {', '.join(order)} ROWS BETWEEN UNBOUNDED PRECEDING AND {end})"
+
+
+def _sort_column(term: str) -> Column:
+    expression, _, direction = term.rpartition(" ")
+    return F.expr(expression).desc() if direction == "DESC" else F.expr(term)
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column],
-    values: dict[str, tuple[str, Column]],
+    order: Sequence[str],
+    values: dict[str, tuple[str, str]],
     *,
     before: bool = False,
     sliced: bool = False,
 ) -> DataFrame:
-    """Add one running aggregate per entry of ``values`` (name -> (sum | max | min | last, column)).
+    """Add one running aggregate per entry of ``values`` (name -> (sum | max | min | last, SQL text)).
 
     The frame runs from the first row of the key to the current row, or to the row ahead of
-    it with ``before``. ``order`` must be total inside a key. Without ``sliced`` this is a plain
-    window; with it no task ever holds more than one range slice of a key.
+    it with ``before``. ``order`` holds SQL terms (``x`` or ``x DESC``) and must be total inside a
+    key. Without ``sliced`` this is a plain window; with it no task ever holds more than one range
+    slice of a key.
     """
-    end = -1 if before else Window.currentRow
     if not sliced:
-        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-        return df.select("*", *[_AGGREGATE[how](value).over(frame).alias(name) for name, (how, value) in values.items()])
+        over = _over(keys, order, before)
+        return df.selectExpr("*", *[f"{_aggregate(how, value)} {over} AS {name}" for name, (how, value) in values.items()])
 
-    inputs = {f"_in_{name}": value for name, (_, value) in values.items()}
+    by_range = [F.col(k) for k in keys] + [_sort_column(term) for term in order]
     ordered = (
-        df.select("*", *[value.alias(column) for column, value in inputs.items()])
-        .repartitionByRange(*[F.col(k) for k in keys], *order)
-        .sortWithinPartitions(*[F.col(k) for k in keys], *order)
-        .select("*", F.spark_partition_id().alias("_slice"), F.monotonically_increasing_id().alias("_position"))
+        df.selectExpr("*", *[f"{value} AS _in_{name}" for name, (_, value) in values.items()])
+        .repartitionByRange(*by_range)
+        .sortWithinPartitions(*by_range)
+        .selectExpr("*", "spark_partition_id() AS _slice", "monotonically_increasing_id() AS _position")
     )
     # The slice bounds come from a sample, so they are pinned before they are used twice.
     ordered = cut_lineage(ordered)
 
-    frame = (
-        Window.partitionBy("_slice", *keys).orderBy("_position").rowsBetween(Window.unboundedPreceding, end)
-    )
-    local = ordered.select(
-        "*", *[_AGGREGATE[how](F.col(f"_in_{name}")).over(frame).alias(f"_here_{name}") for name, (how, _) in values.items()]
+    in_slice = _over(["_slice", *keys], ["_position"], before)
+    local = ordered.selectExpr(
+        "*", *[f"{_aggregate(how, f'_in_{name}')} {in_slice} AS _here_{name}" for name, (how, _) in values.items()]
     )
-
     totals = ordered.groupBy("_slice", *keys).agg(
-        *[_slice_total(how, f"_in_{name}").alias(f"_in_{name}") for name, (how, _) in values.items()]
+        *[F.expr(f"{_slice_total(how, f'_in_{name}')} AS _in_{name}") for name, (how, _) in values.items()]
     )
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        F.col("_slice").alias("_to_slice"),
-        *[F.col(k).alias(f"_to_{k}") for k in keys],
-        F.count(F.lit(1)).over(earlier).alias("_slices_before"),
-        *[_AGGREGATE[how](F.col(f"_in_{name}")).over(earlier).alias(f"_carry_{name}") for name, (how, _) in values.items()],
+    earlier = _over(keys, ["_slice"], before=True)
+    # A handful of rows with an empty key: one per slice, so one task can order them.
+    carried = totals.selectExpr(
+        "_slice AS _to_slice",
+        *[f"{k} AS _to_{k}" for k in keys],
+        f"count(1) {earlier} AS _slices_before",
+        *[f"{_aggregate(how, f'_in_{name}')} {earlier} AS _carry_{name}" for name, (how, _) in values.items()],
     ).where("_slices_before > 0")
     # Rows are sorted by key, so only the first key of a slice can have started earlier:
-    # the table holds at most one row per slice.
-    match = F.col("_slice") == F.col("_to_slice")
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_to_{k}"))
-    joined = local.join(F.broadcast(carried), match, "left")
-    return joined.select(
+    # the table holds at most one row per slice and may be broadcast.
+    match = " AND ".join(["_slice = _to_slice", *[f"{k} <=> _to_{k}" for k in keys]])
+    return local.join(F.broadcast(carried), F.expr(match), "left").selectExpr(
         *df.columns,
         *[
-            _COMBINE[how](F.col(f"_carry_{name}"), F.col(f"_here_{name}")).alias(name)
+            _COMBINE[how].format(carried=f"_carry_{name}", here=f"_here_{name}") + f" AS {name}"
             for name, (how, _) in values.items()
         ],
     )
 
 
-def _slice_total(how: str, column: str) -> Column:
+def _slice_total(how: str, column: str) -> str:
     if how == "last":
-        return F.max_by(F.col(column), F.when(F.col(column).isNotNull(), F.col("_position")))
-    return _AGGREGATE[how](F.col(column))
+        return f"max_by({column}, CASE WHEN {column} IS NOT NULL THEN _position END)"
+    return f"{how}({column})"
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into exactly ``spark.sql.shuffle.partitions`` partitions.
+
+    The stages behind it multiply their rows, so the size of the shuffled input says little about
+    the work of a task; a fixed number keeps adaptive execution from merging partitions by it.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)
 
 
 @dataclass(frozen=True)

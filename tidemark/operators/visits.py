@@ -12,10 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions.scalars import days_between, epoch_ms, half_up_ratio, utc_day
-from tidemark.operators.running import SLICE_ROWS, apply_by_heat, key_heat, running
+from tidemark.operators.running import SLICE_ROWS, apply_by_heat, by_key, key_heat, running
 from tidemark.schemas import VISIT_WINDOW_DAYS
 
 
@@ -27,11 +26,11 @@ def check_window(window_days: int) -> int:
 
 def merchant_day_buckets(transactions: DataFrame) -> DataFrame:
     """Visits per (customer, UTC day, merchant) with the first and last moment."""
-    ms = epoch_ms(F.col("event_timestamp"))
     return (
-        transactions.select("customer_id", "merchant_id", ms.alias("ms"))
-        .groupBy("customer_id", utc_day(F.col("ms")).alias("day"), "merchant_id")
-        .agg(F.count(F.lit(1)).alias("visits"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"))
+        transactions.selectExpr("customer_id", "merchant_id", f"{epoch_ms('event_timestamp')} AS ms")
+        .selectExpr("customer_id", f"{utc_day('ms')} AS day", "merchant_id", "ms")
+        .groupBy("customer_id", "day", "merchant_id")
+        .agg(F.expr("count(1) AS visits"), F.expr("min(ms) AS first_ms"), F.expr("max(ms) AS last_ms"))
     )
 
 
@@ -41,14 +40,18 @@ def merchant_window(buckets: DataFrame, window_days: int = VISIT_WINDOW_DAYS) ->
     A bucket is handed forward to the days of its customer that lie within the window, at most
     ``window_days - 1`` of them, whatever the number of transactions.
     """
-    check_window(window_days)
-    following = Window.partitionBy("customer_id").orderBy("day").rangeBetween(1, max(1, window_days - 1))
-    ahead = F.collect_set("day").over(following) if window_days > 1 else F.array().cast("array<int>")
+    if check_window(window_days) > 1:
+        ahead = (
+            "collect_set(day) OVER (PARTITION BY customer_id ORDER BY day "
+            f"RANGE BETWEEN 1 FOLLOWING AND {window_days - 1} FOLLOWING)"
+        )
+    else:
+        ahead = "cast(array() AS array<int>)"
     return (
-        buckets.select("customer_id", "merchant_id", "visits", "first_ms", "last_ms", ahead.alias("ahead"), "day")
-        .select("customer_id", "merchant_id", "visits", "first_ms", "last_ms", F.explode("ahead").alias("day"))
+        buckets.selectExpr("*", f"{ahead} AS ahead")
+        .selectExpr("customer_id", "merchant_id", "visits", "first_ms", "last_ms", "explode(ahead) AS day")
         .groupBy("customer_id", "day", "merchant_id")
-        .agg(F.sum("visits").alias("visits"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"))
+        .agg(F.expr("sum(visits) AS visits"), F.expr("min(first_ms) AS first_ms"), F.expr("max(last_ms) AS last_ms"))
     )
 
 
@@ -66,75 +69,78 @@ def merchant_visit_features(
 
 
 def add_visits(tx: DataFrame, window_days: int = VISIT_WINDOW_DAYS, *, sliced: bool) -> DataFrame:
-    source = tx if sliced else tx.repartition("customer_id")
+    source = tx if sliced else by_key(tx, "customer_id")
     day_key = ["customer_id", "day"]
 
-    ms = epoch_ms(F.col("event_timestamp"))
-    visits = source.select(
+    others = [c for c in tx.columns if c not in ("customer_id", "merchant_id", "transaction_id")]
+    visits = source.selectExpr(
+        "customer_id",
+        "merchant_id",
+        "transaction_id",
+        f"{epoch_ms('event_timestamp')} AS ms",
+        f"struct({', '.join(others)}) AS tx",
+    ).selectExpr(
         "customer_id",
-        utc_day(ms).alias("day"),
+        f"{utc_day('ms')} AS day",
         "merchant_id",
-        F.lit(1).alias("today"),
-        ms.alias("ms"),
+        "1 AS today",
+        "ms",
         "transaction_id",
-        F.lit(1).cast("bigint").alias("visits"),
-        ms.alias("first_ms"),
-        ms.alias("last_ms"),
-        F.struct(*[F.col(c) for c in tx.columns]).alias("tx"),
+        "1L AS visits",
+        "ms AS first_ms",
+        "ms AS last_ms",
+        "tx",
     )
     # Earlier days enter as if they had been visited at the very start of the day.
-    earlier = merchant_window(merchant_day_buckets(source), window_days).select(
+    earlier = merchant_window(merchant_day_buckets(source), window_days).selectExpr(
         "customer_id",
         "day",
         "merchant_id",
-        F.lit(0).alias("today"),
-        F.lit(None).cast("bigint").alias("ms"),
-        F.lit(None).cast("string").alias("transaction_id"),
+        "0 AS today",
+        "cast(null AS bigint) AS ms",
+        "cast(null AS string) AS transaction_id",
         "visits",
         "first_ms",
         "last_ms",
     )
     rows = earlier.unionByName(visits, allowMissingColumns=True)
-    replay = [F.col("today"), F.col("ms"), F.col("transaction_id"), F.col("merchant_id")]
 
     # Visits to the current merchant so far.
     rows = running(
         rows,
         [*day_key, "merchant_id"],
-        replay[:3],
+        ["today", "ms", "transaction_id"],
         {
-            "so_far": ("sum", F.col("visits")),
-            "first_seen": ("min", F.col("first_ms")),
-            "last_seen": ("max", F.col("last_ms")),
-            "came_today": ("max", F.col("today")),
+            "known": ("sum", "visits"),
+            "first_seen": ("min", "first_ms"),
+            "last_seen": ("max", "last_ms"),
+            "came_today": ("max", "today"),
         },
         before=True,
         sliced=sliced,
-    ).withColumn("so_far", F.coalesce("so_far", F.lit(0).cast("bigint")))
+    ).selectExpr("*", "coalesce(known, 0L) AS so_far")
 
     # All merchants of the customer so far. A count only grows within a day, so the leader is the
     # best count ever reached, on equal counts the smallest merchant id.
-    reached = F.struct((-(F.col("so_far") + F.col("visits"))).alias("negated"), F.col("merchant_id").alias("merchant_id"))
     rows = running(
         rows,
         day_key,
-        replay,
+        ["today", "ms", "transaction_id", "merchant_id"],
         {
-            "all_visits": ("sum", F.col("visits")),
-            "merchants": ("sum", (F.col("so_far") == 0).cast("bigint")),
-            "leader": ("min", reached),
+            "all_visits": ("sum", "visits"),
+            "merchants": ("sum", "if(so_far = 0, 1L, 0L)"),
+            "leader": ("min", "named_struct('negated', -(so_far + visits), 'merchant_id', merchant_id)"),
         },
         before=True,
         sliced=sliced,
-    )
+    ).selectExpr("*", "if(today = 1, so_far, visits) AS level")
 
     # Merchants that were ahead of the current one when the day began, at its present count.
-    level = F.when(F.col("today") == 1, F.col("so_far")).otherwise(F.col("visits"))
     rows = running(
-        rows.withColumn("level", level),
+        rows,
         day_key,
-        [F.col("level").desc(), F.col("merchant_id"), F.col("today").desc(), F.col("ms"), F.col("transaction_id")],
-        {"ahead_at_dawn": ("sum", (1 - F.col("today")).cast("bigint"))},
+        ["level DESC", "merchant_id", "today DESC", "ms", "transaction_id"],
+        {"ahead_at_dawn": ("sum", "1L - today")},
         before=True,
         sliced=sliced,
     ).where("today = 1")
@@ -156,103 +162,82 @@ def _add_overtakes(rows: DataFrame, sliced: bool) -> DataFrame:
     instead of pairs of visits.
     """
     day_key = ["customer_id", "day"]
-    first_today = (F.coalesce(F.col("came_today"), F.lit(0)) == 0).cast("bigint")
     rows = running(
         rows,
         day_key,
-        [F.col("merchant_id"), F.col("ms"), F.col("transaction_id")],
-        {"number": ("sum", first_today)},
+        ["merchant_id", "ms", "transaction_id"],
+        {"ordinal": ("sum", "if(coalesce(came_today, 0) = 0, 1L, 0L)")},
         sliced=sliced,
-    ).withColumn("number", (F.col("number") - 1).cast("bigint"))
+    ).selectExpr("*", "ordinal - 1 AS number")
     rows = running(
         rows,
         day_key,
-        [F.col("merchant_id").desc(), F.col("ms").desc(), F.col("transaction_id").desc()],
-        {"highest": ("max", F.col("number"))},
+        ["merchant_id DESC", "ms DESC", "transaction_id DESC"],
+        {"highest": ("max", "number")},
         sliced=sliced,
     )
 
-    number, level, known = F.col("number"), F.col("level"), F.col("level") > 0
-    nothing = F.lit(0).cast("bigint")
-    bits = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda b: F.call_function("shiftright", F.col("highest"), b) > 0)
-
-    def shifted(bit):
-        return F.call_function("shiftright", number, bit)
-
-    def is_set(bit):
-        return shifted(bit).bitwiseAND(F.lit(1).cast("bigint")) == 1
-
-    def entry(at_level, bit, block, sign, presents):
-        return F.struct(
-            at_level.alias("at_level"),
-            bit.cast("int").alias("bit"),
-            block.alias("block"),
-            F.lit(sign).cast("bigint").alias("sign"),
-            F.lit(presents).cast("bigint").alias("presents"),
+    def entry(level: str, bit: str, block: str, sign: int, presents: int) -> str:
+        return (
+            f"named_struct('at_level', {level}, 'bit', {bit}, 'block', {block}, "
+            f"'sign', {sign}L, 'presents', {presents}L)"
         )
 
-    whole = F.lit(-1)
-    present = F.concat(
-        F.array(entry(level, whole, nothing, 0, 1)),
-        F.transform(F.filter(bits, lambda b: ~is_set(b)), lambda b: entry(level, b, shifted(b), 0, 1)),
+    rows = rows.selectExpr("*", "filter(sequence(0, 62), b -> shiftright(highest, b) > 0) AS bits").selectExpr(
+        "*",
+        "filter(bits, b -> shiftright(number, b) & 1L = 1L) AS ones",
+        "filter(bits, b -> shiftright(number, b) & 1L = 0L) AS zeros",
+    )
+    present = (
+        f"array({entry('level', '-1', '0L', 0, 1)}), "
+        f"transform(zeros, b -> {entry('level', 'b', 'shiftright(number, b)', 0, 1)})"
     )
-    lower_blocks = F.filter(bits, is_set)
-    ask = F.concat(
-        F.array(entry(level, whole, nothing, 1, 0)),
-        F.transform(lower_blocks, lambda b: entry(level, b, shifted(b) - 1, -1, 0)),
-        F.transform(lower_blocks, lambda b: entry(level - 1, b, shifted(b) - 1, 1, 0)),
+    asks = (
+        f"array({entry('level', '-1', '0L', 1, 0)}), "
+        f"transform(ones, b -> {entry('level', 'b', 'shiftright(number, b) - 1', -1, 0)}), "
+        f"transform(ones, b -> {entry('level - 1', 'b', 'shiftright(number, b) - 1', 1, 0)})"
     )
-    entries = F.when(known, F.concat(present, ask)).otherwise(present)
-    payload = F.struct("tx", "ms", "so_far", "first_seen", "last_seen", "all_visits", "merchants", "leader", "ahead_at_dawn")
-    spread = rows.select(
-        *day_key, "ms", "transaction_id", payload.alias("row"), F.posexplode(entries).alias("place", "entry")
-    ).select(
+    kept = "tx, merchant_id, so_far, first_seen, last_seen, all_visits, merchants, leader, ahead_at_dawn"
+    spread = rows.selectExpr(
         *day_key,
         "ms",
         "transaction_id",
-        F.when(F.col("place") == 0, F.col("row")).alias("row"),
-        "entry.*",
-    )
+        f"struct({kept}) AS row",
+        f"posexplode(if(level > 0, concat({present}, {asks}), concat({present}))) AS (place, entry)",
+    ).selectExpr(*day_key, "ms", "transaction_id", "if(place = 0, row, null) AS row", "entry.*")
     # A merchant passes a level once a day, so these groups are bounded by the number of
     # merchants, however many rows the customer has.
-    earlier = (
-        Window.partitionBy(*day_key, "at_level", "bit", "block")
-        .orderBy("ms", "transaction_id", "presents")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    counted = spread.select(
-        "customer_id",
-        "transaction_id",
-        "row",
-        (F.col("sign") * F.coalesce(F.sum("presents").over(earlier), nothing)).alias("overtakes"),
+    counted = running(
+        spread,
+        [*day_key, "at_level", "bit", "block"],
+        ["ms", "transaction_id", "presents"],
+        {"present_before": ("sum", "presents")},
+        before=True,
     )
     return (
-        counted.groupBy("customer_id", "transaction_id")
-        .agg(F.sum("overtakes").alias("overtakes"), F.first("row", ignorenulls=True).alias("row"))
-        .select("row.*", "overtakes")
+        counted.groupBy("customer_id", "transaction_id", "ms")
+        .agg(F.expr("sum(sign * coalesce(present_before, 0L)) AS overtakes"), F.expr("first(row, true) AS row"))
+        .selectExpr("customer_id", "transaction_id", "ms", "row.*", "overtakes")
     )
 
 
 def _finish(rows: DataFrame, columns: list[str]) -> DataFrame:
-    zero = F.lit(0).cast("bigint")
-    count, total = F.col("so_far"), F.coalesce("all_visits", zero)
-    rank = F.when(count == 0, zero).otherwise(1 + F.coalesce("ahead_at_dawn", zero) + F.col("overtakes"))
-    unseen = F.lit(-1.0)
-    return rows.select(
-        *[F.col(f"tx.{c}").alias(c) for c in columns],
-        count.alias("current_merchant_visit_count_30d"),
-        F.when(total == 0, F.lit(0.0)).otherwise(half_up_ratio(count, F.greatest(total, F.lit(1)), 6)).alias(
-            "current_merchant_visit_share_30d"
-        ),
-        rank.alias("current_merchant_rank_30d"),
-        (rank == 1).cast("bigint").alias("is_current_merchant_top_visited_30d"),
-        F.when(count == 0, unseen).otherwise(days_between(F.col("first_seen"), F.col("ms"))).alias(
-            "days_since_first_seen_current_merchant"
-        ),
-        F.when(count == 0, unseen).otherwise(days_between(F.col("last_seen"), F.col("ms"))).alias(
-            "days_since_last_seen_current_merchant"
-        ),
-        F.coalesce("merchants", zero).alias("customer_distinct_merchants_30d"),
-        (count == 0).cast("bigint").alias("is_new_merchant_for_customer"),
-        F.coalesce(F.col("leader.merchant_id"), F.lit("")).alias("top_visited_merchant_id_30d"),
+    keys = ("customer_id", "merchant_id", "transaction_id")
+    rows = rows.selectExpr(
+        "*",
+        "coalesce(all_visits, 0L) AS total",
+        "if(so_far = 0, 0L, 1L + coalesce(ahead_at_dawn, 0L) + overtakes) AS rank",
+    )
+    # The key columns stay as they are, which keeps the partitioning by customer known.
+    return rows.selectExpr(
+        *[c if c in keys else f"tx.{c} AS {c}" for c in columns],
+        "so_far AS current_merchant_visit_count_30d",
+        f"if(total = 0, 0.0D, {half_up_ratio('so_far', 'greatest(total, 1L)', 6)}) AS current_merchant_visit_share_30d",
+        "rank AS current_merchant_rank_30d",
+        "if(rank = 1, 1L, 0L) AS is_current_merchant_top_visited_30d",
+        f"if(so_far = 0, -1.0D, {days_between('first_seen', 'ms')}) AS days_since_first_seen_current_merchant",
+        f"if(so_far = 0, -1.0D, {days_between('last_seen', 'ms')}) AS days_since_last_seen_current_merchant",
+        "coalesce(merchants, 0L) AS customer_distinct_merchants_30d",
+        "if(so_far = 0, 1L, 0L) AS is_new_merchant_for_customer",
+        "coalesce(leader.merchant_id, '') AS top_visited_merchant_id_30d",
     )

@@ -70,7 +70,18 @@ def _score_steps(df: DataFrame, label: str, score: str, slice_rows: int) -> Data
     )
     # Grouped scores fit one ordered task up to this measured size; more are sliced by range.
     sliced = by_score.count() > slice_rows
-    return running(by_score, [], ["score DESC"], {"tp": ("sum", "pos"), "fp": ("sum", "neg")}, sliced=sliced)
+    return running(by_score, [], ["score DESC"], {"pos_upto": ("sum", "pos"), "neg_upto": ("sum", "neg")}, sliced=sliced)
+
+
+_RANKING_SUMS = [
+    "sum(pos) AS positives",
+    "sum(neg) AS negatives",
+    "sum(cast(pos AS double) * pos_upto / (pos_upto + neg_upto)) AS step_sum",
+    "sum(cast(neg AS double) * (pos_upto + pos_upto - pos) / 2) AS area",
+]
+_BOTH = "positives > 0 AND negatives > 0"
+_PR_AUC = f"if({_BOTH}, step_sum / nullif(positives, 0), null)"
+_ROC_AUC = f"if({_BOTH}, area / nullif(cast(positives AS double) * negatives, 0.0D), null)"
 
 
 def ranking_metrics(
@@ -81,34 +92,42 @@ def ranking_metrics(
     Average precision is the sum of recall steps times precision over distinct scores, not the
     trapezoidal area. Equal scores get half credit in the ROC area.
     """
-    sums = _score_steps(df, label, score, slice_rows).agg(
-        F.expr("sum(pos) AS positives"),
-        F.expr("sum(neg) AS negatives"),
-        F.expr("sum(cast(pos AS double) * tp / (tp + fp)) AS step_sum"),
-        F.expr("sum(cast(neg AS double) * (tp + tp - pos) / 2) AS area"),
-    )
-    both = "positives > 0 AND negatives > 0"
-    return sums.selectExpr(
-        f"if({both}, step_sum / nullif(positives, 0), null) AS pr_auc",
-        f"if({both}, area / nullif(cast(positives AS double) * negatives, 0.0D), null) AS roc_auc",
-    )
+    sums = _score_steps(df, label, score, slice_rows).agg(*[F.expr(e) for e in _RANKING_SUMS])
+    return sums.selectExpr(f"{_PR_AUC} AS pr_auc", f"{_ROC_AUC} AS roc_auc")
+
 
+def average_precision(df: DataFrame, label: str = "is_fraud", score: str = "fraud_score", **limits: int) -> DataFrame:
+    return ranking_metrics(df, label, score, **limits).select("pr_auc")
 
-def average_precision(df: DataFrame, label: str = "is_fraud", score: str = "fraud_score") -> DataFrame:
-    return ranking_metrics(df, label, score).select("pr_auc")
 
+def roc_auc(df: DataFrame, label: str = "is_fraud", score: str = "fraud_score", **limits: int) -> DataFrame:
+    return ranking_metrics(df, label, score, **limits).select("roc_auc")
 
-def roc_auc(df: DataFrame, label: str = "is_fraud", score: str = "fraud_score") -> DataFrame:
-    return ranking_metrics(df, label, score).select("roc_auc")
 
+def evaluation_metrics(
+    scored: DataFrame, threshold: float = DECLINE_AT, *, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """One row: row count, precision, recall, f1, confusion counts and ranking metrics.
 
-def evaluation_metrics(scored: DataFrame, threshold: float = DECLINE_AT) -> DataFrame:
-    """Row count, precision, recall, f1, confusion counts and ranking metrics of scored, labelled rows."""
-    labelled = scored.selectExpr("is_fraud", "fraud_score", f"{classify('fraud_score', threshold)} AS expected_is_fraud")
-    counts = confusion(labelled)
-    # Single-row tables, so these joins pair one row with one row.
-    return (
-        counts.selectExpr("tn + fp + fn + tp AS rows", "tn", "fp", "fn", "tp")
-        .join(precision_recall_f1(counts))
-        .join(ranking_metrics(labelled))
+    Everything follows from the label counts per distinct score, so the rows are grouped once.
+    """
+    hit = classify("score", threshold)
+    sums = _score_steps(scored, "is_fraud", "fraud_score", slice_rows).agg(
+        F.expr(f"coalesce(sum(neg * (1 - {hit})), 0L) AS tn"),
+        F.expr(f"coalesce(sum(neg * {hit}), 0L) AS fp"),
+        F.expr(f"coalesce(sum(pos * (1 - {hit})), 0L) AS fn"),
+        F.expr(f"coalesce(sum(pos * {hit}), 0L) AS tp"),
+        *[F.expr(e) for e in _RANKING_SUMS],
+    )
+    return sums.selectExpr(
+        "tn + fp + fn + tp AS rows",
+        f"{_ratio('tp', 'tp + fp')} AS precision",
+        f"{_ratio('tp', 'tp + fn')} AS recall",
+        f"{_ratio('2 * tp', '2 * tp + fp + fn')} AS f1",
+        "tn",
+        "fp",
+        "fn",
+        "tp",
+        f"{_PR_AUC} AS pr_auc",
+        f"{_ROC_AUC} AS roc_auc",
     )

@@ -8,25 +8,28 @@ from pyspark.sql import functions as F
 from tidemark.operators.clean import feature_window
 from tidemark.operators.running import SLICE_ROWS, apply_by_heat, key_heat, running
 from tidemark.schemas import DRIFT_FEATURES, PSI_THRESHOLD
+from tidemark.session import cut_lineage
 
 # Fixed value: the smallest share a bin is given.
 _FLOOR = 0.0001
 
 
-def psi(
-    values: DataFrame, features: list[str], buckets: int = 10, *, slice_rows: int = SLICE_ROWS
-) -> DataFrame:
-    """PSI per feature from rows (feature, side, value, weight) with side ``baseline`` or ``current``.
-
-    Bin edges are the distinct linear quantiles of the baseline. They are exact: values are counted
-    first, then the counts are summed up in value order and the rows at the quantile positions are
-    picked. Bins are ``[a, b)``, the last one ``[a, b]``; values outside and nulls are left out.
-    """
-    counts = (
+def count_values(values: DataFrame) -> DataFrame:
+    """Weighted counts per (feature, side, value), written once because every later step reads them."""
+    return cut_lineage(
         values.where("value IS NOT NULL AND NOT isnan(value)")
         .groupBy("feature", "side", "value")
         .agg(F.expr("sum(weight) AS n"))
     )
+
+
+def psi(counts: DataFrame, features: list[str], buckets: int = 10, *, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """PSI per feature from ``count_values`` with the sides ``baseline`` and ``current``.
+
+    Bin edges are the distinct linear quantiles of the baseline. They are exact: the counts are
+    summed up in value order and the rows at the quantile positions are picked. Bins are ``[a, b)``,
+    the last one ``[a, b]``; values outside and nulls are left out.
+    """
     edges = _quantile_edges(counts.where("side = 'baseline'").drop("side"), buckets, slice_rows)
     # At most one row per requested feature with at most ``buckets`` + 1 edges.
     binned = (
@@ -47,7 +50,7 @@ def psi(
     )
     per_feature = shares.groupBy("feature").agg(F.expr("sum((a - e) * ln(a / e)) AS psi"))
     listed = ", ".join(f"'{name}'" for name in features)
-    names = values.sparkSession.range(1).selectExpr(f"explode(array({listed})) AS feature")
+    names = counts.sparkSession.range(1).selectExpr(f"explode(array({listed})) AS feature")
     return (
         names.join(per_feature, "feature", "left")
         .join(sides, "feature", "left")
@@ -90,46 +93,55 @@ def _quantile_edges(counts: DataFrame, buckets: int, slice_rows: int) -> DataFra
     return picked.groupBy("feature").agg(F.expr(f"array_sort(array_distinct(collect_list({edge}))) AS edges"))
 
 
-def weighted_drift_values(
+# Pseudo feature that counts the joined rows of a side.
+_ROWS = "_rows"
+
+
+def drift_counts(
     customer_rows: DataFrame,
     merchant_rows: DataFrame,
     as_of: str,
     baseline: tuple[int, int] = (60, 14),
     current: tuple[int, int] = (14, 0),
-) -> tuple[DataFrame, DataFrame]:
-    """(values, rows per side) of the joined feature rows without building the join.
+) -> DataFrame:
+    """Value counts per feature and side of the joined feature rows, without building the join.
 
     The join of customer and merchant rows by moment multiplies rows. A customer row stands for as
     many joined rows as there are merchant rows of its moment (at least one), a merchant row for as
     many as there are customer rows.
     """
-    both = []
-    for side, (start, end) in (("baseline", baseline), ("current", current)):
-        c = feature_window(customer_rows, as_of, start, end)
-        m = feature_window(merchant_rows, as_of, start, end).select("event_timestamp", "merchant_risk_score")
-        merchants_at = m.groupBy("event_timestamp").agg(F.expr("count(1) AS merchants"))
-        customers_at = c.groupBy("event_timestamp").agg(F.expr("count(1) AS customers"))
-        weighted = c.join(merchants_at, "event_timestamp", "left").selectExpr(
-            *DRIFT_FEATURES[:-1], "coalesce(merchants, 1L) AS weight", f"'{side}' AS side"
+    reach = max(baseline[0], current[0]), min(baseline[1], current[1])
+    c = feature_window(customer_rows, as_of, *reach)
+    m = feature_window(merchant_rows, as_of, *reach).select("event_timestamp", "merchant_risk_score")
+    merchants_at = m.groupBy("event_timestamp").agg(F.expr("count(1) AS merchants"))
+    customers_at = c.groupBy("event_timestamp").agg(F.expr("count(1) AS customers"))
+
+    def inside(days: tuple[int, int]) -> str:
+        start, end = days
+        return (
+            f"event_timestamp >= {as_of} - INTERVAL '{start}' DAY AND event_timestamp < {as_of} - INTERVAL '{end}' DAY"
         )
-        risk = m.join(customers_at, "event_timestamp").selectExpr(
-            "'merchant_risk_score' AS feature",
-            f"'{side}' AS side",
-            "cast(merchant_risk_score AS double) AS value",
-            "customers AS weight",
-        )
-        both.append((weighted, risk))
-    rows = both[0][0].unionByName(both[1][0])
+
+    sides = (
+        f"explode(array_compact(array(if({inside(baseline)}, 'baseline', null), if({inside(current)}, 'current', null)))) AS side"
+    )
     stacked = ", ".join(f"'{name}', cast({name} AS double)" for name in DRIFT_FEATURES[:-1])
-    values = rows.selectExpr("side", "weight", f"stack({len(DRIFT_FEATURES) - 1}, {stacked}) AS (feature, value)")
-    values = values.unionByName(both[0][1]).unionByName(both[1][1])
-    sizes = rows.groupBy("side").agg(F.expr("sum(weight) AS rows"))
-    return values, sizes
+    features = (
+        c.join(merchants_at, "event_timestamp", "left")
+        .selectExpr(*DRIFT_FEATURES[:-1], "coalesce(merchants, 1L) AS weight", sides)
+        .selectExpr("side", "weight", f"stack({len(DRIFT_FEATURES)}, '{_ROWS}', 0.0D, {stacked}) AS (feature, value)")
+    )
+    risk = m.join(customers_at, "event_timestamp").selectExpr(
+        "customers AS weight",
+        "'merchant_risk_score' AS feature",
+        "cast(merchant_risk_score AS double) AS value",
+        sides,
+    )
+    return count_values(features.unionByName(risk))
 
 
 def feature_psi(customer_rows: DataFrame, merchant_rows: DataFrame, as_of: str, **ranges) -> DataFrame:
-    values, _ = weighted_drift_values(customer_rows, merchant_rows, as_of, **ranges)
-    return psi(values, DRIFT_FEATURES)
+    return psi(drift_counts(customer_rows, merchant_rows, as_of, **ranges).where(f"feature <> '{_ROWS}'"), DRIFT_FEATURES)
 
 
 def drift_report(
@@ -140,11 +152,12 @@ def drift_report(
     **ranges,
 ) -> DataFrame:
     """One row: row counts, PSI per feature, the drifted features and whether to retrain."""
-    values, sizes = weighted_drift_values(customer_rows, merchant_rows, as_of, **ranges)
-    found = {row["side"]: row["rows"] for row in sizes.collect()}
+    counts = drift_counts(customer_rows, merchant_rows, as_of, **ranges)
+    # One count per side.
+    found = {row["side"]: row["n"] for row in counts.where(f"feature = '{_ROWS}'").collect()}
     if set(found) != {"baseline", "current"}:
         raise ValueError("Need both baseline and current feature rows to compute drift")
-    per_feature = psi(values, DRIFT_FEATURES)
+    per_feature = psi(counts.where(f"feature <> '{_ROWS}'"), DRIFT_FEATURES)
     return per_feature.agg(
         F.expr(f"{found['baseline']}L AS baseline_rows"),
         F.expr(f"{found['current']}L AS current_rows"),

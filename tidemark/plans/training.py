@@ -15,6 +15,7 @@ from tidemark.operators.joins import join_view, training_examples
 from tidemark.operators.metrics import evaluation_metrics
 from tidemark.operators.running import SLICE_ROWS, running
 from tidemark.schemas import DECLINE_AT, VIEWS, model_config, refs_by_view
+from tidemark.session import cut_lineage
 
 ENTITY_COLUMNS = [
     "transaction_id",
@@ -164,11 +165,12 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def train_and_evaluate(dataset: DataFrame, model: str, threshold: float = DECLINE_AT) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """(fitted model, classified test rows, one row of metrics)."""
-    split = time_split(dataset)
+    # The training set is written once; counting, splitting, fitting and scoring read the files.
+    split = cut_lineage(time_split(cut_lineage(dataset)))
     fitted = fit_model(split, model)
     test = score(fitted, split.where("part = 'test'")).selectExpr(
         "*", f"{classify('fraud_score', threshold)} AS expected_is_fraud"
     )
-    # Two single rows.
-    metrics = evaluation_metrics(test, threshold).drop("rows").join(training_metrics(split))
+    sizes = training_metrics(split).first().asDict()
+    metrics = evaluation_metrics(test, threshold).drop("rows").selectExpr("*", *[f"{n}L AS {c}" for c, n in sizes.items()])
     return fitted, test, metrics

@@ -54,13 +54,19 @@ def enrich(
     fields and null features; otherwise only features without a stored row become zero.
     """
     wanted = refs_by_view(SERVICES[service])
-    names = [name for refs in wanted.values() for name in refs]
     rows = transaction_payload(transactions)
     stores = {"customer_transaction_stats_view": latest_customer, "merchant_risk_view": latest_merchant}
     for view, columns in wanted.items():
         entity = VIEWS[view].entity
         stored = stores[view].selectExpr(entity, f"struct({', '.join(columns)}) AS {view}")
         rows = rows.join(stored, entity, "left")
+    return model_input(rows, service, strict)
+
+
+def model_input(rows: DataFrame, service: str, strict: bool = True) -> DataFrame:
+    """Select and check a service's features from rows with one struct column per feature view."""
+    wanted = refs_by_view(SERVICES[service])
+    names = [name for refs in wanted.values() for name in refs]
 
     def feature(view: str, name: str) -> str:
         if strict:

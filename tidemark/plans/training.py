@@ -112,9 +112,11 @@ def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str
     scaled = [
         f"(cast({c} AS double) - {stats[f'mean_{c}']!r}D) / {(stats[f'std_{c}'] or 1.0)!r}D AS _scaled_{c}" for c in numeric
     ]
+    # Attribute names may not be empty, an empty text is a category of its own.
+    texts = [f"if({c} = '', '(empty)', {c}) AS _text_{c}" for c in categorical]
     stages = [
-        SQLTransformer(statement=f"SELECT *, {', '.join(scaled)} FROM __THIS__"),
-        StringIndexer(inputCols=categorical, outputCols=[f"_index_{c}" for c in categorical], handleInvalid="keep"),
+        SQLTransformer(statement=f"SELECT *, {', '.join(scaled + texts)} FROM __THIS__"),
+        StringIndexer(inputCols=[f"_text_{c}" for c in categorical], outputCols=[f"_index_{c}" for c in categorical], handleInvalid="keep"),
         OneHotEncoder(
             inputCols=[f"_index_{c}" for c in categorical],
             outputCols=[f"_hot_{c}" for c in categorical],

@@ -425,6 +425,10 @@ def statements() -> dict[str, str]:
             round(pr_auc, 9) AS pr_auc, round(roc_auc, 9) AS roc_auc FROM areas, ({_confusion(0.5)} FROM {mine})""",
         **_ranking(mine),
     )
+    built["stream_feature_rows"] = _statement(
+        f"""SELECT v.transaction_id, v.customer_id, {_FEATURES} FROM visits v JOIN rolling r ON r.transaction_id = v.transaction_id"""
+    )
+    built["stream_dedupe"] = _statement("SELECT transaction_id, customer_id FROM tx_raw")
     built["rolling_stats_running_sums"] = built["rolling_stats"]
     built["customer_feature_rows_hot"] = built["customer_feature_rows"]
     built["pit_merchant_hot"] = built["pit_merchant"]

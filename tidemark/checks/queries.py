@@ -8,12 +8,15 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.checks.views import VIEWS as VIEW_SQL
 from tidemark.checks.views import view
 from tidemark.operators import clean, feature_rows, joins, ledger, metrics, rolling, scoring, tables, visits
 from tidemark.plans import drift, evaluation, serving, training
 from tidemark.schemas import CUSTOMER_FEATURES, VIEWS
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, new_folder, use_utc
 from tidemark.sources import readers, sinks
+from tidemark.streaming import features
+from tidemark.streaming.features import stream_features
 
 AS_OF = "TIMESTAMP_NTZ '2024-01-31 00:00:00'"
 EARLY = "TIMESTAMP_NTZ '2024-01-02 00:00:00'"
@@ -335,6 +338,36 @@ def merchant_feature_rows(spark, sf_dir):
     return _merchant_rows(spark, sf_dir)
 
 
+def _events_stream(spark, sf_dir):
+    events = use_utc(spark).read.parquet(f"{sf_dir}/events.parquet")
+    return spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def _run_to_table(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over everything that is there and read what it wrote."""
+    spark = stream.sparkSession
+    out = new_folder(spark, name)
+    writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_folder(spark, name))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query
+def stream_feature_rows(spark, sf_dir):
+    """The per-customer state of the live path, fed with all events."""
+    transactions = spark.sql(VIEW_SQL["tx_raw"], events=_events_stream(spark, sf_dir))
+    rows = _run_to_table(stream_features(transactions, expire=False), "stream-features")
+    return rows.select("transaction_id", "customer_id", *CUSTOMER_FEATURES)
+
+
+@query
+def stream_dedupe(spark, sf_dir):
+    """Copies of every transaction in one stream; which copy comes first is not defined, so only ids are kept."""
+    transactions = spark.sql(VIEW_SQL["tx_raw"], events=_events_stream(spark, sf_dir))
+    copies = transactions.unionByName(spark.sql(VIEW_SQL["tx_raw"], events=_events_stream(spark, sf_dir)))
+    return _run_to_table(features.stream_dedupe(copies), "stream-dedupe").select("transaction_id", "customer_id")
+
+
 # Joins
 
 

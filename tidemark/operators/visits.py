@@ -34,22 +34,30 @@ def merchant_day_buckets(transactions: DataFrame) -> DataFrame:
     )
 
 
-def merchant_window(buckets: DataFrame, window_days: int = VISIT_WINDOW_DAYS) -> DataFrame:
+def merchant_window(
+    buckets: DataFrame, window_days: int = VISIT_WINDOW_DAYS, *, together: bool = False
+) -> DataFrame:
     """Per customer, active day and merchant: the buckets of the window's earlier days merged.
 
     A bucket is handed forward to the days of its customer that lie within the window, at most
-    ``window_days - 1`` of them, whatever the number of transactions.
+    ``window_days - 1`` of them, whatever the number of transactions. The days ahead are found among
+    the customer's distinct days; with ``together``, for buckets already partitioned by customer,
+    they are found in place, which saves the join.
     """
     if check_window(window_days) > 1:
         ahead = (
             "collect_set(day) OVER (PARTITION BY customer_id ORDER BY day "
-            f"RANGE BETWEEN 1 FOLLOWING AND {window_days - 1} FOLLOWING)"
+            f"RANGE BETWEEN 1 FOLLOWING AND {window_days - 1} FOLLOWING) AS ahead"
         )
     else:
-        ahead = "cast(array() AS array<int>)"
+        ahead = "cast(array() AS array<int>) AS ahead"
+    if together:
+        rows = buckets.selectExpr("*", ahead)
+    else:
+        days = buckets.select("customer_id", "day").distinct().selectExpr("customer_id", "day", ahead)
+        rows = buckets.join(days, ["customer_id", "day"])
     return (
-        buckets.selectExpr("*", f"{ahead} AS ahead")
-        .selectExpr("customer_id", "merchant_id", "visits", "first_ms", "last_ms", "explode(ahead) AS day")
+        rows.selectExpr("customer_id", "merchant_id", "visits", "first_ms", "last_ms", "explode(ahead) AS day")
         .groupBy("customer_id", "day", "merchant_id")
         .agg(F.expr("sum(visits) AS visits"), F.expr("min(first_ms) AS first_ms"), F.expr("max(last_ms) AS last_ms"))
     )
@@ -92,7 +100,7 @@ def add_visits(tx: DataFrame, window_days: int = VISIT_WINDOW_DAYS, *, sliced: b
         "tx",
     )
     # Earlier days enter as if they had been visited at the very start of the day.
-    earlier = merchant_window(merchant_day_buckets(source), window_days).selectExpr(
+    earlier = merchant_window(merchant_day_buckets(source), window_days, together=not sliced).selectExpr(
         "customer_id",
         "day",
         "merchant_id",

@@ -12,6 +12,7 @@ from tidemark.operators.ledger import admit
 from tidemark.operators.scoring import decide, enrich, resolve_model
 from tidemark.operators.tables import dedupe_transactions, latest_features
 from tidemark.schemas import CATALOG, HOME_COUNTRY, VISIT_WINDOW_DAYS
+from tidemark.session import cut_lineage
 
 
 @dataclass
@@ -40,7 +41,9 @@ def score_batch(
     accepted = dedupe_transactions(valid)
     if ledger is not None:
         accepted, _ = admit(accepted, ledger)
-    customers = customer_feature_rows(accepted, home, window_days)
+    # Transactions and feature rows are tables of their own; later steps read what was written.
+    accepted = cut_lineage(accepted)
+    customers = cut_lineage(customer_feature_rows(accepted, home, window_days))
     merchants = merchant_feature_rows(accepted)
     latest_customers = latest_features(customers, "customer_id")
     latest_merchants = latest_features(merchants, "merchant_id")

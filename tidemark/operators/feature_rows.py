@@ -26,7 +26,9 @@ def transaction_features(
 ) -> DataFrame:
     """One row per transaction with all 16 customer features.
 
-    All features of a cool customer are computed behind a single shuffle by customer.
+    All features of cool customers are computed behind one partitioning by customer: the transactions
+    are shuffled once, and once more with three columns for the day buckets. ``transactions`` is read
+    for both and for counting keys, so it should be a stored table.
     """
     check_window(window_days)
     tx = transactions.select(*REPLAY_COLUMNS)

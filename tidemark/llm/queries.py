@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import minhash_dedup
+from tidemark.llm import minhash_dedup, substring_dedup
 from tidemark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +22,9 @@ def query(build):
 @query
 def op7_near_duplicates(spark, sf_dir):
     return minhash_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op10_repeated_windows(spark, sf_dir):
+    cleaned = substring_dedup.remove_repeated_windows(documents(spark, sf_dir))
+    return cleaned.selectExpr("doc_id", "n_words", "n_removed", "sha2(kept, 256) AS kept_sha256")

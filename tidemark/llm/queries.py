@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import minhash_dedup, substring_dedup
+from tidemark.llm import byte_bpe, line_rules, minhash_dedup, secret_scan, substring_dedup
 from tidemark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +29,42 @@ def op7_near_duplicates(spark, sf_dir):
 def op10_repeated_windows(spark, sf_dir):
     cleaned = substring_dedup.remove_repeated_windows(documents(spark, sf_dir))
     return cleaned.selectExpr("doc_id", "n_words", "n_removed", "sha2(kept, 256) AS kept_sha256")
+
+
+@query
+def op4_line_rules(spark, sf_dir):
+    judged = line_rules.judge_lines(documents(spark, sf_dir))
+    return judged.selectExpr(
+        "doc_id", "judged.n_words", "judged.word_chars", "judged.n_symbols", "judged.n_dup_lines", "judged.n_repeat_words",
+        "judged.base_failed", "judged.kept", "judged.n_lines", "judged.n_failed_lines", "judged.left_chars",
+    )
+
+
+_SPAN = "x -> concat_ws(':', x.kind, x.start, x.end)"
+
+
+@query
+def op6_secret_scan(spark, sf_dir):
+    found = secret_scan.scan_secrets(documents(spark, sf_dir))
+    counts = [f"cast(size(filter(spans, x -> x.kind = '{k}')) AS bigint) AS n_{k}" for k in (*secret_scan.KINDS, "entropy")]
+    return found.selectExpr(
+        "doc_id",
+        *counts,
+        f"sha2(array_join(transform(filter(spans, x -> x.kind <> 'entropy'), {_SPAN}), ','), 256) AS base_sha256",
+        f"array_join(transform(spans, {_SPAN}), ',') AS spans",
+    )
+
+
+def byte_bpe_digests(coded: DataFrame) -> DataFrame:
+    return coded.selectExpr(
+        "doc_id",
+        "cast(octet_length(ids) / 4 AS bigint) AS n_tokens",
+        "sha2(ids, 256) AS ids_sha256",
+        "sha2(decoded, 256) AS decoded_sha256",
+    )
+
+
+@query
+def op8_byte_bpe(spark, sf_dir):
+    vocabulary, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return byte_bpe_digests(byte_bpe.encode_bytes(documents(spark, sf_dir), vocabulary=vocabulary, pattern=pattern))

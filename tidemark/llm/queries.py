@@ -7,12 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, line_rules, minhash_dedup, secret_scan, substring_dedup
+from tidemark.llm import byte_bpe, line_rules, minhash_dedup, oracle, secret_scan, source_mix, substring_dedup
 from tidemark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB statements by query name, where SQL can express the query.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_line_rules": oracle.OP4, "op9_source_mix": oracle.OP9}
 
 
 def query(build):
@@ -68,3 +68,9 @@ def byte_bpe_digests(coded: DataFrame) -> DataFrame:
 def op8_byte_bpe(spark, sf_dir):
     vocabulary, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     return byte_bpe_digests(byte_bpe.encode_bytes(documents(spark, sf_dir), vocabulary=vocabulary, pattern=pattern))
+
+
+@query
+def op9_source_mix(spark, sf_dir):
+    mixed = source_mix.mix_sources(documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters that separate words, as a SQL literal's content.
-_BLANKS = " \\t\\n\\u000b\\u000c\\r"
-_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: The blanks that a line can hold, as contents of SQL literals; the line feed separates lines.
+_BLANKS = (" ", "\\t", "\\u000b", "\\u000c", "\\r")
 _SYMBOLS = "#*$%&|<>"
+_SEPARATORS = "|>»"
 #: Phrases of page furniture, in lower case.
 BOILERPLATE = (
     "all rights reserved", "click here", "cookie policy", "cookies to", "enable javascript", "javascript is",
@@ -20,34 +20,37 @@ BOILERPLATE = (
     "subscribe to", "terms of service", "terms of use",
 )
 
-_MINUS = "length(translate({0}, '{1}', ''))"
 
-
-def _has(line: str, characters: str) -> str:
-    return f"(length({line}) - {_MINUS.format(line, characters)})"
-
-
-def line_fails(line: str, solid: str) -> str:
-    """SQL text: does ``line`` fail? ``solid`` is its number of characters that are not blank (over 0).
-
-    * navigation: three or more ``|`` ``>`` or ``»`` separators, one for every eight blanks at least;
-    * symbols: a tenth of its characters are symbols;
-    * shouting: half of its characters are capitals, in a line of ten characters or more;
-    * punctuation: ends with an ellipsis or a comma, or has fewer than three words and no sentence end
-      in a line that isn't one word;
-    * boilerplate: a phrase of page furniture in a line of at most 200 characters.
-    """
-    separators = _has(line, "|>»")
-    ends = f"right(rtrim({line}), 1)"
-    phrases = " OR ".join(f"contains(lower({line}), '{p}')" for p in BOILERPLATE)
-    return (
-        f"(({separators} >= 3 AND 8 * {separators} >= {_has(line, ' ')})"
-        f" OR 10 * {_has(line, _SYMBOLS)} >= {solid}"
-        f" OR ({solid} >= 10 AND 2 * {_has(line, _CAPITALS)} >= {solid})"
-        f" OR {ends} = ',' OR right(rtrim({line}), 3) = '...'"
-        f" OR ({_has(f'trim({line})', ' ')} = 1 AND NOT contains('.!?:;)\"', {ends}))"
-        f" OR (length({line}) <= 200 AND ({phrases})))"
-    )
+def _without(line: str, characters) -> str:
+    for c in characters:
+        line = f"replace({line}, '{c}', '')"
+    return f"length({line})"
+
+
+#: What is counted in a line ``l`` first: characters that are not blank, symbols, separators.
+_LINE = (
+    f"named_struct('line', l, 'n', {_without('l', _BLANKS)}, 'symbols', length(l) - {_without('l', _SYMBOLS)}, "
+    f"'separators', length(l) - {_without('l', _SEPARATORS)})"
+)
+_SPACES = "(length(x.line) - length(replace(x.line, ' ', '')))"
+_INNER_SPACES = "(length(trim(x.line)) - length(replace(x.line, ' ', '')))"
+_END = "right(rtrim(x.line), 1)"
+#: Does the line ``x`` fail?
+#:
+#: * navigation: three or more ``|`` ``>`` or ``»`` separators, one for every eight blanks at least;
+#: * symbols: a tenth of its characters are symbols;
+#: * shouting: half of its characters are capitals, in a line of ten characters or more;
+#: * punctuation: it ends with an ellipsis or a comma, or has two words and no sentence end;
+#: * boilerplate: a phrase of page furniture in a line of at most 200 characters.
+_FAILS = (
+    f"((x.separators >= 3 AND 8 * x.separators >= {_SPACES}) OR 10 * x.symbols >= x.n"
+    " OR (x.n >= 10 AND 2 * length(regexp_replace(x.line, '[^A-Z]+', '')) >= x.n)"
+    f" OR {_END} = ',' OR right(rtrim(x.line), 3) = '...'"
+    f" OR ({_INNER_SPACES} = 1 AND NOT contains('.!?:;)\"', {_END}))"
+    " OR (length(x.line) <= 200 AND transform(array(lower(x.line)), y -> "
+    + " OR ".join(f"contains(y, '{p}')" for p in BOILERPLATE)
+    + ")[0]))"
+)
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -89,17 +92,16 @@ def judge_lines(docs: DataFrame, *, text_col: str = "text", min_words: int = 50,
     split = keep.select(
         "row",
         F.expr("array_remove(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), '') AS words"),
-        F.expr(f"{_MINUS.format('text', _BLANKS)} AS word_chars"),
-        F.expr(f"{_has('text', _SYMBOLS)} AS n_symbols"),
         F.expr(
-            f"transform(split(text, '\\n'), l -> {_let(_MINUS.format('l', _BLANKS), 'n', 'named_struct(' + repr('line') + ', l, ' + repr('n') + ', n, ' + repr('fails') + ', n > 0 AND ' + line_fails('l', 'n') + ')')}) AS lines"
+            f"transform(transform(split(text, '\n'), l -> {_LINE}), "
+            f"x -> named_struct('line', x.line, 'n', x.n, 'symbols', x.symbols, 'fails', x.n > 0 AND {_FAILS})) AS lines"
         ),
     )
     counted = split.select(
         "row",
         F.expr("cast(size(words) AS bigint) AS n_words"),
-        F.expr("cast(word_chars AS bigint) AS word_chars"),
-        F.expr("cast(n_symbols AS bigint) AS n_symbols"),
+        F.expr("aggregate(lines, 0L, (a, l) -> a + l.n) AS word_chars"),
+        F.expr("aggregate(lines, 0L, (a, l) -> a + l.symbols) AS n_symbols"),
         F.expr("filter(lines, l -> l.n > 0) AS worded"),
         _repeat_words().alias("n_repeat_words"),
         F.expr("aggregate(lines, 0L, (a, l) -> a + IF(l.fails, 0, l.n)) AS left_chars"),

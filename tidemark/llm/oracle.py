@@ -70,3 +70,45 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * left_chars >= 60 * word_chars AS kept
 FROM counted
 """
+
+_LIMITS = [limit for limit in ("4000", "2000", "1000", "0800", "0400", "0200") for _ in range(4)]
+_SUBSET_HASHES = " || '-' || ".join(
+    f"coalesce(substr(md5(string_agg(term, ' ' ORDER BY term) FILTER (substr(md5('{k}:' || term), 1, 4) < '{limit}')), 1, 8), '')"
+    for k, limit in enumerate(_LIMITS)
+)
+
+
+def _likeness(a: str, b: str) -> str:
+    pairs = f"list_filter(list_zip(string_split({a}, '-'), string_split({b}, '-')), lambda p: p[1] <> '' OR p[2] <> '')"
+    return (
+        f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN starts_with({a}, 'text-') OR starts_with({b}, 'text-') THEN 0.0::DOUBLE "
+        f"ELSE len(list_filter({pairs}, lambda p: p[1] = p[2]))::DOUBLE / len({pairs}) END"
+    )
+
+
+OP1 = rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+pairs AS (
+  SELECT doc_id, text, length(text) AS n,
+         coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next_id,
+         coalesce(lead(text) OVER o, first_value(text) OVER o) AS next_text
+  FROM texts WINDOW o AS (ORDER BY doc_id)),
+bodies AS (
+  SELECT doc_id, 0 AS edited, text AS body FROM pairs
+  UNION ALL SELECT doc_id, 1, left(text, n - n // 2) || left(next_text, n // 2) FROM pairs),
+listed AS (
+  SELECT DISTINCT doc_id, edited, unnest(regexp_extract_all(lower(body), '[^\x20\x09-\x0D]+')) AS term FROM bodies),
+lexicon AS (
+  SELECT term FROM listed WHERE edited = 0 GROUP BY term
+  HAVING count(*) >= (SELECT count(*) FROM texts) * exp(-6) AND count(*) <= (SELECT count(*) FROM texts) * exp(-1)),
+hashed AS (
+  SELECT doc_id, edited, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) || '-' || {_SUBSET_HASHES} AS mark
+  FROM listed SEMI JOIN lexicon USING (term) GROUP BY doc_id, edited),
+marked AS (
+  SELECT doc_id, edited, sha256(body) AS digest, coalesce(mark, 'text-' || left(sha256(body), 32)) AS mark
+  FROM bodies LEFT JOIN hashed USING (doc_id, edited))
+SELECT p.doc_id, p.n AS n_chars, e.digest AS edited_sha256, a.mark AS fingerprint, e.mark AS edited_fingerprint,
+       {_likeness("a.mark", "e.mark")} AS near_edited, {_likeness("a.mark", "f.mark")} AS near_next
+FROM pairs p JOIN marked a ON a.doc_id = p.doc_id AND a.edited = 0 JOIN marked e ON e.doc_id = p.doc_id AND e.edited = 1
+JOIN marked f ON f.doc_id = p.next_id AND f.edited = 0
+"""

@@ -7,12 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, line_rules, minhash_dedup, oracle, secret_scan, source_mix, substring_dedup
+from tidemark.llm import byte_bpe, imatch, line_rules, minhash_dedup, oracle, secret_scan, source_mix, substring_dedup
 from tidemark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB statements by query name, where SQL can express the query.
-ORACLE: dict[str, str] = {"op4_line_rules": oracle.OP4, "op9_source_mix": oracle.OP9}
+ORACLE: dict[str, str] = {"op1_imatch": oracle.OP1, "op4_line_rules": oracle.OP4, "op9_source_mix": oracle.OP9}
 
 
 def query(build):
@@ -74,3 +74,8 @@ def op8_byte_bpe(spark, sf_dir):
 def op9_source_mix(spark, sf_dir):
     mixed = source_mix.mix_sources(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op1_imatch(spark, sf_dir):
+    return imatch.fingerprints(documents(spark, sf_dir))

@@ -18,7 +18,7 @@ from tidemark.llm.common import saved
 #: Band of ln(documents / documents with the term): in 37 % of the documents at most, in 0.25 % at least.
 MIN_IDF, MAX_IDF = 1.0, 6.0
 #: A term is in a subset when the first four hexadecimal digits of its keyed hash are below the limit.
-SUBSETS = tuple(limit for limit in ("4000", "2000", "1000", "0800", "0400", "0200") for _ in range(4))
+SUBSETS = tuple(limit for limit in ("1000", "0800", "0400", "0200", "0100", "0080") for _ in range(4))
 #: The lexicon is broadcast up to this many terms, some tens of megabytes. It has at most (distinct terms of a
 #: mean document) * exp(MAX_IDF) terms, whatever the number of documents. Beyond the limit it is joined by shuffling.
 BROADCAST_TERMS = 500_000

@@ -71,7 +71,7 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM counted
 """
 
-_LIMITS = [limit for limit in ("4000", "2000", "1000", "0800", "0400", "0200") for _ in range(4)]
+_LIMITS = [limit for limit in ("1000", "0800", "0400", "0200", "0100", "0080") for _ in range(4)]
 _SUBSET_HASHES = " || '-' || ".join(
     f"coalesce(substr(md5(string_agg(term, ' ' ORDER BY term) FILTER (substr(md5('{k}:' || term), 1, 4) < '{limit}')), 1, 8), '')"
     for k, limit in enumerate(_LIMITS)

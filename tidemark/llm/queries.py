@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, imatch, line_rules, minhash_dedup, oracle, secret_scan, source_mix, substring_dedup
+from tidemark.llm import (
+    byte_bpe, html_extract, imatch, line_rules, masked_lm, minhash_dedup, oracle, secret_scan, source_mix, substring_dedup,
+    training_order,
+)
 from tidemark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +82,21 @@ def op9_source_mix(spark, sf_dir):
 @query
 def op1_imatch(spark, sf_dir):
     return imatch.fingerprints(documents(spark, sf_dir))
+
+
+@query
+def op2_masked_lm(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return masked_lm.score(docs, masked_lm.fit(docs))
+
+
+@query
+def op3_page_text(spark, sf_dir):
+    found = html_extract.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.selectExpr("page_id", "url", "text", "cast(char_length(text) AS bigint) AS n_chars")
+
+
+@query
+def op5_training_order(spark, sf_dir):
+    vocabulary, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return training_order.training_order(documents(spark, sf_dir), vocabulary=vocabulary, pattern=pattern)

@@ -9,7 +9,7 @@ spans, which the allow-list may suppress. Rows are scanned one by one; nothing i
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Sequence
 from dataclasses import dataclass
 from math import log2
 
@@ -134,22 +134,25 @@ def redacted(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        spans = [secret_spans(t) for t in batch["_text"]]
-        batch["redacted"] = [redacted(t, s) for t, s in zip(batch.pop("_text"), spans)]
-        batch["spans"] = [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans]
-        yield batch
+_FOUND = "redacted string, spans array<struct<kind: string, start: int, end: int>>"
 
 
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, redacted (the text with its secrets replaced), spans.
+def _scan(texts: pd.Series) -> pd.DataFrame:
+    spans = [secret_spans(t) for t in texts]
+    return pd.DataFrame({
+        "redacted": [redacted(t, s) for t, s in zip(texts, spans)],
+        "spans": [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans],
+    })
+
+
+def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per row of ``docs``: ``id_col``, redacted (the text with its secrets replaced), spans, and the columns ``carry``.
 
     ``spans`` is an array of (kind, start, end) by start. Null and empty texts have none; a null text stays null.
-    Repeated rows and ids are scanned each by itself; other columns are not looked at.
+    Repeated rows and ids are scanned each by itself; other columns are not looked at. Of carried columns, those
+    named as one of the results are left out.
     """
-    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    id_type = dict(docs.dtypes)["_id"]
-    return docs.mapInPandas(
-        _scan, f"_id {id_type}, redacted string, spans array<struct<kind: string, start: int, end: int>>"
-    ).withColumnRenamed("_id", id_col)
+    scan = F.pandas_udf(_scan, _FOUND)
+    others = [F.col(f"`{c}`").alias(c) for c in carry if c not in (id_col, "redacted", "spans")]
+    found = docs.select(F.col(f"`{id_col}`").alias(id_col), *others, scan(F.col(f"`{text_col}`")).alias("_found"))
+    return found.select(*[c for c in found.columns if c != "_found"], "_found.redacted", "_found.spans")

@@ -121,4 +121,5 @@ def judge_lines(docs: DataFrame, *, text_col: str = "text", min_words: int = 50,
         "n_lines", "n_failed_lines", "left_chars", "clean_text", "kept",
     )
     others = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() != "judged"]
-    return judged.select(*others, F.struct(*fields).alias("judged"))
+    # A generator of one row: a later filter on the verdict stays above it, so nothing is computed twice.
+    return judged.select(*others, F.explode(F.array(F.struct(*fields))).alias("judged"))

@@ -30,8 +30,7 @@ DEPTH = 2
 _ROW_SEED = mix(np.arange(11, 11 + DEPTH, dtype=np.uint64))
 #: Cells of a sketch row for each anchor expected in it.
 CELLS_EACH = 16
-#: Sixteen bytes, compared as they are.
-_DIGEST = np.dtype("S16")
+_WORD, _CELL = np.dtype("<u8"), np.dtype("<u4")
 
 
 @dataclass(frozen=True)
@@ -86,7 +85,7 @@ class Windows:
         joined = memoryview(b" ".join(self.flat))
         low = (ends - np.fromiter(map(len, self.flat), np.int64, len(self.flat)) - 1)[at].tolist()
         high = (ends[at + self.size - 1] - 1).tolist()
-        return np.frombuffer(b"".join([xxhash.xxh3_128_digest(joined[a:b]) for a, b in zip(low, high)]), _DIGEST)
+        return _digests(b"".join([xxhash.xxh3_128_digest(joined[a:b]) for a, b in zip(low, high)]))
 
 
 def _sliding(x: np.ndarray, size: int, best) -> np.ndarray:
@@ -108,10 +107,36 @@ def _place(names: np.ndarray, row: int, layout: Layout) -> np.ndarray:
     return (block << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
 
 
+def _digests(content: bytes) -> np.ndarray:
+    """128-bit digests as rows of two numbers."""
+    return np.frombuffer(content, _WORD).reshape(-1, 2)
+
+
+def _classes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the class of each key, the first key of each class); classes are numbered in the order of the keys."""
+    if keys.ndim == 1:
+        _, first, of = np.unique(keys, return_index=True, return_inverse=True)
+        return of, first
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
+    of = np.empty(len(keys), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return of, order[new]
+
+
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys met once, and those met more often: two is all that matters."""
-    names, n = np.unique(keys, return_counts=True)
-    return names[n == 1], names[n > 1]
+    of, first = _classes(keys)
+    n = np.bincount(of, minlength=len(first))
+    return keys[first[n == 1]], keys[first[n > 1]]
+
+
+def _among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    of, first = _classes(np.concatenate([keys, some]))
+    met = np.zeros(len(first), bool)
+    met[of[len(keys) :]] = True
+    return met[of[: len(keys)]]
 
 
 def _messages(chunk: int, kind: int, layout: Layout, once: np.ndarray, more: np.ndarray, block_of) -> list[tuple]:
@@ -155,15 +180,20 @@ def _low(places: bytes) -> bytes:
 def _merged(group: pd.DataFrame) -> pd.DataFrame:
     """Sum a block over all chunks and answer each chunk with its keys that were met twice or more."""
     kind = group["kind"].iloc[0]
-    of = _DIGEST if kind == _EXACT else np.dtype(np.uint32)
-    once = [np.frombuffer(b, of) for b in group["once"]]
-    more = [np.frombuffer(b, of) for b in group["more"]]
-    repeated = np.unique(np.concatenate([*more, _counted(np.concatenate(once))[1]]))
+    read = _digests if kind == _EXACT else lambda content: np.frombuffer(content, _CELL)
+    once, more = [read(b) for b in group["once"]], [read(b) for b in group["more"]]
+    keys = np.concatenate([*once, *more])
+    of, first = _classes(keys)
+    met = np.ones(len(keys), np.int64)
+    met[sum(map(len, once)) :] = 2
+    repeated = (np.bincount(of, weights=met, minlength=len(first)) >= 2)[of]
+    ends = np.cumsum([len(a) for a in (*once, *more)])
+    parts = [k[r] for k, r in zip(np.split(keys, ends[:-1]), np.split(repeated, ends[:-1]))]
     answers = []
-    for chunk, a, b in zip(group["chunk"], once, more):
-        keys = np.concatenate([a[np.isin(a, repeated)], b])
-        if len(keys):
-            answers.append((chunk, kind, group["block"].iloc[0], keys.tobytes()))
+    for n, chunk in enumerate(group["chunk"]):
+        content = parts[n].tobytes() + parts[n + len(once)].tobytes()
+        if content:
+            answers.append((chunk, kind, group["block"].iloc[0], content))
     return pd.DataFrame(
         [(c, k, _named(b, keys) if k != _EXACT else keys) for c, k, b, keys in answers], columns=["chunk", "kind", "keys"]
     )
@@ -173,13 +203,14 @@ def _named(block: int, cells: bytes) -> bytes:
     return ((np.uint64(block) << np.uint64(32)) | np.frombuffer(cells, np.uint32).astype(np.uint64)).tobytes()
 
 
-def _keys(answers: pd.DataFrame, kind: int, of) -> np.ndarray:
-    return np.frombuffer(b"".join(answers.loc[answers["kind"] == kind, "keys"]), of)
+def _keys(answers: pd.DataFrame, kind: int) -> np.ndarray:
+    content = b"".join(answers.loc[answers["kind"] == kind, "keys"])
+    return _digests(content) if kind == _EXACT else np.frombuffer(content, _WORD)
 
 
 def _repeated(group: pd.DataFrame, answers: pd.DataFrame, size: int, layout: Layout) -> tuple[Windows, np.ndarray, np.ndarray]:
     windows = Windows(list(group["text"]), size)
-    at = windows.repeated([_keys(answers, row, np.uint64) for row in range(DEPTH)], layout)
+    at = windows.repeated([_keys(answers, row) for row in range(DEPTH)], layout)
     return windows, at, windows.digests(at)
 
 
@@ -190,7 +221,7 @@ def _exact_sender(size: int, layout: Layout):
         found = _counted(_repeated(group, answers, size, layout)[2])
 
         def block_of(digests: np.ndarray) -> np.ndarray:
-            return (np.ascontiguousarray(digests).view(">u4")[::4].astype(np.int64) * layout.blocks) >> 32
+            return (((digests[:, 0] >> np.uint64(32)) * np.uint64(layout.blocks)) >> np.uint64(32)).astype(np.int64)
 
         return _as_cells(_messages(group["chunk"].iloc[0], _EXACT, layout, *found, block_of))
 
@@ -202,7 +233,7 @@ def _remover(size: int, layout: Layout):
         if not len(group):
             return pd.DataFrame({"id": [], "n_words": [], "n_removed": [], "kept": []})
         windows, at, digests = _repeated(group, answers, size, layout)
-        at = at[np.isin(digests, _keys(answers, _EXACT, _DIGEST))]
+        at = at[_among(digests, _keys(answers, _EXACT))]
         edge = np.zeros(len(windows.flat) + size + 1, np.int64)
         np.add.at(edge, at, 1)
         np.add.at(edge, at + size, -1)

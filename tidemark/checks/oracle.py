@@ -134,6 +134,24 @@ _PARTS["ledger_now"] = """
            min(seq) AS started_seq, max(seq) AS updated_seq
     FROM ledger_feed GROUP BY transaction_id
 """
+_PARTS["decided_before"] = "SELECT transaction_id FROM ledger_now WHERE status <> 'FAILED'"
+_PARTS["replayed"] = """
+    SELECT transaction_id, customer_id, merchant_id, epoch_us(event_timestamp) // 1000 AS ms, epoch_us(event_timestamp) // 86400000000 AS day
+    FROM (SELECT transaction_id, customer_id, merchant_id, event_timestamp FROM tx_checked WHERE reject_reason IS NULL
+          UNION ALL SELECT transaction_id, customer_id, merchant_id, event_timestamp FROM tx_raw
+          WHERE transaction_id IN (SELECT transaction_id FROM decided_before)
+            AND transaction_id NOT IN (SELECT transaction_id FROM tx_checked WHERE reject_reason IS NULL AND transaction_id IS NOT NULL))
+"""
+_PARTS["batch_counts"] = """
+    SELECT c.transaction_id, c.requested_model, count(*) FILTER (p.ms >= r.ms - 86400000) AS n,
+           count(*) FILTER (p.merchant_id = r.merchant_id AND p.day > r.day - 30
+                            AND (p.ms < r.ms OR (p.ms = r.ms AND p.transaction_id < r.transaction_id))) AS visits
+    FROM tx_checked c JOIN replayed r ON r.transaction_id = c.transaction_id
+    JOIN replayed p ON p.customer_id = r.customer_id AND (p.ms < r.ms OR (p.ms = r.ms AND p.transaction_id <= r.transaction_id))
+    WHERE c.reject_reason IS NULL AND c.transaction_id NOT IN (SELECT transaction_id FROM decided_before)
+    GROUP BY 1, 2
+"""
+
 _PARTS["examples"] = """
     SELECT t.transaction_id, t.customer_id, t.merchant_id, t.event_timestamp, CAST(t.amount AS DOUBLE) AS transaction_amount,
            t.country AS transaction_country, t.merchant_category, l.is_fraud, l.label_timestamp, l.label_source, l.label_confidence
@@ -274,8 +292,9 @@ def statements() -> dict[str, str]:
             SELECT 'bootstrap-customer', 0, 0, 0.0, 0.0, 0.0, 0, 0, 0, 0.0, 0, 0, -1.0, -1.0, 0, 1, ''""",
         "upsert_latest_transactions": f"""SELECT {_TX_COLUMNS} FROM tx_dup
             QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY arrival_seq DESC) = 1""",
-        "upsert_latest_predictions": """SELECT transaction_id, model, model_version, round(1.0::DOUBLE - fraud_score, 9) AS fraud_score,
-            inference_timestamp, arrival_seq + 100000000 AS arrival_seq FROM predictions""",
+        "upsert_latest_predictions": """SELECT transaction_id, model, model_version, 
+            round(CASE WHEN fraud_score >= 0.5 THEN 1.0::DOUBLE - fraud_score ELSE fraud_score END, 9) AS fraud_score, inference_timestamp,
+            arrival_seq + CASE WHEN fraud_score >= 0.5 THEN 100000000 ELSE 0 END AS arrival_seq FROM predictions""",
         "latest_customer_features": f"SELECT customer_id, event_timestamp, {_FEATURES} FROM latest_customers",
         "latest_merchant_features": "SELECT merchant_id, event_timestamp, merchant_risk_score, merchant_category FROM latest_merchants",
         "decision_events": f"""SELECT transaction_id, concat('fraud_decision_event transaction_id=', transaction_id, ' customer_id=', customer_id,
@@ -297,15 +316,20 @@ def statements() -> dict[str, str]:
             CASE WHEN merchant_category = 'view' THEN 'own_feature_service' WHEN m = 'MODEL_A' THEN 'fraud_model_a_feature_service'
                  WHEN m = 'MODEL_B' THEN 'fraud_model_b_feature_service' END AS feature_service,
             CASE m WHEN 'MODEL_A' THEN 'demo-a-v1' WHEN 'MODEL_B' THEN 'demo-b-v1' END AS model_version,
-            CASE WHEN m = 'MODEL_X' THEN 'No mapping configured for MODEL_X' END AS reject_reason
-            FROM (SELECT *, CASE WHEN merchant_category = 'error' THEN 'MODEL_X' ELSE requested_model END AS m FROM tx_raw)""",
+            CASE WHEN m = 'MODEL_X' THEN 'No mapping configured for MODEL_X' WHEN m IS NULL THEN 'No mapping configured for no model'
+            END AS reject_reason
+            FROM (SELECT *, CASE merchant_category WHEN 'error' THEN 'MODEL_X' WHEN 'signup' THEN NULL ELSE requested_model END AS m FROM tx_raw)""",
         "transaction_payload": """SELECT transaction_id, customer_id, card_id, merchant_id, merchant_category, amount AS transaction_amount,
             currency, country AS transaction_country, event_timestamp AS timestamp, requested_model FROM tx_raw""",
         "rule_score": f"SELECT transaction_id, requested_model, amount, {_RULE} AS fraud_score FROM tx_raw",
-        "parse_prediction": """SELECT transaction_id, CAST(coalesce(json_extract_string(prediction, '$.predictions[0].fraud_score'),
-            json_extract_string(prediction, '$.predictions[0].score'), '0') AS DOUBLE) AS fraud_score FROM payloads""",
-        "flatten_feature_response": """SELECT transaction_id, json_extract_string(features, '$.results[0].values[0]') AS customer_id,
-            json_extract_string(features, '$.results[1].values[0]') AS merchant_risk_score, 2::BIGINT AS features FROM payloads""",
+        "parse_prediction": """SELECT transaction_id, CASE WHEN NOT ok OR text = 'abc' THEN NULL ELSE CAST(coalesce(text, '0') AS DOUBLE) END AS fraud_score,
+            CASE WHEN NOT ok THEN 'prediction is unreadable' WHEN text = 'abc' THEN 'fraud score is unreadable' END AS reject_reason
+            FROM (SELECT transaction_id, json_valid(prediction) AS ok, CASE WHEN NOT json_valid(prediction) THEN NULL
+                  WHEN contains(prediction, '"fraud_score"') THEN json_extract_string(CASE WHEN json_valid(prediction) THEN prediction END, '$.predictions[0].fraud_score')
+                  ELSE json_extract_string(CASE WHEN json_valid(prediction) THEN prediction END, '$.predictions[0].score') END AS text FROM payloads)""",
+        "flatten_feature_response": """SELECT transaction_id, json_extract_string(features, '$.results[1].values[0]') AS customer_id,
+            json_extract_string(features, '$.results[2].values[0]') AS merchant_risk_score,
+            CASE WHEN contains(features, '"extra"') THEN 3::BIGINT ELSE 2::BIGINT END AS features FROM payloads""",
         "validate_inference": """SELECT transaction_id, CASE WHEN fraud_score = 0.5 THEN 'fraudScore is required'
             WHEN fraud_score = 0.25 THEN 'featuresUsed is required' END AS reject_reason FROM predictions""",
         "inference_metadata": """SELECT transaction_id, CASE WHEN country = 'SE' THEN 'SE' WHEN requested_model = 'MODEL_A' THEN 'demo-a-v1'
@@ -327,9 +351,11 @@ def statements() -> dict[str, str]:
             WHERE transaction_id IN (SELECT transaction_id FROM tx_raw)""",
         "unknown_labels": """SELECT transaction_id, label_source, arrival_seq FROM labels_normal
             WHERE transaction_id NOT IN (SELECT transaction_id FROM tx_raw)""",
-        "label_history_new": """SELECT transaction_id, label_source, label_timestamp, is_fraud FROM labels_normal n
-            WHERE NOT EXISTS (SELECT 1 FROM labels_normal h WHERE h.label_source = 'chargeback' AND h.transaction_id = n.transaction_id
-              AND h.label_timestamp = n.label_timestamp AND h.label_source = n.label_source)""",
+        "label_history_new": """SELECT transaction_id, label_source, label_timestamp, is_fraud
+            FROM (SELECT * FROM labels_normal UNION ALL SELECT * REPLACE (1 - is_fraud AS is_fraud, arrival_seq + 1000000000 AS arrival_seq) FROM labels_normal) n
+            WHERE NOT EXISTS (SELECT 1 FROM labels_normal h WHERE h.label_source = 'chargeback' AND h.is_fraud = 0 AND h.transaction_id = n.transaction_id
+              AND h.label_timestamp = n.label_timestamp AND h.label_source = n.label_source)
+            QUALIFY row_number() OVER (PARTITION BY transaction_id, label_timestamp, label_source ORDER BY arrival_seq) = 1""",
         "insert_if_absent": f"""SELECT {_TX_COLUMNS} FROM tx_dup
             WHERE transaction_id NOT IN (SELECT transaction_id FROM tx_raw WHERE merchant_category = 'view')
             QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY arrival_seq) = 1""",
@@ -392,12 +418,22 @@ def statements() -> dict[str, str]:
             (SELECT count(*) FROM drift_rows WHERE ({_SIDE}) = 'current') AS current_rows, 0.2::DOUBLE AS psi_threshold,
             coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (WHERE psi >= 0.2), '') AS drifted,
             {len(names)}::BIGINT AS features, count(*) FILTER (WHERE psi >= 0.2) > 0 AS retrain_recommended FROM psi""",
-        "score_batch": f"""SELECT transaction_id, customer_id, requested_model AS model,
-            CASE requested_model WHEN 'MODEL_A' THEN 'demo-a-v1' ELSE 'demo-b-v1' END AS model_version, fraud_score,
-            {_CASE_DECISION} AS decision, CASE requested_model WHEN 'MODEL_A' THEN 7::BIGINT ELSE 20::BIGINT END AS features_used,
-            event_timestamp AS inference_timestamp
-            FROM (SELECT c.*, {_RULE} AS fraud_score FROM tx_checked c LEFT JOIN ledger_now l ON l.transaction_id = c.transaction_id
-                  WHERE reject_reason IS NULL AND (l.status IS NULL OR l.status = 'FAILED'))""",
+        "score_batch": f"""SELECT transaction_id, requested_model AS model,
+            CASE requested_model WHEN 'MODEL_A' THEN 'demo-a-v1' WHEN 'MODEL_B' THEN 'demo-b-v1' END AS model_version,
+            fraud_score, {_CASE_DECISION} AS decision, n AS customer_transaction_count_24h, visits AS current_merchant_visit_count_30d,
+            CASE requested_model WHEN 'MODEL_A' THEN 7::BIGINT ELSE 20::BIGINT END AS features_used, NULL::VARCHAR AS reject_reason
+            FROM (SELECT *, round(least(0.3::DOUBLE * n + CASE requested_model WHEN 'MODEL_B' THEN 0.1::DOUBLE * visits ELSE 0 END, 1.0::DOUBLE), 9)
+                  AS fraud_score FROM batch_counts)
+            UNION ALL SELECT transaction_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, reject_reason FROM tx_checked WHERE reject_reason IS NOT NULL
+            UNION ALL SELECT transaction_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'transaction is already processed'
+            FROM tx_checked WHERE reject_reason IS NULL AND transaction_id IN (SELECT transaction_id FROM decided_before)""",
+        "score_batch_ledger": """SELECT transaction_id, m AS model, CASE WHEN error IS NULL THEN 'DECISION_PUBLISHED' ELSE 'FAILED' END AS status,
+            error AS error_message, CASE WHEN error IS NOT NULL THEN NULL WHEN m = 'MODEL_B' OR merchant_category = 'view' THEN 20::BIGINT
+            ELSE 7::BIGINT END AS features_used
+            FROM (SELECT *, CASE WHEN m = 'MODEL_X' THEN 'No mapping configured for MODEL_X'
+                         WHEN merchant_category = 'click' THEN 'No features known for nothing' END AS error
+                  FROM (SELECT *, CASE merchant_category WHEN 'error' THEN 'MODEL_X' WHEN 'signup' THEN 'MODEL_A' ELSE requested_model END AS m
+                        FROM tx_checked WHERE reject_reason IS NULL))""",
         "recent_transactions": """SELECT transaction_id, customer_id, event_timestamp FROM tx_raw
             ORDER BY event_timestamp DESC, transaction_id LIMIT 10""",
     }

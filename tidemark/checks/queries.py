@@ -87,7 +87,7 @@ def upsert_latest_transactions(spark, sf_dir):
 @query
 def upsert_latest_predictions(spark, sf_dir):
     log = view(spark, sf_dir, "predictions")
-    again = log.selectExpr(
+    again = log.where("fraud_score >= 0.5").selectExpr(
         "transaction_id", "model", "model_version", "1.0D - fraud_score AS fraud_score", "inference_timestamp",
         "arrival_seq + 100000000 AS arrival_seq",
     )
@@ -159,7 +159,7 @@ def classified_rows(spark, sf_dir):
 def resolve_model(spark, sf_dir):
     asked = _tx(spark, sf_dir).selectExpr(
         "transaction_id",
-        "if(merchant_category = 'error', 'MODEL_X', requested_model) AS requested_model",
+        "CASE merchant_category WHEN 'error' THEN 'MODEL_X' WHEN 'signup' THEN null ELSE requested_model END AS requested_model",
         "if(merchant_category = 'view', 'own_feature_service', ' ') AS feature_service",
     )
     return scoring.resolve_model(asked)
@@ -178,7 +178,7 @@ def rule_score(spark, sf_dir):
 
 @query
 def parse_prediction(spark, sf_dir):
-    return scoring.parse_prediction(view(spark, sf_dir, "payloads")).select("transaction_id", "fraud_score")
+    return scoring.parse_prediction(view(spark, sf_dir, "payloads")).select("transaction_id", "fraud_score", "reject_reason")
 
 
 @query
@@ -274,8 +274,9 @@ def unknown_labels(spark, sf_dir):
 @query
 def label_history_new(spark, sf_dir):
     labels = clean.normalize_labels(view(spark, sf_dir, "label_feed"), AS_OF)
-    history = labels.where("label_source = 'chargeback'")
-    return tables.append_if_absent(labels, history).select("transaction_id", "label_source", "label_timestamp", "is_fraud")
+    history = labels.where("label_source = 'chargeback' AND is_fraud = 0")
+    again = labels.withColumns({"is_fraud": F.expr("1 - is_fraud"), "arrival_seq": F.expr("arrival_seq + 1000000000")})
+    return tables.append_if_absent(labels.unionByName(again), history).select("transaction_id", "label_source", "label_timestamp", "is_fraud")
 
 
 @query
@@ -564,17 +565,39 @@ def evaluate_deployed(spark, sf_dir):
 
 @query
 def score_batch(spark, sf_dir):
-    """The whole pipeline on dirty, partly processed transactions with the rule score."""
+    """The whole pipeline on dirty transactions, those already processed being the stored history.
 
-    def scorer(model: str, inputs: DataFrame) -> DataFrame:
-        named = inputs.withColumns({"requested_model": F.lit(model), "amount": F.col("transaction_amount")})
-        return scoring.rule_score(named, amount=REVIEW_AMOUNT)
+    The score needs a count of the last day and the visits to the merchant; every input row comes back once.
+    """
 
-    batch = serving.score_batch(view(spark, sf_dir, "tx_dirty"), scorer, _ledger(spark, sf_dir))
-    return batch.decisions.selectExpr(
-        "transaction_id", "customer_id", "model", "model_version", "fraud_score", "decision",
-        "cast(size(features_used) AS bigint) AS features_used", "inference_timestamp",
+    def scorer(model: str, inputs: DataFrame) -> DataFrame:
+        visits = "current_merchant_visit_count_30d" if "current_merchant_visit_count_30d" in inputs.columns else "0"
+        return inputs.selectExpr("*", f"least(0.3D * customer_transaction_count_24h + 0.1D * {visits}, 1.0D) AS fraud_score")
+
+    states = _ledger(spark, sf_dir)
+    done = states.where("status <> 'FAILED'").select("transaction_id")
+    history = _tx(spark, sf_dir).join(done, "transaction_id", "left_semi")
+    batch = serving.score_batch(view(spark, sf_dir, "tx_dirty"), scorer, states, history)
+    shown = ["customer_transaction_count_24h", "current_merchant_visit_count_30d"]
+    decided = batch.decisions.join(batch.features.select("transaction_id", *shown), "transaction_id").selectExpr(
+        "transaction_id", "model", "model_version", "round(fraud_score, 9) AS fraud_score", "decision", *shown,
+        "cast(size(features_used) AS bigint) AS features_used", "cast(null AS string) AS reject_reason",
     )
+    return decided.unionByName(batch.rejected, allowMissingColumns=True)
+
+
+@query
+def score_batch_ledger(spark, sf_dir):
+    """States after scoring; a batch without history, in which unknown models and services fail."""
+    asked = view(spark, sf_dir, "tx_dirty").selectExpr(
+        "* EXCEPT (requested_model)",
+        "CASE merchant_category WHEN 'ERROR' THEN 'MODEL_X' WHEN 'SIGNUP' THEN null ELSE requested_model END AS requested_model",
+        "if(merchant_category = 'VIEW', 'fraud_model_b_feature_service', if(merchant_category = 'CLICK', 'nothing', '')) AS feature_service",
+    )
+    batch = serving.score_batch(asked, lambda model, inputs: inputs.selectExpr("*", "0.7D AS fraud_score"))
+    folded = ledger.fold_ledger(batch.ledger_events)
+    used = batch.decisions.selectExpr("transaction_id", "cast(size(features_used) AS bigint) AS features_used")
+    return folded.select("transaction_id", "model", "status", "error_message").join(used, "transaction_id", "left")
 
 
 @query

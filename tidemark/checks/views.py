@@ -44,16 +44,16 @@ VIEWS = {
     """,
     "label_feed": """
         SELECT concat('tx-', l.doc_id * 10) AS transaction_id, l.toxic AS is_fraud,
-               e.ts + (l.doc_id % 23 - 2) * INTERVAL '1' DAY AS label_timestamp,
+               coalesce(e.ts, TIMESTAMP '2024-01-15 00:00:00') + (l.doc_id % 23 - 2) * INTERVAL '1' DAY AS label_timestamp,
                'Chargeback' AS label_source, cast(1.0 AS double) AS label_confidence, l.doc_id AS arrival_seq
-        FROM {labels} l JOIN {events} e ON e.event_id = l.doc_id * 10
+        FROM {labels} l LEFT JOIN {events} e ON e.event_id = l.doc_id * 10
         UNION ALL
-        SELECT concat('tx-', l.doc_id * 10), 1 - l.toxic, e.ts + INTERVAL '1' DAY, ' Review ', cast(0.8 AS double),
+        SELECT concat('tx-', l.doc_id * 10), 1 - l.toxic, coalesce(e.ts, TIMESTAMP '2024-01-15 00:00:00') + INTERVAL '1' DAY, ' Review ', cast(0.8 AS double),
                l.doc_id + 100000000
-        FROM {labels} l JOIN {events} e ON e.event_id = l.doc_id * 10 WHERE l.quality = 0
+        FROM {labels} l LEFT JOIN {events} e ON e.event_id = l.doc_id * 10 WHERE l.quality = 0
         UNION ALL
         SELECT concat('tx-missing-', l.doc_id), l.toxic, e.ts, 'dispute', cast(1.2 AS double), l.doc_id + 200000000
-        FROM {labels} l JOIN {events} e ON e.event_id = l.doc_id * 10 WHERE l.toxic = 1
+        FROM {labels} l LEFT JOIN {events} e ON e.event_id = l.doc_id * 10 WHERE l.toxic = 1
     """,
     "ledger_feed": """
         SELECT transaction_id, requested_model AS model, 'STARTED' AS status, cast(NULL AS string) AS error_message,
@@ -70,10 +70,14 @@ VIEWS = {
     """,
     "payloads": """
         SELECT transaction_id,
+               CASE WHEN arrival_seq % 11 = 0 THEN 'not json' WHEN arrival_seq % 13 = 0 THEN '{{"predictions": [{{"fraud_score": "abc"}}]}}'
+                    WHEN arrival_seq % 17 = 0 THEN '{{"predictions": [{{"fraud_score": null, "score": 7}}]}}'
+                    WHEN arrival_seq % 19 = 0 THEN '{{"predictions": []}}' ELSE
                concat('{{"predictions": [{{"', CASE WHEN arrival_seq % 2 = 0 THEN 'fraud_score' ELSE 'score' END, '": ',
                       CASE WHEN arrival_seq % 7 = 0 THEN concat('"', cast(arrival_seq % 100 AS string), '"')
-                           ELSE cast(arrival_seq % 100 AS string) END, '}}]}}') AS prediction,
-               concat('{{"metadata": {{"feature_names": ["customer_id", "merchant_risk_score"]}}, "results": [{{"values": ["', customer_id,
+                           ELSE cast(arrival_seq % 100 AS string) END, '}}]}}') END AS prediction,
+               concat('{{"metadata": {{"feature_names": [', CASE WHEN arrival_seq % 3 = 0 THEN '"merchant_risk_score"' WHEN arrival_seq % 3 = 1 THEN 'null'
+                      ELSE '"extra"' END, ', "customer_id", "merchant_risk_score"]}}, "results": [{{"values": ["first"]}}, {{"values": ["', customer_id,
                       '"]}}, {{"values": [', CASE WHEN arrival_seq % 5 = 0 THEN '' ELSE cast(arrival_seq % 10 AS string) END, ']}}]}}') AS features
         FROM {tx_raw}
     """,

@@ -18,6 +18,9 @@ WINDOW_1H = HOUR_MS
 WINDOW_24H = DAY_MS
 WINDOW_7D = 7 * DAY_MS
 
+# Places of one millisecond in the order of a customer.
+_PLACES = 10**12
+
 # A range frame is re-read for every row. Beyond this many rows per customer running sums,
 # whose cost does not depend on the window, are cheaper.
 FRAME_ROWS = 2_000
@@ -68,14 +71,15 @@ def _by_frames(rows: DataFrame) -> DataFrame:
     """One range frame per window, all on the same sort.
 
     The order key is the millisecond with the position inside it, so that a frame ends at the
-    current transaction and not at its last neighbour of the same millisecond.
+    current transaction and not at its last neighbour of the same millisecond. As a decimal it holds any
+    timestamp, and more rows of one millisecond than a task can hold.
     """
     peers = "row_number() OVER (PARTITION BY customer_id, _ms ORDER BY transaction_id)"
-    rows = by_key(rows, "customer_id").selectExpr("*", f"shiftleft(_ms, 20) + {peers} AS _at")
+    rows = by_key(rows, "customer_id").selectExpr("*", f"cast(_ms AS decimal(19, 0)) * {_PLACES}BD + {peers} AS _at")
 
     def over(width_ms: int) -> str:
-        reach = (width_ms << 20) + (1 << 19)
-        return f"OVER (PARTITION BY customer_id ORDER BY _at RANGE BETWEEN {reach}L PRECEDING AND CURRENT ROW)"
+        reach = width_ms * _PLACES + _PLACES // 2
+        return f"OVER (PARTITION BY customer_id ORDER BY _at RANGE BETWEEN {reach}BD PRECEDING AND CURRENT ROW)"
 
     hour, day, week = over(WINDOW_1H), over(WINDOW_24H), over(WINDOW_7D)
     return rows.selectExpr(

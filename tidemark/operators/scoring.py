@@ -29,7 +29,7 @@ def resolve_model(transactions: DataFrame, catalog: dict | None = None) -> DataF
         *kept,
         f"{service} AS feature_service",
         f"{pick('model_version')} AS model_version",
-        f"if({pick('model_version')} IS NULL, concat('No mapping configured for ', requested_model), null) AS reject_reason",
+        f"if({pick('model_version')} IS NULL, concat('No mapping configured for ', coalesce(requested_model, 'no model')), null) AS reject_reason",
     )
 
 
@@ -119,6 +119,38 @@ def rule_score(
     )
 
 
+def decide_per_model(rows: DataFrame, scorer, catalog: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(decisions, rejected) of transactions that carry one struct column per feature view.
+
+    A ``feature_service`` on the row is used where it is a known one. ``rejected`` has transaction_id, model and
+    reject_reason: unknown models, unknown services and inputs in which something is missing.
+    """
+    catalog = CATALOG if catalog is None else catalog
+    resolved = resolve_model(rows, catalog)
+    services = ", ".join(f"'{s}'" for s in SERVICES)
+    reason = (
+        "coalesce(reject_reason, if(feature_service IN ({0}), null, concat('No features known for ', feature_service)))".format(services)
+    )
+    unknown = resolved.selectExpr("transaction_id", "requested_model AS model", f"{reason} AS reject_reason")
+    rejected, decided = unknown.where("reject_reason IS NOT NULL"), None
+    for model, config in catalog.items():
+        for service in SERVICES if "feature_service" in rows.columns else [config["feature_service"]]:
+            mine = resolved.where(F.expr(f"requested_model = '{model}' AND feature_service = '{service}'"))
+            inputs = model_input(mine.drop("reject_reason"), service)
+            used = ", ".join(f"'{c}'" for c in inputs.columns if c not in ("transaction_id", "reject_reason"))
+            scored = decide(scorer(model, inputs.where("reject_reason IS NULL"))).selectExpr(
+                "transaction_id", f"'{model}' AS model", f"'{config['model_version']}' AS model_version", "fraud_score",
+                "decision", f"array({used}) AS features_used",
+            )
+            part = scored.join(
+                mine.selectExpr("transaction_id", "customer_id", "event_timestamp AS inference_timestamp"), "transaction_id"
+            )
+            decided = part if decided is None else decided.unionByName(part)
+            missing = inputs.where("reject_reason IS NOT NULL")
+            rejected = rejected.unionByName(missing.selectExpr("transaction_id", f"'{model}' AS model", "reject_reason"))
+    return decided, rejected
+
+
 def decide(scored: DataFrame) -> DataFrame:
     return scored.selectExpr("*", f"{decision_from_score('fraud_score')} AS decision")
 
@@ -153,24 +185,38 @@ def with_metadata(results: DataFrame) -> DataFrame:
 
 
 def parse_prediction(payloads: DataFrame, column: str = "prediction") -> DataFrame:
-    """``fraud_score`` from a prediction document: first prediction, ``fraud_score`` or else ``score``, or else 0."""
-    parsed = f"from_json({column}, 'predictions array<struct<fraud_score: string, score: string>>').predictions"
-    return payloads.selectExpr("*", f"try_element_at({parsed}, 1) AS _first").selectExpr(
+    """``fraud_score`` of the first prediction of a document, and ``reject_reason``.
+
+    The score stands under ``fraud_score``, or under ``score`` when there is no such field. Only an absent or null
+    score, or no prediction at all, counts as 0; a document or a score that can't be read gives null and a reason.
+    """
+    parsed = f"from_json({column}, 'predictions array<map<string, string>>')"
+    score = "_first[if(coalesce(map_contains_key(_first, 'fraud_score'), false), 'fraud_score', 'score')]"
+    return payloads.selectExpr(
+        "*", f"{parsed} AS _doc", f"get_json_object({column}, '$') IS NULL AS _broken"
+    ).selectExpr("*", "try_element_at(_doc.predictions, 1) AS _first").selectExpr("*", f"{score} AS _text").selectExpr(
         *payloads.columns,
-        "coalesce(try_cast(nullif(trim(coalesce(_first.fraud_score, _first.score)), '') AS double), 0.0D) AS fraud_score",
+        "if(_broken, null, if(_text IS NULL, 0.0D, try_cast(trim(_text) AS double))) AS fraud_score",
+        "CASE WHEN _broken THEN 'prediction is unreadable' "
+        "WHEN _text IS NOT NULL AND try_cast(trim(_text) AS double) IS NULL THEN 'fraud score is unreadable' END AS reject_reason",
     )
 
 
 def flatten_feature_response(payloads: DataFrame, column: str = "features") -> DataFrame:
-    """Parallel name and value lists of a feature document as one map from name to first value."""
+    """Parallel name and value lists of a feature document as one map from name to first value.
+
+    Of a repeated name the last entry counts; entries without a name are left out.
+    """
     schema = "metadata struct<feature_names: array<string>>, results array<struct<values: array<string>>>"
+    zipped = "slice(arrays_zip(_doc.metadata.feature_names, _doc.results), 1, greatest(_known, 0))"
     return payloads.selectExpr("*", f"from_json({column}, '{schema}') AS _doc").selectExpr(
         *payloads.columns,
         "least(coalesce(size(_doc.metadata.feature_names), 0), coalesce(size(_doc.results), 0)) AS _known",
         "_doc",
-    ).selectExpr(
+    ).selectExpr(*payloads.columns, f"{zipped} AS _entries").selectExpr(
         *payloads.columns,
-        "map_from_entries(transform(slice(arrays_zip(_doc.metadata.feature_names, _doc.results), 1, greatest(_known, 0)), "
+        "map_from_entries(transform(filter(_entries, (p, i) -> p.feature_names IS NOT NULL AND NOT coalesce(array_contains("
+        "slice(_entries.feature_names, i + 2, size(_entries)), p.feature_names), false)), "
         "p -> struct(p.feature_names, try_element_at(p.results.values, 1)))) AS feature_map",
     )
 

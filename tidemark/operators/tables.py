@@ -39,13 +39,10 @@ def dedupe_transactions(transactions: DataFrame, order_by: str = "arrival_seq")
     return _first_per_key(transactions, ["transaction_id"], order_by)
 
 
-def append_if_absent(new: DataFrame, history: DataFrame) -> DataFrame:
-    """History rows not recorded yet under the same transaction, time and source."""
-    return new.join(
-        history.select("transaction_id", "label_timestamp", "label_source"),
-        ["transaction_id", "label_timestamp", "label_source"],
-        "left_anti",
-    ).select(*new.columns)
+def append_if_absent(new: DataFrame, history: DataFrame, order_by: str = "arrival_seq") -> DataFrame:
+    """History rows not recorded yet under the same transaction, time and source; of several new ones the first arrival."""
+    keys = ["transaction_id", "label_timestamp", "label_source"]
+    return insert_if_absent(new, history, keys, order_by).select(*new.columns)
 
 
 def latest_features(

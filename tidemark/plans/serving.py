@@ -5,66 +5,122 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import truncate_error
 from tidemark.operators.clean import validate_transactions
-from tidemark.operators.feature_rows import customer_feature_rows, merchant_feature_rows
+from tidemark.operators.feature_rows import REPLAY_COLUMNS, merchant_feature_rows, transaction_features
 from tidemark.operators.ledger import admit
-from tidemark.operators.scoring import decide, enrich, resolve_model
-from tidemark.operators.tables import dedupe_transactions, latest_features
-from tidemark.schemas import CATALOG, HOME_COUNTRY, VISIT_WINDOW_DAYS
-from tidemark.session import cut_lineage
+from tidemark.operators.scoring import decide_per_model, resolve_model
+from tidemark.operators.tables import dedupe_transactions, upsert_latest
+from tidemark.schemas import CATALOG, CUSTOMER_FEATURES, HOME_COUNTRY, MERCHANT_RISK, VISIT_WINDOW_DAYS
+from tidemark.session import cut_lineage, new_folder
+
+REPEATED = "transaction is repeated in the batch"
+PROCESSED = "transaction is already processed"
 
 
 @dataclass
 class ScoredBatch:
+    """``decisions`` and ``rejected`` together hold every input row once."""
+
     accepted: DataFrame
     rejected: DataFrame
+    features: DataFrame
     customer_rows: DataFrame
     merchant_rows: DataFrame
     decisions: DataFrame
+    ledger_events: DataFrame
 
 
 def score_batch(
     raw: DataFrame,
     scorer,
     ledger: DataFrame | None = None,
+    history: DataFrame | None = None,
     home=HOME_COUNTRY,
     window_days: int = VISIT_WINDOW_DAYS,
     catalog: dict | None = None,
+    order_by: str = "arrival_seq",
 ) -> ScoredBatch:
     """Validate, deduplicate, admit, compute features, enrich per model, score and decide.
 
-    ``scorer(model, inputs)`` adds ``fraud_score`` to the model input rows of one model.
+    Every transaction is scored with its own feature row: windows end at the transaction and reach
+    back over ``history``, the stored transactions, and over all valid rows of the batch, those
+    already processed included. ``scorer(model, inputs)`` adds ``fraud_score`` to the model input rows of one
+    model. ``rejected`` has transaction_id and reject_reason; ``ledger_events`` the states that admitted rows go through.
     """
     catalog = CATALOG if catalog is None else catalog
-    valid, rejected = validate_transactions(raw)
-    accepted = dedupe_transactions(valid)
-    if ledger is not None:
-        accepted, _ = admit(accepted, ledger)
-    # Transactions and feature rows are tables of their own; later steps read what was written.
-    accepted = cut_lineage(accepted)
-    customers = cut_lineage(customer_feature_rows(accepted, home, window_days))
-    merchants = merchant_feature_rows(accepted)
-    latest_customers = latest_features(customers, "customer_id")
-    latest_merchants = latest_features(merchants, "merchant_id")
-    resolved = resolve_model(accepted, catalog)
-    parts = []
-    for model, config in catalog.items():
-        mine = resolved.where(resolved.requested_model == model).drop("reject_reason")
-        inputs = enrich(mine, latest_customers, latest_merchants, config["feature_service"])
-        used = [c for c in inputs.columns if c not in ("transaction_id", "reject_reason")]
-        scored = decide(scorer(model, inputs.where("reject_reason IS NULL")))
-        names = ", ".join(f"'{c}'" for c in used)
-        parts.append(
-            scored.selectExpr(
-                "transaction_id", f"'{model}' AS model", f"'{config['model_version']}' AS model_version",
-                "fraud_score", "decision", f"array({names}) AS features_used",
-            )
-        )
-    decisions = parts[0]
-    for part in parts[1:]:
-        decisions = decisions.unionByName(part)
-    decisions = decisions.join(
-        accepted.selectExpr("transaction_id", "customer_id", "event_timestamp AS inference_timestamp"), "transaction_id"
+    valid, invalid = validate_transactions(raw)
+    accepted = dedupe_transactions(valid, order_by)
+    repeated = valid.join(accepted.select("transaction_id", order_by), ["transaction_id", order_by], "left_anti")
+    admitted, processed = (accepted, accepted.limit(0)) if ledger is None else admit(accepted, ledger)
+    # The admitted transactions and their feature rows are tables of their own; later steps read what was written.
+    admitted = cut_lineage(resolve_model(admitted, catalog))
+
+    replay = _with_history(accepted, admitted, history, window_days)
+    features = transaction_features(_stored(replay, "replay"), home, window_days).drop("merchant_id", "customer_id", "event_timestamp")
+    rows = admitted.join(features, "transaction_id")
+    rows = _stored(rows, "scored-features")
+    decided, failed = decide_per_model(with_views(rows), scorer, catalog)
+    decided, failed = cut_lineage(decided), cut_lineage(failed)
+
+    rejected = invalid.select("transaction_id", "reject_reason")
+    for part, reason in ((repeated, REPEATED), (processed, PROCESSED)):
+        rejected = rejected.unionByName(part.select("transaction_id", F.lit(reason).alias("reject_reason")))
+    customers = upsert_latest(rows, ["customer_id", "event_timestamp"], "transaction_id")
+    return ScoredBatch(
+        admitted,
+        rejected.unionByName(failed.select("transaction_id", "reject_reason")),
+        rows.select("transaction_id", *CUSTOMER_FEATURES),
+        customers.select("customer_id", "event_timestamp", *CUSTOMER_FEATURES),
+        merchant_feature_rows(admitted),
+        decided,
+        ledger_events(admitted, decided, failed),
+    )
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """Written as Parquet, so that later reads take only the columns they need."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _with_history(accepted: DataFrame, admitted: DataFrame, history: DataFrame | None, window_days: int) -> DataFrame:
+    """What the windows of the admitted transactions can see: the batch, and history of the same customers in reach."""
+    reach = max(window_days, 7) + 1
+    touched = admitted.groupBy("customer_id").agg(F.min("event_timestamp").alias("_oldest"))
+    batch = accepted.select(*REPLAY_COLUMNS)
+    if history is None:
+        return batch.join(touched.select("customer_id"), "customer_id", "left_semi")
+    older = history.select(*REPLAY_COLUMNS).join(
+        accepted.select("transaction_id"), "transaction_id", "left_anti"
+    )
+    near = batch.unionByName(older).join(touched, "customer_id")
+    return near.where(f"event_timestamp >= _oldest - INTERVAL '{reach}' DAY").select(*REPLAY_COLUMNS)
+
+
+def with_views(rows: DataFrame) -> DataFrame:
+    """Feature rows under the names models use, with one struct column per feature view."""
+    return rows.selectExpr(
+        "transaction_id", "customer_id", "merchant_id", "merchant_category", "requested_model", "event_timestamp",
+        *(["feature_service"] if "feature_service" in rows.columns else []),
+        "amount AS transaction_amount", "country AS transaction_country",
+        f"struct({', '.join(CUSTOMER_FEATURES)}) AS customer_transaction_stats_view",
+        f"struct(cast({MERCHANT_RISK} AS float) AS merchant_risk_score, merchant_category) AS merchant_risk_view",
+    )
+
+
+def ledger_events(admitted: DataFrame, decided: DataFrame, failed: DataFrame) -> DataFrame:
+    """States of admitted transactions in order of ``seq``: started, then recorded and published, or failed."""
+
+    def state(df: DataFrame, model: str, status: str, seq: int, error: str = "cast(null AS string)") -> DataFrame:
+        return df.selectExpr("transaction_id", f"{model} AS model", f"'{status}' AS status", f"{error} AS error_message", f"{seq}L AS seq")
+
+    return (
+        state(admitted, "requested_model", "STARTED", 0)
+        .unionByName(state(decided, "model", "PREDICTION_RECORDED", 1))
+        .unionByName(state(decided, "model", "DECISION_PUBLISHED", 2))
+        .unionByName(state(failed, "model", "FAILED", 1, truncate_error("reject_reason")))
     )
-    return ScoredBatch(accepted, rejected, customers, merchants, decisions)

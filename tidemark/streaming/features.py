@@ -18,9 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.functions.scalars import DAY_MS, HOUR_MS, epoch_ms, is_cross_border, to_cents
+from tidemark.functions.scalars import DAY_MS, HOUR_MS, epoch_ms, is_cross_border, text_or_null, to_cents
 from tidemark.operators.visits import check_window
-from tidemark.schemas import CUSTOMER_FEATURES, HOME_COUNTRY, TRANSACTION, VISIT_WINDOW_DAYS
+from tidemark.schemas import CUSTOMER_FEATURES, DEFAULT_MODEL, HOME_COUNTRY, TRANSACTION, VISIT_WINDOW_DAYS
 
 # How long state outlives its last write.
 STATS_TTL = timedelta(days=8)
@@ -63,7 +63,8 @@ def stream_features(
     time limit keeps Spark running batches for ever, so an ``availableNow`` run has to go without.
     """
     check_window(window_days)
-    model = "requested_model" if "requested_model" in stream.columns else "cast(null AS string) AS requested_model"
+    asked = "requested_model" if "requested_model" in stream.columns else "cast(null AS string)"
+    model = f"coalesce(upper({text_or_null(asked)}), '{DEFAULT_MODEL}') AS requested_model"
     rows = stream.selectExpr(
         "customer_id", "transaction_id", "merchant_id", "merchant_category", "cast(amount AS double) AS amount", "country", model,
         "cast(event_timestamp AS timestamp) AS event_timestamp",

@@ -13,8 +13,9 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tidemark.operators.clean import validate_labels
 from tidemark.operators.ledger import known_labels
-from tidemark.operators.scoring import decide, model_input
+from tidemark.operators.scoring import decide_per_model
 from tidemark.operators.tables import upsert_latest
+from tidemark.plans.serving import with_views
 from tidemark.schemas import CATALOG, CUSTOMER_FEATURES, MERCHANT_RISK
 from tidemark.sources.sinks import decision_events, label_events
 
@@ -74,13 +75,7 @@ def stream_score(
                 f"{root}/merchant_risk_features",
                 batch_id,
             )
-            rows = batch.selectExpr(
-                "transaction_id", "customer_id", "merchant_id", "merchant_category", "requested_model", "event_timestamp",
-                "amount AS transaction_amount", "country AS transaction_country",
-                f"struct({', '.join(CUSTOMER_FEATURES)}) AS customer_transaction_stats_view",
-                f"struct(cast({MERCHANT_RISK} AS float) AS merchant_risk_score, merchant_category) AS merchant_risk_view",
-            )
-            decided, rejected = _decide_per_model(rows, scorer, catalog)
+            decided, rejected = decide_per_model(with_views(batch), scorer, catalog)
             write_batch(decided.drop("customer_id"), f"{root}/fraud_prediction_logs", batch_id)
             write_batch(rejected, f"{root}/rejected", batch_id)
             write_batch(decision_events(decided), f"{root}/decision_events", batch_id)
@@ -90,28 +85,6 @@ def stream_score(
     return features.writeStream.foreachBatch(work)
 
 
-def _decide_per_model(rows: DataFrame, scorer, catalog: dict) -> tuple[DataFrame, DataFrame]:
-    known = ", ".join(f"'{model}'" for model in catalog)
-    rejected = rows.where(f"requested_model IS NULL OR requested_model NOT IN ({known})").selectExpr(
-        "transaction_id", "concat('No mapping configured for ', requested_model) AS reject_reason"
-    )
-    decided = None
-    for model, config in catalog.items():
-        mine = rows.where(rows.requested_model == model)
-        inputs = model_input(mine, config["feature_service"])
-        used = ", ".join(f"'{c}'" for c in inputs.columns if c not in ("transaction_id", "reject_reason"))
-        scored = decide(scorer(model, inputs.where("reject_reason IS NULL"))).selectExpr(
-            "transaction_id", f"'{model}' AS model", f"'{config['model_version']}' AS model_version", "fraud_score",
-            "decision", f"array({used}) AS features_used",
-        )
-        part = scored.join(
-            mine.selectExpr("transaction_id", "customer_id", "event_timestamp AS inference_timestamp"), "transaction_id"
-        )
-        decided = part if decided is None else decided.unionByName(part)
-        rejected = rejected.unionByName(inputs.where("reject_reason IS NOT NULL").select("transaction_id", "reject_reason"))
-    return decided, rejected
-
-
 def stream_labels(
     labels: DataFrame, root: str, transactions: Callable[[], DataFrame], now: str = "current_timestamp()", order_by: str = "arrival_seq"
 ) -> DataStreamWriter:

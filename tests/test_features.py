@@ -78,6 +78,15 @@ def test_features_equal_replay(spark, way, seed, window_days):
             assert row[name] == want[name], (way, row["transaction_id"], name)
 
 
+def test_a_far_future_date_is_no_obstacle(spark):
+    rows = make_rows(4, n=60)
+    rows[7]["ms"] = 253_000_000_000_000
+    frames, sums = [
+        {r["transaction_id"]: r for r in transaction_features(frame(spark, rows), **WAYS[way]).collect()} for way in ("frames", "running sums")
+    ]
+    assert frames == sums and frames["tx-00007"]["customer_transaction_count_24h"] == 1
+
+
 def test_equal_times_keep_the_last_transaction(spark):
     rows = make_rows(5, n=120)
     table = customer_feature_rows(frame(spark, rows)).collect()

@@ -143,6 +143,17 @@ def test_payloads(spark):
     assert not any(maps[1:])
 
 
+def test_unreadable_payloads_and_repeated_names(spark):
+    names = '{"metadata": {"feature_names": ["a", null, "a"]}, "results": [{"values": [1]}, {"values": [2]}, {"values": [3]}]}'
+    rows = [("no json", names), ('{"predictions": [{"fraud_score": "abc"}]}', "no json"), ('{"predictions": [{"fraud_score": null, "score": 1}]}', None), (None, "[]")]
+    df = spark.createDataFrame(rows, "prediction string, features string")
+    found = [(r.fraud_score, r.reject_reason) for r in scoring.parse_prediction(df).collect()]
+    unreadable = (None, "prediction is unreadable")
+    assert found == [unreadable, (None, "fraud score is unreadable"), (0.0, None), unreadable]
+    maps = [r.feature_map for r in scoring.flatten_feature_response(df).collect()]
+    assert maps[0] == {"a": "3"} and not any(maps[1:])
+
+
 def test_point_in_time_bounds_and_ties(spark):
     day = datetime(2024, 1, 10)
     features = spark.createDataFrame(

@@ -92,7 +92,7 @@ def test_stream_upsert_and_compaction(spark, sf_dir):
     tx = view(spark, sf_dir, "tx_dup")
     root, schema = write_parts(tx, "arrival_seq", 3)
     out, packed = folder(), folder()
-    run(stream_upsert(open_stream(spark, root, schema), out, ["transaction_id"], "arrival_seq"))
+    run(stream_upsert(open_stream(spark, root, schema), out, ["transaction_id"], "arrival_seq", writer="main"))
     compact(spark, out, packed, ["transaction_id"])
     for path in (out, packed):
         newest = read_upserted(spark, path, ["transaction_id"])
@@ -101,6 +101,26 @@ def test_stream_upsert_and_compaction(spark, sf_dir):
         assert newest.select("transaction_id", "arrival_seq").exceptAll(want).count() == 0
 
 
+def test_writers_and_compactions_leave_each_other_alone(spark):
+    out = folder()
+    for writer, value in (("one", 1), ("two", 2)):
+        root = folder()
+        spark.createDataFrame([(f"{writer}-{i}", value, i) for i in range(3)] + [("both", value, value)], "k string, v int, n int").write.mode("append").parquet(root)
+        run(stream_upsert(open_stream(spark, root, spark.read.parquet(root).schema), out, ["k"], "n", writer=writer))
+        compact(spark, out, out, ["k"], "n")
+    rows = {r["k"]: r["v"] for r in read_upserted(spark, out, ["k"], "n").collect()}
+    assert len(rows) == 7 and rows["both"] == 2
+
+
+def test_late_transactions_stay_in_the_deduplicated_stream(spark):
+    root, start = folder(), datetime(2024, 3, 1, tzinfo=timezone.utc)
+    for i, day in enumerate([0, 40, 1, 1]):
+        row = spark.createDataFrame([(f"tx-{min(i, 2)}", start + timedelta(days=day))], "transaction_id string, event_timestamp timestamp")
+        row.coalesce(1).write.mode("append").parquet(root)
+    got = to_parquet(stream_dedupe(open_stream(spark, root, spark.read.parquet(root).schema)))
+    assert sorted(r["transaction_id"] for r in got.collect()) == ["tx-0", "tx-1", "tx-2"]
+
+
 def test_stream_score_writes_every_table(spark, sf_dir):
     tx = view(spark, sf_dir, "tx_raw")
     root, schema = write_parts(tx, "arrival_seq", 2)
@@ -110,7 +130,7 @@ def test_stream_score_writes_every_table(spark, sf_dir):
         named = inputs.withColumns({"requested_model": F.lit(model), "amount": F.col("transaction_amount")})
         return rule_score(named, amount=100.0)
 
-    run(stream_score(stream_features(open_stream(spark, root, schema), expire=False), out, scorer))
+    run(stream_score(stream_features(open_stream(spark, root, schema), expire=False), out, scorer, writer="main"))
     log = spark.read.parquet(f"{out}/fraud_prediction_logs")
     assert log.count() == tx.count()
     assert {r["n"] for r in log.selectExpr("size(features_used) AS n").distinct().collect()} == {7, 20}
@@ -126,7 +146,7 @@ def test_stream_labels_equal_batch(spark, sf_dir):
     now = "TIMESTAMP_NTZ '2024-01-31 00:00:00'"
     root, schema = write_parts(feed, "arrival_seq", 3)
     out = folder()
-    run(stream_labels(open_stream(spark, root, schema), out, lambda: tx, now))
+    run(stream_labels(open_stream(spark, root, schema), out, lambda: tx, now, writer="main"))
     valid, invalid = validate_labels(feed, now)
     known, unknown = known_labels(valid, tx)
     current = read_upserted(spark, f"{out}/fraud_labels", ["transaction_id"], "arrival_seq")

@@ -169,7 +169,8 @@ _PARTS["scored_labels"] = """
     SELECT p.transaction_id, p.fraud_score, l.is_fraud FROM predictions p JOIN labels_now l ON l.transaction_id = p.transaction_id
 """
 _PARTS["entities"] = """
-    SELECT transaction_id, customer_id, merchant_id, event_timestamp + INTERVAL '12' HOUR AS event_timestamp FROM tx_raw
+    SELECT transaction_id, customer_id, merchant_id, event_timestamp
+        + CASE WHEN merchant_category = 'error' THEN INTERVAL '20' DAY ELSE INTERVAL '12' HOUR END AS event_timestamp FROM tx_raw
 """
 _PARTS["drift_rows"] = """
     SELECT c.*, m.merchant_risk_score FROM customer_rows c LEFT JOIN merchant_rows m ON m.event_timestamp = c.event_timestamp
@@ -376,8 +377,7 @@ def statements() -> dict[str, str]:
         "merchant_feature_rows": "SELECT * FROM merchant_rows",
         "training_examples": "SELECT * FROM examples",
         "pit_customer": f"""SELECT x.*, {_alive("f", ["customer_transaction_count_24h", "customer_total_amount_24h",
-            "top_visited_merchant_id_30d"], 8)} FROM entities x ASOF LEFT JOIN
-            (SELECT * FROM customer_rows WHERE event_timestamp < {_AS_OF} - INTERVAL 15 DAY) f
+            "top_visited_merchant_id_30d"], 8)} FROM entities x ASOF LEFT JOIN customer_rows f
             ON f.customer_id = x.customer_id AND x.event_timestamp >= f.event_timestamp""",
         "pit_merchant": f"""SELECT x.*, {_alive("f", ["merchant_risk_score", "merchant_category"], 7)} FROM entities x
             ASOF LEFT JOIN merchant_rows f ON f.merchant_id = x.merchant_id AND x.event_timestamp >= f.event_timestamp""",
@@ -434,6 +434,8 @@ def statements() -> dict[str, str]:
                          WHEN merchant_category = 'click' THEN 'No features known for nothing' END AS error
                   FROM (SELECT *, CASE merchant_category WHEN 'error' THEN 'MODEL_X' WHEN 'signup' THEN 'MODEL_A' ELSE requested_model END AS m
                         FROM tx_checked WHERE reject_reason IS NULL))""",
+        "stream_upsert_latest": f"""SELECT {_TX_COLUMNS} FROM tx_dup
+            QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY arrival_seq DESC) = 1""",
         "recent_transactions": """SELECT transaction_id, customer_id, event_timestamp FROM tx_raw
             ORDER BY event_timestamp DESC, transaction_id LIMIT 10""",
     }

@@ -16,6 +16,7 @@ from tidemark.schemas import CUSTOMER_FEATURES, VIEWS
 from tidemark.session import cut_lineage, new_folder, use_utc
 from tidemark.sources import readers, sinks
 from tidemark.streaming import features
+from tidemark.streaming import tables as streams
 from tidemark.streaming.features import stream_features
 
 AS_OF = "TIMESTAMP_NTZ '2024-01-31 00:00:00'"
@@ -377,19 +378,39 @@ def training_examples(spark, sf_dir):
     return joins.training_examples(_tx(spark, sf_dir), _labels(spark, sf_dir)).drop("annotator_id", "reason_code")
 
 
+def _as_stream(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` as a stream of their files."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
+@query
+def stream_upsert_latest(spark, sf_dir):
+    """Two writers of one table, each with a checkpoint of its own, and a compaction between them."""
+    table, keys = new_folder(spark, "stream-upsert"), ["transaction_id"]
+    copies = view(spark, sf_dir, "tx_dup")
+    for writer, part in (("again", "country = 'US'"), ("first", "country <> 'US'")):
+        stream = _as_stream(copies.where(part), "stream-upsert-in")
+        started = streams.stream_upsert(stream, table, keys, "arrival_seq", writer=writer)
+        started.option("checkpointLocation", new_folder(spark, "upsert-log")).trigger(availableNow=True).start().awaitTermination()
+        streams.compact(spark, table, table, keys, "arrival_seq")
+    return streams.read_upserted(spark, table, keys, "arrival_seq")
+
+
 def _entities(spark, sf_dir):
-    """Probes half a day after each event, so that the newest row is not always the event's own."""
+    """Probes half a day after each event, so that the newest row is not always the event's own; some so late that rows have expired."""
     return _tx(spark, sf_dir).selectExpr(
-        "transaction_id", "customer_id", "merchant_id", "event_timestamp + INTERVAL '12' HOUR AS event_timestamp"
+        "transaction_id", "customer_id", "merchant_id",
+        "event_timestamp + if(merchant_category = 'error', INTERVAL '20' DAY, INTERVAL '12' HOUR) AS event_timestamp",
     )
 
 
 @query
 def pit_customer(spark, sf_dir):
     customers = VIEWS["customer_transaction_stats_view"]
-    old = _stored_customer_rows(spark, sf_dir).where(f"event_timestamp < {AS_OF} - INTERVAL '15' DAY")
     columns = ["customer_transaction_count_24h", "customer_total_amount_24h", "top_visited_merchant_id_30d"]
-    return joins.join_view(_entities(spark, sf_dir), old, customers, columns)
+    return joins.join_view(_entities(spark, sf_dir), _stored_customer_rows(spark, sf_dir), customers, columns)
 
 
 @query

@@ -142,8 +142,48 @@ VIEWS = {
     ),
 }
 
-_BASIC = list(ROLLING_FEATURES)[:4]
-_FULL = list(CUSTOMER_FEATURES)
+# The features of each model, in the order of its inputs.
+_BASIC = [
+    "customer_transaction_count_1h",
+    "customer_transaction_count_24h",
+    "customer_total_amount_24h",
+    "customer_avg_amount_7d",
+]
+_FULL = [
+    "customer_transaction_count_1h",
+    "customer_transaction_count_24h",
+    "customer_total_amount_24h",
+    "customer_avg_amount_7d",
+    "customer_max_amount_7d",
+    "customer_distinct_merchants_24h",
+    "customer_cross_border_count_7d",
+    "current_merchant_visit_count_30d",
+    "current_merchant_visit_share_30d",
+    "current_merchant_rank_30d",
+    "is_current_merchant_top_visited_30d",
+    "days_since_first_seen_current_merchant",
+    "days_since_last_seen_current_merchant",
+    "customer_distinct_merchants_30d",
+    "is_new_merchant_for_customer",
+    "top_visited_merchant_id_30d",
+]
+_FULL_NUMERIC = [
+    "customer_transaction_count_1h",
+    "customer_transaction_count_24h",
+    "customer_total_amount_24h",
+    "customer_avg_amount_7d",
+    "customer_max_amount_7d",
+    "customer_distinct_merchants_24h",
+    "customer_cross_border_count_7d",
+    "current_merchant_visit_count_30d",
+    "current_merchant_visit_share_30d",
+    "current_merchant_rank_30d",
+    "is_current_merchant_top_visited_30d",
+    "days_since_first_seen_current_merchant",
+    "days_since_last_seen_current_merchant",
+    "customer_distinct_merchants_30d",
+    "is_new_merchant_for_customer",
+]
 
 
 def _refs(view: str, names: list[str]) -> list[str]:
@@ -168,7 +208,7 @@ CATALOG = {
         "model_version": "demo-b-v1",
         "feature_service": "fraud_model_b_feature_service",
         "feature_refs": SERVICES["fraud_model_b_feature_service"],
-        "numeric_columns": ["transaction_amount", *_FULL[:-1], "merchant_risk_score"],
+        "numeric_columns": ["transaction_amount", *_FULL_NUMERIC, "merchant_risk_score"],
         "categorical_columns": ["transaction_country", "merchant_category", "top_visited_merchant_id_30d"],
     },
 }
@@ -184,7 +224,19 @@ REQUIRED_TRANSACTION_FIELDS = [
     "transaction_country",
 ]
 
-DRIFT_FEATURES = [*_FULL[:9], "merchant_risk_score"]
+# The features that drift is measured on.
+DRIFT_FEATURES = [
+    "customer_transaction_count_1h",
+    "customer_transaction_count_24h",
+    "customer_total_amount_24h",
+    "customer_avg_amount_7d",
+    "customer_max_amount_7d",
+    "customer_distinct_merchants_24h",
+    "customer_cross_border_count_7d",
+    "current_merchant_visit_count_30d",
+    "current_merchant_visit_share_30d",
+    "merchant_risk_score",
+]
 
 DEFAULT_MODEL = "MODEL_A"
 HOME_COUNTRY = "SE"

@@ -16,6 +16,7 @@ from datetime import timedelta
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.scalars import DAY_MS, HOUR_MS, epoch_ms, is_cross_border, text_or_null, to_cents
@@ -43,11 +44,15 @@ def transaction_stream(spark: SparkSession, path: str, fmt: str = "json", schema
 
 
 def stream_dedupe(stream: DataFrame, keep: timedelta = STATS_TTL) -> DataFrame:
-    """First arrival per transaction id, remembered for ``keep`` of event time."""
+    """First arrival per transaction id, remembered for ``keep`` after it arrived.
+
+    The memory runs by the time of arrival, so a transaction is never dropped for being late.
+    """
     return (
-        stream.withColumn("event_timestamp", stream.event_timestamp.cast("timestamp"))
-        .withWatermark("event_timestamp", f"{int(keep.total_seconds())} seconds")
+        stream.withColumn("_arrived", F.current_timestamp())
+        .withWatermark("_arrived", f"{int(keep.total_seconds())} seconds")
         .dropDuplicatesWithinWatermark(["transaction_id"])
+        .drop("_arrived")
     )
 
 

@@ -1,14 +1,17 @@
 """Keyed tables fed by streams.
 
-Every micro-batch is written to a folder of its own number, replacing what a failed attempt left
-there, so a repeated batch changes nothing. Readers take the newest row per key.
+Every writer has a name of its own, given by the caller and kept over restarts. A micro-batch is written to the folder of
+its writer and number, replacing what a failed attempt left there, so a repeated batch changes nothing and
+writers never touch each other's rows. Readers take the row per key that arrived last.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidemark.operators.clean import validate_labels
@@ -20,29 +23,41 @@ from tidemark.schemas import CATALOG, CUSTOMER_FEATURES, MERCHANT_RISK
 from tidemark.sources.sinks import decision_events, label_events
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+def write_batch(df: DataFrame, path: str, writer: str, batch_id: int) -> None:
+    """Write one batch of a writer with the time of its arrival."""
+    stamped = df if "arrived_at" in df.columns else df.withColumn("arrived_at", F.current_timestamp())
+    stamped.write.mode("overwrite").parquet(f"{path.rstrip('/')}/writer={writer}/batch_id={batch_id}")
 
 
 def read_upserted(spark: SparkSession, path: str, keys: Sequence[str], order_by: str | None = None) -> DataFrame:
-    """Newest row per key over all batches; ``order_by`` decides inside a batch."""
-    rows = spark.read.parquet(path)
-    order = f"struct(batch_id, {order_by})" if order_by else "batch_id"
-    return upsert_latest(rows, keys, order).drop("batch_id")
+    """Newest row per key over all writers and batches.
+
+    ``order_by`` names the arrival order in the rows; without it the time of the write decides, then the batch.
+    """
+    order = f"struct({order_by}, arrived_at, batch_id)" if order_by else "struct(arrived_at, batch_id)"
+    return upsert_latest(spark.read.parquet(path), keys, order).drop("writer", "batch_id", "arrived_at")
 
 
-def stream_upsert(stream: DataFrame, path: str, keys: Sequence[str], order_by: str) -> DataStreamWriter:
+def stream_upsert(stream: DataFrame, path: str, keys: Sequence[str], order_by: str, *, writer: str) -> DataStreamWriter:
     """Write the last row per key of every micro-batch."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        write_batch(upsert_latest(batch, keys, order_by), path, batch_id)
+        write_batch(upsert_latest(batch, keys, order_by), path, writer, batch_id)
 
     return stream.writeStream.foreachBatch(save)
 
 
-def compact(spark: SparkSession, path: str, target: str, keys: Sequence[str], order_by: str | None = None) -> None:
-    """Write the current rows of a batch table to ``target`` as its batch 0."""
-    write_batch(read_upserted(spark, path, keys, order_by), target, 0)
+def compact(spark: SparkSession, path: str, target: str, keys: Sequence[str], order_by: str | None = None) -> str:
+    """Write the current rows of a table below ``target`` and return the name of the generation written.
+
+    Each compaction is a generation of its own, which no stream writes. Rows keep their time of arrival, so
+    streams may go on writing to ``target``, which may be ``path`` itself.
+    """
+    order = f"struct({order_by}, arrived_at, batch_id)" if order_by else "struct(arrived_at, batch_id)"
+    generation = f"compacted-{uuid.uuid4().hex}"
+    current = upsert_latest(spark.read.parquet(path), keys, order).drop("writer", "batch_id")
+    write_batch(current, target, generation, 0)
+    return generation
 
 
 def stream_score(
@@ -50,6 +65,8 @@ def stream_score(
     root: str,
     scorer: Callable[[str, DataFrame], DataFrame],
     catalog: dict | None = None,
+    *,
+    writer: str,
 ) -> DataStreamWriter:
     """Feature rows to feature tables, model inputs, scores, decisions, prediction log and events, in this order.
 
@@ -66,6 +83,7 @@ def stream_score(
                     "customer_id", "event_timestamp", *CUSTOMER_FEATURES
                 ),
                 f"{root}/customer_transaction_stats",
+                writer,
                 batch_id,
             )
             write_batch(
@@ -73,12 +91,13 @@ def stream_score(
                     "merchant_id", "event_timestamp", f"cast({MERCHANT_RISK} AS float) AS merchant_risk_score", "merchant_category"
                 ),
                 f"{root}/merchant_risk_features",
+                writer,
                 batch_id,
             )
             decided, rejected = decide_per_model(with_views(batch), scorer, catalog)
-            write_batch(decided.drop("customer_id"), f"{root}/fraud_prediction_logs", batch_id)
-            write_batch(rejected, f"{root}/rejected", batch_id)
-            write_batch(decision_events(decided), f"{root}/decision_events", batch_id)
+            write_batch(decided.drop("customer_id"), f"{root}/fraud_prediction_logs", writer, batch_id)
+            write_batch(rejected, f"{root}/rejected", writer, batch_id)
+            write_batch(decision_events(decided), f"{root}/decision_events", writer, batch_id)
         finally:
             batch.unpersist()
 
@@ -86,8 +105,9 @@ def stream_score(
 
 
 def stream_labels(
-    labels: DataFrame, root: str, transactions: Callable[[], DataFrame], now: str = "current_timestamp()", order_by: str = "arrival_seq"
-) -> DataStreamWriter:
+    labels: DataFrame, root: str, transactions: Callable[[], DataFrame], now: str = "current_timestamp()", order_by: str = "arrival_seq",
+    *, writer: str,
+) -> DataStreamWriter:
     """Label annotations to history, current labels and events; unknown transactions are rejected.
 
     ``transactions`` returns the transaction table as it is when a batch arrives.
@@ -99,14 +119,14 @@ def stream_labels(
         try:
             valid, invalid = validate_labels(batch, now)
             known, unknown = known_labels(valid, transactions())
-            write_batch(known, f"{root}/fraud_label_events", batch_id)
+            write_batch(known, f"{root}/fraud_label_events", writer, batch_id)
             current = upsert_latest(known, ["transaction_id"], order_by)
-            write_batch(current, f"{root}/fraud_labels", batch_id)
+            write_batch(current, f"{root}/fraud_labels", writer, batch_id)
             missing = unknown.selectExpr("transaction_id", "'transaction is unknown' AS reject_reason")
             write_batch(
-                invalid.select("transaction_id", "reject_reason").unionByName(missing), f"{root}/rejected_labels", batch_id
+                invalid.select("transaction_id", "reject_reason").unionByName(missing), f"{root}/rejected_labels", writer, batch_id
             )
-            write_batch(label_events(known), f"{root}/label_events", batch_id)
+            write_batch(label_events(known), f"{root}/label_events", writer, batch_id)
         finally:
             batch.unpersist()
 

@@ -89,16 +89,19 @@ def join_view(
     return point_in_time_join(entities, features, view.entity, view.ttl, columns, slice_rows=slice_rows)
 
 
-def labeled_predictions(predictions: DataFrame, labels: DataFrame, model: str, version: str) -> DataFrame:
-    """Predictions of one model version with the current labels, in order of inference."""
+def labeled(predictions: DataFrame, labels: DataFrame, model: str, version: str) -> DataFrame:
+    """Predictions of one model version with the current labels."""
     mine = predictions.where(predictions.model == model).where(predictions.model_version == version)
-    return (
-        mine.join(labels.select("transaction_id", "is_fraud"), "transaction_id")
-        .select("transaction_id", "fraud_score", "is_fraud", "inference_timestamp")
-        .orderBy("inference_timestamp", "transaction_id")
+    return mine.join(labels.select("transaction_id", "is_fraud"), "transaction_id").select(
+        "transaction_id", "fraud_score", "is_fraud", "inference_timestamp"
     )
 
 
+def labeled_predictions(predictions: DataFrame, labels: DataFrame, model: str, version: str) -> DataFrame:
+    """The same in order of inference."""
+    return labeled(predictions, labels, model, version).orderBy("inference_timestamp", "transaction_id")
+
+
 def drift_features(customer_rows: DataFrame, merchant_rows: DataFrame) -> DataFrame:
     """Customer rows with the risk of every merchant row of the same moment.
 

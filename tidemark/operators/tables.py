@@ -50,17 +50,12 @@ def latest_features(
 ) -> DataFrame:
     """Last feature row per entity, optionally as of a moment; newest event time wins.
 
-    ``max_by`` combines on the map side, so an entity with most of the rows is no burden.
+    Each task keeps one row per entity ahead of the shuffle, so an entity with most of the rows is no burden.
     """
     if as_of is not None:
         df = df.where(f"event_timestamp <= {as_of}")
-    others = [c for c in df.columns if c != entity]
-    order = ", ".join(c for c in order_by if c in df.columns)
-    return (
-        df.groupBy(entity)
-        .agg(F.expr(f"max_by(struct({', '.join(others)}), struct({order})) AS latest"))
-        .selectExpr(entity, "latest.*")
-    )
+    order = ", ".join(f"{c} DESC" for c in order_by if c in df.columns)
+    return _first_per_key(df, [entity], order).select(entity, *[c for c in df.columns if c != entity])
 
 
 def online_values(df: DataFrame, view: FeatureView) -> DataFrame:

@@ -156,7 +156,7 @@ def drift_report(
     # One count per side.
     found = {row["side"]: row["n"] for row in counts.where(f"feature = '{_ROWS}'").collect()}
     if set(found) != {"baseline", "current"}:
-        raise ValueError("Need both baseline and current feature rows to compute drift")
+        raise ValueError("drift compares two ranges; one of them has no feature rows")
     per_feature = psi(counts.where(f"feature <> '{_ROWS}'"), DRIFT_FEATURES)
     return per_feature.agg(
         F.expr(f"{found['baseline']}L AS baseline_rows"),

@@ -90,11 +90,11 @@ def check_training_rows(split: DataFrame, min_rows: int = 4) -> dict[str, int]:
         F.expr("count_if(part = 'train' AND is_fraud = 1) AS train_positive"),
     ).first().asDict()
     if found["rows"] < min_rows:
-        raise ValueError(f"Training requires at least {min_rows} labeled rows for a time-based train/test split")
+        raise ValueError(f"{found['rows']} labeled rows; a split by time needs {min_rows} or more")
     if found["labels"] < 2:
-        raise ValueError("Training requires both fraud and legitimate labels")
+        raise ValueError("all labels are equal; both kinds are needed")
     if found["train_labels"] < 2:
-        raise ValueError("Training split contains only one label class; add more mixed labeled transactions")
+        raise ValueError("the earlier part holds one kind of label only")
     return found
 
 

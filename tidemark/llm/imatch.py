@@ -62,22 +62,21 @@ def likeness(a: str, b: str) -> Column:
 
 
 def _next_documents(docs: DataFrame) -> DataFrame:
-    """(id, hash, n, copies, next_id, next_hash): each distinct (id, text) and the next one; after the last the first.
+    """(key, hash, n, copies, next_key, next_hash): each distinct (id, text) and the next one; after the last the first.
 
     Only ids move: they are range-partitioned, a row finds its successor inside its slice, and the last row of a
     slice takes the first row of the next slice.
     """
-    ids = docs.groupBy("id", "hash").agg(F.max(F.char_length("text")).alias("n"), F.count("*").alias("copies"))
+    ids = docs.groupBy("id", "key", "hash").agg(F.max(F.char_length("text")).alias("n"), F.count("*").alias("copies"))
     ids = saved(ids.repartitionByRange(F.col("id"), F.col("hash")).withColumn("slice", F.spark_partition_id()), "next-ids")
-    order = "ORDER BY id, hash"
-    inside = ids.selectExpr("*", f"lead(struct(id, hash)) OVER (PARTITION BY slice {order}) AS follower")
+    inside = ids.selectExpr("*", "lead(struct(key, hash)) OVER (PARTITION BY slice ORDER BY id, hash) AS follower")
     # One row for each slice.
-    heads = ids.groupBy("slice").agg(F.min(F.struct("id", "hash")).alias("head")).selectExpr(
+    heads = ids.groupBy("slice").agg(F.expr("min_by(struct(key, hash), struct(id, hash)) AS head")).selectExpr(
         "slice AS its_slice",
         "coalesce(lead(head) OVER (ORDER BY slice), first(head) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS wrap",
     )
     linked = inside.join(heads, F.expr("slice = its_slice")).withColumn("after", F.expr("coalesce(follower, wrap)"))
-    return linked.selectExpr("id", "hash", "n", "copies", "after.id AS next_id", "after.hash AS next_hash")
+    return linked.selectExpr("key", "hash", "n", "copies", "after.key AS next_key", "after.hash AS next_hash")
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,44 +92,42 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     terms = saved(lexicon(docs), "lexicon")
     if terms.count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
-    docs = docs.selectExpr("id", "xxhash64(text) AS hash", "text")
+    # Joins and groupings share one partitioning by (key, hash), hashes of the id and of the text, never null.
+    docs = docs.selectExpr("id", "xxhash64(id) AS key", "xxhash64(text) AS hash", "text")
     chain = saved(_next_documents(docs), "next")
 
-    # The exchange of the texts by (id, hash) serves both joins; only the part that an edit needs moves again.
-    wanted = chain.selectExpr("next_id", "next_hash", "id AS to_id", "hash AS to_hash", "n div 2 AS half")
-    heads = docs.join(wanted, F.expr("id <=> next_id AND hash = next_hash")).selectExpr(
-        "to_id", "to_hash", "half", "substr(text, 1, cast(half AS int)) AS head"
-    )
-    both = docs.join(heads, F.expr("id <=> to_id AND hash = to_hash")).selectExpr(
-        "id", "hash", "stack(2, 0, text, 1, concat(substr(text, 1, char_length(text) - cast(half AS int)), head)) AS (edited, body)"
+    # The exchange of the texts serves both joins; only the part that an edit needs moves again.
+    wanted = chain.selectExpr("next_key AS key", "next_hash AS hash", "key AS to_key", "hash AS to_hash", "n div 2 AS half")
+    heads = docs.join(wanted, ["key", "hash"]).selectExpr(
+        "to_key AS key", "to_hash AS hash", "half", "substr(text, 1, cast(half AS int)) AS head"
     )
+    both = docs.join(heads, ["key", "hash"]).selectExpr(
+        "id", "key", "hash",
+        "stack(2, 0, text, 1, concat(substr(text, 1, char_length(text) - cast(half AS int)), head)) AS (edited, body)",
+    )
     # An empty term at the end of each list carries what belongs to the text as a whole.
     listed = both.selectExpr(
-        "id", "hash", "edited", "char_length(body) AS n", "sha2(body, 256) AS digest",
+        "id", "key", "hash", "edited", "char_length(body) AS n", "sha2(body, 256) AS digest",
         f"explode(array_append({_TERMS.format('body')}, '')) AS term",
-    ).selectExpr("id", "hash", "edited", "term", "IF(term = '', struct(n, digest), null) AS whole")
+    ).selectExpr("key", "hash", "edited", "term", "IF(term = '', struct(id, n, digest), null) AS whole")
     kept = listed.join(terms, "term", "left").where("whole IS NOT NULL OR subsets IS NOT NULL")
-    gathered = kept.groupBy("id", "hash", "edited").agg(
+    gathered = kept.groupBy("key", "hash", "edited").agg(
         F.expr("collect_set(IF(subsets IS NULL, null, struct(term, subsets))) AS terms"), F.expr("max(whole) AS whole")
     )
-    marked = gathered.select(
-        "id", "hash", "edited", F.col("whole.n").alias("n"), F.col("whole.digest").alias("digest"),
-        fingerprint("terms", "whole.digest").alias("mark"),
-    )
+    marked = gathered.select("key", "hash", "edited", "whole", fingerprint("terms", "whole.digest").alias("mark"))
     stored = saved(
-        marked.groupBy("id", "hash").agg(
-            F.expr("max(IF(edited = 0, cast(n AS bigint), null)) AS n_chars"),
-            F.expr("max(IF(edited = 1, digest, null)) AS edited_sha256"),
+        marked.groupBy("key", "hash").agg(
+            F.expr("max(whole.id) AS id"),
+            F.expr("max(IF(edited = 0, cast(whole.n AS bigint), null)) AS n_chars"),
+            F.expr("max(IF(edited = 1, whole.digest, null)) AS edited_sha256"),
             F.expr("max(IF(edited = 0, mark, null)) AS fingerprint"),
             F.expr("max(IF(edited = 1, mark, null)) AS edited_fingerprint"),
         ),
         "marks",
     )
-    following = stored.selectExpr("id AS its_id", "hash AS its_hash", "fingerprint AS next_fingerprint")
-    keys = chain.selectExpr("id AS key_id", "hash AS key_hash", "copies", "next_id", "next_hash")
-    joined = stored.join(keys, F.expr("id <=> key_id AND hash = key_hash")).join(
-        following, F.expr("next_id <=> its_id AND next_hash = its_hash")
-    )
+    following = stored.selectExpr("key AS next_key", "hash AS next_hash", "fingerprint AS next_fingerprint")
+    keys = chain.select("key", "hash", "copies", "next_key", "next_hash")
+    joined = stored.join(keys, ["key", "hash"]).join(following, ["next_key", "next_hash"])
     return joined.withColumn("copy", F.expr("explode(sequence(1L, copies))")).select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness("fingerprint", "edited_fingerprint").alias("near_edited"),

@@ -152,6 +152,16 @@ _PARTS["batch_counts"] = """
     GROUP BY 1, 2
 """
 
+_PARTS["valid_ms"] = """
+    SELECT *, epoch_us(event_timestamp) // 1000 AS ms, epoch_us(event_timestamp) // 86400000000 AS day FROM tx_checked WHERE reject_reason IS NULL
+"""
+_PARTS["stream_counts"] = """
+    SELECT r.transaction_id, r.requested_model, count(*) FILTER (p.ms >= r.ms - 86400000) AS n,
+           count(*) FILTER (p.merchant_id = r.merchant_id AND p.day > r.day - 30 AND p.transaction_id <> r.transaction_id) AS visits
+    FROM valid_ms r JOIN valid_ms p ON p.customer_id = r.customer_id AND (p.ms < r.ms OR (p.ms = r.ms AND p.transaction_id <= r.transaction_id))
+    GROUP BY 1, 2
+"""
+
 _PARTS["examples"] = """
     SELECT t.transaction_id, t.customer_id, t.merchant_id, t.event_timestamp, CAST(t.amount AS DOUBLE) AS transaction_amount,
            t.country AS transaction_country, t.merchant_category, l.is_fraud, l.label_timestamp, l.label_source, l.label_confidence
@@ -434,6 +444,11 @@ def statements() -> dict[str, str]:
                          WHEN merchant_category = 'click' THEN 'No features known for nothing' END AS error
                   FROM (SELECT *, CASE merchant_category WHEN 'error' THEN 'MODEL_X' WHEN 'signup' THEN 'MODEL_A' ELSE requested_model END AS m
                         FROM tx_checked WHERE reject_reason IS NULL))""",
+        "stream_decisions": f"""SELECT transaction_id, requested_model AS model, fraud_score, {_CASE_DECISION} AS decision,
+            'DECISION_PUBLISHED' AS status, NULL::VARCHAR AS reject_reason
+            FROM (SELECT transaction_id, requested_model, round(least(0.3::DOUBLE * n + CASE requested_model WHEN 'MODEL_B'
+                         THEN 0.1::DOUBLE * visits ELSE 0 END, 1.0::DOUBLE), 9) AS fraud_score FROM stream_counts)
+            UNION ALL SELECT transaction_id, NULL, NULL, NULL, NULL, reject_reason FROM tx_checked WHERE reject_reason IS NOT NULL""",
         "stream_upsert_latest": f"""SELECT {_TX_COLUMNS} FROM tx_dup
             QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY arrival_seq DESC) = 1""",
         "recent_transactions": """SELECT transaction_id, customer_id, event_timestamp FROM tx_raw

@@ -398,6 +398,32 @@ def stream_upsert_latest(spark, sf_dir):
     return streams.read_upserted(spark, table, keys, "arrival_seq")
 
 
+def _feature_score(model: str, inputs: DataFrame) -> DataFrame:
+    """A score that needs a count of the last day and, where the model has them, the visits to the merchant."""
+    visits = "current_merchant_visit_count_30d" if "current_merchant_visit_count_30d" in inputs.columns else "0"
+    return inputs.selectExpr("*", f"least(0.3D * customer_transaction_count_24h + 0.1D * {visits}, 1.0D) AS fraud_score")
+
+
+@query
+def stream_decisions(spark, sf_dir):
+    """Dirty transactions in three micro-batches, in order of arrival."""
+    incoming, root = new_folder(spark, "stream-decisions-in"), new_folder(spark, "stream-decisions")
+    rows = view(spark, sf_dir, "tx_dirty")
+    last = rows.selectExpr("max(arrival_seq)").first()[0]
+    for k in range(3):
+        part = rows.where(f"arrival_seq * 3 BETWEEN {k * (last + 1)} AND {(k + 1) * (last + 1) - 1}")
+        part.coalesce(1).write.mode("append").parquet(incoming)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
+    started = streams.stream_decisions(stream, root, _feature_score, writer="main")
+    started.option("checkpointLocation", new_folder(spark, "decision-log")).trigger(availableNow=True).start().awaitTermination()
+    states = ledger.fold_ledger(spark.read.parquet(f"{root}/processing_ledger")).select("transaction_id", "status")
+    decided = spark.read.parquet(f"{root}/fraud_prediction_logs").join(states, "transaction_id")
+    rejected = spark.read.parquet(f"{root}/rejected").select("transaction_id", "reject_reason")
+    return decided.selectExpr(
+        "transaction_id", "model", "round(fraud_score, 9) AS fraud_score", "decision", "status", "cast(null AS string) AS reject_reason"
+    ).unionByName(rejected, allowMissingColumns=True)
+
+
 def _entities(spark, sf_dir):
     """Probes half a day after each event, so that the newest row is not always the event's own; some so late that rows have expired."""
     return _tx(spark, sf_dir).selectExpr(
@@ -591,14 +617,10 @@ def score_batch(spark, sf_dir):
     The score needs a count of the last day and the visits to the merchant; every input row comes back once.
     """
 
-    def scorer(model: str, inputs: DataFrame) -> DataFrame:
-        visits = "current_merchant_visit_count_30d" if "current_merchant_visit_count_30d" in inputs.columns else "0"
-        return inputs.selectExpr("*", f"least(0.3D * customer_transaction_count_24h + 0.1D * {visits}, 1.0D) AS fraud_score")
-
     states = _ledger(spark, sf_dir)
     done = states.where("status <> 'FAILED'").select("transaction_id")
     history = _tx(spark, sf_dir).join(done, "transaction_id", "left_semi")
-    batch = serving.score_batch(view(spark, sf_dir, "tx_dirty"), scorer, states, history)
+    batch = serving.score_batch(view(spark, sf_dir, "tx_dirty"), _feature_score, states, history)
     shown = ["customer_transaction_count_24h", "current_merchant_visit_count_30d"]
     decided = batch.decisions.join(batch.features.select("transaction_id", *shown), "transaction_id").selectExpr(
         "transaction_id", "model", "model_version", "round(fraud_score, 9) AS fraud_score", "decision", *shown,

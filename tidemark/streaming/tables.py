@@ -10,15 +10,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidemark.operators.clean import validate_labels
-from tidemark.operators.ledger import known_labels
+from tidemark.operators.ledger import fold_ledger, known_labels
 from tidemark.operators.scoring import decide_per_model
 from tidemark.operators.tables import upsert_latest
-from tidemark.plans.serving import with_views
+from tidemark.plans.serving import score_batch, with_views
 from tidemark.schemas import CATALOG, CUSTOMER_FEATURES, MERCHANT_RISK
 from tidemark.sources.sinks import decision_events, label_events
 
@@ -104,6 +105,56 @@ def stream_score(
     return features.writeStream.foreachBatch(work)
 
 
+def _stored_elsewhere(spark: SparkSession, path: str, writer: str, batch_id: int) -> DataFrame | None:
+    """What a table holds without the batch being written, which may be a repeated one; None before the first write."""
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    return rows.where(f"NOT (writer = '{writer}' AND batch_id = {batch_id})")
+
+
+def stream_decisions(
+    stream: DataFrame,
+    root: str,
+    scorer: Callable[[str, DataFrame], DataFrame],
+    *,
+    writer: str,
+    order_by: str = "arrival_seq",
+    **options,
+) -> DataStreamWriter:
+    """Raw transactions to decisions: every micro-batch is a scored batch over all transactions stored before it.
+
+    Validation, the ledger's gate, features, models and rejects are those of ``score_batch``, whose ``options`` it takes. Features
+    come from the stored transactions of the customers in the batch, so no state is kept per customer and a late
+    transaction sees what happened before it. Tables below ``root``: transactions, customer_transaction_stats,
+    merchant_risk_features, fraud_prediction_logs, decision_events, rejected and, last, processing_ledger.
+    """
+    root = root.rstrip("/")
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        states = _stored_elsewhere(spark, f"{root}/processing_ledger", writer, batch_id)
+        ledger = states and fold_ledger(states.withColumn("seq", F.expr("unix_micros(arrived_at) * 4 + seq")))
+        history = _stored_elsewhere(spark, f"{root}/transactions", writer, batch_id)
+        scored = score_batch(batch, scorer, ledger, history, order_by=order_by, **options)
+        parts = {
+            "transactions": scored.accepted.drop("model_version", "feature_service", "reject_reason"),
+            "customer_transaction_stats": scored.customer_rows,
+            "merchant_risk_features": scored.merchant_rows,
+            "fraud_prediction_logs": scored.decisions,
+            "decision_events": decision_events(scored.decisions),
+            "rejected": scored.rejected,
+            "processing_ledger": scored.ledger_events,
+        }
+        for name, rows in parts.items():
+            write_batch(rows, f"{root}/{name}", writer, batch_id)
+
+    return stream.writeStream.foreachBatch(work)
+
+
 def stream_labels(
     labels: DataFrame, root: str, transactions: Callable[[], DataFrame], now: str = "current_timestamp()", order_by: str = "arrival_seq",
     *, writer: str,

@@ -116,28 +116,28 @@ def by_key(df: DataFrame, *keys: str) -> DataFrame:
 class Heat:
     """How rows spread over the values of a key."""
 
-    hot: tuple = ()
-    too_many: bool = False
+    hot: DataFrame | None = None
+    hot_keys: int = 0
     largest_cool: int = 0
 
 
 # A key with more rows is spread over several tasks.
 SLICE_ROWS = 1_000_000
-# Hot keys are named in a filter up to this number; beyond it all rows take the sliced way.
-MAX_HOT_KEYS = 1_000
+# There is at most one hot key for every SLICE_ROWS rows. Up to this number they are broadcast, beyond it joined by shuffling.
+BROADCAST_KEYS = 100_000
 
 
 def key_heat(frames: Sequence[DataFrame], key: str, slice_rows: int = SLICE_ROWS) -> Heat:
-    """Count rows per key (combined on the map side) and report the hot ones.
+    """Count rows per key (combined on the map side); hot keys, the empty one too, become a stored table.
 
-    Only the counters and at most ``MAX_HOT_KEYS`` + 1 key values reach the driver.
+    Only the counters reach the driver.
     """
     counts = None
     for frame in frames:
-        part = frame.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("rows"))
+        part = frame.groupBy(F.col(key).alias("_hot_key")).agg(F.count(F.lit(1)).alias("rows"))
         counts = part if counts is None else counts.unionByName(part)
     if len(frames) > 1:
-        counts = counts.groupBy("key").agg(F.sum("rows").alias("rows"))
+        counts = counts.groupBy("_hot_key").agg(F.sum("rows").alias("rows"))
     is_hot = F.col("rows") > F.lit(slice_rows)
     summary = counts.agg(
         F.count_if(is_hot).alias("hot"), F.max(F.when(~is_hot, F.col("rows"))).alias("largest_cool")
@@ -145,19 +145,18 @@ def key_heat(frames: Sequence[DataFrame], key: str, slice_rows: int = SLICE_ROWS
     largest = summary["largest_cool"] or 0
     if summary["hot"] == 0:
         return Heat(largest_cool=largest)
-    hot = [row["key"] for row in counts.where(is_hot & F.col("key").isNotNull()).limit(MAX_HOT_KEYS + 1).collect()]
-    return Heat(tuple(sorted(hot)), len(hot) > MAX_HOT_KEYS or len(hot) < summary["hot"], largest)
+    return Heat(cut_lineage(counts.where(is_hot).select("_hot_key")), summary["hot"], largest)
 
 
 def apply_by_heat(
     build: Callable[..., DataFrame], frames: Sequence[DataFrame], key: str, heat: Heat
 ) -> DataFrame:
     """Run ``build(*frames, sliced=...)`` plainly on cool keys and sliced on hot ones; the union is exact."""
-    if not heat.hot and not heat.too_many:
+    if heat.hot is None:
         return build(*frames, sliced=False)
-    if heat.too_many:
-        return build(*frames, sliced=True)
-    is_hot = F.coalesce(F.col(key).isin(list(heat.hot)), F.lit(False))
-    cool = build(*[frame.where(~is_hot) for frame in frames], sliced=False)
-    hot = build(*[frame.where(is_hot) for frame in frames], sliced=True)
-    return cool.unionByName(hot)
+    hot = F.broadcast(heat.hot) if heat.hot_keys <= BROADCAST_KEYS else heat.hot
+
+    def part(how: str) -> list[DataFrame]:
+        return [frame.join(hot, F.expr(f"{key} <=> _hot_key"), how) for frame in frames]
+
+    return build(*part("left_anti"), sliced=False).unionByName(build(*part("left_semi"), sliced=True))

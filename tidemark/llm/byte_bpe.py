@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode defines it; the class ``\s`` of Python also holds four separators of ASCII.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Pre-tokens remembered by a worker; the memory is emptied when it is full.
-REMEMBERED = 400_000
+#: Pre-tokens remembered by a worker, some 160 MB; the memory is emptied when it is full.
+REMEMBERED = 800_000
 #: Pre-tokens of more bytes are encoded each time.
 _LONGEST = 64
 

@@ -62,7 +62,7 @@ def likeness(a: str, b: str) -> Column:
 
 
 def _next_documents(docs: DataFrame) -> DataFrame:
-    """(key, hash, n, copies, next_key, next_hash): each distinct (id, text) and the next one; after the last the first.
+    """(key, hash, id, n, copies, next_key, next_hash): each distinct (id, text) and the next one; after the last the first.
 
     Only ids move: they are range-partitioned, a row finds its successor inside its slice, and the last row of a
     slice takes the first row of the next slice.
@@ -76,7 +76,7 @@ def _next_documents(docs: DataFrame) -> DataFrame:
         "coalesce(lead(head) OVER (ORDER BY slice), first(head) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS wrap",
     )
     linked = inside.join(heads, F.expr("slice = its_slice")).withColumn("after", F.expr("coalesce(follower, wrap)"))
-    return linked.selectExpr("key", "hash", "n", "copies", "after.key AS next_key", "after.hash AS next_hash")
+    return linked.selectExpr("key", "hash", "id", "n", "copies", "after.key AS next_key", "after.hash AS next_hash")
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,20 +96,20 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     docs = docs.selectExpr("id", "xxhash64(id) AS key", "xxhash64(text) AS hash", "text")
     chain = saved(_next_documents(docs), "next")
 
-    # The exchange of the texts serves both joins; only the part that an edit needs moves again.
+    # The exchange of (key, hash, text) serves both joins; only the part that an edit needs moves again.
     wanted = chain.selectExpr("next_key AS key", "next_hash AS hash", "key AS to_key", "hash AS to_hash", "n div 2 AS half")
     heads = docs.join(wanted, ["key", "hash"]).selectExpr(
         "to_key AS key", "to_hash AS hash", "half", "substr(text, 1, cast(half AS int)) AS head"
     )
     both = docs.join(heads, ["key", "hash"]).selectExpr(
-        "id", "key", "hash",
+        "key", "hash",
         "stack(2, 0, text, 1, concat(substr(text, 1, char_length(text) - cast(half AS int)), head)) AS (edited, body)",
     )
     # An empty term at the end of each list carries what belongs to the text as a whole.
     listed = both.selectExpr(
-        "id", "key", "hash", "edited", "char_length(body) AS n", "sha2(body, 256) AS digest",
+        "key", "hash", "edited", "char_length(body) AS n", "sha2(body, 256) AS digest",
         f"explode(array_append({_TERMS.format('body')}, '')) AS term",
-    ).selectExpr("key", "hash", "edited", "term", "IF(term = '', struct(id, n, digest), null) AS whole")
+    ).selectExpr("key", "hash", "edited", "term", "IF(term = '', struct(n, digest), null) AS whole")
     kept = listed.join(terms, "term", "left").where("whole IS NOT NULL OR subsets IS NOT NULL")
     gathered = kept.groupBy("key", "hash", "edited").agg(
         F.expr("collect_set(IF(subsets IS NULL, null, struct(term, subsets))) AS terms"), F.expr("max(whole) AS whole")
@@ -117,7 +117,6 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     marked = gathered.select("key", "hash", "edited", "whole", fingerprint("terms", "whole.digest").alias("mark"))
     stored = saved(
         marked.groupBy("key", "hash").agg(
-            F.expr("max(whole.id) AS id"),
             F.expr("max(IF(edited = 0, cast(whole.n AS bigint), null)) AS n_chars"),
             F.expr("max(IF(edited = 1, whole.digest, null)) AS edited_sha256"),
             F.expr("max(IF(edited = 0, mark, null)) AS fingerprint"),
@@ -126,7 +125,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         "marks",
     )
     following = stored.selectExpr("key AS next_key", "hash AS next_hash", "fingerprint AS next_fingerprint")
-    keys = chain.select("key", "hash", "copies", "next_key", "next_hash")
+    keys = chain.select("key", "hash", "id", "copies", "next_key", "next_hash")
     joined = stored.join(keys, ["key", "hash"]).join(following, ["next_key", "next_hash"])
     return joined.withColumn("copy", F.expr("explode(sequence(1L, copies))")).select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",

@@ -201,6 +201,28 @@ def test_entropy_scan_finds_random_strings_and_spares_allowed_ones():
         assert secret_scan.entropy_spans(allowed) == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "/srv/example-app/{}", "your-service/{}", "{}/example", "q7/xXxX/{}", "sha256=" + "0f" * 32 + "/{}", "md5-{}", "SHA1_{}", "/opt/dummy/{}/x1",
+        "example{}", "sha256-q8Zt3vLx0Kd7RbW2nYc5Jm9HsP4fq8Zt3vLx0Kd7RbW=/{}",
+    ],
+)
+def test_an_allowed_word_hides_no_secret_beside_it(text):
+    key = "Rk3v9TqLz0WmYb7+XcN2hJ5sGd8fPa/V1uEoQi4M"
+    text = "see " + text.format(key)
+    found = [(k, a, b) for k, a, b in secret_scan.secret_spans(text) if k == "entropy"]
+    assert any(a <= text.index(key) and text.index(key) + len(key) <= b for _, a, b in found)
+    assert key[8:32] not in secret_scan.redacted(text, found)
+
+
+@pytest.mark.parametrize(
+    "text", ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "sha1-q8Zt3vLx0Kd7RbW2nYc5Jm9HsP4=", "a/md5=q8Zt3vLx0Kd7RbW2nYc5Jm==", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+)
+def test_placeholders_checksums_and_alphabets_are_spared(text):
+    assert secret_scan.entropy_spans(text) == []
+
+
 @given(st.text("ab1Z/", min_size=0, max_size=60), st.floats(1.0, 2.3))
 @settings(max_examples=200, deadline=None)
 def test_entropy_windows_are_those_of_the_definition(text, bits):

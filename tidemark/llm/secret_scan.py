@@ -3,7 +3,8 @@
 Fixed patterns find assignments, access keys and long hexadecimal runs. The entropy scan slides a window over
 every candidate string (a run of characters of one class) and keeps the Shannon entropy of the
 window by incremental counts: one character enters, one leaves. Windows above the threshold of their class merge to
-spans, which the allow-list may suppress. Rows are scanned one by one; nothing is shuffled.
+spans. A span is suppressed when every window of it touches a placeholder or a named checksum; candidates of one kind of letter
+are left out as a whole. Rows are scanned one by one; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -43,23 +44,36 @@ CLASSES = (
     CharacterClass("hex", re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{24,}(?![A-Za-z0-9])"), 24, 3.1),
     CharacterClass("base64", re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 4.0),
 )
-#: What is no secret although it may look random: one kind of letter only, a word list, an address or
-#: path, a UUID of zeros or a placeholder, an alphabet, an integrity checksum with its algorithm named.
-ALLOWED = tuple(
-    re.compile(p)
-    for p in (
-        r"[A-Za-z]+",
-        r"[0-9]+",
-        r"[A-Za-z]*(?:[-_/=+]+[A-Za-z]*)+",
-        r"(?i).*(?:example|placeholder|dummy|xxxx|changeme|abcdefgh|01234567|your[_-]).*",
-        r"(?i)(?:sha1|sha256|sha384|sha512|md5)[-_=].*",
-    )
+#: Candidates that are no secret although they may look random: one kind of character only, a word list, an address or path of letters.
+ALLOWED = tuple(re.compile(p) for p in (r"[A-Za-z]+", r"[0-9]+", r"[A-Za-z]*(?:[-_/=+]+[A-Za-z]*)+"))
+#: Placeholders and alphabets, with up to eight letters and digits that they are glued to.
+_PLACEHOLDER = re.compile(
+    r"[A-Za-z0-9]{0,8}(?:(?:example|placeholder|dummy|xxxx|changeme|abcdefgh|01234567)[A-Za-z0-9]{0,8}|your[_-])", re.ASCII | re.IGNORECASE
 )
+#: Integrity checksums with their algorithm named, and the bytes of its digests.
+_CHECKSUM = re.compile(r"(?<![A-Za-z0-9])(sha1|sha256|sha384|sha512|md5)[-_=]([A-Za-z0-9+/_-]+=*)", re.ASCII | re.IGNORECASE)
+_DIGEST = {"md5": 16, "sha1": 20, "sha256": 32, "sha384": 48, "sha512": 64}
 _XLOG = [0.0] + [n * log2(n) for n in range(1, 4097)]
 
 
-def high_entropy(candidate: str, window: int, bits: float) -> list[tuple[int, int]]:
-    """Merged spans of the windows whose entropy is at least ``bits``.
+def excused(candidate: str) -> list[tuple[int, int]]:
+    """Stretches of placeholders, and of checksums no longer than a digest of their algorithm; by start, apart from each other."""
+    found = [m.span() for m in _PLACEHOLDER.finditer(candidate)]
+    for m in _CHECKSUM.finditer(candidate):
+        size = _DIGEST[m[1].lower()]
+        if len(m[2]) <= (2 * size if re.fullmatch("[0-9A-Fa-f]+", m[2]) else -(-size // 3) * 4):
+            found.append(m.span())
+    merged: list[tuple[int, int]] = []
+    for start, end in sorted(found):
+        if merged and start <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
+        else:
+            merged.append((start, end))
+    return merged
+
+
+def high_entropy(candidate: str, window: int, bits: float, spared: Sequence[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """Merged spans of the windows whose entropy is at least ``bits``, without spans whose windows all touch ``spared``.
 
     H = log2(w) - sum(c * log2(c)) / w; the sum changes by two terms when the window moves.
     """
@@ -70,6 +84,8 @@ def high_entropy(candidate: str, window: int, bits: float) -> list[tuple[int, in
     # The bound on the sum that belongs to `bits`, with room for rounding.
     most = window * (log2(window) - bits) + 1e-9
     spans: list[tuple[int, int]] = []
+    counted: list[bool] = []  # has the span a window that touches nothing spared
+    at = 0
     for end, entering in enumerate(candidate):
         c = counts.get(entering, 0)
         counts[entering] = c + 1
@@ -80,11 +96,16 @@ def high_entropy(candidate: str, window: int, bits: float) -> list[tuple[int, in
             counts[candidate[start]] = c - 1
             total += _XLOG[c - 1] - _XLOG[c]
         if end >= window - 1 and total <= most:
+            while at < len(spared) and spared[at][1] <= start + 1:
+                at += 1
+            free = at == len(spared) or spared[at][0] > end
             if spans and spans[-1][1] >= start + 1:
                 spans[-1] = (spans[-1][0], end + 1)
+                counted[-1] |= free
             else:
                 spans.append((start + 1, end + 1))
-    return spans
+                counted.append(free)
+    return [s for s, free in zip(spans, counted) if free]
 
 
 def fixed_spans(text: str) -> list[tuple[int, int, str]]:
@@ -103,7 +124,8 @@ def entropy_spans(text: str) -> list[tuple[int, int, str]]:
     for kind in CLASSES:
         for m in kind.pattern.finditer(text):
             if not any(a.fullmatch(m[0]) for a in ALLOWED):
-                found += [(m.start() + a, m.start() + b, "entropy") for a, b in high_entropy(m[0], kind.window, kind.bits)]
+                spans = high_entropy(m[0], kind.window, kind.bits, excused(m[0]))
+                found += [(m.start() + a, m.start() + b, "entropy") for a, b in spans]
     return found
 
 

@@ -419,6 +419,33 @@ def test_training_order(docs, none, coders, tmp_path):
     assert training_order.training_order(none, **options).count() == 0
 
 
+def test_training_order_goes_through_shard_files(spark, docs, none, tmp_path, monkeypatch):
+    """Rows come in slot order, and the digests are those of the bytes in the files."""
+    options = {"vocabulary": VOCABULARY, "pattern": PATTERN, "length": 16, "stride": 32}
+    ordered = training_order.training_order(docs, **options).collect()
+    assert [r.slot for r in ordered] == list(range(len(ordered)))
+    monkeypatch.setattr(training_order, "new_folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    rows = training_order.stored_order(docs, **options)
+    found = rows.collect()
+    assert rows.columns == ["slot", "shard", "doc_id", "sequence", "n_tokens", "tokens_sha256"]
+    assert [tuple(r) for r in found] == [(r.slot, r.shard, r.doc_id, r.sequence, r.n_tokens, hashlib.sha256(r.tokens).hexdigest()) for r in ordered]
+    files = sorted((tmp_path / "training-shards").glob("*.bin"))
+    assert len(files) == -(-len(ordered) // 32) and b"".join(f.read_bytes() for f in files) == b"".join(r.tokens for r in ordered)
+    files[1].write_bytes(files[0].read_bytes())
+    assert [r.tokens_sha256 for r in rows.collect()][32:64] == [r.tokens_sha256 for r in found[:32]]
+    assert training_order.stored_order(none, **options).count() == 0
+
+
+def test_training_order_query_writes_its_shards(spark, sf_dir, monkeypatch):
+    from tidemark.llm.queries import QUERIES
+
+    folders, write = [], training_order.write_shards
+    monkeypatch.setattr(training_order, "write_shards", lambda ordered, folder: folders.append(folder) or write(ordered, folder))
+    rows = QUERIES["op5_training_order"](spark, sf_dir).collect()
+    read = training_order.read_slots(folders[0], 0, len(rows))
+    assert [r.tokens_sha256 for r in rows] == [hashlib.sha256(s.tobytes()).hexdigest() for s in read]
+
+
 def test_query_counts_by_brute_force(spark, sf_dir):
     """The registered queries that have no SQL, on the whole table."""
     from tidemark.llm.queries import QUERIES

@@ -99,4 +99,4 @@ def op3_page_text(spark, sf_dir):
 @query
 def op5_training_order(spark, sf_dir):
     vocabulary, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return training_order.training_order(documents(spark, sf_dir), vocabulary=vocabulary, pattern=pattern)
+    return training_order.stored_order(documents(spark, sf_dir), vocabulary=vocabulary, pattern=pattern)

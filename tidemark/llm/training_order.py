@@ -2,13 +2,14 @@
 
 Documents become token ids; each document is cut into sequences of ``length`` tokens, the last one padded. Sequences
 are numbered; a keyed Feistel network permutes the numbers, walking along its cycles until it is back in
-range, so that every number gets a slot of its own without a table or a sort. A shard is a range of slots;
-one task writes it, every sequence at (slot - first slot of the shard) * stride, so a reader finds any slot
-by arithmetic, reads sequentially and resumes anywhere.
+range, so that every number gets a slot of its own without a table or a sort. A shard is a range of slots, a partition
+a range of shards; one task writes a shard, every sequence at (slot - first slot of the shard) * bytes of a sequence, so a reader
+finds any slot by arithmetic, reads sequentially and resumes anywhere.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import codec, portions
 from tidemark.llm.common import mix, saved
+from tidemark.session import new_folder
 
 ROUNDS = 6
 
@@ -108,7 +111,7 @@ def training_order(
     """One row per sequence: slot, shard, ``id_col``, sequence (its number in the document), n_tokens, tokens.
 
     tokens holds ``length`` little-endian unsigned 16-bit ids, ``pad`` after the last one. Slots run from 0 without gaps,
-    a shard holds ``stride`` of them, and each shard lies in one partition in the order of its slots. Sequences are numbered
+    a shard holds ``stride`` of them. Partitions are ranges of shards, so rows come in the order of their slots. Sequences are numbered
     along the input's partitions, so slots depend on the key and on how the input is split; the numbered
     tokens are written to the shared folder before they are placed, so that a lost task finds them unchanged.
 
@@ -132,37 +135,51 @@ def training_order(
         f"slot long, shard long, id {id_type}, sequence long, n_tokens long, tokens binary",
     )
     shards = max(1, -(-total // stride))
-    ordered = placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
+    # The bounds of the ranges are known, so no sample of the rows is needed.
+    ordered = placed.repartitionById(shards, F.expr("cast(shard AS int)")).sortWithinPartitions("slot")
     return ordered.withColumnRenamed("id", id_col)
 
 
+_INDEX = ".index"
+
+
 def _path(folder: str, shard: int) -> str:
     return f"{folder.rstrip('/')}/shard-{shard:08d}.bin"
 
 
 def _writer(folder: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
-        shard, out, done = None, None, []
-        written, trial = 0, f".{uuid.uuid4().hex}"
+        shard, out, index, done = None, None, [], []
+        trial = f".{uuid.uuid4().hex}"
 
         def close():
             out.close()
-            system.move(_path(root, shard) + trial, _path(root, shard))
-            done.append((shard, written))
+            path = _path(root, shard)
+            with system.open_output_stream(path + _INDEX + trial) as sink, pa.ipc.new_file(sink, index[0].schema) as file:
+                for part in index:
+                    file.write_batch(part)
+            system.move(path + _INDEX + trial, path + _INDEX)
+            system.move(path + trial, path)
+            done.append((shard, sum(map(len, index))))
 
         for batch in batches:
-            for number, rows in batch.groupby("shard", sort=False):
-                if number != shard:
+            numbers = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for at, end in zip(cuts, cuts[1:]):
+                if at == end:
+                    continue
+                if numbers[at] != shard:
                     if out:
                         close()
-                    shard, written = int(number), 0
+                    shard, index = int(numbers[at]), []
                     out = system.open_output_stream(_path(root, shard) + trial)
-                out.write(b"".join(rows["tokens"]))
-                written += len(rows)
+                rows = batch.slice(at, end - at)
+                out.write(b"".join(rows.column("tokens").to_pylist()))
+                index.append(rows.select([c for c in rows.schema.names if c != "tokens"]))
         if out:
             close()
-        yield pd.DataFrame(done, columns=["shard", "sequences"])
+        yield pa.RecordBatch.from_pydict({"shard": [s for s, _ in done], "sequences": [n for _, n in done]}, pa.schema([("shard", pa.int64()), ("sequences", pa.int64())]))
 
     return run
 
@@ -170,11 +187,44 @@ def _writer(folder: str):
 def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
     """Write the shards of ``training_order`` below ``folder`` (a URI that executors share); returns (shard, sequences).
 
-    A shard is written under a name of its attempt and renamed when it is complete, so a repeated task
-    replaces it by the same bytes and a reader never sees a part of one.
+    Beside the tokens of a shard lies an index, an Arrow file with the other columns of its rows. Both are written under a name
+    of their attempt and renamed when they are complete, the tokens last, so a repeated task replaces them by the same bytes
+    and a reader never sees a part of a shard.
     """
     fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)
-    return saved(ordered.select("shard", "tokens").mapInPandas(_writer(folder), "shard long, sequences long"), "shards")
+    return saved(ordered.mapInArrow(_writer(folder), "shard long, sequences long"), "shards")
+
+
+def _reader(folder: str, columns: list[str], length: int, stride: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for shard, sequences in zip(batch.column("shard").to_pylist(), batch.column("sequences").to_pylist()):
+                digests = [hashlib.sha256(s).hexdigest() for s in read_slots(folder, shard * stride, sequences, length=length, stride=stride)]
+                with system.open_input_file(_path(root, shard) + _INDEX) as file:
+                    index = pa.ipc.open_file(file).read_all()
+                if not len(digests) == len(index) == sequences:
+                    raise ValueError(f"shard {shard} holds {len(digests)} sequences, its index {len(index)}, {sequences} were written")
+                found = index.select(columns).append_column("tokens_sha256", pa.array(digests, pa.string()))
+                yield from found.combine_chunks().to_batches()
+
+    return run
+
+
+def stored_order(docs: DataFrame, *, id_col: str = "doc_id", length: int = 512, stride: int = 8192, **options) -> DataFrame:
+    """``training_order`` through files: the shards are written below the shared folder and read back.
+
+    One row per sequence in the order of the slots: slot, shard, ``id_col``, sequence, n_tokens, tokens_sha256 of the bytes read.
+    """
+    ordered = training_order(docs, id_col=id_col, length=length, stride=stride, **options)
+    folder = new_folder(docs.sparkSession, "training-shards")
+    written = write_shards(ordered, folder)
+    shards = max(1, written.count())
+    columns = [c for c in ordered.columns if c != "tokens"]
+    types = dict(ordered.dtypes)
+    return written.repartitionById(shards, F.expr("cast(shard AS int)")).mapInArrow(
+        _reader(folder, columns, length, stride), ", ".join([*(f"`{c}` {types[c]}" for c in columns), "tokens_sha256 string"])
+    )
 
 
 def read_slots(folder: str, first: int, count: int, *, length: int = 512, stride: int = 8192) -> Iterator[np.ndarray]:

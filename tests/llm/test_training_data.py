@@ -115,6 +115,39 @@ def test_pruning_bound_keeps_pairs_at_the_threshold():
     assert (equal >= np.array(least)).all() and least[-1] > 100
 
 
+def _groups(texts, percent):
+    """Group numbers of the texts, by brute force."""
+    sets, group = [_shingle_set(t) for t in texts], list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    return group
+
+
+def test_bands_follow_the_threshold():
+    assert minhash_dedup.bands_for(85) == (28, 6)
+    for percent in (50, 70, 80, 85, 90, 100):
+        bands, rows = minhash_dedup.bands_for(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 2.1e-6 and bands * rows <= 168
+
+
+def test_near_duplicates_from_80_percent(spark):
+    """Pairs planted at 0.80 to 0.85, just below 0.80, and far below, by brute force."""
+    texts = []
+    for n in range(40):
+        words = _sentence(100 + n, 600).split()
+        near = list(words)
+        for at in range(20, 600, (50, 52, 46, 20)[n % 4]):
+            near[at] = f"changed{n}x{at}"
+        texts += [" ".join(words), " ".join(near)]
+    group = _groups(texts, 80)
+    assert 20 <= len(texts) - len(set(group)) < 40 and len(set(_groups(texts, 85))) == len(texts)
+    first = {g: n for n, g in reversed(list(enumerate(group)))}
+    found = minhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), percent=80).collect()
+    _same([(r.doc_id, r.component_id, r.kept) for r in found], [(n, first[g], first[g] == n) for n, g in enumerate(group)])
+
+
 def test_connected(spark):
     edges = [(5, 4), (4, 3), (3, 2), (9, 8), (20, 9), (7, 7), (30, 31), (31, 32), (32, 30)]
     found = dict(map(tuple, connected(spark.createDataFrame(edges, "a long, b long")).collect()))

@@ -12,7 +12,7 @@ so the rows emitted grow with nodes and blocks, not with pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import connected, mix, saved, utf8, windows_hash, word_hashes
 
-BANDS, ROWS = 28, 6
+#: Probability with which the bands may miss a pair at the threshold, and hash functions at most.
+BAND_MISS, MOST_HASHES = 2.1e-6, 168
 #: Hashes compared between two looks at the posterior.
 BATCH = 24
 #: Nodes in a block.
@@ -31,10 +32,23 @@ BLOCK = 1024
 _AT_ONCE = 512
 
 _SEEDS = np.random.default_rng(7)
-_MULTIPLY = (_SEEDS.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
-_ADD = _SEEDS.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)[:, None]
-_FOLD = _SEEDS.integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+_MULTIPLY = (_SEEDS.integers(0, 2**32, MOST_HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
+_ADD = _SEEDS.integers(0, 2**32, MOST_HASHES, dtype=np.uint64).astype(np.uint32)[:, None]
+_FOLD = _SEEDS.integers(0, 2**63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = mix(np.arange(1, MOST_HASHES + 1, dtype=np.uint64))
+
+
+def bands_for(percent: int) -> tuple[int, int]:
+    """(bands, rows of a band): as many rows, up to 6, as ``MOST_HASHES`` allow for missing ``BAND_MISS`` of the pairs at the threshold."""
+    for rows in range(len(_FOLD), 0, -1):
+        apart = 1 - (percent / 100) ** rows
+        bands = max(1, ceil(log(BAND_MISS) / log(apart))) if apart > 0 else 1
+        if bands * rows <= MOST_HASHES:
+            return bands, rows
+    raise ValueError(f"{percent} percent need more than {MOST_HASHES} hash functions")
+
+
+BANDS, ROWS = bands_for(85)
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -45,18 +59,18 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(windows_hash(hashes, words))
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """The minima of BANDS * ROWS hash functions over a set that is not empty."""
+def signature(found: np.ndarray, hashes: int = BANDS * ROWS) -> np.ndarray:
+    """The minima of the first hash functions over a set that is not empty."""
     low = (found >> np.uint64(32)).astype(np.uint32)
-    out = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+    out = np.full(hashes, 2**32 - 1, np.uint32)
     for k in range(0, len(low), _AT_ONCE):
-        np.minimum(out, (_MULTIPLY * low[None, k : k + _AT_ONCE] + _ADD).min(axis=1), out=out)
+        np.minimum(out, (_MULTIPLY[:hashes] * low[None, k : k + _AT_ONCE] + _ADD[:hashes]).min(axis=1), out=out)
     return out
 
 
-def band_keys(minima: np.ndarray) -> np.ndarray:
-    rows = minima.reshape(BANDS, ROWS).astype(np.uint64)
-    return mix((rows * _FOLD).sum(axis=1, dtype=np.uint64) ^ _BAND).view(np.int64)
+def band_keys(minima: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    banded = minima.reshape(-1, rows).astype(np.uint64)
+    return mix((banded * _FOLD[:rows]).sum(axis=1, dtype=np.uint64) ^ _BAND[: len(banded)]).view(np.int64)
 
 
 def least_matches(threshold: float, miss: float, batch: int = BATCH, total: int = BANDS * ROWS) -> list[int]:
@@ -77,31 +91,31 @@ def least_matches(threshold: float, miss: float, batch: int = BATCH, total: int
     return least
 
 
-def _described(words: int):
+def _described(words: int, bands: int, per_band: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingles(t, words) for t in batch.pop("text")]
             batch["n_shingles"] = [len(s) for s in sets]
             batch["digest"] = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            batch["keys"] = [band_keys(signature(s)) if len(s) else None for s in sets]
+            batch["keys"] = [band_keys(signature(s, bands * per_band), per_band) if len(s) else None for s in sets]
             yield batch
 
     return run
 
 
-def _with_sets(words: int):
+def _with_sets(words: int, hashes: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingles(t, words) for t in batch.pop("text")]
-            batch["minima"] = [signature(s).tobytes() for s in sets]
+            batch["minima"] = [signature(s, hashes).tobytes() for s in sets]
             batch["members"] = [s.tobytes() for s in sets]
             yield batch
 
     return run
 
 
-def _linker(percent: int, miss: float):
-    least = least_matches(percent / 100, miss)
+def _linker(percent: int, miss: float, hashes: int):
+    least = least_matches(percent / 100, miss, total=hashes)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("node").sort_values("node")
@@ -148,18 +162,19 @@ def near_duplicates(
     """One row per document: ``id_col``, n_shingles, component_id, kept.
 
     Two documents are linked when 100 * shared shingles >= ``percent`` * shingles of either; component_id
-    is the smallest id of the documents reachable over links. Band recall at similarity 0.85 misses one pair
-    in 600 000; ``miss`` is the posterior probability below which a pair is pruned unseen.
+    is the smallest id of the documents reachable over links. The bands follow ``percent`` and miss at most one pair
+    in 470 000 at that similarity; ``miss`` is the posterior probability below which a pair is pruned unseen.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows that repeat an id are
     documents of their own. A row without an id takes the smallest id of its component; alone it
     has a null component_id and is kept. Other columns of ``docs`` are not looked at.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    bands, per_band = bands_for(percent)
     id_type = dict(docs.dtypes)["id"]
     described = saved(
         docs.withColumns({"row": F.monotonically_increasing_id(), "text_hash": F.xxhash64("text")}).mapInPandas(
-            _described(words), f"id {id_type}, row long, text_hash long, n_shingles long, digest binary, keys array<long>"
+            _described(words, bands, per_band), f"id {id_type}, row long, text_hash long, n_shingles long, digest binary, keys array<long>"
         ),
         "shingled",
     )
@@ -181,12 +196,12 @@ def near_duplicates(
     texts = docs.withColumn("text_hash", F.xxhash64("text"))
     texts = texts.join(wanted, F.expr("id <=> its_id AND text_hash = its_hash"))
     with_sets = texts.select("node", "family", "blocks", "block", "text").mapInPandas(
-        _with_sets(words), "node long, family long, blocks int, block int, minima binary, members binary"
+        _with_sets(words, bands * per_band), "node long, family long, blocks int, block int, minima binary, members binary"
     )
     paired = with_sets.withColumn("other", F.expr("explode(sequence(0, blocks - 1))")).selectExpr(
         "family", "least(block, other) AS i", "greatest(block, other) AS j", "block", "node", "minima", "members"
     )
-    links = paired.groupBy("family", "i", "j").applyInPandas(_linker(percent, miss), "a long, b long")
+    links = paired.groupBy("family", "i", "j").applyInPandas(_linker(percent, miss, bands * per_band), "a long, b long")
     found = connected(links)
 
     rooted = rows.join(found, "node", "left").selectExpr("id", "n_shingles", "coalesce(root, node) AS root")

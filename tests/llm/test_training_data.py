@@ -386,6 +386,28 @@ def test_page_text(spark, chunk_tokens, monkeypatch):
     assert html_extract.extract_text(pages.limit(0)).count() == 0
 
 
+_TEXT = " ".join(f"w{k}" for k in range(60))
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        (f"<main><p>{_TEXT}</p><article class='teaser'>more here</article></main>", _TEXT + " more here"),
+        (f"<div><p>{_TEXT}</p></div><article>teaser</article>", _TEXT + " teaser"),
+        (f"<article></article><div>{_TEXT}</div>", _TEXT), (f"<main> </main><div>{_TEXT}</div>", _TEXT),
+        (f"<div class='content with-sidebar'>{_TEXT}</div>", _TEXT), (f"<div id='search-results'>{_TEXT}</div>", _TEXT),
+        (f"<article class='post has-share'>{_TEXT}<div class='share'>tell</div></article>", _TEXT),
+        (f"<div class='widget'><article>{_TEXT}</article><div class='post-comments'>first</div></div><p>tail", _TEXT),
+        (f"<article>short text<svg width='1'/> {_TEXT}<math/>end</article><div class='site-footer'>f</div>", f"short text {_TEXT}end"),
+        (f"<article>short</article><div id='comments'>{_TEXT}</div>", "short"), (f"<article>short<svg><text>{_TEXT}</text></svg></article>", "short"),
+        (f"<article>{_TEXT}</article><div class='share-buttons social'>a</div><div id='sidebar-1'>b</div><div>open</div>", _TEXT),
+    ],
+)
+def test_main_text_is_chosen_by_its_amount(page, expected):
+    marked, rest = html_extract.parse(page)
+    assert " ".join(rest if marked is None else marked) == expected
+
+
 @given(st.lists(st.integers(0, 2), max_size=40))
 @settings(max_examples=100, deadline=None)
 def test_run_classes(tokens):

@@ -30,12 +30,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays.
+    """Of each group of near-duplicates one document stays: that with the smallest id, one without an id only where none has an id.
 
-    Rows that share id and text are one document; a document without an id stays when its group has no id.
+    Rows that share id and text are one document.
     """
-    found = minhash_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(found, F.expr("doc_id <=> kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    found = minhash_dedup.survivors(docs).selectExpr("doc_id AS kept_id", "text_hash AS kept_hash")
+    kept = docs.join(found, F.expr("doc_id <=> kept_id AND xxhash64(text) = kept_hash"), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

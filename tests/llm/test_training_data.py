@@ -148,6 +148,19 @@ def test_near_duplicates_from_80_percent(spark):
     _same([(r.doc_id, r.component_id, r.kept) for r in found], [(n, first[g], first[g] == n) for n, g in enumerate(group)])
 
 
+def test_pipeline_keeps_one_document_of_each_group(spark):
+    """Near copies without ids, near copies under one id, and two texts under an id of which one is kept."""
+    import corpus_pipeline
+
+    a, b, c = _sentence(71, 200), _sentence(72, 200), _sentence(73, 200)
+    rows = [(None, a), (None, a + " x"), (None, a + " y"), (5, b), (None, b + " x"), (5, b + " y"), (3, c), (5, c + " z"), (9, None), (None, None), (3, c)]
+    docs = spark.createDataFrame([(i, t, "en", "a", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert len(found) == 5 and {(3, c), (9, None), (None, None)} <= set(found)
+    assert len({(i, t) for i, t in found if i == 5} & {(5, b), (5, b + " y")}) == 1
+    assert len({t for i, t in found if i is None and t} & {a, a + " x", a + " y"}) == 1
+
+
 def test_connected(spark):
     edges = [(5, 4), (4, 3), (3, 2), (9, 8), (20, 9), (7, 7), (30, 31), (31, 32), (32, 30)]
     found = dict(map(tuple, connected(spark.createDataFrame(edges, "a long, b long")).collect()))

@@ -169,6 +169,30 @@ def near_duplicates(
     documents of their own. A row without an id takes the smallest id of its component; alone it
     has a null component_id and is kept. Other columns of ``docs`` are not looked at.
     """
+    rooted = _rooted(docs, id_col, text_col, words, percent, miss)
+    named = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    return rooted.join(named, "root").select(
+        F.col("id").alias(id_col),
+        "n_shingles",
+        "component_id",
+        F.expr("coalesce(id = component_id, component_id IS NULL) AS kept"),
+    )
+
+
+def survivors(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, miss: float = 1e-7
+) -> DataFrame:
+    """One row per group of linked documents, the one that stays: ``id_col`` and text_hash (xxhash64 of its text).
+
+    It has the smallest id, rows without one last; among equal ids the smallest hash. Rows that share id and text are one document.
+    """
+    rooted = _rooted(docs, id_col, text_col, words, percent, miss)
+    first = rooted.groupBy("root").agg(F.expr("min(struct(id IS NULL AS missing, id, text_hash)) AS first"))
+    return first.select(F.col("first.id").alias(id_col), "first.text_hash").distinct()
+
+
+def _rooted(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, miss: float) -> DataFrame:
+    """Each row's id, text_hash and n_shingles, and the root of its component."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     bands, per_band = bands_for(percent)
     id_type = dict(docs.dtypes)["id"]
@@ -204,11 +228,4 @@ def near_duplicates(
     links = paired.groupBy("family", "i", "j").applyInPandas(_linker(percent, miss, bands * per_band), "a long, b long")
     found = connected(links)
 
-    rooted = rows.join(found, "node", "left").selectExpr("id", "n_shingles", "coalesce(root, node) AS root")
-    named = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rooted.join(named, "root").select(
-        F.col("id").alias(id_col),
-        "n_shingles",
-        "component_id",
-        F.expr("coalesce(id = component_id, component_id IS NULL) AS kept"),
-    )
+    return rows.join(found, "node", "left").selectExpr("id", "text_hash", "n_shingles", "coalesce(root, node) AS root")

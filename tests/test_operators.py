@@ -1,6 +1,7 @@
 """Small hand-made cases for cleaning, tables, scoring, metrics, drift and training."""
 
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import days_between, half_up_ratio, register_sql_functions, to_cents
 from tidemark.operators import clean, joins, ledger, metrics, scoring, tables
 from tidemark.operators.running import running
-from tidemark.plans import drift, training
+from tidemark.plans import drift, serving, training
 from tidemark.schemas import CATALOG, SERVICES, VIEWS, check_catalog, feature_names, model_config
 from tidemark.sources import readers, sinks
 
@@ -296,3 +297,25 @@ def test_model_weights_match_closed_form_gradient(spark):
     vector = model.transform(unseen).first().features.toArray()
     assert vector[-3:].sum() == 0
     assert 0 < training.score(model, df).first().fraud_score < 1
+
+
+def test_scored_batch_holds_every_row_once(spark):
+    """Exact copies and rows without an arrival are decided or rejected once each, whatever their order."""
+    moment = datetime(2024, 1, 1, 12)
+
+    def row(i, arrival, amount="10.00"):
+        return (i, "c-1", "card", "m-1", "grocery", Decimal(amount), "EUR", "SE", moment, "MODEL_A", arrival)
+
+    rows = [row("t1", 1), row("t1", 1), row("t2", None), row("t2", None, "11.00"), row("t3", None), row("t4", 4), row("t4", 5, "-1.00"), row(None, 6)]
+    df = spark.createDataFrame(
+        rows,
+        "transaction_id string, customer_id string, card_id string, merchant_id string, merchant_category string, amount decimal(18,2), "
+        "currency string, country string, event_timestamp timestamp, requested_model string, arrival_seq long",
+    )
+    batch = serving.score_batch(df, lambda model, inputs: inputs.selectExpr("*", "0.2D AS fraud_score"))
+    decided = sorted(r["transaction_id"] for r in batch.decisions.collect())
+    rejected = sorted((r["transaction_id"] or "", r["reject_reason"]) for r in batch.rejected.collect())
+    assert decided == ["t1", "t2", "t3", "t4"]
+    assert rejected == [
+        ("", "transactionId is required"), ("t1", serving.REPEATED), ("t2", serving.REPEATED), ("t4", "amount must be positive")
+    ]

@@ -52,8 +52,11 @@ def score_batch(
     """
     catalog = CATALOG if catalog is None else catalog
     valid, invalid = validate_transactions(raw)
-    accepted = dedupe_transactions(valid, order_by)
-    repeated = valid.join(accepted.select("transaction_id", order_by), ["transaction_id", order_by], "left_anti")
+    # Valid rows are numbered once and stored, so that exact copies and rows without an arrival stay apart.
+    valid = _stored(valid.withColumn("_row", F.monotonically_increasing_id()), "valid-transactions")
+    accepted = dedupe_transactions(valid, f"{order_by}, _row")
+    repeated = valid.join(accepted.select("_row"), "_row", "left_anti")
+    accepted = accepted.drop("_row")
     admitted, processed = (accepted, accepted.limit(0)) if ledger is None else admit(accepted, ledger)
     # The admitted transactions and their feature rows are tables of their own; later steps read what was written.
     admitted = cut_lineage(resolve_model(admitted, catalog))

@@ -90,7 +90,7 @@ def check_training_rows(split: DataFrame, min_rows: int = 4) -> dict[str, int]:
         F.expr("count_if(part = 'train' AND is_fraud = 1) AS train_positive"),
     ).first().asDict()
     if found["rows"] < min_rows:
-        raise ValueError(f"{found['rows']} labeled rows; a split by time needs {min_rows} or more")
+        raise ValueError(f"{found['rows']} labeled rows; a split by time needs at least {min_rows}")
     if found["labels"] < 2:
         raise ValueError("all labels are equal; both kinds are needed")
     if found["train_labels"] < 2:

@@ -112,3 +112,45 @@ SELECT p.doc_id, p.n AS n_chars, e.digest AS edited_sha256, a.mark AS fingerprin
 FROM pairs p JOIN marked a ON a.doc_id = p.doc_id AND a.edited = 0 JOIN marked e ON e.doc_id = p.doc_id AND e.edited = 1
 JOIN marked f ON f.doc_id = p.next_id AND f.edited = 0
 """
+
+# The checksum of a word runs over its bytes with a table of 256 entries, which follows from the polynomial.
+OP13 = r"""
+WITH steps AS (
+  SELECT list(c ORDER BY i) AS entries FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT range AS i FROM range(256)) n) t),
+docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+items AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+d AS (SELECT doc_id, unnest(words) AS word FROM docs),
+b AS (SELECT unnest(words) AS word FROM items),
+coded AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM d UNION SELECT word FROM b) w),
+octets AS (
+  SELECT word, list_transform(range(strlen(h) // 2), lambda k: CAST(
+    (instr('0123456789ABCDEF', substr(h, CAST(2 * k + 1 AS BIGINT), 1)) - 1) * 16
+    + instr('0123456789ABCDEF', substr(h, CAST(2 * k + 2 AS BIGINT), 1)) - 1 AS BIGINT)) AS bytes FROM coded),
+buckets AS (
+  SELECT word, xor(list_reduce(list_concat([4294967295], bytes), lambda c, x: xor(c >> 8, entries[(xor(c, x) & 255) + 1])), 4294967295) % 10000
+    AS bucket FROM octets, steps),
+s AS (SELECT bucket, count(*) AS n FROM d JOIN buckets USING (word) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS n FROM b JOIN buckets USING (word) GROUP BY 1),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM s) + 10000) AS DOUBLE)
+                    / CAST((s.n + 1) * ((SELECT coalesce(sum(n), 0) FROM t) + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+weighed AS (
+  SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM d JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY 1),
+scored AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_features,
+         CASE WHEN n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END AS weight,
+         CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h
+  FROM docs LEFT JOIN weighed USING (doc_id)),
+noisy AS (
+  SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM scored),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM noisy WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS "rank" FROM noisy LEFT JOIN ranked USING (doc_id)
+"""

@@ -8,14 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import (
-    byte_bpe, html_extract, imatch, line_rules, masked_lm, minhash_dedup, oracle, secret_scan, source_mix, substring_dedup,
-    training_order,
+    byte_bpe, html_extract, imatch, importance, line_rules, masked_lm, minhash_dedup, oracle, secret_scan, source_mix,
+    substring_dedup, token_counts, training_order, whitening,
 )
 from tidemark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB statements by query name, where SQL can express the query.
-ORACLE: dict[str, str] = {"op1_imatch": oracle.OP1, "op4_line_rules": oracle.OP4, "op9_source_mix": oracle.OP9}
+ORACLE: dict[str, str] = {"op1_imatch": oracle.OP1, "op4_line_rules": oracle.OP4, "op9_source_mix": oracle.OP9, "op13_importance": oracle.OP13}
 
 
 def query(build):
@@ -49,12 +49,13 @@ _SPAN = "x -> concat_ws(':', x.kind, x.start, x.end)"
 @query
 def op6_secret_scan(spark, sf_dir):
     found = secret_scan.scan_secrets(documents(spark, sf_dir))
-    counts = [f"cast(size(filter(spans, x -> x.kind = '{k}')) AS bigint) AS n_{k}" for k in (*secret_scan.KINDS, "entropy")]
+    *counts, entropy = [f"cast(size(filter(spans, x -> x.kind = '{k}')) AS bigint) AS n_{k}" for k in (*secret_scan.KINDS, "entropy")]
     return found.selectExpr(
         "doc_id",
         *counts,
         f"sha2(array_join(transform(filter(spans, x -> x.kind <> 'entropy'), {_SPAN}), ','), 256) AS base_sha256",
         f"array_join(transform(spans, {_SPAN}), ',') AS spans",
+        entropy,
     )
 
 
@@ -100,3 +101,19 @@ def op3_page_text(spark, sf_dir):
 def op5_training_order(spark, sf_dir):
     vocabulary, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     return training_order.stored_order(documents(spark, sf_dir), vocabulary=vocabulary, pattern=pattern)
+
+
+@query
+def op11_token_counts(spark, sf_dir):
+    counted = token_counts.count_tokens(documents(spark, sf_dir), model=public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 4096 AS over_limit")
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op13_importance(spark, sf_dir):
+    return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -45,7 +45,7 @@ CLASSES = (
     CharacterClass("base64", re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 4.0),
 )
 #: Candidates that are no secret although they may look random: one kind of character only, a word list, an address or path of letters.
-ALLOWED = tuple(re.compile(p) for p in (r"[A-Za-z]+", r"[0-9]+", r"[A-Za-z]*(?:[-_/=+]+[A-Za-z]*)+"))
+ALLOWED = (re.compile(r"[A-Za-z/_=+-]+"), re.compile(r"[0-9]+"))
 #: Placeholders and alphabets, with up to eight letters and digits that they are glued to.
 _PLACEHOLDER = re.compile(
     r"[A-Za-z0-9]{0,8}(?:(?:example|placeholder|dummy|xxxx|changeme|abcdefgh|01234567)[A-Za-z0-9]{0,8}|your[_-])", re.ASCII | re.IGNORECASE
@@ -176,5 +176,8 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     scan = F.pandas_udf(_scan, _FOUND)
     others = [F.col(f"`{c}`").alias(c) for c in carry if c not in (id_col, "redacted", "spans")]
-    found = docs.select(F.col(f"`{id_col}`").alias(id_col), *others, scan(F.col(f"`{text_col}`")).alias("_found"))
-    return found.select(*[c for c in found.columns if c != "_found"], "_found.redacted", "_found.spans")
+    kept = [F.col(f"`{id_col}`").alias(id_col), *others]
+    # A name that no column has.
+    at = "_found" + "_" * max(map(len, docs.columns))
+    found = docs.select(*kept, scan(F.col(f"`{text_col}`")).alias(at))
+    return found.select(*[F.col(f"`{c}`") for c in found.columns if c != at], F.col(at)["redacted"].alias("redacted"), F.col(at)["spans"].alias("spans"))

@@ -1,11 +1,12 @@
-"""Live features: one row per transaction from per-customer state.
+"""Live features: one row per transaction from keyed state.
 
 Events are taken in order of arrival. A late transaction is accepted and sees ``[t - W, t]`` of what
 is still kept; transactions dated after it are not in its windows. Within a micro-batch arrival is
 the order of event time and transaction id, so input in time order gives the batch result.
 
-State per customer: the transactions of the last days and one bucket per (day, merchant). It is
-bounded by the window, not by the length of the stream.
+State of a customer is a set of small entries, of which a micro-batch reads and writes those it touches: the transactions of an hour, the sums of an
+hour, the visits of one merchant on one day, the marker of one transaction id. Hours expire from the oldest one on, days and markers by their horizon, so
+the state is bounded by the windows, not by the length of the stream, and the work of a micro-batch grows with its rows.
 """
 
 from __future__ import annotations
@@ -17,23 +18,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from tidemark.functions.scalars import DAY_MS, HOUR_MS, epoch_ms, is_cross_border, text_or_null, to_cents
 from tidemark.operators.visits import check_window
 from tidemark.schemas import CUSTOMER_FEATURES, DEFAULT_MODEL, HOME_COUNTRY, TRANSACTION, VISIT_WINDOW_DAYS
+from tidemark.streaming.memory import WEEK_MS, Standing, rolling_values
 
 # How long state outlives its last write.
 STATS_TTL = timedelta(days=8)
 VISIT_GRACE_DAYS = 2
 
-_WEEK = 7 * DAY_MS
-_MARKER = 8 * DAY_MS
+#: How far arrival times may lie apart within a micro-batch before rows are taken for older than the watermark.
+ARRIVAL_DELAY = timedelta(minutes=10)
 
-_STATE = (
-    "ids array<string>, ms array<bigint>, cents array<bigint>, merchants array<string>, abroad array<bigint>, "
-    "floor bigint, days array<bigint>, day_merchants array<string>, visits array<bigint>, first array<bigint>, last array<bigint>"
-)
 _CARRIED = "merchant_category string, amount double, country string, requested_model string"
 
 
@@ -61,11 +59,19 @@ def stream_features(
     home: str | Iterable[str] = HOME_COUNTRY,
     window_days: int = VISIT_WINDOW_DAYS,
     expire: bool = True,
+    *,
+    arrived: str = "current_timestamp()",
+    late_rows: bool = False,
 ) -> DataFrame:
-    """Feature rows of a stream of valid transactions; repeated transaction ids are ignored.
+    """Feature rows of a stream of valid transactions.
 
-    With ``expire`` the state of a silent customer is dropped after its time to live. A processing
-    time limit keeps Spark running batches for ever, so an ``availableNow`` run has to go without.
+    A repeated transaction id gives no row for 8 days; after that, and until the markers of the visit window go, it counts in the rolling windows
+    again but not as a visit. The clock of these horizons is the time of arrival, ``arrived`` (SQL), with ``expire``: then rolling
+    windows of a customer go 8 days after their last transaction and the visits of a day ``window_days + 2`` days after their last
+    one, also where nothing arrives any more, as soon as the stream's arrival time has passed. Without ``expire`` event time is the clock.
+
+    With ``late_rows`` the column ``beyond_horizon`` follows: such a transaction belongs to a day older than all days that are kept, it changes nothing and its
+    features are null; ``split_late`` takes both kinds apart. Without it, it gets the features of an empty memory.
     """
     check_window(window_days)
     asked = "requested_model" if "requested_model" in stream.columns else "cast(null AS string)"
@@ -76,115 +82,225 @@ def stream_features(
         f"{epoch_ms('event_timestamp')} AS ms",
         f"{to_cents('amount')} AS cents",
         f"cast({is_cross_border('country', home)} AS bigint) AS abroad",
+        f"cast({arrived} AS timestamp) AS arrived",
     )
+    if expire:
+        rows = rows.withWatermark("arrived", f"{int(ARRIVAL_DELAY.total_seconds())} seconds")
+    rows = rows.withColumn("arrived_ms", F.expr("unix_millis(arrived)"))
     features = ", ".join(f"{name} {kind}" for name, kind in CUSTOMER_FEATURES.items())
-    output = f"customer_id string, transaction_id string, merchant_id string, event_timestamp timestamp, {_CARRIED}, {features}"
-    expiry = int(max(STATS_TTL, timedelta(days=window_days + VISIT_GRACE_DAYS)).total_seconds() * 1000)
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        memory = _Memory(state.get if state.exists else None, window_days)
-        arrived = pd.concat(list(batches), ignore_index=True).sort_values(["ms", "transaction_id"], kind="stable")
-        found = [(i, memory.take(row)) for i, row in zip(arrived.index, arrived.itertuples(index=False))]
-        state.update(memory.as_tuple())
-        if expire:
-            state.setTimeoutDuration(expiry)
-        kept = [(i, values) for i, values in found if values is not None]
-        if kept:
-            carried = arrived.loc[[i for i, _ in kept]].drop(columns=["ms", "cents", "abroad"]).reset_index(drop=True)
-            yield pd.concat([carried, pd.DataFrame([v for _, v in kept], columns=list(CUSTOMER_FEATURES))], axis=1)[
-                [c.split()[0] for c in output.split(", ")]
-            ]
-
-    return rows.groupBy("customer_id").applyInPandasWithState(
-        update, output, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
+    output = f"customer_id string, transaction_id string, merchant_id string, event_timestamp timestamp, {_CARRIED}, {features}, beyond_horizon boolean"
+    # Keyed state with many entries per key needs the store that reads single entries.
+    stream.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    )
+    found = rows.groupBy("customer_id").transformWithStateInPandas(
+        _CustomerMemory(window_days, expire, late_rows), output, "Append", "EventTime" if expire else "None"
     )
+    return found if late_rows else found.drop("beyond_horizon")
+
+
+def split_late(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(feature rows, late transactions) of a batch of ``stream_features`` with ``late_rows``."""
+    late = features.where("beyond_horizon").drop("beyond_horizon", *CUSTOMER_FEATURES)
+    return features.where("NOT beyond_horizon").drop("beyond_horizon"), late
+
+
+class _CustomerMemory(StatefulProcessor):
+    """The state of a customer.
+
+    ``rows`` and ``sums`` hold the transactions of the last 7 days by hour, one by one and summed; ``visits`` the visits by day and
+    merchant; ``markers`` the clock of every id and ``marked`` the ids by day of the clock and micro-batch, to find those that are due.
+    """
+
+    def __init__(self, window_days: int, expire: bool, late_rows: bool):
+        self.window_days, self.expire, self.late_rows = window_days, expire, late_rows
+        self.rolling_ms = int(STATS_TTL.total_seconds() * 1000)
+        self.visit_ms = (window_days + VISIT_GRACE_DAYS) * DAY_MS
+        self.marker_ms = max(self.rolling_ms, self.visit_ms)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        # Clock and newest transaction so far, last write, next micro-batch, the due time of the timer.
+        self.known = handle.getValueState("known", "clock bigint, newest bigint, written bigint, batch bigint, timer bigint")
+        self.rows = handle.getMapState("rows", "hour bigint", "ms array<bigint>, cents array<bigint>, abroad array<bigint>, merchants array<string>")
+        self.sums = handle.getMapState("sums", "hour bigint", "n bigint, cents bigint, abroad bigint, largest bigint")
+        self.visits = handle.getMapState("visits", "day bigint, merchant string", "visits bigint, first bigint, last bigint, written bigint")
+        self.markers = handle.getMapState("markers", "id string", "clock bigint")
+        self.marked = handle.getMapState("marked", "day bigint, batch bigint", "ids array<string>")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        arrived = pd.concat(list(rows), ignore_index=True)
+        arrived = arrived.sort_values(["ms", "transaction_id"], kind="stable").drop_duplicates("transaction_id", ignore_index=True)
+        known = self.known.get()
+        clock, newest, written, batch, timer = known or (-(2**62), -(2**62), -(2**62), 0, -1)
+        ms = arrived["ms"].to_numpy()
+        # The newest transaction ahead of each; also the clock, where event time is the clock.
+        ahead = np.maximum(newest, np.concatenate([[newest], ms[:-1]]))
+        clocks = arrived["arrived_ms"].to_numpy() if self.expire else np.maximum(ahead, ms)
+        now = max(clock, int(clocks.max()))
+        if self.expire and written + self.rolling_ms <= now:
+            self._forget_rolling()
+
+        late = (ms // DAY_MS <= ahead // DAY_MS - self.window_days - VISIT_GRACE_DAYS) & self.late_rows
+        new, counted = self._unseen(arrived["transaction_id"].tolist(), clocks, known is None)
+        self._mark(arrived["transaction_id"].to_numpy()[new], clocks[new], batch)
+        part = arrived[new & ~late].reset_index(drop=True)
+        if len(part):
+            newest, written = max(newest, int(part["ms"].iloc[-1])), now
+            rolling = self._rolling(part, known is None)
+            visited = self._visited(part, counted[new & ~late], known is None, newest, now)
+            yield self._output(part, [a + b for a, b in zip(rolling, visited)], False)
+        beyond = arrived[new & late].reset_index(drop=True)
+        if len(beyond):
+            yield self._output(beyond, [[None] * len(CUSTOMER_FEATURES)] * len(beyond), True)
+        # Later micro-batches are not behind this clock.
+        if known is not None and now // DAY_MS > clock // DAY_MS:
+            self._forget_markers(now)
+        self.known.update((now, newest, written, batch + 1, self._remind(now, written, timer) if self.expire else timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = self.known.get()
+        if known is not None:
+            clock, newest, written, batch, _ = known
+            now = max(clock, timerValues.getCurrentWatermarkInMs())
+            if written + self.rolling_ms <= now:
+                self._forget_rolling()
+            for day, merchant in self._outlived(dict(self.visits.iterator()) if self.visits.exists() else {}, now):
+                self.visits.removeKey((day, merchant))
+            self._forget_markers(now)
+            if self.rows.exists() or self.visits.exists() or self.markers.exists():
+                self.known.update((clock, newest, written, batch, self._remind(now, written, -1)))
+            else:
+                self.known.clear()
+        return iter(())
+
+    def _output(self, part: pd.DataFrame, features: list[list], beyond: bool) -> pd.DataFrame:
+        carried = ["customer_id", "transaction_id", "merchant_id", "event_timestamp", *[c.split()[0] for c in _CARRIED.split(", ")]]
+        values = pd.DataFrame(features, columns=list(CUSTOMER_FEATURES))
+        if beyond:
+            values = values.astype({c: "object" if kind == "string" else "Float64" if kind == "double" else "Int64" for c, kind in CUSTOMER_FEATURES.items()})
+        return pd.concat([part[carried], values], axis=1).assign(beyond_horizon=beyond)
+
+    def _unseen(self, ids: list[str], clocks: np.ndarray, fresh: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(not seen within the rolling horizon, not seen within that of the visits either)."""
+        new, counted = np.ones(len(ids), bool), np.ones(len(ids), bool)
+        if not fresh:
+            for k, i in enumerate(ids):
+                marker = self.markers.getValue((i,))
+                if marker is not None:
+                    age = int(clocks[k]) - marker[0]
+                    new[k], counted[k] = age >= self.rolling_ms, age >= self.visit_ms
+        return new, counted
+
+    def _mark(self, ids: np.ndarray, clocks: np.ndarray, batch: int) -> None:
+        for i, at in zip(ids.tolist(), clocks.tolist()):
+            self.markers.updateValue((i,), (at,))
+        days = clocks // DAY_MS
+        for day in np.unique(days).tolist():
+            self.marked.updateValue((day, batch), (ids[days == day].tolist(),))
+
+    def _forget_markers(self, now: int) -> None:
+        due = [k for k in self.marked.keys() if (k[0] + 1) * DAY_MS + self.marker_ms <= now] if self.marked.exists() else []
+        for day, batch in due:
+            for i in self.marked.getValue((day, batch))[0]:
+                marker = self.markers.getValue((i,))
+                # An id that was marked again since belongs to a later day.
+                if marker is not None and marker[0] // DAY_MS <= day:
+                    self.markers.removeKey((i,))
+            self.marked.removeKey((day, batch))
+
+    def _forget_rolling(self) -> None:
+        self.rows.clear()
+        self.sums.clear()
+
+    def _outlived(self, kept: dict[tuple[int, str], tuple], now: int) -> list[tuple[int, str]]:
+        """Entries of days whose last write is too long ago."""
+        last: dict[int, int] = {}
+        for (day, _), value in kept.items():
+            last[day] = max(value[3], last.get(day, value[3]))
+        return [(day, merchant) for day, merchant in kept if last[day] + self.visit_ms <= now]
+
+    def _remind(self, now: int, written: int, timer: int) -> int:
+        """Have the timer due when the next horizon ends of a customer who stays silent, on a full hour."""
+        ends = written + self.rolling_ms if written + self.rolling_ms > now else now + self.marker_ms + DAY_MS
+        due = (ends // HOUR_MS + 1) * HOUR_MS
+        if due != timer:
+            if timer > now:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        return due
+
+    def _rolling(self, part: pd.DataFrame, fresh: bool) -> list[list]:
+        ms, merchants = part["ms"].to_numpy(), part["merchant_id"].tolist()
+        cents, abroad = part["cents"].to_numpy(), part["abroad"].to_numpy()
+        first, last = int(ms[0]), int(ms[-1])
+        gone = last - WEEK_MS - 1  # what has left for good after this micro-batch
+        hours = sorted(h for (h,) in self.rows.keys()) if not fresh and self.rows.exists() else []
+        held: dict[int, tuple] = {}
+        blocks = []
+        for hour in hours:
+            start, end = hour * HOUR_MS, (hour + 1) * HOUR_MS - 1
+            if end < first - WEEK_MS or start > last:
+                continue
+            if end < first - DAY_MS and start >= last - WEEK_MS and start > gone:
+                n, total, far, largest = self.sums.getValue((hour,))
+                blocks.append((end, total, far, n, largest))
+            else:
+                held[hour] = self.rows.getValue((hour,))
+        old = [np.array([v for h in held.values() for v in h[k]], np.int64) for k in range(3)]
+        names = [m for h in held.values() for m in h[3]]
+        order = np.argsort(old[0], kind="stable")
+        old, names = tuple(o[order] for o in old), [names[k] for k in order.tolist()]
+        found = rolling_values(
+            old, names, tuple(np.array([b[k] for b in blocks], np.int64) for k in range(5)), (ms, cents, abroad), merchants
+        )
 
+        # The oldest hours leave first; only the hour that is cut and the hours with new rows are written.
+        for hour in hours:
+            if (hour + 1) * HOUR_MS - 1 <= gone:
+                self.rows.removeKey((hour,))
+                self.sums.removeKey((hour,))
+                held.pop(hour, None)
+        by_hour: dict[int, list[int]] = {}
+        for k in np.flatnonzero(ms > gone).tolist():
+            by_hour.setdefault(int(ms[k]) // HOUR_MS, []).append(k)
+        cut = [h for h in held if h * HOUR_MS <= gone]
+        for hour in {*by_hour, *cut}:
+            stored = held.get(hour, ([], [], [], []))
+            entries = [e for e in zip(*stored) if e[0] > gone]
+            entries += [(int(ms[k]), int(cents[k]), int(abroad[k]), merchants[k]) for k in by_hour.get(hour, [])]
+            if entries:
+                entries.sort(key=lambda e: e[0])
+                lists = [list(c) for c in zip(*entries)]
+                self.rows.updateValue((hour,), tuple(lists))
+                self.sums.updateValue((hour,), (len(entries), sum(lists[1]), sum(lists[2]), max(lists[1])))
+            else:
+                self.rows.removeKey((hour,))
+                self.sums.removeKey((hour,))
+        return found
 
-def _half_up(numerator: int, denominator: int, digits: int) -> float:
-    scale = 10**digits
-    return ((2 * scale * numerator + denominator) // (2 * denominator)) / scale
-
-
-class _Memory:
-    """State of one customer while a micro-batch is worked off."""
-
-    def __init__(self, state: tuple | None, window_days: int):
-        ids, ms, cents, merchants, abroad, floor, days, day_merchants, visits, first, last = state or ([],) * 5 + (None,) + ([],) * 5
-        self.rows = {i: values for i, *values in zip(ids, ms, cents, merchants, abroad)}
-        # Transactions at or before this moment have left the rolling windows for good.
-        self.floor = floor if floor is not None else -(2**62)
-        self.buckets = {
-            (day, merchant): list(counts) for day, merchant, *counts in zip(days, day_merchants, visits, first, last)
-        }
-        self.window_days = window_days
-
-    def as_tuple(self) -> tuple:
-        ids = list(self.rows)
-        columns = [list(c) for c in zip(*self.rows.values())] or [[]] * 4
-        keys = list(self.buckets)
-        counts = [list(c) for c in zip(*self.buckets.values())] or [[]] * 3
-        return (ids, *columns, self.floor, [d for d, _ in keys], [m for _, m in keys], *counts)
-
-    def take(self, event) -> list | None:
-        """Features of one arriving transaction; None if it was seen before."""
-        if event.transaction_id in self.rows:
-            return None
-        visit_values = self._visits(event)
-        rolling_values = self._rolling(event)
-        self._count_visit(event)
-        return rolling_values + visit_values
-
-    def _rolling(self, event) -> list:
-        now = int(event.ms)
-        self.floor = max(self.floor, now - _WEEK - 1)
-        self.rows[event.transaction_id] = [now, int(event.cents), event.merchant_id, int(event.abroad)]
-        # Kept a day longer than the windows reach, to recognise repeated ids.
-        newest = self.floor + _WEEK + 1
-        self.rows = {i: r for i, r in self.rows.items() if r[0] > newest - _MARKER or i == event.transaction_id}
-        ms = np.fromiter((r[0] for r in self.rows.values()), dtype=np.int64)
-        # A transaction that arrives after its own time has left is still part of its own windows.
-        here = (ms <= now) & ((ms > self.floor) | np.fromiter((i == event.transaction_id for i in self.rows), dtype=bool))
-        cents = np.fromiter((r[1] for r in self.rows.values()), dtype=np.int64)
-        abroad = np.fromiter((r[3] for r in self.rows.values()), dtype=np.int64)
-        day, week = here & (ms >= now - DAY_MS), here & (ms >= now - _WEEK)
-        merchants = {r[2] for r, inside in zip(self.rows.values(), day) if inside}
-        return [
-            int((here & (ms >= now - HOUR_MS)).sum()),
-            int(day.sum()),
-            int(cents[day].sum()) / 100.0,
-            _half_up(int(cents[week].sum()), max(1, int(week.sum())), 0) / 100.0,
-            int(cents[week].max()) / 100.0,
-            len(merchants),
-            int(abroad[week].sum()),
-        ]
-
-    def _visits(self, event) -> list:
-        now, today = int(event.ms), int(event.ms) // DAY_MS
-        merged: dict[str, list[int]] = {}
-        for (day, merchant), (visits, first, last) in self.buckets.items():
-            if today - self.window_days < day <= today:
-                known = merged.setdefault(merchant, [0, first, last])
-                known[0] += visits
-                known[1], known[2] = min(known[1], first), max(known[2], last)
-        mine = merged.get(event.merchant_id)
-        if not merged:
-            return [0, 0.0, 0, 0, -1.0, -1.0, 0, 1, ""]
-        top = min(merged, key=lambda m: (-merged[m][0], m))
-        if mine is None:
-            return [0, 0.0, 0, 0, -1.0, -1.0, len(merged), 1, top]
-        place = (-mine[0], event.merchant_id)
-        rank = 1 + sum((-values[0], merchant) < place for merchant, values in merged.items())
-        total = sum(values[0] for values in merged.values())
-        since = [_half_up(max(0, now - moment), DAY_MS, 6) for moment in mine[1:]]
-        return [mine[0], _half_up(mine[0], total, 6), rank, int(rank == 1), *since, len(merged), 0, top]
-
-    def _count_visit(self, event) -> None:
-        now, today = int(event.ms), int(event.ms) // DAY_MS
-        bucket = self.buckets.setdefault((today, event.merchant_id), [0, now, now])
-        bucket[0] += 1
-        bucket[1], bucket[2] = min(bucket[1], now), max(bucket[2], now)
-        oldest = max(day for day, _ in self.buckets) - self.window_days - VISIT_GRACE_DAYS
-        self.buckets = {key: values for key, values in self.buckets.items() if key[0] > oldest or key[0] == today}
+    def _visited(self, part: pd.DataFrame, counted: np.ndarray, fresh: bool, newest: int, now: int) -> list[list]:
+        kept = dict(self.visits.iterator()) if not fresh and self.visits.exists() else {}
+        for outlived in self._outlived(kept, now) if self.expire else []:
+            self.visits.removeKey(outlived)
+            del kept[outlived]
+        standing = Standing({k: v[:3] for k, v in kept.items()}, self.window_days)
+        found, touched = [], {}
+        for ms, merchant, counts in zip(part["ms"].tolist(), part["merchant_id"].tolist(), counted.tolist()):
+            day = ms // DAY_MS
+            standing.move_to(day)
+            found.append(standing.features(merchant, ms))
+            if counts:
+                touched[day, merchant] = standing.count(merchant, ms, day)
+        oldest = newest // DAY_MS - self.window_days - VISIT_GRACE_DAYS
+        for (day, merchant), bucket in touched.items():
+            if self.expire or day > oldest:
+                self.visits.updateValue((day, merchant), (*bucket, now))
+        if not self.expire:
+            for day, merchant in kept:
+                if day <= oldest:
+                    self.visits.removeKey((day, merchant))
+        return found

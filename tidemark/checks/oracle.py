@@ -481,6 +481,28 @@ def statements() -> dict[str, str]:
     built["stream_feature_rows"] = _statement(
         f"""SELECT v.transaction_id, v.customer_id, {_FEATURES} FROM visits v JOIN rolling r ON r.transaction_id = v.transaction_id"""
     )
+    built["stream_feature_rows_hot"] = _statement(
+        f"SELECT v.transaction_id, v.customer_id, {_FEATURES} FROM visits v JOIN rolling r ON r.transaction_id = v.transaction_id",
+        **{"tx_ms": _PARTS["tx_ms"].replace("SELECT *", "SELECT * REPLACE ('cust-all' AS customer_id)"), **short},
+    )
+    built["stream_late_rows"] = _statement(
+        """SELECT transaction_id, customer_id, moved AS event_timestamp, late, NOT late AS has_features FROM (
+             SELECT r.*, coalesce(floor(epoch(moved) / 86400) <= floor(epoch(max(moved) OVER (PARTITION BY customer_id ORDER BY part
+                    RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) / 86400) - 9, false) AS late
+             FROM (SELECT t.*, CAST(arrival_seq * 3 // (SELECT max(arrival_seq) + 1 FROM tx_raw) AS INTEGER) AS part,
+                          CASE WHEN merchant_category = 'error' THEN event_timestamp - INTERVAL 20 DAY ELSE event_timestamp END AS moved
+                   FROM tx_raw t) r)"""
+    )
+    built["stream_labels_current"] = _statement(
+        """SELECT transaction_id, is_fraud, label_source, label_timestamp, NULL::VARCHAR AS reject_reason FROM labels_now UNION ALL
+           SELECT transaction_id, NULL, NULL, NULL, CASE WHEN NOT (label_confidence BETWEEN 0 AND 1) THEN 'labelConfidence must be between 0 and 1'
+                  ELSE 'transaction is unknown' END
+           FROM labels_normal WHERE NOT (label_confidence BETWEEN 0 AND 1) OR transaction_id NOT IN (SELECT transaction_id FROM tx_raw)"""
+    )
+    built["merchant_window_maintained"] = built["merchant_window"]
+    built["merchant_visit_features_maintained"] = f"""SELECT * FROM ({built["merchant_visit_features"]})
+        WHERE transaction_id IN (SELECT concat('tx-', event_id) FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00')"""
+    built["ledger_status_merged"] = built["ledger_status"]
     built["stream_dedupe"] = _statement("SELECT transaction_id, customer_id FROM tx_raw")
     built["rolling_stats_running_sums"] = built["rolling_stats"]
     built["customer_feature_rows_hot"] = built["customer_feature_rows"]

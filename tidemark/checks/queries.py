@@ -18,6 +18,7 @@ from tidemark.sources import readers, sinks
 from tidemark.streaming import features
 from tidemark.streaming import tables as streams
 from tidemark.streaming.features import stream_features
+from tidemark.streaming.keyed import KeyedTable
 
 AS_OF = "TIMESTAMP_NTZ '2024-01-31 00:00:00'"
 EARLY = "TIMESTAMP_NTZ '2024-01-02 00:00:00'"
@@ -244,6 +245,14 @@ def ledger_status(spark, sf_dir):
     return _ledger(spark, sf_dir)
 
 
+@query
+def ledger_status_merged(spark, sf_dir):
+    """The same states from a snapshot and the states of the events after it."""
+    events = view(spark, sf_dir, "ledger_feed")
+    snapshot = cut_lineage(ledger.fold_ledger(events.where("status = 'STARTED'")))
+    return ledger.merge_ledger(snapshot.unionByName(ledger.ledger_states(events.where("status <> 'STARTED'"))))
+
+
 @query
 def stale_started(spark, sf_dir):
     return ledger.stale_started(_ledger(spark, sf_dir))
@@ -317,6 +326,28 @@ def merchant_window(spark, sf_dir):
     return visits.merchant_window(visits.merchant_day_buckets(_tx(spark, sf_dir)), SHORT_WINDOW)
 
 
+@query
+def merchant_window_maintained(spark, sf_dir):
+    """The same windows from stored day buckets, kept up by the buckets of four parts; the last part holds late transactions."""
+    part = "CASE WHEN merchant_category = 'error' THEN 3 ELSE arrival_seq % 3 END"
+    transactions = _tx(spark, sf_dir).withColumn("part", F.expr(part))
+    table = KeyedTable(new_folder(spark, "day-buckets"), "customer_id", visits.merge_buckets, buckets=2, day="day")
+    for k in range(4):
+        table.append(visits.merchant_day_buckets(transactions.where(f"part = {k}")), "main", k)
+        table.compact(spark, fan=2)
+    return visits.merchant_window(table.read(spark), SHORT_WINDOW)
+
+
+@query
+def merchant_visit_features_maintained(spark, sf_dir):
+    """Visit features of the last days of all customers from raw transactions of those days and stored buckets of all days before."""
+    transactions = _tx(spark, sf_dir)
+    old = "event_timestamp < TIMESTAMP_NTZ '2024-01-20 00:00:00'"
+    stored = cut_lineage(visits.merchant_day_buckets(transactions.where(old)))
+    found = feature_rows.transaction_features(transactions.where(f"NOT ({old})"), window_days=SHORT_WINDOW, stored=stored)
+    return found.select("transaction_id", "customer_id", "merchant_id", *list(CUSTOMER_FEATURES)[7:])
+
+
 @query
 def merchant_visit_features(spark, sf_dir):
     found = visits.merchant_visit_features(_tx(spark, sf_dir), SHORT_WINDOW)
@@ -354,14 +385,58 @@ def _run_to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def _micro_batches(rows: DataFrame, parts: int, name: str) -> DataFrame:
+    """A stream of ``rows`` in order of arrival, so many micro-batches of it."""
+    spark, path = rows.sparkSession, new_folder(rows.sparkSession, name)
+    last = rows.selectExpr("max(arrival_seq)").first()[0] or 0
+    for k in range(parts):
+        part = rows.where(f"arrival_seq * {parts} BETWEEN {k * (last + 1)} AND {(k + 1) * (last + 1) - 1}")
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query
 def stream_feature_rows(spark, sf_dir):
-    """The per-customer state of the live path, fed with all events."""
-    transactions = spark.sql(VIEW_SQL["tx_raw"], events=_events_stream(spark, sf_dir))
-    rows = _run_to_table(stream_features(transactions, expire=False), "stream-features")
+    """The keyed state of the live path, fed with all events in three micro-batches."""
+    arriving = _micro_batches(_tx(spark, sf_dir), 3, "stream-features-in")
+    rows = _run_to_table(stream_features(arriving, expire=False), "stream-features")
+    return rows.select("transaction_id", "customer_id", *CUSTOMER_FEATURES)
+
+
+@query
+def stream_feature_rows_hot(spark, sf_dir):
+    """The same with horizons by arrival and all events from one customer."""
+    arriving = _micro_batches(_tx(spark, sf_dir).withColumn("customer_id", F.lit("cust-all")), 4, "stream-hot-in")
+    rows = _run_to_table(stream_features(arriving, window_days=SHORT_WINDOW), "stream-hot")
     return rows.select("transaction_id", "customer_id", *CUSTOMER_FEATURES)
 
 
+@query
+def stream_late_rows(spark, sf_dir):
+    """Some transactions arrive 20 days late; those beyond the horizon of their customer go to an output of their own."""
+    late = "if(merchant_category = 'error', event_timestamp - INTERVAL '20' DAY, event_timestamp)"
+    arriving = _micro_batches(_tx(spark, sf_dir).withColumn("event_timestamp", F.expr(late)), 3, "stream-late-in")
+    rows = _run_to_table(stream_features(arriving, window_days=SHORT_WINDOW, expire=False, late_rows=True), "stream-late")
+    main, beyond = features.split_late(rows)
+    shown = ["transaction_id", "customer_id", "cast(event_timestamp AS timestamp_ntz) AS event_timestamp"]
+    counted = "customer_transaction_count_24h > 0 AS has_features"
+    return main.selectExpr(*shown, "false AS late", counted).unionByName(beyond.selectExpr(*shown, "true AS late", "false AS has_features"))
+
+
+@query
+def stream_labels_current(spark, sf_dir):
+    """Labels in three micro-batches: the current label of every known transaction, and the reason for every rejected one."""
+    feed, root = view(spark, sf_dir, "label_feed"), new_folder(spark, "stream-labels")
+    transactions = _tx(spark, sf_dir)
+    started = streams.stream_labels(_micro_batches(feed, 3, "stream-labels-in"), root, lambda: transactions, AS_OF, writer="main")
+    started.option("checkpointLocation", new_folder(spark, "label-log")).trigger(availableNow=True).start().awaitTermination()
+    current = streams.read_upserted(spark, f"{root}/fraud_labels", ["transaction_id"], "arrival_seq")
+    rejected = spark.read.parquet(f"{root}/rejected_labels").select("transaction_id", "reject_reason")
+    return current.selectExpr(
+        "transaction_id", "is_fraud", "label_source", "label_timestamp", "cast(null AS string) AS reject_reason"
+    ).unionByName(rejected, allowMissingColumns=True)
+
+
 @query
 def stream_dedupe(spark, sf_dir):
     """Copies of every transaction in one stream; which copy comes first is not defined, so only ids are kept."""
@@ -407,16 +482,11 @@ def _feature_score(model: str, inputs: DataFrame) -> DataFrame:
 @query
 def stream_decisions(spark, sf_dir):
     """Dirty transactions in three micro-batches, in order of arrival."""
-    incoming, root = new_folder(spark, "stream-decisions-in"), new_folder(spark, "stream-decisions")
-    rows = view(spark, sf_dir, "tx_dirty")
-    last = rows.selectExpr("max(arrival_seq)").first()[0]
-    for k in range(3):
-        part = rows.where(f"arrival_seq * 3 BETWEEN {k * (last + 1)} AND {(k + 1) * (last + 1) - 1}")
-        part.coalesce(1).write.mode("append").parquet(incoming)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
-    started = streams.stream_decisions(stream, root, _feature_score, writer="main")
+    root = new_folder(spark, "stream-decisions")
+    stream = _micro_batches(view(spark, sf_dir, "tx_dirty"), 3, "stream-decisions-in")
+    started = streams.stream_decisions(stream, root, _feature_score, writer="main", fan=2, buckets=2)
     started.option("checkpointLocation", new_folder(spark, "decision-log")).trigger(availableNow=True).start().awaitTermination()
-    states = ledger.fold_ledger(spark.read.parquet(f"{root}/processing_ledger")).select("transaction_id", "status")
+    states = streams.decision_tables(root, 2)["processing_ledger"].read(spark).select("transaction_id", "status")
     decided = spark.read.parquet(f"{root}/fraud_prediction_logs").join(states, "transaction_id")
     rejected = spark.read.parquet(f"{root}/rejected").select("transaction_id", "reject_reason")
     return decided.selectExpr(

@@ -23,9 +23,12 @@ def transaction_features(
     *,
     slice_rows: int = SLICE_ROWS,
     frame_rows: int = FRAME_ROWS,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """One row per transaction with all 16 customer features.
 
+    ``stored`` are merchant day buckets of older transactions, which then need not be among ``transactions``.
+
     All features of cool customers are computed behind one partitioning by customer: the transactions
     are shuffled once, and once more with three columns for the day buckets. ``transactions`` is read
     for both and for counting keys, so it should be a stored table.
@@ -34,11 +37,12 @@ def transaction_features(
     tx = transactions.select(*REPLAY_COLUMNS)
     heat = key_heat([tx], "customer_id", slice_rows)
 
-    def build(part: DataFrame, sliced: bool) -> DataFrame:
+    def build(part: DataFrame, *buckets: DataFrame, sliced: bool) -> DataFrame:
         frames_fit = not sliced and heat.largest_cool <= frame_rows
-        return add_visits(add_rolling(part, home, sliced=sliced, frames=frames_fit), window_days, sliced=sliced)
+        rolled = add_rolling(part, home, sliced=sliced, frames=frames_fit)
+        return add_visits(rolled, window_days, sliced=sliced, stored=buckets[0] if buckets else None)
 
-    return apply_by_heat(build, [tx], "customer_id", heat).select(
+    return apply_by_heat(build, [tx] if stored is None else [tx, stored], "customer_id", heat).select(
         "transaction_id", "customer_id", "merchant_id", "event_timestamp", *CUSTOMER_FEATURES
     )
 

@@ -9,24 +9,34 @@ from tidemark.functions.scalars import truncate_error
 from tidemark.operators.tables import upsert_latest
 
 
-def fold_ledger(events: DataFrame) -> DataFrame:
-    """Current state per transaction from its processing events.
+def ledger_states(events: DataFrame) -> DataFrame:
+    """Every processing event as the state it leaves by itself; ``merge_ledger`` adds them up.
 
     A success clears the error; an error text is cut to 1000 characters. ``seq`` orders the events.
     """
     error = f"if(status = 'FAILED', {truncate_error('error_message')}, null)"
+    return events.selectExpr("transaction_id", "model", "status", f"{error} AS error_message", "seq AS started_seq", "seq AS updated_seq")
+
+
+def merge_ledger(states: DataFrame) -> DataFrame:
+    """One state per transaction: the latest of the states, the first start. Snapshots and states of later events merge in any order."""
     return (
-        events.selectExpr("transaction_id", "seq", f"struct(model, status, {error} AS error_message) AS state")
+        states.selectExpr("transaction_id", "started_seq", "updated_seq", "struct(model, status, error_message) AS state")
         .groupBy("transaction_id")
         .agg(
-            F.expr("max_by(state, seq) AS state"),
-            F.expr("min(seq) AS started_seq"),
-            F.expr("max(seq) AS updated_seq"),
+            F.expr("max_by(state, updated_seq) AS state"),
+            F.expr("min(started_seq) AS started_seq"),
+            F.expr("max(updated_seq) AS updated_seq"),
         )
         .selectExpr("transaction_id", "state.*", "started_seq", "updated_seq")
     )
 
 
+def fold_ledger(events: DataFrame) -> DataFrame:
+    """Current state per transaction from its processing events."""
+    return merge_ledger(ledger_states(events))
+
+
 def stale_started(ledger: DataFrame) -> DataFrame:
     """Transactions that were started and never came to an end; they block a retry."""
     return ledger.where("status = 'STARTED'")

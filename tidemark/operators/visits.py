@@ -34,6 +34,13 @@ def merchant_day_buckets(transactions: DataFrame) -> DataFrame:
     )
 
 
+def merge_buckets(buckets: DataFrame) -> DataFrame:
+    """One bucket per (customer, day, merchant) from buckets of any parts of the transactions."""
+    return buckets.groupBy("customer_id", "day", "merchant_id").agg(
+        F.expr("sum(visits) AS visits"), F.expr("min(first_ms) AS first_ms"), F.expr("max(last_ms) AS last_ms")
+    )
+
+
 def merchant_window(
     buckets: DataFrame, window_days: int = VISIT_WINDOW_DAYS, *, together: bool = False
 ) -> DataFrame:
@@ -76,8 +83,14 @@ def merchant_visit_features(
     return apply_by_heat(build, [transactions], "customer_id", heat)
 
 
-def add_visits(tx: DataFrame, window_days: int = VISIT_WINDOW_DAYS, *, sliced: bool) -> DataFrame:
+def add_visits(
+    tx: DataFrame, window_days: int = VISIT_WINDOW_DAYS, *, sliced: bool, stored: DataFrame | None = None
+) -> DataFrame:
+    """``stored`` are day buckets of transactions that are not among ``tx``."""
     source = tx if sliced else by_key(tx, "customer_id")
+    buckets = merchant_day_buckets(source)
+    if stored is not None:
+        buckets = merge_buckets(buckets.unionByName(stored if sliced else by_key(stored, "customer_id")))
     day_key = ["customer_id", "day"]
 
     others = [c for c in tx.columns if c not in ("customer_id", "merchant_id", "transaction_id")]
@@ -100,7 +113,7 @@ def add_visits(tx: DataFrame, window_days: int = VISIT_WINDOW_DAYS, *, sliced: b
         "tx",
     )
     # Earlier days enter as if they had been visited at the very start of the day.
-    earlier = merchant_window(merchant_day_buckets(source), window_days, together=not sliced).selectExpr(
+    earlier = merchant_window(buckets, window_days, together=not sliced).selectExpr(
         "customer_id",
         "day",
         "merchant_id",

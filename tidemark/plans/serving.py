@@ -16,6 +16,9 @@ from tidemark.operators.tables import dedupe_transactions, upsert_latest
 from tidemark.schemas import CATALOG, CUSTOMER_FEATURES, HOME_COUNTRY, MERCHANT_RISK, VISIT_WINDOW_DAYS
 from tidemark.session import cut_lineage, new_folder
 
+#: Days that the rolling windows reach back.
+ROLLING_DAYS = 7
+
 REPEATED = "transaction is repeated in the batch"
 PROCESSED = "transaction is already processed"
 
@@ -42,6 +45,7 @@ def score_batch(
     window_days: int = VISIT_WINDOW_DAYS,
     catalog: dict | None = None,
     order_by: str = "arrival_seq",
+    buckets: DataFrame | None = None,
 ) -> ScoredBatch:
     """Validate, deduplicate, admit, compute features, enrich per model, score and decide.
 
@@ -49,6 +53,9 @@ def score_batch(
     back over ``history``, the stored transactions, and over all valid rows of the batch, those
     already processed included. ``scorer(model, inputs)`` adds ``fraud_score`` to the model input rows of one
     model. ``rejected`` has transaction_id and reject_reason; ``ledger_events`` the states that admitted rows go through.
+
+    With ``buckets``, stored merchant day buckets, ``history`` needs whole days only as far as the rolling windows reach; ``buckets`` are those of
+    the days that ``history`` leaves out.
     """
     catalog = CATALOG if catalog is None else catalog
     valid, invalid = validate_transactions(raw)
@@ -61,8 +68,11 @@ def score_batch(
     # The admitted transactions and their feature rows are tables of their own; later steps read what was written.
     admitted = cut_lineage(resolve_model(admitted, catalog))
 
-    replay = _with_history(accepted, admitted, history, window_days)
-    features = transaction_features(_stored(replay, "replay"), home, window_days).drop("merchant_id", "customer_id", "event_timestamp")
+    replay = _with_history(accepted, admitted, history, None if buckets is not None else max(window_days, ROLLING_DAYS) + 1)
+    if buckets is not None:
+        buckets = buckets.join(admitted.select("customer_id").distinct(), "customer_id", "left_semi")
+    features = transaction_features(_stored(replay, "replay"), home, window_days, stored=buckets)
+    features = features.drop("merchant_id", "customer_id", "event_timestamp")
     rows = admitted.join(features, "transaction_id")
     rows = _stored(rows, "scored-features")
     decided, failed = decide_per_model(with_views(rows), scorer, catalog)
@@ -90,9 +100,8 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _with_history(accepted: DataFrame, admitted: DataFrame, history: DataFrame | None, window_days: int) -> DataFrame:
-    """What the windows of the admitted transactions can see: the batch, and history of the same customers in reach."""
-    reach = max(window_days, 7) + 1
+def _with_history(accepted: DataFrame, admitted: DataFrame, history: DataFrame | None, reach: int | None) -> DataFrame:
+    """What the windows of the admitted transactions can see: the batch, and history of the same customers, ``reach`` days of it or all."""
     touched = admitted.groupBy("customer_id").agg(F.min("event_timestamp").alias("_oldest"))
     batch = accepted.select(*REPLAY_COLUMNS)
     if history is None:
@@ -101,7 +110,9 @@ def _with_history(accepted: DataFrame, admitted: DataFrame, history: DataFrame |
         accepted.select("transaction_id"), "transaction_id", "left_anti"
     )
     near = batch.unionByName(older).join(touched, "customer_id")
-    return near.where(f"event_timestamp >= _oldest - INTERVAL '{reach}' DAY").select(*REPLAY_COLUMNS)
+    if reach is not None:
+        near = near.where(f"event_timestamp >= _oldest - INTERVAL '{reach}' DAY")
+    return near.select(*REPLAY_COLUMNS)
 
 
 def with_views(rows: DataFrame) -> DataFrame:

@@ -5,10 +5,12 @@ from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from replay import replay
+from tidemark.operators import scan
 from tidemark.operators.feature_rows import customer_feature_rows, transaction_features
-from tidemark.operators.visits import merchant_visit_features
+from tidemark.operators.visits import merchant_day_buckets, merchant_visit_features
 from tidemark.schemas import CUSTOMER_FEATURES
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -58,12 +60,14 @@ WAYS = {
     "frames": {},
     "running sums": {"frame_rows": 0},
     "hot customer": {"slice_rows": 150, "frame_rows": 10**6},
-    "all sliced": {"slice_rows": 0},
+    "all sliced": {"slice_rows": 0, "merchants": 0},
+    "scanned": {"slice_rows": 0},
+    "scanned and sliced": {"slice_rows": 60, "merchants": 5},
 }
 
 
 # The sliced ways run many small jobs, so they get one data set each.
-CASES = [("frames", 1, 30), ("frames", 3, 1), ("running sums", 2, 3), ("hot customer", 2, 5), ("all sliced", 1, 30)]
+CASES = [("frames", 1, 30), ("frames", 3, 1), ("running sums", 2, 3), ("hot customer", 2, 5), ("all sliced", 1, 30), ("scanned", 1, 30), ("scanned", 3, 1), ("scanned and sliced", 2, 5)]
 
 
 @pytest.mark.parametrize("way,seed,window_days", CASES)
@@ -78,6 +82,31 @@ def test_features_equal_replay(spark, way, seed, window_days):
             assert row[name] == want[name], (way, row["transaction_id"], name)
 
 
+def test_one_customer_and_one_day_in_many_slices(spark):
+    """No task gets more than its slice of the moves."""
+    rows = [{**r, "customer": "cust-0"} for r in make_rows(6, n=600, days=1, merchants=9, step_ms=60_000)]
+    df = frame(spark, rows)
+    expected = replay(rows)
+    plain = {r["transaction_id"]: r.asDict() for r in transaction_features(df, slice_rows=0).collect()}
+    assert all(plain[i][name] == expected[i][name] for i in expected for name in CUSTOMER_FEATURES)
+    moves = scan._moves(df, "SE").repartitionByRange(6, *scan._ORDER).groupBy(F.spark_partition_id()).count().collect()
+    assert len(moves) == 6 and max(r["count"] for r in moves) < 2 * 4 * 600 / 6
+
+
+def test_stored_buckets_stand_for_older_transactions(spark):
+    """Buckets of older days and the transactions since then give the visits of all transactions, on the plain way and on the hot one."""
+    rows = make_rows(7, n=300, days=20, step_ms=21_600_000)
+    df, cut = frame(spark, rows), int(START.timestamp() * 1000) + 9 * 86_400_000
+    old, new = (df.where(f"unix_millis(event_timestamp) {how} {cut}") for how in ("<", ">="))
+    expected = replay(rows, window_days=6)
+    for limits in ({}, {"slice_rows": 0}, {"slice_rows": 0, "merchants": 0}):
+        got = transaction_features(new, window_days=6, stored=merchant_day_buckets(old), **limits).collect()
+        assert len(got) == sum(r["ms"] >= cut for r in rows) > 100
+        for row in got:
+            for name in list(CUSTOMER_FEATURES)[7:]:
+                assert row[name] == expected[row["transaction_id"]][name], (limits, row["transaction_id"], name)
+
+
 def test_a_far_future_date_is_no_obstacle(spark):
     rows = make_rows(4, n=60)
     rows[7]["ms"] = 253_000_000_000_000

@@ -10,8 +10,10 @@ from pyspark.sql.window import Window
 
 from tidemark.operators.rolling import FRAME_ROWS, add_rolling
 from tidemark.operators.running import SLICE_ROWS, apply_by_heat, key_heat
+from tidemark.operators.scan import MERCHANTS, scan_features
 from tidemark.operators.visits import add_visits, check_window
 from tidemark.schemas import CUSTOMER_FEATURES, HOME_COUNTRY, MERCHANT_RISK, VISIT_WINDOW_DAYS
+from tidemark.session import cut_lineage
 
 REPLAY_COLUMNS = ["transaction_id", "customer_id", "merchant_id", "amount", "country", "event_timestamp"]
 
@@ -24,11 +26,15 @@ def transaction_features(
     slice_rows: int = SLICE_ROWS,
     frame_rows: int = FRAME_ROWS,
     stored: DataFrame | None = None,
+    merchants: int = MERCHANTS,
 ) -> DataFrame:
     """One row per transaction with all 16 customer features.
 
     ``stored`` are merchant day buckets of older transactions, which then need not be among ``transactions``.
 
+    Customers with more than ``slice_rows`` transactions are sorted and scanned in slices, unless they have more than ``merchants`` merchants; those take
+    the sliced way of every single window.
+
     All features of cool customers are computed behind one partitioning by customer: the transactions
     are shuffled once, and once more with three columns for the day buckets. ``transactions`` is read
     for both and for counting keys, so it should be a stored table.
@@ -37,14 +43,33 @@ def transaction_features(
     tx = transactions.select(*REPLAY_COLUMNS)
     heat = key_heat([tx], "customer_id", slice_rows)
 
-    def build(part: DataFrame, *buckets: DataFrame, sliced: bool) -> DataFrame:
+    shown = ["transaction_id", "customer_id", "merchant_id", "event_timestamp", *CUSTOMER_FEATURES]
+
+    def windows(part: DataFrame, older: DataFrame | None, sliced: bool) -> DataFrame:
         frames_fit = not sliced and heat.largest_cool <= frame_rows
-        rolled = add_rolling(part, home, sliced=sliced, frames=frames_fit)
-        return add_visits(rolled, window_days, sliced=sliced, stored=buckets[0] if buckets else None)
+        return add_visits(add_rolling(part, home, sliced=sliced, frames=frames_fit), window_days, sliced=sliced, stored=older).select(*shown)
 
-    return apply_by_heat(build, [tx] if stored is None else [tx, stored], "customer_id", heat).select(
-        "transaction_id", "customer_id", "merchant_id", "event_timestamp", *CUSTOMER_FEATURES
-    )
+    def build(part: DataFrame, *buckets: DataFrame, sliced: bool) -> DataFrame:
+        older = buckets[0] if buckets else None
+        if not sliced:
+            return windows(part, older, False)
+        if heat.largest <= merchants:  # nobody has more merchants than transactions
+            return scan_features(part, home, window_days, older).select(*shown)
+        wide = part.select("customer_id", "merchant_id").distinct().groupBy(F.col("customer_id").alias("_wide")).count()
+        wide = wide.where(F.col("count") > merchants).select("_wide")
+        if wide.isEmpty():
+            return scan_features(part, home, window_days, older).select(*shown)
+        wide, same = cut_lineage(wide), F.expr("customer_id <=> _wide")
+
+        def split(how: str) -> list[DataFrame | None]:
+            return [df if df is None else df.join(wide, same, how) for df in (part, older)]
+
+        narrow_part, narrow_older = split("left_anti")
+        wide_part, wide_older = split("left_semi")
+        scanned = scan_features(narrow_part, home, window_days, narrow_older).select(*shown)
+        return scanned.unionByName(windows(wide_part, wide_older, True))
+
+    return apply_by_heat(build, [tx] if stored is None else [tx, stored], "customer_id", heat).select(*shown)
 
 
 def customer_feature_rows(

@@ -119,6 +119,7 @@ class Heat:
     hot: DataFrame | None = None
     hot_keys: int = 0
     largest_cool: int = 0
+    largest: int = 0
 
 
 # A key with more rows is spread over several tasks.
@@ -140,12 +141,12 @@ def key_heat(frames: Sequence[DataFrame], key: str, slice_rows: int = SLICE_ROWS
         counts = counts.groupBy("_hot_key").agg(F.sum("rows").alias("rows"))
     is_hot = F.col("rows") > F.lit(slice_rows)
     summary = counts.agg(
-        F.count_if(is_hot).alias("hot"), F.max(F.when(~is_hot, F.col("rows"))).alias("largest_cool")
+        F.count_if(is_hot).alias("hot"), F.max(F.when(~is_hot, F.col("rows"))).alias("largest_cool"), F.max("rows").alias("largest")
     ).first()
-    largest = summary["largest_cool"] or 0
+    cool, largest = summary["largest_cool"] or 0, summary["largest"] or 0
     if summary["hot"] == 0:
-        return Heat(largest_cool=largest)
-    return Heat(cut_lineage(counts.where(is_hot).select("_hot_key")), summary["hot"], largest)
+        return Heat(largest_cool=cool, largest=largest)
+    return Heat(cut_lineage(counts.where(is_hot).select("_hot_key")), summary["hot"], cool, largest)
 
 
 def apply_by_heat(

@@ -227,13 +227,14 @@ def _add_overtakes(rows: DataFrame, sliced: bool) -> DataFrame:
         f"posexplode(if(level > 0, concat({present}, {asks}), concat({present}))) AS (place, entry)",
     ).selectExpr(*day_key, "ms", "transaction_id", "if(place = 0, row, null) AS row", "entry.*")
     # A merchant passes a level once a day, so these groups are bounded by the number of
-    # merchants, however many rows the customer has.
+    # merchants, however many rows the customer has; that number has no bound either.
     counted = running(
         spread,
         [*day_key, "at_level", "bit", "block"],
-        ["ms", "transaction_id", "presents"],
+        ["ms", "transaction_id", "presents", "sign"],
         {"present_before": ("sum", "presents")},
         before=True,
+        sliced=sliced,
     )
     return (
         counted.groupBy("customer_id", "transaction_id", "ms")

@@ -503,6 +503,28 @@ def statements() -> dict[str, str]:
     built["merchant_visit_features_maintained"] = f"""SELECT * FROM ({built["merchant_visit_features"]})
         WHERE transaction_id IN (SELECT concat('tx-', event_id) FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00')"""
     built["ledger_status_merged"] = built["ledger_status"]
+    built["drift_report_rolled"] = " UNION ALL ".join(
+        f"SELECT {-k} AS as_of, * FROM ({built['drift_report'].replace(_AS_OF, f'({_AS_OF} - INTERVAL {k} DAY)')}) r{k}" for k in range(5)
+    )
+    built["training_dataset_incremental"] = built["training_dataset_model_b"]
+    built["training_guards"] = _statement(
+        """SELECT count(*) AS rows, count(*) FILTER (WHERE part = 'train') AS train_rows, count(DISTINCT is_fraud) AS labels,
+           count(DISTINCT CASE WHEN part = 'train' THEN is_fraud END) AS train_labels,
+           count(*) FILTER (WHERE part = 'train' AND is_fraud = 1) AS train_positive FROM parts"""
+    )
+    scaled = ", ".join(
+        f"round(({c} - (SELECT avg({c}) FROM fitted)) / coalesce(nullif((SELECT stddev_pop({c}) FROM fitted), 0), 1), 9) AS scaled_{c}"
+        for c in ("transaction_amount", "label_confidence")
+    )
+    categories = ("merchant_category", "transaction_country")
+    built["preprocessed"] = _statement(
+        f"SELECT transaction_id, {scaled}, {', '.join(f'coalesce(n_{c}.i, (SELECT count(*) FROM n_{c}))::INTEGER AS index_{c}' for c in categories)} "
+        f"FROM examples e {' '.join(f'LEFT JOIN n_{c} ON n_{c}.value = e.{c}' for c in categories)}",
+        fitted="SELECT e.* FROM examples e JOIN parts p ON p.transaction_id = e.transaction_id WHERE p.part = 'train'",
+        **{
+            f"n_{c}": f"SELECT {c} AS value, row_number() OVER (ORDER BY count(*) DESC, {c}) - 1 AS i FROM fitted GROUP BY {c}" for c in categories
+        },
+    )
     built["stream_dedupe"] = _statement("SELECT transaction_id, customer_id FROM tx_raw")
     built["rolling_stats_running_sums"] = built["rolling_stats"]
     built["customer_feature_rows_hot"] = built["customer_feature_rows"]

@@ -547,6 +547,14 @@ def training_dataset_model_b(spark, sf_dir):
     return _dataset(spark, sf_dir, "MODEL_B")
 
 
+@query
+def training_dataset_incremental(spark, sf_dir):
+    """The set as of ten days earlier, carried on by the labels that matured or changed since."""
+    sources = (_tx(spark, sf_dir), _labels(spark, sf_dir), _stored_customer_rows(spark, sf_dir), _merchant_rows(spark, sf_dir), "MODEL_B")
+    known = cut_lineage(training.training_dataset(*sources, f"{AS_OF} - INTERVAL '10' DAY", MIN_LABEL_AGE))
+    return training.extend_training_dataset(known, *sources, AS_OF, MIN_LABEL_AGE)
+
+
 def _enriched(spark, sf_dir, service, as_of=None, strict=True):
     return scoring.enrich(
         _tx(spark, sf_dir),
@@ -607,6 +615,23 @@ def label_counts(spark, sf_dir):
     return training.training_metrics(training.time_split(examples))
 
 
+@query
+def training_guards(spark, sf_dir):
+    examples = joins.training_examples(_tx(spark, sf_dir), _labels(spark, sf_dir))
+    return training.guard_counts(training.time_split(examples))
+
+
+@query
+def preprocessed(spark, sf_dir):
+    """Scaled numbers and category numbers of all examples, from what was fitted on the training part."""
+    split = cut_lineage(training.time_split(joins.training_examples(_tx(spark, sf_dir), _labels(spark, sf_dir))))
+    numeric, categorical = ["transaction_amount", "label_confidence"], ["merchant_category", "transaction_country"]
+    found = training.fit_preprocessor(split.where("part = 'train'"), numeric, categorical).transform(split)
+    return found.selectExpr(
+        "transaction_id", *[f"round(_scaled_{c}, 9) AS scaled_{c}" for c in numeric], *[f"cast(_index_{c} AS int) AS index_{c}" for c in categorical]
+    )
+
+
 @query
 def scored(spark, sf_dir):
     """A model fitted on the first 70 % of the training set and applied to the rest."""
@@ -672,6 +697,21 @@ def drift_report(spark, sf_dir):
     )
 
 
+@query
+def drift_report_rolled(spark, sf_dir):
+    """The reports of five days in a row from daily counts that are stored once."""
+    daily = cut_lineage(drift.daily_counts(_stored_customer_rows(spark, sf_dir), _merchant_rows(spark, sf_dir), AS_OF))
+    return drift.rolled_reports(daily, range(-4, 1), **RANGES).selectExpr(
+        "as_of",
+        "baseline_rows",
+        "current_rows",
+        "psi_threshold",
+        "array_join(map_keys(drifted_features), ',') AS drifted",
+        "cast(size(feature_psi) AS bigint) AS features",
+        "retrain_recommended",
+    )
+
+
 @query
 def evaluate_deployed(spark, sf_dir):
     found = evaluation.evaluate_deployed(

@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame
 
-from tidemark.operators.running import SLICE_ROWS, apply_by_heat, key_heat, running
+from tidemark.operators.running import SLICE_ROWS, Heat, apply_by_heat, key_heat, running
 from tidemark.schemas import FeatureView
 
 
@@ -43,12 +43,13 @@ def point_in_time_join(
     columns: list[str] | None = None,
     *,
     slice_rows: int = SLICE_ROWS,
+    heat: Heat | None = None,
 ) -> DataFrame:
     """Every entity row with the newest feature row of its key, not newer than itself and not older than ``ttl``.
 
     Features and entities are merged into one stream per key and the last feature row is carried
     along: one shuffle, no row growth, whatever the number of feature rows. A row past its time to
-    live, or no row at all, leaves nulls.
+    live, or no row at all, leaves nulls. ``heat`` tells how the rows spread over the keys where that is known (``join_heat``).
     """
     if columns is None:
         columns = [c for c in features.columns if c not in (key, "event_timestamp", "created_timestamp")]
@@ -68,7 +69,7 @@ def point_in_time_join(
         "transaction_id AS _id",
         f"struct({', '.join(entities.columns)}) AS _entity",
     )
-    heat = key_heat([feature_rows, entity_rows], key, slice_rows)
+    heat = key_heat([feature_rows, entity_rows], key, slice_rows) if heat is None else heat
 
     def build(left: DataFrame, right: DataFrame, sliced: bool) -> DataFrame:
         merged = right.unionByName(left, allowMissingColumns=True)
@@ -83,10 +84,15 @@ def point_in_time_join(
     )
 
 
+def join_heat(entities: DataFrame, features: DataFrame, view: FeatureView, slice_rows: int = SLICE_ROWS) -> Heat:
+    """How entities and features spread over the keys of a view."""
+    return key_heat([features.where(f"{view.entity} IS NOT NULL").select(view.entity), entities.select(view.entity)], view.entity, slice_rows)
+
+
 def join_view(
-    entities: DataFrame, features: DataFrame, view: FeatureView, columns: list[str], slice_rows: int = SLICE_ROWS
+    entities: DataFrame, features: DataFrame, view: FeatureView, columns: list[str], slice_rows: int = SLICE_ROWS, heat: Heat | None = None
 ) -> DataFrame:
-    return point_in_time_join(entities, features, view.entity, view.ttl, columns, slice_rows=slice_rows)
+    return point_in_time_join(entities, features, view.entity, view.ttl, columns, slice_rows=slice_rows, heat=heat)
 
 
 def labeled(predictions: DataFrame, labels: DataFrame, model: str, version: str) -> DataFrame:

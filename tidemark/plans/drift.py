@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -169,3 +171,86 @@ def drift_report(
         ),
         F.expr(f"count_if(psi >= {threshold}D) > 0 AS retrain_recommended"),
     )
+
+
+def daily_counts(customer_rows: DataFrame, merchant_rows: DataFrame, anchor: str) -> DataFrame:
+    """Value counts per feature and day, to be stored and extended day by day: (feature, day, value, n).
+
+    Days are stretches of 24 hours counted from ``anchor``; day 0 starts there. Joined rows are weighed as in ``drift_counts``; rows
+    join by moment, so a day needs the rows of that day only.
+    """
+    day = f"floor((unix_micros(cast(event_timestamp AS timestamp)) - unix_micros(cast({anchor} AS timestamp))) / {_DAY_MICROS})"
+    merchants_at = merchant_rows.groupBy("event_timestamp").agg(F.expr("count(1) AS merchants"))
+    customers_at = customer_rows.groupBy("event_timestamp").agg(F.expr("count(1) AS customers"))
+    stacked = ", ".join(f"'{name}', cast({name} AS double)" for name in DRIFT_FEATURES[:-1])
+    features = (
+        customer_rows.join(merchants_at, "event_timestamp", "left")
+        .selectExpr(*DRIFT_FEATURES[:-1], "coalesce(merchants, 1L) AS weight", f"cast({day} AS int) AS day")
+        .selectExpr("day", "weight", f"stack({len(DRIFT_FEATURES)}, '{_ROWS}', 0.0D, {stacked}) AS (feature, value)")
+    )
+    risk = merchant_rows.join(customers_at, "event_timestamp").selectExpr(
+        f"cast({day} AS int) AS day", "customers AS weight", "'merchant_risk_score' AS feature", "cast(merchant_risk_score AS double) AS value"
+    )
+    return (
+        features.unionByName(risk)
+        .where("value IS NOT NULL AND NOT isnan(value)")
+        .groupBy("feature", "day", "value")
+        .agg(F.expr("sum(weight) AS n"))
+    )
+
+
+_DAY_MICROS = 86_400_000_000
+
+
+def rolled_counts(
+    daily: DataFrame, dates: Sequence[int], baseline: tuple[int, int] = (60, 14), current: tuple[int, int] = (14, 0)
+) -> DataFrame:
+    """Counts of the windows of several dates from stored daily counts: (as_of, feature, side, value, n).
+
+    ``dates`` are days after the anchor. Every daily count is read once: it is added where its day enters a window and taken away where it
+    leaves, and the running sum between both is the count of each date. A value has as many rows as there are changes to it.
+    """
+    dates = sorted(set(dates))
+    listed = f"array({', '.join(map(str, dates))})"
+    moves = []
+    for side, (start, end) in (("baseline", baseline), ("current", current)):
+        moves += [f"struct('{side}' AS side, day + {end + 1} AS at, n AS n)", f"struct('{side}' AS side, day + {start + 1} AS at, -n AS n)"]
+    changes = (
+        daily.where(f"day >= {dates[0] - max(baseline[0], current[0])} AND day < {dates[-1] - min(baseline[1], current[1])}")
+        .selectExpr("feature", "value", f"inline(array({', '.join(moves)}))")
+        # The first date that sees the change.
+        .selectExpr("feature", "value", "side", f"size(filter({listed}, d -> d < at)) AS place", "n")
+        .where(f"place < {len(dates)}")
+        .groupBy("feature", "value", "side", "place").agg(F.expr("sum(n) AS change"))
+    )
+    over = "OVER (PARTITION BY feature, side, value ORDER BY place)"
+    return (
+        changes.selectExpr("feature", "side", "value", "place", f"sum(change) {over} AS n", f"lead(place) {over} AS next")
+        .where("n > 0")
+        .selectExpr("feature", "side", "value", "n", f"explode(slice({listed}, place + 1, coalesce(next, {len(dates)}) - place)) AS as_of")
+    )
+
+
+def rolled_reports(daily: DataFrame, dates: Sequence[int], threshold: float = PSI_THRESHOLD, **ranges) -> DataFrame:
+    """One drift report per date, all from one pass over the stored daily counts: as_of (days after the anchor) and the columns of ``drift_report``."""
+    counts = cut_lineage(rolled_counts(daily, dates, **ranges))
+    # One row per date and side.
+    sizes = counts.where(f"feature = '{_ROWS}'").groupBy("as_of").agg(
+        F.expr("coalesce(sum(if(side = 'baseline', n, 0L)), 0L) AS baseline_rows"), F.expr("coalesce(sum(if(side = 'current', n, 0L)), 0L) AS current_rows")
+    )
+    found = {r["as_of"] for r in sizes.where("baseline_rows > 0 AND current_rows > 0").select("as_of").collect()}
+    if found != set(dates):
+        raise ValueError(f"drift compares two ranges; one of them has no feature rows on {sorted(set(dates) - found)}")
+    named = counts.where(f"feature <> '{_ROWS}'").selectExpr("concat(as_of, '/', feature) AS feature", "side", "value", "n")
+    per_feature = psi(named, [f"{d}/{name}" for d in sorted(set(dates)) for name in DRIFT_FEATURES]).selectExpr(
+        "cast(substring_index(feature, '/', 1) AS int) AS as_of", "substring_index(feature, '/', -1) AS feature", "psi"
+    )
+    reports = per_feature.groupBy("as_of").agg(
+        F.expr(f"{threshold}D AS psi_threshold"),
+        F.expr("map_from_entries(array_sort(collect_list(struct(feature, psi)))) AS feature_psi"),
+        F.expr(f"map_from_entries(array_sort(collect_list(struct(feature, psi)) FILTER (WHERE psi >= {threshold}D))) AS drifted_features"),
+        F.expr(f"count_if(psi >= {threshold}D) > 0 AS retrain_recommended"),
+    )
+    return reports.join(sizes, "as_of").select(
+        "as_of", "baseline_rows", "current_rows", "psi_threshold", "feature_psi", "drifted_features", "retrain_recommended"
+    )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import classify
 from tidemark.operators.clean import mature_labels
-from tidemark.operators.joins import join_view, training_examples
+from tidemark.operators.joins import join_heat, join_view, training_examples
 from tidemark.operators.metrics import evaluation_metrics
 from tidemark.operators.running import SLICE_ROWS, running
 from tidemark.schemas import DECLINE_AT, VIEWS, model_config, refs_by_view
@@ -45,13 +45,58 @@ def training_dataset(
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Labelled transactions with the model's features as they were known at the event."""
-    config = model_config(model, catalog)
-    dataset = training_examples(transactions, mature_labels(labels, as_of, min_label_age_days)).select(*ENTITY_COLUMNS)
+    examples = _examples(transactions, labels, as_of, min_label_age_days)
+    return _with_features(examples, customer_rows, merchant_rows, model, catalog, slice_rows)
+
+
+def extend_training_dataset(
+    known: DataFrame,
+    transactions: DataFrame,
+    labels: DataFrame,
+    customer_rows: DataFrame,
+    merchant_rows: DataFrame,
+    model: str,
+    as_of: str,
+    min_label_age_days: int = 0,
+    catalog: dict | None = None,
+    *,
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """A stored training set carried on to a later ``as_of``: only labels that have matured or changed since are joined with features.
+
+    Rows of ``known`` whose label is no longer the current one go; the others stay as they are, with the features they were given. Where no older
+    feature rows were added in between, that is what ``training_dataset`` gives for ``as_of``.
+    """
+    # Both sides of the comparison read the examples, so they are stored once.
+    examples = cut_lineage(_examples(transactions, labels, as_of, min_label_age_days))
+    own = examples.selectExpr(*[f"{c} AS _{c}" for c in ENTITY_COLUMNS])
+    same = F.expr(" AND ".join(["transaction_id = _transaction_id", *[f"{c} <=> _{c}" for c in ENTITY_COLUMNS[1:]]]))
+    kept = known.join(own, same, "left_semi")
+    theirs = known.selectExpr(*[f"{c} AS _{c}" for c in ENTITY_COLUMNS])
+    fresh = examples.join(theirs, same, "left_anti")
+    return kept.unionByName(_with_features(fresh, customer_rows, merchant_rows, model, catalog, slice_rows))
+
+
+def _examples(transactions: DataFrame, labels: DataFrame, as_of: str, min_label_age_days: int) -> DataFrame:
+    return training_examples(transactions, mature_labels(labels, as_of, min_label_age_days)).select(*ENTITY_COLUMNS)
+
+
+def _with_features(
+    examples: DataFrame, customer_rows: DataFrame, merchant_rows: DataFrame, model: str, catalog: dict | None, slice_rows: int
+) -> DataFrame:
+    """Both views in one plan: the examples are stored once, and the keys of both views are counted on them, not on what a join returns."""
+    dataset = examples = cut_lineage(examples)
     stores = {"customer_transaction_stats_view": customer_rows, "merchant_risk_view": merchant_rows}
-    names = []
-    for view, columns in refs_by_view(config["feature_refs"]).items():
-        dataset = join_view(dataset, stores[view], VIEWS[view], columns, slice_rows)
-        names += columns
+    wanted = refs_by_view(model_config(model, catalog)["feature_refs"])
+    heats = {view: join_heat(examples, stores[view], VIEWS[view], slice_rows) for view in wanted}
+    names: list[str] = []
+    # A view without hot keys reads its entities once; so those come first and what they return is stored ahead of a view that reads it twice.
+    for view in sorted(wanted, key=lambda v: heats[v].hot is not None):
+        if heats[view].hot is not None and dataset is not examples:
+            dataset = cut_lineage(dataset)
+        dataset = join_view(dataset, stores[view], VIEWS[view], wanted[view], slice_rows, heats[view])
+    for view in wanted:
+        names += wanted[view]
     return dataset.select(*ENTITY_COLUMNS, *names)
 
 
@@ -80,15 +125,20 @@ def training_metrics(split: DataFrame) -> DataFrame:
     )
 
 
-def check_training_rows(split: DataFrame, min_rows: int = 4) -> dict[str, int]:
-    """Raise unless there are enough rows and both labels, overall and in the training part."""
-    found = split.agg(
+def guard_counts(split: DataFrame) -> DataFrame:
+    """One row: what decides whether a split may be trained on."""
+    return split.agg(
         F.expr("count(1) AS rows"),
         F.expr("count_if(part = 'train') AS train_rows"),
         F.expr("count(DISTINCT is_fraud) AS labels"),
         F.expr("count(DISTINCT if(part = 'train', is_fraud, null)) AS train_labels"),
         F.expr("count_if(part = 'train' AND is_fraud = 1) AS train_positive"),
-    ).first().asDict()
+    )
+
+
+def check_training_rows(split: DataFrame, min_rows: int = 4) -> dict[str, int]:
+    """Raise unless there are enough rows and both labels, overall and in the training part."""
+    found = guard_counts(split).first().asDict()
     if found["rows"] < min_rows:
         raise ValueError(f"{found['rows']} labeled rows; a split by time needs at least {min_rows}")
     if found["labels"] < 2:

@@ -14,9 +14,16 @@ def write_parquet(df: DataFrame, path: str, partition_by: str | None = None, mod
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
 
-def append_history(df: DataFrame, path: str) -> None:
-    """Append label annotations to the immutable history."""
-    df.write.mode("append").parquet(path)
+def append_history(df: DataFrame, path: str, run: str | None = None) -> None:
+    """Append label annotations to the immutable history.
+
+    A job that may be repeated names its ``run``: its rows go to a folder of that name, which a repetition replaces, so nothing is written twice. All
+    jobs of a history name their runs, or none does.
+    """
+    if run is None:
+        df.write.mode("append").parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={run}")
 
 
 def decision_events(decisions: DataFrame) -> DataFrame:

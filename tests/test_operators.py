@@ -11,8 +11,9 @@ from tidemark.functions.scalars import days_between, half_up_ratio, register_sql
 from tidemark.operators import clean, joins, ledger, metrics, scoring, tables
 from tidemark.operators.running import running
 from tidemark.plans import drift, serving, training
-from tidemark.schemas import CATALOG, SERVICES, VIEWS, check_catalog, feature_names, model_config
+from tidemark.schemas import CATALOG, CUSTOMER_FEATURES, SERVICES, TABLES, VIEWS, check_catalog, feature_names, model_config
 from tidemark.sources import readers, sinks
+from tidemark.streaming.features import transaction_stream
 
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
 
@@ -196,6 +197,11 @@ def test_history_and_reports(spark, tmp_path):
     for _ in range(2):
         sinks.append_history(df, path)
     assert spark.read.parquet(path).count() == 2
+    named = str(tmp_path / "named")
+    for run in ("monday", "monday", "tuesday"):
+        sinks.append_history(df, named, run)
+    assert {(r["run"], r["k"]) for r in spark.read.parquet(named).collect()} == {("monday", "a"), ("tuesday", "a")}
+    assert spark.read.parquet(named).count() == 2
     assert sinks.report_json(df).first().report == '{"k":"a","v":1}'
     sinks.write_parquet(df, str(tmp_path / "table"))
     assert spark.read.parquet(str(tmp_path / "table")).count() == 1
@@ -319,3 +325,89 @@ def test_scored_batch_holds_every_row_once(spark):
     assert rejected == [
         ("", "transactionId is required"), ("t1", serving.REPEATED), ("t2", serving.REPEATED), ("t4", "amount must be positive")
     ]
+
+
+def test_read_labels_and_tables(spark, tmp_path):
+    (tmp_path / "labels.json").write_text('{"transaction_id": "tx-1", "is_fraud": true, "label_source": "review"}\n')
+    row = readers.read_labels(spark, str(tmp_path / "labels.json")).first()
+    assert (row["transaction_id"], row["is_fraud"], row["label_source"]) == ("tx-1", True, "review")
+    rows = one(spark).select("transaction_id", "customer_id")
+    rows.write.parquet(str(tmp_path / "fraud_transactions"))
+    found = readers.read_table(spark, "fraud_transactions", f"{tmp_path}/")
+    assert found.columns == [c.split()[0] for c in TABLES["fraud_transactions"].split(", ")]
+    assert found.first()["customer_id"] == "cust-123" and found.first()["country"] is None
+    with pytest.raises(ValueError, match="Unknown table"):
+        readers.read_table(spark, "nothing", str(tmp_path))
+    with pytest.raises(ValueError, match="Unknown table"):
+        readers.read_table_jdbc(spark, "nothing", "jdbc:none")
+
+
+def test_transaction_stream(spark, tmp_path):
+    """Transactions as they arrive: the fixed schema, event time under its own name, one row per line."""
+    source = tmp_path / "in"
+    source.mkdir()
+    for k in range(2):
+        (source / f"{k}.json").write_text(f'{{"transaction_id": "tx-{k}", "customer_id": "c", "amount": 12.5, "timestamp": "2026-05-29T12:00:0{k}Z"}}\n')
+    stream = transaction_stream(spark, str(source))
+    assert stream.isStreaming and "event_timestamp" in stream.columns and "timestamp" not in stream.columns
+    out = str(tmp_path / "out")
+    writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "log"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["transaction_id"] for r in spark.read.parquet(out).collect()) == ["tx-0", "tx-1"]
+
+
+def test_a_training_set_is_carried_on(spark):
+    """Labels that mature, change and vanish between two dates; rows that stay keep the features they had."""
+    start = datetime(2024, 1, 1)
+    tx = spark.createDataFrame(
+        [(f"t{k}", "c", "m", start + timedelta(hours=k), Decimal("5.00"), "SE", "x") for k in range(4)],
+        "transaction_id string, customer_id string, merchant_id string, event_timestamp timestamp, amount decimal(18,2), country string, merchant_category string",
+    )
+
+    def labels(rows):
+        return spark.createDataFrame(
+            [(f"t{k}", fraud, start + timedelta(days=day), "review", 1.0) for k, fraud, day in rows],
+            "transaction_id string, is_fraud int, label_timestamp timestamp, label_source string, label_confidence double",
+        )
+
+    def customers(value):
+        names = {n: f"cast({value} AS {t})" if t != "string" else "'m'" for n, t in CUSTOMER_FEATURES.items()}
+        return tx.selectExpr("customer_id", "event_timestamp", *[f"{v} AS {n}" for n, v in names.items()])
+
+    merchants = tx.selectExpr("merchant_id", "event_timestamp", "cast(0.5 AS float) AS merchant_risk_score", "merchant_category")
+    early, late = labels([(0, 0, 1), (1, 0, 1), (2, 0, 9)]), labels([(0, 0, 1), (1, 1, 8), (2, 0, 9), (3, 1, 9)])
+    first, second = "TIMESTAMP '2024-01-05 00:00:00'", "TIMESTAMP '2024-01-15 00:00:00'"
+    known = training.training_dataset(tx, early, customers(1), merchants, "MODEL_B", first, 2)
+    assert sorted(r["transaction_id"] for r in known.collect()) == ["t0", "t1"]
+    grown = training.extend_training_dataset(known, tx, late, customers(7), merchants, "MODEL_B", second, 2)
+    found = {r["transaction_id"]: (r["is_fraud"], r["customer_transaction_count_24h"]) for r in grown.collect()}
+    assert found == {"t0": (0, 1), "t1": (1, 7), "t2": (0, 7), "t3": (1, 7)}
+    whole = training.training_dataset(tx, late, customers(1), merchants, "MODEL_B", second, 2)
+    same = training.extend_training_dataset(known, tx, late, customers(1), merchants, "MODEL_B", second, 2)
+    assert same.exceptAll(whole).count() == 0 and same.count() == whole.count() == 4
+    hot = training.training_dataset(tx, late, customers(1), merchants, "MODEL_B", second, 2, slice_rows=0)
+    assert hot.exceptAll(whole).count() == 0 and hot.count() == 4
+
+
+def test_examples_come_once_in_the_plan_of_a_training_set(spark, sf_dir):
+    """The second view is joined to what the first one returns; nothing above the stored examples is read twice."""
+    from tidemark.checks.queries import QUERIES
+
+    plan = QUERIES["training_dataset_model_b"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 2 and plan.count("LogicalRDD") <= 2 and "events" not in plan.split("Union")[0]
+
+
+def test_rolled_windows_are_those_of_each_date(spark):
+    rows = [("f", d, float(d % 3), 1 + d % 2) for d in range(-9, 6)]
+    daily = spark.createDataFrame(rows, "feature string, day int, value double, n long")
+    ranges = {"baseline": (6, 3), "current": (3, 1)}
+    got = {(r["as_of"], r["side"], r["value"]): r["n"] for r in drift.rolled_counts(daily, [0, 1, 4, 5, 1], **ranges).collect()}
+    want = {}
+    for as_of in (0, 1, 4, 5):
+        for side, (first, last) in ranges.items():
+            for _, d, v, n in rows:
+                if as_of - first <= d < as_of - last:
+                    want[as_of, side, v] = want.get((as_of, side, v), 0) + n
+    assert got == want
+    with pytest.raises(ValueError, match="no feature rows"):
+        drift.rolled_reports(daily.selectExpr("'_rows' AS feature", "day", "0.0D AS value", "n"), [0, 90], **ranges)

@@ -63,8 +63,13 @@ def enrich(
     return model_input(rows, service, strict)
 
 
-def model_input(rows: DataFrame, service: str, strict: bool = True) -> DataFrame:
-    """Select and check a service's features from rows with one struct column per feature view."""
+#: Columns that go through a scorer beside the model's inputs, and what they are called there.
+_CARRIED = {"customer_id": "_customer_id", "event_timestamp": "_event_timestamp"}
+
+
+def model_input(rows: DataFrame, service: str, strict: bool = True, carry: dict[str, str] | None = None) -> DataFrame:
+    """Select and check a service's features from rows with one struct column per feature view, with columns to ``carry`` under new names."""
+    carried = list((carry or {}).values())
     wanted = refs_by_view(SERVICES[service])
     names = [name for refs in wanted.values() for name in refs]
 
@@ -83,9 +88,10 @@ def model_input(rows: DataFrame, service: str, strict: bool = True) -> DataFrame
         "merchant_category",
         "cast(transaction_amount AS double) AS transaction_amount",
         *features,
+        *[f"{old} AS {new}" for old, new in (carry or {}).items()],
     )
     if not strict:
-        return rows.selectExpr("transaction_id", *TRANSACTION_INPUTS, *names, "cast(null AS string) AS reject_reason")
+        return rows.selectExpr("transaction_id", *TRANSACTION_INPUTS, *names, *carried, "cast(null AS string) AS reject_reason")
 
     def listed(columns: list[str], blank: bool) -> str:
         tests = [
@@ -98,12 +104,14 @@ def model_input(rows: DataFrame, service: str, strict: bool = True) -> DataFrame
         "transaction_id",
         *TRANSACTION_INPUTS,
         *names,
+        *carried,
         f"{listed(REQUIRED_TRANSACTION_FIELDS, True)} AS _fields",
         f"{listed(names, False)} AS _features",
     ).selectExpr(
         "transaction_id",
         *TRANSACTION_INPUTS,
         *names,
+        *carried,
         "CASE WHEN _fields <> '' THEN concat('Missing required transaction fields for feature enrichment: ', _fields) "
         "WHEN _features <> '' THEN concat('Missing required online features: ', _features) END AS reject_reason",
     )
@@ -123,7 +131,8 @@ def decide_per_model(rows: DataFrame, scorer, catalog: dict | None = None) -> tu
     """(decisions, rejected) of transactions that carry one struct column per feature view.
 
     A ``feature_service`` on the row is used where it is a known one. ``rejected`` has transaction_id, model and
-    reject_reason: unknown models, unknown services and inputs in which something is missing.
+    reject_reason: unknown models, unknown services and inputs in which something is missing. ``scorer(model, inputs)`` adds ``fraud_score`` and keeps
+    the other columns; two of them, whose names start with an underscore, are no inputs of the model.
     """
     catalog = CATALOG if catalog is None else catalog
     resolved = resolve_model(rows, catalog)
@@ -136,15 +145,12 @@ def decide_per_model(rows: DataFrame, scorer, catalog: dict | None = None) -> tu
     for model, config in catalog.items():
         for service in SERVICES if "feature_service" in rows.columns else [config["feature_service"]]:
             mine = resolved.where(F.expr(f"requested_model = '{model}' AND feature_service = '{service}'"))
-            inputs = model_input(mine.drop("reject_reason"), service)
-            used = ", ".join(f"'{c}'" for c in inputs.columns if c not in ("transaction_id", "reject_reason"))
-            scored = decide(scorer(model, inputs.where("reject_reason IS NULL"))).selectExpr(
+            inputs = model_input(mine.drop("reject_reason"), service, carry=_CARRIED)
+            used = ", ".join(f"'{c}'" for c in inputs.columns if c not in ("transaction_id", "reject_reason", *_CARRIED.values()))
+            part = decide(scorer(model, inputs.where("reject_reason IS NULL"))).selectExpr(
                 "transaction_id", f"'{model}' AS model", f"'{config['model_version']}' AS model_version", "fraud_score",
-                "decision", f"array({used}) AS features_used",
+                "decision", f"array({used}) AS features_used", "_customer_id AS customer_id", "_event_timestamp AS inference_timestamp",
             )
-            part = scored.join(
-                mine.selectExpr("transaction_id", "customer_id", "event_timestamp AS inference_timestamp"), "transaction_id"
-            )
             decided = part if decided is None else decided.unionByName(part)
             missing = inputs.where("reject_reason IS NOT NULL")
             rejected = rejected.unionByName(missing.selectExpr("transaction_id", f"'{model}' AS model", "reject_reason"))

@@ -76,7 +76,10 @@ def score_batch(
     rows = admitted.join(features, "transaction_id")
     rows = _stored(rows, "scored-features")
     decided, failed = decide_per_model(with_views(rows), scorer, catalog)
-    decided, failed = cut_lineage(decided), cut_lineage(failed)
+    # Both outcomes are written in one job.
+    outcome = _stored(decided.unionByName(failed.withColumn("failed", F.lit(True)), allowMissingColumns=True), "outcomes")
+    failed = outcome.where("failed").select(*failed.columns)
+    decided = outcome.where("failed IS NULL").select(*decided.columns)
 
     rejected = invalid.select("transaction_id", "reject_reason")
     for part, reason in ((repeated, REPEATED), (processed, PROCESSED)):

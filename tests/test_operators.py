@@ -411,3 +411,16 @@ def test_rolled_windows_are_those_of_each_date(spark):
     assert got == want
     with pytest.raises(ValueError, match="no feature rows"):
         drift.rolled_reports(daily.selectExpr("'_rows' AS feature", "day", "0.0D AS value", "n"), [0, 90], **ranges)
+
+
+@pytest.mark.parametrize("slice_rows", [10**6, 0])
+def test_category_numbers_come_from_a_table(spark, slice_rows):
+    """By falling frequency, then by value; nulls and unknown values get the number of categories, on either way."""
+    rows = [("b", "x"), ("a", "x"), ("b", None), ("c", ""), ("a", "y"), (None, "x")]
+    train = spark.createDataFrame(rows, "c string, d string")
+    index = training.category_index(train, ["c", "d"], slice_rows=slice_rows)
+    assert sorted(map(tuple, index.collect())) == [("c", "a", 0), ("c", "b", 1), ("c", "c", 2), ("d", "", 1), ("d", "x", 0), ("d", "y", 2)]
+    numbers = training.CategoryNumbers(index, ["c", "d"])
+    found = numbers.transform(spark.createDataFrame([("c", "y"), (None, ""), ("new", None)], "c string, d string"))
+    assert sorted(tuple(r)[2:] for r in found.collect()) == [(2.0, 2.0), (3.0, 1.0), (3.0, 3.0)]
+    assert training.CategoryNumbers(training.category_index(train.limit(0), ["c"]), ["c"]).sizes == {"c": 0}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from collections.abc import Sequence
+
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from tidemark.functions.scalars import classify
 from tidemark.operators.clean import mature_labels
 from tidemark.operators.joins import join_heat, join_view, training_examples
 from tidemark.operators.metrics import evaluation_metrics
-from tidemark.operators.running import SLICE_ROWS, running
+from tidemark.operators.running import BROADCAST_KEYS, SLICE_ROWS, running
 from tidemark.schemas import DECLINE_AT, VIEWS, model_config, refs_by_view
 from tidemark.session import cut_lineage
 
@@ -148,12 +150,45 @@ def check_training_rows(split: DataFrame, min_rows: int = 4) -> dict[str, int]:
     return found
 
 
+def category_index(train: DataFrame, columns: Sequence[str], *, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """(column, value, index): categories numbered from 0 by falling frequency, then by value; nulls are none.
+
+    Numbers are running counts over ranges of categories where a column has very many, so no task sorts all of them.
+    """
+    stacked = ", ".join(f"'{c}', cast({c} AS string)" for c in columns)
+    counts = cut_lineage(
+        train.selectExpr(f"stack({len(columns)}, {stacked}) AS (column, value)").where("value IS NOT NULL")
+        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    )
+    sliced = counts.count() > slice_rows
+    numbered = running(counts, ["column"], ["n DESC", "value"], {"number": ("sum", "1L")}, sliced=sliced)
+    return numbered.selectExpr("column", "value", "cast(number - 1 AS int) AS index")
+
+
+class CategoryNumbers(Transformer):
+    """Adds ``_index_<column>`` from a category index by one join per column; unknown values and nulls get the number of categories."""
+
+    def __init__(self, index: DataFrame, columns: Sequence[str]):
+        super().__init__()
+        self.index = cut_lineage(index)
+        # One row per column.
+        self.sizes = dict.fromkeys(columns, 0) | {r["column"]: r["n"] for r in self.index.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        for name, size in self.sizes.items():
+            mine = self.index.where(F.col("column") == name).selectExpr("value AS _value", f"index AS _number_{name}")
+            mine = F.broadcast(mine) if size <= BROADCAST_KEYS else mine
+            df = df.join(mine, F.expr(f"cast({name} AS string) = _value"), "left").drop("_value")
+            df = df.withColumn(f"_index_{name}", F.expr(f"cast(coalesce(_number_{name}, {size}) AS double)")).drop(f"_number_{name}")
+        return df
+
+
 def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str]) -> PipelineModel:
     """Standardised numbers and one-hot categories in the column ``features``.
 
     Numbers use the population standard deviation, a constant column keeps scale 1. A category not
-    seen in training becomes all zeros. Only two numbers per column and the category lists reach
-    the driver.
+    seen in training becomes all zeros. Categories stay in a table of their own; only two numbers per column and
+    the number of its categories reach the driver.
     """
     stats = train.agg(
         *[F.expr(f"avg(cast({c} AS double)) AS mean_{c}") for c in numeric],
@@ -162,16 +197,15 @@ def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str
     scaled = [
         f"(cast({c} AS double) - {stats[f'mean_{c}']!r}D) / {(stats[f'std_{c}'] or 1.0)!r}D AS _scaled_{c}" for c in numeric
     ]
-    # Attribute names may not be empty, an empty text is a category of its own.
-    texts = [f"if({c} = '', '(empty)', {c}) AS _text_{c}" for c in categorical]
     stages = [
-        SQLTransformer(statement=f"SELECT *, {', '.join(scaled + texts)} FROM __THIS__"),
-        StringIndexer(inputCols=[f"_text_{c}" for c in categorical], outputCols=[f"_index_{c}" for c in categorical], handleInvalid="keep"),
+        SQLTransformer(statement=f"SELECT *, {', '.join(scaled)} FROM __THIS__"),
+        CategoryNumbers(category_index(train, categorical), categorical),
+        # Numbers beyond those of the training rows are kept as a last category, and that one is dropped.
         OneHotEncoder(
             inputCols=[f"_index_{c}" for c in categorical],
             outputCols=[f"_hot_{c}" for c in categorical],
             dropLast=True,
-            handleInvalid="error",
+            handleInvalid="keep",
         ),
         VectorAssembler(
             inputCols=[f"_scaled_{c}" for c in numeric] + [f"_hot_{c}" for c in categorical], outputCol="features"

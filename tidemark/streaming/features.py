@@ -4,8 +4,8 @@ Events are taken in order of arrival. A late transaction is accepted and sees ``
 is still kept; transactions dated after it are not in its windows. Within a micro-batch arrival is
 the order of event time and transaction id, so input in time order gives the batch result.
 
-State of a customer is a set of small entries, of which a micro-batch reads and writes those it touches: the transactions of an hour, the sums of an
-hour, the visits of one merchant on one day, the marker of one transaction id. Hours expire from the oldest one on, days and markers by their horizon, so
+State of a customer is a set of small entries, of which a micro-batch reads and writes those it touches: the transactions of a day, or of an hour of a
+busy day with their sums, the visits of a day, a group of markers of transaction ids. Days expire from the oldest one on, visits and markers by their horizon, so
 the state is bounded by the windows, not by the length of the stream, and the work of a micro-batch grows with its rows.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from datetime import timedelta
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ from tidemark.streaming.memory import WEEK_MS, Standing, rolling_values
 STATS_TTL = timedelta(days=8)
 VISIT_GRACE_DAYS = 2
 
+#: Transactions of a day that stay in one entry, and ids of a group of markers, about.
+DAY_ROWS, MARKERS = 1000, 256
 #: How far arrival times may lie apart within a micro-batch before rows are taken for older than the watermark.
 ARRIVAL_DELAY = timedelta(minutes=10)
 
@@ -106,10 +109,11 @@ def split_late(features: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class _CustomerMemory(StatefulProcessor):
-    """The state of a customer.
+    """The state of a customer, in entries of bounded size.
 
-    ``rows`` and ``sums`` hold the transactions of the last 7 days by hour, one by one and summed; ``visits`` the visits by day and
-    merchant; ``markers`` the clock of every id and ``marked`` the ids by day of the clock and micro-batch, to find those that are due.
+    ``rows`` holds the transactions of the last 7 days by day, and by hour (with ``sums``) on days with more than ``DAY_ROWS``; ``visits`` the visits
+    per merchant by day; ``markers`` the clock of every id, in groups of ids whose number doubles with them. A marker that is due goes when its
+    group is next written, or with the timer.
     """
 
     def __init__(self, window_days: int, expire: bool, late_rows: bool):
@@ -120,13 +124,15 @@ class _CustomerMemory(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        # Clock and newest transaction so far, last write, next micro-batch, the due time of the timer.
-        self.known = handle.getValueState("known", "clock bigint, newest bigint, written bigint, batch bigint, timer bigint")
-        self.rows = handle.getMapState("rows", "hour bigint", "ms array<bigint>, cents array<bigint>, abroad array<bigint>, merchants array<string>")
-        self.sums = handle.getMapState("sums", "hour bigint", "n bigint, cents bigint, abroad bigint, largest bigint")
-        self.visits = handle.getMapState("visits", "day bigint, merchant string", "visits bigint, first bigint, last bigint, written bigint")
-        self.markers = handle.getMapState("markers", "id string", "clock bigint")
-        self.marked = handle.getMapState("marked", "day bigint, batch bigint", "ids array<string>")
+        # Clock and newest transaction so far, last write, due time of the timer, marked ids and their groups.
+        self.known = handle.getValueState("known", "clock bigint, newest bigint, written bigint, timer bigint, ids bigint, groups bigint")
+        entry = "day bigint, hour int"
+        self.rows = handle.getMapState("rows", entry, "ms array<bigint>, cents array<bigint>, abroad array<bigint>, merchants array<string>")
+        self.sums = handle.getMapState("sums", entry, "n bigint, cents bigint, abroad bigint, largest bigint")
+        self.visits = handle.getMapState(
+            "visits", "day bigint", "merchants array<string>, visits array<bigint>, first array<bigint>, last array<bigint>, written bigint"
+        )
+        self.markers = handle.getMapState("markers", "part bigint", "ids array<string>, clocks array<bigint>")
 
     def close(self) -> None:
         pass
@@ -135,18 +141,17 @@ class _CustomerMemory(StatefulProcessor):
         arrived = pd.concat(list(rows), ignore_index=True)
         arrived = arrived.sort_values(["ms", "transaction_id"], kind="stable").drop_duplicates("transaction_id", ignore_index=True)
         known = self.known.get()
-        clock, newest, written, batch, timer = known or (-(2**62), -(2**62), -(2**62), 0, -1)
+        clock, newest, written, timer, ids, groups = known or (-(2**62), -(2**62), -(2**62), -1, 0, 1)
         ms = arrived["ms"].to_numpy()
         # The newest transaction ahead of each; also the clock, where event time is the clock.
         ahead = np.maximum(newest, np.concatenate([[newest], ms[:-1]]))
-        clocks = arrived["arrived_ms"].to_numpy() if self.expire else np.maximum(ahead, ms)
+        clocks = arrived["arrived_ms"].to_numpy() if self.expire else np.maximum(np.maximum(ahead, ms), clock)
         now = max(clock, int(clocks.max()))
         if self.expire and written + self.rolling_ms <= now:
             self._forget_rolling()
 
         late = (ms // DAY_MS <= ahead // DAY_MS - self.window_days - VISIT_GRACE_DAYS) & self.late_rows
-        new, counted = self._unseen(arrived["transaction_id"].tolist(), clocks, known is None)
-        self._mark(arrived["transaction_id"].to_numpy()[new], clocks[new], batch)
+        new, counted, ids = self._mark(arrived["transaction_id"].tolist(), clocks.tolist(), known is None, ids, groups, now)
         part = arrived[new & ~late].reset_index(drop=True)
         if len(part):
             newest, written = max(newest, int(part["ms"].iloc[-1])), now
@@ -156,23 +161,24 @@ class _CustomerMemory(StatefulProcessor):
         beyond = arrived[new & late].reset_index(drop=True)
         if len(beyond):
             yield self._output(beyond, [[None] * len(CUSTOMER_FEATURES)] * len(beyond), True)
-        # Later micro-batches are not behind this clock.
-        if known is not None and now // DAY_MS > clock // DAY_MS:
-            self._forget_markers(now)
-        self.known.update((now, newest, written, batch + 1, self._remind(now, written, timer) if self.expire else timer))
+        if ids > 2 * MARKERS * groups:
+            groups = self._regroup(ids)
+        self.known.update((now, newest, written, self._remind(now, written, timer) if self.expire else timer, ids, groups))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         known = self.known.get()
         if known is not None:
-            clock, newest, written, batch, _ = known
+            clock, newest, written, _, ids, groups = known
             now = max(clock, timerValues.getCurrentWatermarkInMs())
             if written + self.rolling_ms <= now:
                 self._forget_rolling()
-            for day, merchant in self._outlived(dict(self.visits.iterator()) if self.visits.exists() else {}, now):
-                self.visits.removeKey((day, merchant))
-            self._forget_markers(now)
+            for (day,), value in list(self.visits.iterator()) if self.visits.exists() else []:
+                if value[4] + self.visit_ms <= now:
+                    self.visits.removeKey((day,))
+            for (part,), value in list(self.markers.iterator()) if self.markers.exists() else []:
+                ids += self._write_markers(part, dict(zip(*value)), now) - len(value[0])
             if self.rows.exists() or self.visits.exists() or self.markers.exists():
-                self.known.update((clock, newest, written, batch, self._remind(now, written, -1)))
+                self.known.update((clock, newest, written, self._remind(now, written, -1), ids, groups))
             else:
                 self.known.clear()
         return iter(())
@@ -184,45 +190,57 @@ class _CustomerMemory(StatefulProcessor):
             values = values.astype({c: "object" if kind == "string" else "Float64" if kind == "double" else "Int64" for c, kind in CUSTOMER_FEATURES.items()})
         return pd.concat([part[carried], values], axis=1).assign(beyond_horizon=beyond)
 
-    def _unseen(self, ids: list[str], clocks: np.ndarray, fresh: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(not seen within the rolling horizon, not seen within that of the visits either)."""
+    def _mark(
+        self, ids: list[str], clocks: list[int], fresh: bool, marked: int, groups: int, now: int
+    ) -> tuple[np.ndarray, np.ndarray, int]:
+        """(not seen within the rolling horizon, not seen within that of the visits either, ids marked by now); marks the first."""
         new, counted = np.ones(len(ids), bool), np.ones(len(ids), bool)
-        if not fresh:
-            for k, i in enumerate(ids):
-                marker = self.markers.getValue((i,))
-                if marker is not None:
-                    age = int(clocks[k]) - marker[0]
+        parts: dict[int, list[int]] = {}
+        for k, i in enumerate(ids):
+            parts.setdefault(crc32(i.encode()) % groups, []).append(k)
+        for part, places in parts.items():
+            stored = None if fresh else self.markers.getValue((part,))
+            seen = dict(zip(*stored)) if stored else {}
+            before = len(seen)
+            for k in places:
+                if ids[k] in seen:
+                    age = clocks[k] - seen[ids[k]]
                     new[k], counted[k] = age >= self.rolling_ms, age >= self.visit_ms
-        return new, counted
-
-    def _mark(self, ids: np.ndarray, clocks: np.ndarray, batch: int) -> None:
-        for i, at in zip(ids.tolist(), clocks.tolist()):
-            self.markers.updateValue((i,), (at,))
-        days = clocks // DAY_MS
-        for day in np.unique(days).tolist():
-            self.marked.updateValue((day, batch), (ids[days == day].tolist(),))
-
-    def _forget_markers(self, now: int) -> None:
-        due = [k for k in self.marked.keys() if (k[0] + 1) * DAY_MS + self.marker_ms <= now] if self.marked.exists() else []
-        for day, batch in due:
-            for i in self.marked.getValue((day, batch))[0]:
-                marker = self.markers.getValue((i,))
-                # An id that was marked again since belongs to a later day.
-                if marker is not None and marker[0] // DAY_MS <= day:
-                    self.markers.removeKey((i,))
-            self.marked.removeKey((day, batch))
+                if new[k]:
+                    seen[ids[k]] = clocks[k]
+            # Later micro-batches are not behind this clock.
+            marked += self._write_markers(part, seen, now) - before
+        return new, counted, marked
+
+    def _write_markers(self, part: int, seen: dict[str, int], now: int) -> int:
+        """Store the markers of a group that are not due; returns how many."""
+        kept = {i: at for i, at in seen.items() if at + self.marker_ms > now}
+        if kept:
+            self.markers.updateValue((part,), (list(kept), list(kept.values())))
+        else:
+            self.markers.removeKey((part,))
+        return len(kept)
+
+    def _regroup(self, ids: int) -> int:
+        """Deal the markers to so many groups that each holds about ``MARKERS``; as the number doubles, an id is dealt a few times in all."""
+        groups = 1
+        while ids > MARKERS * groups:
+            groups *= 2
+        dealt: dict[int, tuple[list, list]] = {}
+        for (part,), value in list(self.markers.iterator()):
+            self.markers.removeKey((part,))
+            for i, at in zip(*value):
+                here = dealt.setdefault(crc32(i.encode()) % groups, ([], []))
+                here[0].append(i)
+                here[1].append(at)
+        for part, value in dealt.items():
+            self.markers.updateValue((part,), value)
+        return groups
 
     def _forget_rolling(self) -> None:
         self.rows.clear()
         self.sums.clear()
 
-    def _outlived(self, kept: dict[tuple[int, str], tuple], now: int) -> list[tuple[int, str]]:
-        """Entries of days whose last write is too long ago."""
-        last: dict[int, int] = {}
-        for (day, _), value in kept.items():
-            last[day] = max(value[3], last.get(day, value[3]))
-        return [(day, merchant) for day, merchant in kept if last[day] + self.visit_ms <= now]
-
     def _remind(self, now: int, written: int, timer: int) -> int:
         """Have the timer due when the next horizon ends of a customer who stays silent, on a full hour."""
         ends = written + self.rolling_ms if written + self.rolling_ms > now else now + self.marker_ms + DAY_MS
@@ -238,18 +256,18 @@ class _CustomerMemory(StatefulProcessor):
         cents, abroad = part["cents"].to_numpy(), part["abroad"].to_numpy()
         first, last = int(ms[0]), int(ms[-1])
         gone = last - WEEK_MS - 1  # what has left for good after this micro-batch
-        hours = sorted(h for (h,) in self.rows.keys()) if not fresh and self.rows.exists() else []
-        held: dict[int, tuple] = {}
+        entries = sorted(tuple(k) for k in self.rows.keys()) if not fresh and self.rows.exists() else []
+        held: dict[tuple[int, int], tuple] = {}
         blocks = []
-        for hour in hours:
-            start, end = hour * HOUR_MS, (hour + 1) * HOUR_MS - 1
+        for entry in entries:
+            start, end = _span(entry)
             if end < first - WEEK_MS or start > last:
                 continue
-            if end < first - DAY_MS and start >= last - WEEK_MS and start > gone:
-                n, total, far, largest = self.sums.getValue((hour,))
+            if entry[1] >= 0 and end < first - DAY_MS and start >= last - WEEK_MS and start > gone:
+                n, total, far, largest = self.sums.getValue(entry)
                 blocks.append((end, total, far, n, largest))
             else:
-                held[hour] = self.rows.getValue((hour,))
+                held[entry] = self.rows.getValue(entry)
         old = [np.array([v for h in held.values() for v in h[k]], np.int64) for k in range(3)]
         names = [m for h in held.values() for m in h[3]]
         order = np.argsort(old[0], kind="stable")
@@ -258,49 +276,72 @@ class _CustomerMemory(StatefulProcessor):
             old, names, tuple(np.array([b[k] for b in blocks], np.int64) for k in range(5)), (ms, cents, abroad), merchants
         )
 
-        # The oldest hours leave first; only the hour that is cut and the hours with new rows are written.
-        for hour in hours:
-            if (hour + 1) * HOUR_MS - 1 <= gone:
-                self.rows.removeKey((hour,))
-                self.sums.removeKey((hour,))
-                held.pop(hour, None)
-        by_hour: dict[int, list[int]] = {}
+        # The oldest entries leave first; only the entry that is cut and those with new rows are written.
+        for entry in entries:
+            if _span(entry)[1] <= gone:
+                self._remove_rows(entry)
+                held.pop(entry, None)
+        split = {day for day, hour in entries if hour >= 0}
+        added: dict[tuple[int, int], list[int]] = {}
         for k in np.flatnonzero(ms > gone).tolist():
-            by_hour.setdefault(int(ms[k]) // HOUR_MS, []).append(k)
-        cut = [h for h in held if h * HOUR_MS <= gone]
-        for hour in {*by_hour, *cut}:
-            stored = held.get(hour, ([], [], [], []))
-            entries = [e for e in zip(*stored) if e[0] > gone]
-            entries += [(int(ms[k]), int(cents[k]), int(abroad[k]), merchants[k]) for k in by_hour.get(hour, [])]
-            if entries:
-                entries.sort(key=lambda e: e[0])
-                lists = [list(c) for c in zip(*entries)]
-                self.rows.updateValue((hour,), tuple(lists))
-                self.sums.updateValue((hour,), (len(entries), sum(lists[1]), sum(lists[2]), max(lists[1])))
-            else:
-                self.rows.removeKey((hour,))
-                self.sums.removeKey((hour,))
+            day = int(ms[k]) // DAY_MS
+            added.setdefault((day, int(ms[k]) % DAY_MS // HOUR_MS if day in split else -1), []).append(k)
+        for entry in {*added, *[e for e in held if _span(e)[0] <= gone]}:
+            kept = [r for r in zip(*held.get(entry, ([], [], [], []))) if r[0] > gone]
+            kept += [(int(ms[k]), int(cents[k]), int(abroad[k]), merchants[k]) for k in added.get(entry, [])]
+            self._write_rows(entry, sorted(kept, key=lambda r: r[0]))
         return found
 
+    def _write_rows(self, entry: tuple[int, int], kept: list[tuple]) -> None:
+        if not kept:
+            self._remove_rows(entry)
+        elif entry[1] < 0 and len(kept) > DAY_ROWS:
+            self._remove_rows(entry)
+            by_hour: dict[int, list[tuple]] = {}
+            for r in kept:
+                by_hour.setdefault(r[0] % DAY_MS // HOUR_MS, []).append(r)
+            for hour, part in by_hour.items():
+                self._write_rows((entry[0], hour), part)
+        else:
+            lists = [list(c) for c in zip(*kept)]
+            self.rows.updateValue(entry, tuple(lists))
+            if entry[1] >= 0:
+                self.sums.updateValue(entry, (len(kept), sum(lists[1]), sum(lists[2]), max(lists[1])))
+
+    def _remove_rows(self, entry: tuple[int, int]) -> None:
+        self.rows.removeKey(entry)
+        if entry[1] >= 0:
+            self.sums.removeKey(entry)
+
     def _visited(self, part: pd.DataFrame, counted: np.ndarray, fresh: bool, newest: int, now: int) -> list[list]:
-        kept = dict(self.visits.iterator()) if not fresh and self.visits.exists() else {}
-        for outlived in self._outlived(kept, now) if self.expire else []:
-            self.visits.removeKey(outlived)
-            del kept[outlived]
-        standing = Standing({k: v[:3] for k, v in kept.items()}, self.window_days)
+        kept = {day: value for (day,), value in self.visits.iterator()} if not fresh and self.visits.exists() else {}
+        oldest = newest // DAY_MS - self.window_days - VISIT_GRACE_DAYS
+        if self.expire:
+            for day in [d for d, value in kept.items() if value[4] + self.visit_ms <= now]:
+                self.visits.removeKey((day,))
+                del kept[day]
+        standing = Standing({(d, m): v for d, value in kept.items() for m, *v in zip(*value[:4])}, self.window_days)
         found, touched = [], {}
         for ms, merchant, counts in zip(part["ms"].tolist(), part["merchant_id"].tolist(), counted.tolist()):
             day = ms // DAY_MS
             standing.move_to(day)
             found.append(standing.features(merchant, ms))
             if counts:
-                touched[day, merchant] = standing.count(merchant, ms, day)
-        oldest = newest // DAY_MS - self.window_days - VISIT_GRACE_DAYS
-        for (day, merchant), bucket in touched.items():
+                touched.setdefault(day, {})[merchant] = standing.count(merchant, ms, day)
+        for day, changed in touched.items():
             if self.expire or day > oldest:
-                self.visits.updateValue((day, merchant), (*bucket, now))
+                merged = {m: v for m, *v in zip(*kept[day][:4])} if day in kept else {}
+                merged.update(changed)
+                self.visits.updateValue((day,), (list(merged), *[list(c) for c in zip(*merged.values())], now))
         if not self.expire:
-            for day, merchant in kept:
+            for day in kept:
                 if day <= oldest:
-                    self.visits.removeKey((day, merchant))
+                    self.visits.removeKey((day,))
         return found
+
+
+def _span(entry: tuple[int, int]) -> tuple[int, int]:
+    """First and last millisecond of a day or of one hour of it."""
+    day, hour = entry
+    start = day * DAY_MS + max(hour, 0) * HOUR_MS
+    return start, start + (DAY_MS if hour < 0 else HOUR_MS) - 1

@@ -176,12 +176,12 @@ class Plain:
         return out
 
 
-@given(st.integers(0, 10**9), st.sampled_from([1, 3, 30]), st.booleans(), st.sampled_from([1, 12, 60]), st.sampled_from([(1, 1), (3, 2), (1000, 256)]))
+@given(st.integers(0, 10**9), st.sampled_from([1, 3, 30]), st.booleans(), st.sampled_from([1, 12, 60]), st.sampled_from([(1, 1, 0), (3, 2, 900), (1000, 256, 0), (1000, 256, 50_000)]))
 @settings(max_examples=250, deadline=None)
 def test_micro_batches_equal_a_replay(seed, window_days, expire, days, limits):
     """Late, repeated and simultaneous transactions, silent stretches and any cut into micro-batches and entries."""
     rng = random.Random(seed)
-    features.DAY_ROWS, features.MARKERS = limits
+    features.DAY_ROWS, features.MARKERS, features.SMALL = limits
     made, plain = memory(window_days, expire), Plain(window_days, expire)
     arrival = 1000 * DAY
     for _ in range(rng.randrange(1, 7)):
@@ -197,7 +197,7 @@ def test_micro_batches_equal_a_replay(seed, window_days, expire, days, limits):
         got = feed(made, events)
         got = {r["transaction_id"]: [r[c] for c in FEATURES] for r in got.to_dict("records")}
         assert got == plain.feed(events)
-    features.DAY_ROWS, features.MARKERS = 1000, 256
+    features.DAY_ROWS, features.MARKERS, features.SMALL = 1000, 256, 50_000
 
 
 def test_silent_customers_are_forgotten_by_timers():
@@ -223,19 +223,20 @@ def test_work_of_a_micro_batch_follows_its_rows():
     ms = np.sort(rng.integers(900 * DAY, 940 * DAY, n))
     merchant = rng.integers(0, 5000, n)
     made, seconds, touched = memory(30, False), [], []
+    held = made.maps
     for part in np.array_split(np.arange(n), batches):
         events = [
             {"id": f"t{k}", "ms": int(ms[k]), "merchant": f"m{merchant[k]:05d}", "cents": 100 + k % 7, "abroad": k % 2, "arrived": 0} for k in part.tolist()
         ]
-        start, before = time.perf_counter(), made.rows.touched + made.sums.touched
+        start, before = time.perf_counter(), held["rows"].touched + held["sums"].touched
         got = feed(made, events)
         seconds.append(time.perf_counter() - start)
-        touched.append(made.rows.touched + made.sums.touched - before)
+        touched.append(held["rows"].touched + held["sums"].touched - before)
         assert len(got) == len(events)
     assert sum(seconds[30:]) < 4 * sum(seconds[5:15]) + 1
     # A micro-batch of one day reads two days and writes one, besides the sums of the week.
     assert max(touched) < 24 * 12
-    assert len(made.rows.entries) <= 7 * 24 + 2 and len(made.visits.entries) <= 33 and len(made.markers.entries) > 100
+    assert len(held["rows"].entries) <= 7 * 24 + 2 and len(held["visits"].entries) <= 33 and len(held["markers"].entries) > 100
 
 
 def test_late_rows_go_to_an_output_of_their_own(spark):

@@ -11,6 +11,7 @@ the state is bounded by the windows, not by the length of the stream, and the wo
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 from datetime import timedelta
 from zlib import crc32
@@ -32,6 +33,9 @@ VISIT_GRACE_DAYS = 2
 
 #: Transactions of a day that stay in one entry, and ids of a group of markers, about.
 DAY_ROWS, MARKERS = 1000, 256
+#: Characters of state that are held in one piece.
+SMALL = 50_000
+_MAPS = ("rows", "sums", "visits", "markers")
 #: How far arrival times may lie apart within a micro-batch before rows are taken for older than the watermark.
 ARRIVAL_DELAY = timedelta(minutes=10)
 
@@ -108,8 +112,30 @@ def split_late(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     return features.where("NOT beyond_horizon").drop("beyond_horizon"), late
 
 
+class _Entries(dict):
+    """A map state of a customer with little state, held with the rest of it."""
+
+    def exists(self) -> bool:
+        return bool(self)
+
+    def getValue(self, key: tuple) -> tuple | None:
+        return self.get(tuple(key))
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        self[tuple(key)] = value
+
+    def removeKey(self, key: tuple) -> None:
+        self.pop(tuple(key), None)
+
+    def iterator(self) -> Iterator[tuple[tuple, tuple]]:
+        return iter(list(self.items()))
+
+    def keys(self) -> Iterator[tuple]:
+        return iter(list(super().keys()))
+
+
 class _CustomerMemory(StatefulProcessor):
-    """The state of a customer, in entries of bounded size.
+    """The state of a customer, in entries of bounded size, or in one piece while there is little of it: ``SMALL`` characters of JSON at most.
 
     ``rows`` holds the transactions of the last 7 days by day, and by hour (with ``sums``) on days with more than ``DAY_ROWS``; ``visits`` the visits
     per merchant by day; ``markers`` the clock of every id, in groups of ids whose number doubles with them. A marker that is due goes when its
@@ -125,7 +151,7 @@ class _CustomerMemory(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         # Clock and newest transaction so far, last write, due time of the timer, marked ids and their groups.
-        self.known = handle.getValueState("known", "clock bigint, newest bigint, written bigint, timer bigint, ids bigint, groups bigint")
+        self.known = handle.getValueState("known", "clock bigint, newest bigint, written bigint, timer bigint, ids bigint, groups bigint, small string")
         entry = "day bigint, hour int"
         self.rows = handle.getMapState("rows", entry, "ms array<bigint>, cents array<bigint>, abroad array<bigint>, merchants array<string>")
         self.sums = handle.getMapState("sums", entry, "n bigint, cents bigint, abroad bigint, largest bigint")
@@ -133,6 +159,29 @@ class _CustomerMemory(StatefulProcessor):
             "visits", "day bigint", "merchants array<string>, visits array<bigint>, first array<bigint>, last array<bigint>, written bigint"
         )
         self.markers = handle.getMapState("markers", "part bigint", "ids array<string>, clocks array<bigint>")
+        self.maps = {name: getattr(self, name) for name in _MAPS}
+
+    def _open(self, known: tuple | None) -> None:
+        """Work on the entries held in one piece, or on the maps."""
+        if known is not None and known[-1] is None:
+            vars(self).update(self.maps)
+        else:
+            held = json.loads(known[-1]) if known is not None else {}
+            for name in _MAPS:
+                setattr(self, name, _Entries((tuple(k), tuple(v)) for k, v in held.get(name, [])))
+
+    def _close(self, known: tuple) -> None:
+        """Store what is known, and the entries held in one piece: as such, or in the maps from the moment they are too much."""
+        small = None
+        if isinstance(self.rows, _Entries):
+            held = {name: [[list(k), list(v)] for k, v in getattr(self, name).items()] for name in _MAPS}
+            small = json.dumps(held, separators=(",", ":"))
+            if len(small) > SMALL:
+                small = None
+                for name in _MAPS:
+                    for k, v in getattr(self, name).items():
+                        self.maps[name].updateValue(k, v)
+        self.known.update((*known, small))
 
     def close(self) -> None:
         pass
@@ -141,7 +190,8 @@ class _CustomerMemory(StatefulProcessor):
         arrived = pd.concat(list(rows), ignore_index=True)
         arrived = arrived.sort_values(["ms", "transaction_id"], kind="stable").drop_duplicates("transaction_id", ignore_index=True)
         known = self.known.get()
-        clock, newest, written, timer, ids, groups = known or (-(2**62), -(2**62), -(2**62), -1, 0, 1)
+        clock, newest, written, timer, ids, groups, _ = known or (-(2**62), -(2**62), -(2**62), -1, 0, 1, None)
+        self._open(known)
         ms = arrived["ms"].to_numpy()
         # The newest transaction ahead of each; also the clock, where event time is the clock.
         ahead = np.maximum(newest, np.concatenate([[newest], ms[:-1]]))
@@ -163,12 +213,13 @@ class _CustomerMemory(StatefulProcessor):
             yield self._output(beyond, [[None] * len(CUSTOMER_FEATURES)] * len(beyond), True)
         if ids > 2 * MARKERS * groups:
             groups = self._regroup(ids)
-        self.known.update((now, newest, written, self._remind(now, written, timer) if self.expire else timer, ids, groups))
+        self._close((now, newest, written, self._remind(now, written, timer) if self.expire else timer, ids, groups))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         known = self.known.get()
         if known is not None:
-            clock, newest, written, _, ids, groups = known
+            clock, newest, written, _, ids, groups, _ = known
+            self._open(known)
             now = max(clock, timerValues.getCurrentWatermarkInMs())
             if written + self.rolling_ms <= now:
                 self._forget_rolling()
@@ -178,7 +229,7 @@ class _CustomerMemory(StatefulProcessor):
             for (part,), value in list(self.markers.iterator()) if self.markers.exists() else []:
                 ids += self._write_markers(part, dict(zip(*value)), now) - len(value[0])
             if self.rows.exists() or self.visits.exists() or self.markers.exists():
-                self.known.update((clock, newest, written, self._remind(now, written, -1), ids, groups))
+                self._close((clock, newest, written, self._remind(now, written, -1), ids, groups))
             else:
                 self.known.clear()
         return iter(())

@@ -1,10 +1,11 @@
 """Training order: a keyed permutation gives every sequence a slot, slots are laid out in fixed-stride shards.
 
-Documents become token ids; each document is cut into sequences of ``length`` tokens, the last one padded. Sequences
-are numbered; a keyed Feistel network permutes the numbers, walking along its cycles until it is back in
-range, so that every number gets a slot of its own without a table or a sort. A shard is a range of slots, a partition
-a range of shards; one task writes a shard, every sequence at (slot - first slot of the shard) * bytes of a sequence, so a reader
-finds any slot by arithmetic, reads sequentially and resumes anywhere.
+Documents become token ids; each document is cut into sequences of ``length`` tokens, the last one padded. A sequence has a
+number made of its document's id and its place there, so numbers have gaps but need no counting. A keyed Feistel network
+permutes them, walking along its cycles until it is back in range: every number gets a place of its own. Partitions are ranges of
+places; a range knows from the counts of those ahead which slots are its own, so slots have no gaps. A shard is ``stride`` slots;
+one task writes it, every sequence at (slot - first slot of the shard) * bytes of a sequence, so a reader
+finds any slot by arithmetic, reads sequentially and resumes anywhere. The tokens move once and are stored once, in the shards.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.llm.byte_bpe import codec, portions
 from tidemark.llm.common import mix, saved
@@ -70,32 +71,27 @@ class Permutation:
         return self._walk(slots, True)
 
 
-def _encoder(vocabulary: str, pattern: str, length: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, part, at = codec(vocabulary, pattern), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids = [np.frombuffer(i, "<u4") for texts in portions(batch.pop("text")) for i in coder.encode(texts)]
-            count = np.array([-(-len(i) // length) for i in ids], np.int64)
-            batch["part"], batch["first"], batch["sequences"] = part, at + np.cumsum(count) - count, count
-            batch["tokens"] = [i.astype("<u2").tobytes() for i in ids]
-            at += int(count.sum())
-            yield batch
-
-    return run
+#: Shards of a range, counted as if every byte of text were a token; ranges hold a quarter to a third of that in ordinary texts.
+RANGE_SHARDS = 32
+#: Shards that a task reads back.
+READ_SHARDS = 8
 
 
-def _placer(order: Permutation, length: int, stride: int, pad: bytes):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _placer(vocabulary: str, pattern: str, length: int, order: Permutation, each: int, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = codec(vocabulary, pattern)
         for batch in batches:
-            count = batch["sequences"].to_numpy()
-            slots = order.slots(np.repeat(batch["number"].to_numpy(), count) + _steps(count))
-            cut = [t[k : k + 2 * length] for t in batch["tokens"] for k in range(0, len(t), 2 * length)]
-            yield pd.DataFrame(
-                {
-                    "slot": slots, "shard": slots // stride, "id": np.repeat(batch["id"].to_numpy(), count), "sequence": _steps(count),
-                    "n_tokens": [len(c) // 2 for c in cut], "tokens": [c + pad * (length - len(c) // 2) for c in cut],
-                }
-            )
+            texts = batch.column("text").to_pylist()
+            ids = [np.frombuffer(i, "<u4").astype("<u2").tobytes() for part in portions(texts) for i in coder.encode(part)]
+            count = np.array([-(-len(i) // (2 * length)) for i in ids], np.int64)
+            sequence = _steps(count)
+            place = order.slots(np.repeat(batch.column("base").to_numpy(), count) * each + sequence)
+            kept = batch.select(["id", "text_hash"]).take(pa.array(np.repeat(np.arange(len(ids)), count)))
+            cut = [t[k : k + 2 * length] for t in ids for k in range(0, len(t), 2 * length)]
+            made = [sequence, place, (place // width).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, *map(pa.array, made), pa.array(cut, pa.binary())], ["id", "text_hash", "sequence", "place", "range", "tokens"]
+            )
 
     return run
 
@@ -104,40 +100,91 @@ def _steps(count: np.ndarray) -> np.ndarray:
     return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
 
 
+def _slotter(length: int, stride: int, pad: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, of = 0, -1
+        for batch in batches:
+            if not len(batch):
+                continue
+            before, total = batch.column("before").to_numpy(), batch.column("total").to_numpy()
+            # Rows of a range follow each other; a partition may hold several ranges.
+            starts = np.flatnonzero(np.append(before[0] != of, before[1:] != before[:-1]))
+            steps = np.arange(len(batch)) + at
+            for k in starts:
+                steps[k:] -= steps[k]
+            at, of = int(steps[-1]) + 1, before[-1]
+            slot = before + steps
+            shard = slot // stride
+            tokens = batch.column("tokens").to_pylist()
+            made = [slot, shard, np.minimum(stride, total - shard * stride)]
+            padded = pa.array([t + pad * (length - len(t) // 2) for t in tokens], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, made), batch.column("id"), batch.column("sequence"), pa.array([len(t) // 2 for t in tokens], pa.int64()), padded],
+                ["slot", "shard", "shard_size", "id", "sequence", "n_tokens", "tokens"],
+            )
+
+    return run
+
+
 def training_order(
     docs: DataFrame, *, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
     length: int = 512, stride: int = 8192, key: int = 20_24, pad: int = 50_256,
 ) -> DataFrame:
-    """One row per sequence: slot, shard, ``id_col``, sequence (its number in the document), n_tokens, tokens.
+    """One row per sequence: slot, shard, shard_size, ``id_col``, sequence (its number in the document), n_tokens, tokens.
 
     tokens holds ``length`` little-endian unsigned 16-bit ids, ``pad`` after the last one. Slots run from 0 without gaps,
-    a shard holds ``stride`` of them. Partitions are ranges of shards, so rows come in the order of their slots. Sequences are numbered
-    along the input's partitions, so slots depend on the key and on how the input is split; the numbered
-    tokens are written to the shared folder before they are placed, so that a lost task finds them unchanged.
+    a shard holds ``stride`` of them, the last one what is left (shard_size). Partitions are ranges of places, so rows come in the order
+    of their slots. Slots follow from the ids, the texts and the key alone: how the input is split or ordered makes no difference.
 
-    Null and empty texts have no sequence. Rows that repeat an id, or have none, are documents of their own.
+    Null and empty texts have no sequence. Rows that repeat an id, or have none, are documents of their own; rows without an id
+    take the number of a hash of their text. Rows of an id that more than ``stride`` rows share are spread by their position
+    in the input, so only their slots depend on it. Other columns are not looked at.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = dict(docs.dtypes)["id"]
-    coded = docs.mapInPandas(
-        _encoder(vocabulary, pattern, length), f"id {id_type}, part long, first long, sequences long, tokens binary"
+    whole = id_type in ("tinyint", "smallint", "int", "bigint")
+    low, high, total_bytes = docs.selectExpr(
+        "cast(min(id) AS bigint)" if whole else "null", "cast(max(id) AS bigint)" if whole else "null", "coalesce(sum(octet_length(text)), 0)"
+    ).first()
+    # A text has less than 2 ** 31 bytes, so no document has more sequences.
+    each = 2**31 // length + 1
+    span = max(2**32, high - low + 1) if whole and low is not None else 2**32
+    numbered = whole and low is not None and span * each <= 2**62
+    if not numbered:
+        span = 2**62 // each
+    order = Permutation(span * each, key)
+    ranges = max(1, -(-total_bytes // (length * stride * RANGE_SHARDS)))
+    by_text = f"pmod(xxhash64(text), {span}L)"
+    base = f"coalesce({f'cast(id AS bigint) - ({low}L)' if numbered else f'pmod(xxhash64(id), {span}L)'}, {by_text})"
+    keyed = docs.where("octet_length(text) > 0")
+    shared = saved(keyed.groupBy("id").count().where(f"count > {stride}").selectExpr("id AS its_id"), "shared-ids")
+    if shared.isEmpty():
+        keyed = keyed.selectExpr("id", "text", "xxhash64(text) AS text_hash", f"{base} AS base")
+    else:
+        spread = f"pmod(xxhash64(text, row), {span}L)"
+        keyed = keyed.withColumn("row", F.monotonically_increasing_id()).join(
+            shared.selectExpr("its_id", "true AS hot"), F.expr("id <=> its_id"), "left"
+        ).selectExpr("id", "text", "xxhash64(text) AS text_hash", f"IF(hot, {spread}, {base}) AS base")
+    placed = keyed.mapInArrow(
+        _placer(vocabulary, pattern, length, order, each, -(-order.size // ranges)),
+        f"id {id_type}, text_hash long, sequence long, place long, range int, tokens binary",
     )
-    coded = saved(coded.where("sequences > 0"), "token-ids", compression="zstd")
-    # One row for each partition of the input.
-    parts = coded.groupBy("part").agg(F.sum("sequences").alias("here")).selectExpr(
-        "part AS its_part", "sum(here) OVER (ORDER BY part) - here AS before", "sum(here) OVER () AS total"
+    # The bounds of the ranges are known, so no sample of the rows is needed.
+    # Both branches see the same filter, and the checksum names every column, so that they read one exchange.
+    ranged = placed.where("range IS NOT NULL").repartitionById(ranges, "range")
+    counts = ranged.groupBy("range").agg(F.count("*").alias("here"), F.bit_xor(F.xxhash64(*ranged.columns)).alias("checksum"))
+    # One row for each range.
+    counts = counts.selectExpr(
+        "range AS its_range", "sum(here) OVER (ORDER BY range) - here AS before", "sum(here) OVER () AS total", "checksum"
     )
-    parts = saved(parts, "token-parts")
-    total = parts.selectExpr("coalesce(max(total), 0)").first()[0]
-    numbered = coded.join(parts, F.expr("part = its_part")).selectExpr("id", "sequences", "first + before AS number", "tokens")
-    placed = numbered.mapInPandas(
-        _placer(Permutation(total, key), length, stride, struct.pack("<H", pad)),
-        f"slot long, shard long, id {id_type}, sequence long, n_tokens long, tokens binary",
+    ordered = ranged.join(F.broadcast(counts), F.expr("range = its_range")).where("checksum IS NOT NULL")
+    ordered = ordered.sortWithinPartitions("range", "place", "id", "text_hash", "sequence")
+    slotted = ordered.select("id", "sequence", "tokens", "before", "total").mapInArrow(
+        _slotter(length, stride, struct.pack("<H", pad)),
+        f"slot long, shard long, shard_size long, id {id_type}, sequence long, n_tokens long, tokens binary",
     )
-    shards = max(1, -(-total // stride))
-    # The bounds of the ranges are known, so no sample of the rows is needed.
-    ordered = placed.repartitionById(shards, F.expr("cast(shard AS int)")).sortWithinPartitions("slot")
-    return ordered.withColumnRenamed("id", id_col)
+    return slotted.withColumnRenamed("id", id_col)
 
 
 _INDEX = ".index"
@@ -147,39 +194,52 @@ def _path(folder: str, shard: int) -> str:
     return f"{folder.rstrip('/')}/shard-{shard:08d}.bin"
 
 
-def _writer(folder: str):
+def _writer(folder: str, columns: list[str], schema: pa.Schema):
+    """Writes the shards that are complete in its partition and hands on the rows of the others, one shard in memory at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
-        shard, out, index, done = None, None, [], []
-        trial = f".{uuid.uuid4().hex}"
-
-        def close():
-            out.close()
-            path = _path(root, shard)
-            with system.open_output_stream(path + _INDEX + trial) as sink, pa.ipc.new_file(sink, index[0].schema) as file:
-                for part in index:
-                    file.write_batch(part)
+
+        def write(shard: int, rows: pa.Table) -> None:
+            trial, path = f".{uuid.uuid4().hex}", _path(root, shard)
+            with system.open_output_stream(path + trial) as out:
+                for tokens in rows.column("tokens").chunks:
+                    out.write(b"".join(tokens.to_pylist()))
+            index = rows.select(columns)
+            with system.open_output_stream(path + _INDEX + trial) as sink, pa.ipc.new_file(sink, index.schema) as file:
+                file.write_table(index)
             system.move(path + _INDEX + trial, path + _INDEX)
             system.move(path + trial, path)
-            done.append((shard, sum(map(len, index))))
 
+        def ended(shard: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(parts)
+            if len(rows) == rows.column("shard_size")[0].as_py():
+                write(shard, rows)
+                yield pa.RecordBatch.from_pylist([{"shard": shard, "sequences": len(rows)}], schema)
+            else:
+                yield from rows.to_batches()
+
+        shard, parts = None, []
         for batch in batches:
+            if "sequences" not in batch.schema.names:
+                batch = batch.append_column("sequences", pa.nulls(len(batch), pa.int64()))
+            done = batch.column("sequences").is_valid()
+            if pc.any(done).as_py():
+                yield batch.filter(done).cast(schema)
+                batch = batch.filter(pc.invert(done))
+            batch = batch.cast(schema)
             numbers = batch.column("shard").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
             for at, end in zip(cuts, cuts[1:]):
                 if at == end:
                     continue
                 if numbers[at] != shard:
-                    if out:
-                        close()
-                    shard, index = int(numbers[at]), []
-                    out = system.open_output_stream(_path(root, shard) + trial)
-                rows = batch.slice(at, end - at)
-                out.write(b"".join(rows.column("tokens").to_pylist()))
-                index.append(rows.select([c for c in rows.schema.names if c != "tokens"]))
-        if out:
-            close()
-        yield pa.RecordBatch.from_pydict({"shard": [s for s, _ in done], "sequences": [n for _, n in done]}, pa.schema([("shard", pa.int64()), ("sequences", pa.int64())]))
+                    if parts:
+                        yield from ended(shard, parts)
+                    shard, parts = int(numbers[at]), []
+                parts.append(batch.slice(at, end - at))
+        if parts:
+            yield from ended(shard, parts)
 
     return run
 
@@ -187,12 +247,20 @@ def _writer(folder: str):
 def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
     """Write the shards of ``training_order`` below ``folder`` (a URI that executors share); returns (shard, sequences).
 
+    A task writes the shards that lie wholly in its range; the rows of a shard that two ranges share move to one task.
     Beside the tokens of a shard lies an index, an Arrow file with the other columns of its rows. Both are written under a name
     of their attempt and renamed when they are complete, the tokens last, so a repeated task replaces them by the same bytes
     and a reader never sees a part of a shard.
     """
     fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)
-    return saved(ordered.mapInArrow(_writer(folder), "shard long, sequences long"), "shards")
+    columns = [c for c in ordered.columns if c not in ("shard_size", "tokens")]
+    fields = ordered.withColumn("sequences", F.lit(None).cast("long")).schema
+    for field in fields:
+        field.nullable = True
+    schema = to_arrow_schema(fields)
+    handed = ordered.mapInArrow(_writer(folder, columns, schema), fields)
+    gathered = handed.repartition("shard").sortWithinPartitions("shard", "slot").mapInArrow(_writer(folder, columns, schema), fields)
+    return saved(gathered.select("shard", "sequences"), "shards")
 
 
 def _reader(folder: str, columns: list[str], length: int, stride: int):
@@ -219,10 +287,11 @@ def stored_order(docs: DataFrame, *, id_col: str = "doc_id", length: int = 512,
     ordered = training_order(docs, id_col=id_col, length=length, stride=stride, **options)
     folder = new_folder(docs.sparkSession, "training-shards")
     written = write_shards(ordered, folder)
-    shards = max(1, written.count())
-    columns = [c for c in ordered.columns if c != "tokens"]
+    tasks = max(1, -(-written.count() // READ_SHARDS))
+    columns = [c for c in ordered.columns if c not in ("shard_size", "tokens")]
     types = dict(ordered.dtypes)
-    return written.repartitionById(shards, F.expr("cast(shard AS int)")).mapInArrow(
+    dealt = written.repartitionById(tasks, F.expr(f"cast(shard div {READ_SHARDS} AS int)")).sortWithinPartitions("shard")
+    return dealt.mapInArrow(
         _reader(folder, columns, length, stride), ", ".join([*(f"`{c}` {types[c]}" for c in columns), "tokens_sha256 string"])
     )
 

@@ -81,17 +81,19 @@ def _placer(vocabulary: str, pattern: str, length: int, order: Permutation, each
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(vocabulary, pattern)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            ids = [np.frombuffer(i, "<u4").astype("<u2").tobytes() for part in portions(texts) for i in coder.encode(part)]
-            count = np.array([-(-len(i) // (2 * length)) for i in ids], np.int64)
-            sequence = _steps(count)
-            place = order.slots(np.repeat(batch.column("base").to_numpy(), count) * each + sequence)
-            kept = batch.select(["id", "text_hash"]).take(pa.array(np.repeat(np.arange(len(ids)), count)))
-            cut = [t[k : k + 2 * length] for t in ids for k in range(0, len(t), 2 * length)]
-            made = [sequence, place, (place // width).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays(
-                [*kept.columns, *map(pa.array, made), pa.array(cut, pa.binary())], ["id", "text_hash", "sequence", "place", "range", "tokens"]
-            )
+            at = 0
+            for texts in portions(batch.column("text").to_pylist()):
+                ids = [np.frombuffer(i, "<u4").astype("<u2").tobytes() for i in coder.encode(texts)]
+                part, at = batch.slice(at, len(ids)), at + len(ids)
+                count = np.array([-(-len(i) // (2 * length)) for i in ids], np.int64)
+                sequence = _steps(count)
+                place = order.slots(np.repeat(part.column("base").to_numpy(), count) * each + sequence)
+                kept = part.select(["id", "text_hash"]).take(pa.array(np.repeat(np.arange(len(ids)), count)))
+                cut = [t[k : k + 2 * length] for t in ids for k in range(0, len(t), 2 * length)]
+                made = [sequence, place, (place // width).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept.columns, *map(pa.array, made), pa.array(cut, pa.binary())], ["id", "text_hash", "sequence", "place", "range", "tokens"]
+                )
 
     return run
 
@@ -100,32 +102,6 @@ def _steps(count: np.ndarray) -> np.ndarray:
     return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
 
 
-def _slotter(length: int, stride: int, pad: bytes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, of = 0, -1
-        for batch in batches:
-            if not len(batch):
-                continue
-            before, total = batch.column("before").to_numpy(), batch.column("total").to_numpy()
-            # Rows of a range follow each other; a partition may hold several ranges.
-            starts = np.flatnonzero(np.append(before[0] != of, before[1:] != before[:-1]))
-            steps = np.arange(len(batch)) + at
-            for k in starts:
-                steps[k:] -= steps[k]
-            at, of = int(steps[-1]) + 1, before[-1]
-            slot = before + steps
-            shard = slot // stride
-            tokens = batch.column("tokens").to_pylist()
-            made = [slot, shard, np.minimum(stride, total - shard * stride)]
-            padded = pa.array([t + pad * (length - len(t) // 2) for t in tokens], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, made), batch.column("id"), batch.column("sequence"), pa.array([len(t) // 2 for t in tokens], pa.int64()), padded],
-                ["slot", "shard", "shard_size", "id", "sequence", "n_tokens", "tokens"],
-            )
-
-    return run
-
-
 def training_order(
     docs: DataFrame, *, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
     length: int = 512, stride: int = 8192, key: int = 20_24, pad: int = 50_256,
@@ -180,10 +156,15 @@ def training_order(
     )
     ordered = ranged.join(F.broadcast(counts), F.expr("range = its_range")).where("checksum IS NOT NULL")
     ordered = ordered.sortWithinPartitions("range", "place", "id", "text_hash", "sequence")
-    slotted = ordered.select("id", "sequence", "tokens", "before", "total").mapInArrow(
-        _slotter(length, stride, struct.pack("<H", pad)),
-        f"slot long, shard long, shard_size long, id {id_type}, sequence long, n_tokens long, tokens binary",
-    )
+    # A partition is one range, so the number of a row in its partition follows the slots of the ranges ahead.
+    slotted = ordered.selectExpr("*", f"before + (monotonically_increasing_id() & {2**33 - 1}L) AS slot").selectExpr(
+        "slot",
+        f"slot div {stride} AS shard",
+        f"least({stride}L, total - slot div {stride} * {stride}) AS shard_size",
+        "id", "sequence",
+        "cast(octet_length(tokens) div 2 AS bigint) AS n_tokens",
+        f"concat(tokens, substring(X'{struct.pack('<H', pad).hex() * length}', 1, {2 * length} - octet_length(tokens))) AS tokens",
+    )
     return slotted.withColumnRenamed("id", id_col)
 
 

@@ -15,20 +15,24 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.llm.byte_bpe import codec, portions
+from tidemark.llm.byte_bpe import REMEMBERED, Codec, portions, read_ranks
 from tidemark.llm.common import mix, saved
 from tidemark.session import new_folder
 
 ROUNDS = 6
+#: Pre-tokens of more characters are encoded each time.
+_LONGEST = 64
 
 
 @dataclass(frozen=True)
@@ -71,19 +75,47 @@ class Permutation:
         return self._walk(slots, True)
 
 
-#: Shards of a range, counted as if every byte of text were a token; ranges hold a quarter to a third of that in ordinary texts.
-RANGE_SHARDS = 32
+#: Shards of a range, counted as if every byte of text were a token; ranges hold a quarter to a half of that in ordinary texts.
+RANGE_SHARDS = 16
 #: Shards that a task reads back.
 READ_SHARDS = 8
 
 
+class ShortCodec(Codec):
+    """Encodes to ids packed as little-endian unsigned 16-bit integers."""
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        return [np.frombuffer(ids, "<u4").astype("<u2").tobytes() for ids in super()._ids(pieces)]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        cut = [self.cut(t or "") for t in texts]
+        new = set().union(*cut).difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known = {}
+            new = set().union(*cut)
+        if new:
+            listed = list(new)
+            self.known.update(zip(listed, self._ids(listed)))
+        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        for p in new:
+            if len(p) > _LONGEST:
+                del self.known[p]
+        return out
+
+
+@lru_cache(maxsize=1)
+def short_codec(vocabulary: str, pattern: str) -> ShortCodec:
+    with open(vocabulary if "/" in vocabulary else SparkFiles.get(vocabulary), "rb") as file:
+        return ShortCodec(read_ranks(file.read()), pattern)
+
+
 def _placer(vocabulary: str, pattern: str, length: int, order: Permutation, each: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(vocabulary, pattern)
+        coder = short_codec(vocabulary, pattern)
         for batch in batches:
             at = 0
             for texts in portions(batch.column("text").to_pylist()):
-                ids = [np.frombuffer(i, "<u4").astype("<u2").tobytes() for i in coder.encode(texts)]
+                ids = coder.encode(texts)
                 part, at = batch.slice(at, len(ids)), at + len(ids)
                 count = np.array([-(-len(i) // (2 * length)) for i in ids], np.int64)
                 sequence = _steps(count)
@@ -134,7 +166,7 @@ def training_order(
     by_text = f"pmod(xxhash64(text), {span}L)"
     base = f"coalesce({f'cast(id AS bigint) - ({low}L)' if numbered else f'pmod(xxhash64(id), {span}L)'}, {by_text})"
     keyed = docs.where("octet_length(text) > 0")
-    shared = saved(keyed.groupBy("id").count().where(f"count > {stride}").selectExpr("id AS its_id"), "shared-ids")
+    shared = saved(docs.groupBy("id").count().where(f"count > {stride}").selectExpr("id AS its_id"), "shared-ids")
     if shared.isEmpty():
         keyed = keyed.selectExpr("id", "text", "xxhash64(text) AS text_hash", f"{base} AS base")
     else:

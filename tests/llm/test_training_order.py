@@ -3,6 +3,7 @@
 import hashlib
 import struct
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -81,3 +82,10 @@ def test_empty_and_null_texts(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, None)], "doc_id long, text string")
     assert training_order.training_order(docs, **OPTIONS).count() == 0
     assert training_order.stored_order(docs.where("false"), **OPTIONS).count() == 0
+
+
+def test_long_runs_are_encoded_by_either_codec():
+    encode = training_order.short_ids(OPTIONS["vocabulary"], OPTIONS["pattern"])
+    other = byte_bpe.codec(OPTIONS["vocabulary"], OPTIONS["pattern"])
+    for text in (" " * 2_000_000 + "end", "ab" * 50_000, "-" * 100_000 + "1", "\u4e2d" * 5000, "<|endoftext|> it's"):
+        assert encode(text) == np.frombuffer(other.encode([text])[0], "<u4").astype("<u2").tobytes()

@@ -20,19 +20,18 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyarrow import fs
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.llm.byte_bpe import REMEMBERED, Codec, portions, read_ranks
+from tidemark.llm.byte_bpe import codec, portions, read_ranks
 from tidemark.llm.common import mix, saved
 from tidemark.session import new_folder
 
 ROUNDS = 6
-#: Pre-tokens of more characters are encoded each time.
-_LONGEST = 64
 
 
 @dataclass(frozen=True)
@@ -81,41 +80,36 @@ RANGE_SHARDS = 16
 READ_SHARDS = 8
 
 
-class ShortCodec(Codec):
+class ShortIds:
     """Encodes to ids packed as little-endian unsigned 16-bit integers."""
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.frombuffer(ids, "<u4").astype("<u2").tobytes() for ids in super()._ids(pieces)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.cut(t or "") for t in texts]
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = set().union(*cut)
-        if new:
-            listed = list(new)
-            self.known.update(zip(listed, self._ids(listed)))
-        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
-        for p in new:
-            if len(p) > _LONGEST:
-                del self.known[p]
-        return out
+    def __init__(self, vocabulary: str, pattern: str):
+        self.files = vocabulary, pattern
+        with open(vocabulary if "/" in vocabulary else SparkFiles.get(vocabulary), "rb") as file:
+            ranks = {token: rank for rank, token in enumerate(read_ranks(file.read()))}
+        self.coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, text: str) -> bytes:
+        try:
+            ids = self.coder.encode_to_numpy(text)
+        except ValueError:
+            # Runs of more than a million blanks exhaust the stack of its pattern matcher; the other codec gives the same ids.
+            ids = np.frombuffer(codec(*self.files).encode([text])[0], "<u4")
+        return ids.astype("<u2").tobytes()
 
 
 @lru_cache(maxsize=1)
-def short_codec(vocabulary: str, pattern: str) -> ShortCodec:
-    with open(vocabulary if "/" in vocabulary else SparkFiles.get(vocabulary), "rb") as file:
-        return ShortCodec(read_ranks(file.read()), pattern)
+def short_ids(vocabulary: str, pattern: str) -> ShortIds:
+    return ShortIds(vocabulary, pattern)
 
 
 def _placer(vocabulary: str, pattern: str, length: int, order: Permutation, each: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = short_codec(vocabulary, pattern)
+        encode = short_ids(vocabulary, pattern)
         for batch in batches:
             at = 0
             for texts in portions(batch.column("text").to_pylist()):
-                ids = coder.encode(texts)
+                ids = [encode(t) for t in texts]
                 part, at = batch.slice(at, len(ids)), at + len(ids)
                 count = np.array([-(-len(i) // (2 * length)) for i in ids], np.int64)
                 sequence = _steps(count)

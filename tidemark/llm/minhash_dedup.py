@@ -28,6 +28,8 @@ BAND_MISS, MOST_HASHES = 2.1e-6, 168
 BATCH = 24
 #: Nodes in a block.
 BLOCK = 1024
+#: Parts, at least, of the rows that share a text with very many copies.
+SALTS = 64
 #: Shingles hashed at once, so that the hash matrix stays in the processor's cache.
 _AT_ONCE = 512
 
@@ -202,8 +204,23 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
         ),
         "shingled",
     )
-    first = described.where("digest IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node"))
-    rows = described.join(first, "digest", "left").withColumn("node", F.expr("coalesce(node, row)"))
+    first = described.where("digest IS NOT NULL").groupBy("digest").agg(F.min("row").alias("first_row"), F.count("*").alias("copies"))
+    first = saved(first.where("copies > 1").select(F.col("digest").alias("match"), "first_row", "copies"), "copied-texts")
+    # Rows without words look for a key of their own, which is longer than any digest.
+    own = "cast(format_string('row %020d', row) AS binary)"
+    rows = described.withColumn("match", F.expr(f"coalesce(digest, {own})"))
+    # A text with very many copies is looked up under several salts first, and no more under its digest.
+    most = first.agg(F.max("copies")).first()[0] or 0
+    salts = SALTS + most // 2**20
+    if most > 16 * salts:
+        many = first.where(f"copies > {16 * salts}").selectExpr(
+            "match AS its_match", "first_row AS its_row", f"explode(sequence(0L, {salts - 1}L)) AS its_salt"
+        )
+        rows = rows.join(many, F.expr(f"match = its_match AND pmod(xxhash64(row), {salts}L) = its_salt"), "left")
+        rows = rows.withColumn("match", F.expr(f"IF(its_row IS NULL, match, {own})")).drop("its_match", "its_salt")
+    else:
+        rows = rows.withColumn("its_row", F.lit(None).cast("long"))
+    rows = rows.join(first.drop("copies"), "match", "left").withColumn("node", F.expr("coalesce(its_row, first_row, row)"))
     rows = saved(rows.select("id", "row", "text_hash", "n_shingles", "node", F.expr("IF(row = node, keys, null) AS keys")), "nodes")
 
     banded = rows.where("keys IS NOT NULL").select("node", F.explode("keys").alias("band"))

@@ -13,7 +13,7 @@ from tidemark.checks.views import view
 from tidemark.operators import clean, feature_rows, joins, ledger, metrics, rolling, scoring, tables, visits
 from tidemark.plans import drift, evaluation, serving, training
 from tidemark.schemas import CUSTOMER_FEATURES, VIEWS
-from tidemark.session import cut_lineage, new_folder, use_utc
+from tidemark.session import cut_lineage, new_folder, stored, use_utc
 from tidemark.sources import readers, sinks
 from tidemark.streaming import features
 from tidemark.streaming import tables as streams
@@ -46,7 +46,7 @@ def _customer_rows(spark, sf_dir):
 
 def _stored_customer_rows(spark, sf_dir):
     """The feature table written once, for jobs that read it more than once."""
-    return cut_lineage(_customer_rows(spark, sf_dir))
+    return stored(_customer_rows(spark, sf_dir), "customer-rows")
 
 
 def _merchant_rows(spark, sf_dir):

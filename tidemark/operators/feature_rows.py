@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.rolling import FRAME_ROWS, add_rolling
+from tidemark.operators.rolling import FRAME_ROWS, NEAR_PLACES, add_rolling, dates_near
 from tidemark.operators.running import SLICE_ROWS, apply_by_heat, key_heat
 from tidemark.operators.scan import MERCHANTS, scan_features
 from tidemark.operators.visits import add_visits, check_window
@@ -47,7 +47,10 @@ def transaction_features(
 
     def windows(part: DataFrame, older: DataFrame | None, sliced: bool) -> DataFrame:
         frames_fit = not sliced and heat.largest_cool <= frame_rows
-        return add_visits(add_rolling(part, home, sliced=sliced, frames=frames_fit), window_days, sliced=sliced, stored=older).select(*shown)
+        lists_fit = frames_fit and (stored is None or key_heat([stored], "customer_id", slice_rows).largest <= frame_rows)
+        near = frames_fit and 2 * heat.largest_cool <= NEAR_PLACES and dates_near(tx)
+        rolled = add_rolling(part, home, sliced=sliced, frames=frames_fit, near=near)
+        return add_visits(rolled, window_days, sliced=sliced, stored=older, lists=lists_fit).select(*shown)
 
     def build(part: DataFrame, *buckets: DataFrame, sliced: bool) -> DataFrame:
         older = buckets[0] if buckets else None

@@ -18,6 +18,10 @@ from tidemark.operators.running import SLICE_ROWS, apply_by_heat, by_key, key_he
 from tidemark.schemas import VISIT_WINDOW_DAYS
 
 
+# Up to this many rows per customer the merchants of a day's window are a list beside each of its transactions.
+LIST_ROWS = 2_000
+
+
 def check_window(window_days: int) -> int:
     if window_days < 1:
         raise ValueError("the merchant visit window must be at least 1 day")
@@ -78,15 +82,15 @@ def merchant_visit_features(
     heat = key_heat([transactions], "customer_id", slice_rows)
 
     def build(tx: DataFrame, sliced: bool) -> DataFrame:
-        return add_visits(tx, window_days, sliced=sliced)
+        return add_visits(tx, window_days, sliced=sliced, lists=not sliced and heat.largest_cool <= LIST_ROWS)
 
     return apply_by_heat(build, [transactions], "customer_id", heat)
 
 
 def add_visits(
-    tx: DataFrame, window_days: int = VISIT_WINDOW_DAYS, *, sliced: bool, stored: DataFrame | None = None
+    tx: DataFrame, window_days: int = VISIT_WINDOW_DAYS, *, sliced: bool, stored: DataFrame | None = None, lists: bool = False
 ) -> DataFrame:
-    """``stored`` are day buckets of transactions that are not among ``tx``."""
+    """``stored`` are day buckets of transactions that are not among ``tx``; with ``lists`` every customer has few rows in both."""
     source = tx if sliced else by_key(tx, "customer_id")
     buckets = merchant_day_buckets(source)
     if stored is not None:
@@ -94,6 +98,8 @@ def add_visits(
     day_key = ["customer_id", "day"]
 
     others = [c for c in tx.columns if c not in ("customer_id", "merchant_id", "transaction_id")]
+    if lists:
+        return _finish(_by_lists(source, merchant_window(buckets, window_days, together=not sliced), others), tx.columns)
     visits = source.selectExpr(
         "customer_id",
         "merchant_id",
@@ -169,6 +175,64 @@ def add_visits(
     return _finish(_add_overtakes(rows, sliced), tx.columns)
 
 
+def _smaller(a: str, b: str) -> str:
+    """Order of merchant ids, the empty one first."""
+    return f"coalesce({a} < {b}, {a} IS NULL AND {b} IS NOT NULL)"
+
+
+def _by_lists(tx: DataFrame, earlier: DataFrame, others: list[str]) -> DataFrame:
+    """What ``_finish`` needs, for customers with few rows: a day's earlier merchants are one list, which passes along its transactions.
+
+    So only transactions and one row per day are sorted, not one row per day and merchant. A transaction looks through the list and through the
+    day's transactions ahead of it, both bounded by the rows of its customer.
+    """
+    dawn = earlier.groupBy("customer_id", "day").agg(
+        F.expr("collect_list(struct(merchant_id, visits, first_ms, last_ms)) AS dawn"),
+        F.expr("sum(visits) AS dawn_visits"),
+        F.expr("min(struct(-visits AS negated, merchant_id)) AS dawn_leader"),
+    )
+    own = "OVER (PARTITION BY customer_id, day, merchant_id ORDER BY ms, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    visits = tx.selectExpr(
+        "customer_id", "merchant_id", "transaction_id", f"{epoch_ms('event_timestamp')} AS ms", f"struct({', '.join(others)}) AS tx"
+    ).selectExpr("*", f"{utc_day('ms')} AS day", "1 AS today").selectExpr(
+        "*", f"count(1) {own} AS came", f"min(ms) {own} AS first_today", f"max(ms) {own} AS last_today"
+    )
+    so = (
+        "OVER (PARTITION BY customer_id, day ORDER BY today, ms, transaction_id, merchant_id, came "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    )
+    rows = dawn.selectExpr("*", "0 AS today").unionByName(visits, allowMissingColumns=True).selectExpr(
+        "* EXCEPT (dawn, dawn_visits, dawn_leader)",
+        f"first(dawn, true) {so} AS dawn", f"first(dawn_visits, true) {so} AS dawn_visits", f"first(dawn_leader, true) {so} AS dawn_leader",
+    ).where("today = 1").selectExpr("*", "try_element_at(filter(dawn, d -> d.merchant_id <=> merchant_id), 1) AS known")
+    rows = rows.selectExpr(
+        "* EXCEPT (known, first_today, last_today)",
+        "coalesce(known.visits, 0L) + came AS so_far",
+        "least(known.first_ms, first_today) AS first_seen",
+        "greatest(known.last_ms, last_today) AS last_seen",
+    ).selectExpr(
+        "*",
+        f"coalesce(dawn_visits, 0L) + count(1) {so} AS all_visits",
+        f"coalesce(size(dawn), 0) + coalesce(sum(if(so_far = 0, 1L, 0L)) {so}, 0L) AS merchants",
+        f"least(dawn_leader, min(struct(-(so_far + 1) AS negated, merchant_id)) {so}) AS leader",
+        f"collect_list(struct(so_far AS level, merchant_id)) {so} AS ahead",
+    )
+    at_dawn = f"filter(dawn, d -> d.visits > so_far OR (d.visits = so_far AND {_smaller('d.merchant_id', 'merchant_id')}))"
+    passed = (
+        f"filter(ahead, a -> (a.level = so_far AND {_smaller('merchant_id', 'a.merchant_id')}) "
+        f"OR (a.level = so_far - 1 AND {_smaller('a.merchant_id', 'merchant_id')}))"
+    )
+    # Rows of one transaction and moment become one, as on the other ways.
+    same, place = "OVER (PARTITION BY customer_id, day, today, ms, transaction_id)", "struct(so_far, merchant_id, came)"
+    return (
+        rows.selectExpr(
+            "* EXCEPT (dawn, ahead)", f"if(dawn IS NULL, 0L, cast(size({at_dawn}) AS bigint)) AS ahead_at_dawn", f"cast(size({passed}) AS bigint) AS _passed"
+        )
+        .selectExpr("*", f"sum(_passed) {same} AS overtakes", f"{place} <=> min({place}) {same} AS _first")
+        .where("_first")
+    )
+
+
 def _add_overtakes(rows: DataFrame, sliced: bool) -> DataFrame:
     """Count the merchants that moved ahead of the current one earlier on the same day.
 

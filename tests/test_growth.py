@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from test_features import frame, make_rows
+from test_streaming import folder
+from tidemark.checks import queries
 from tidemark.operators.rolling import add_rolling, dates_near
 from tidemark.operators.visits import add_visits
 
@@ -41,3 +43,20 @@ def test_frames_by_bigint_equal_those_by_decimal(spark):
     near, exact = [add_rolling(tx, sliced=False, frames=True, near=way) for way in (True, False)]
     assert near.exceptAll(exact).count() == 0 and near.count() == tx.count()
     assert dates_near(tx) and not dates_near(tx.selectExpr("* EXCEPT (event_timestamp)", "timestamp_millis(2000000000000000) AS event_timestamp"))
+
+
+def test_micro_batches_have_many_files(spark, monkeypatch):
+    """As many micro-batches as asked for, each of several files, with the rows of its stretch of arrivals."""
+    monkeypatch.setattr(queries, "FILE_ROWS", 10)
+    rows = spark.range(100).selectExpr("if(id < 90, id, 3 * id) AS arrival_seq", "id")
+    seen, files = {}, []
+
+    def look(batch, number):
+        seen[number] = sorted(r["arrival_seq"] for r in batch.collect())
+        files.append(batch.select(F.input_file_name()).distinct().count())
+
+    stream = queries._micro_batches(rows, 3, "growth")
+    stream.writeStream.foreachBatch(look).option("checkpointLocation", folder()).trigger(availableNow=True).start().awaitTermination()
+    ids = [k if k < 90 else 3 * k for k in range(100)]
+    assert seen == {k: [i for i in ids if i * 3 // 298 == k] for k in range(3)}
+    assert files[:2] == [3, 0]

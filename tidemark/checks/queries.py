@@ -18,7 +18,7 @@ from tidemark.sources import readers, sinks
 from tidemark.streaming import features
 from tidemark.streaming import tables as streams
 from tidemark.streaming.features import stream_features
-from tidemark.streaming.keyed import KeyedTable
+from tidemark.streaming.keyed import Folder, KeyedTable
 
 AS_OF = "TIMESTAMP_NTZ '2024-01-31 00:00:00'"
 EARLY = "TIMESTAMP_NTZ '2024-01-02 00:00:00'"
@@ -385,14 +385,26 @@ def _run_to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+#: Rows of a file that a micro-batch reads, about.
+FILE_ROWS = 250_000
+
+
 def _micro_batches(rows: DataFrame, parts: int, name: str) -> DataFrame:
-    """A stream of ``rows`` in order of arrival, so many micro-batches of it."""
+    """A stream of ``rows`` in order of arrival, so many micro-batches of it.
+
+    Every part has the same number of files, which tasks write and read beside each other; a part with too few rows for that gets empty ones.
+    """
     spark, path = rows.sparkSession, new_folder(rows.sparkSession, name)
-    last = rows.selectExpr("max(arrival_seq)").first()[0] or 0
+    known = rows.selectExpr("max(arrival_seq) AS last", "count(arrival_seq) AS n").first()
+    end, files = (known["last"] or 0) + 1, max(1, known["n"] // (parts * FILE_ROWS))
+    empty = spark.createDataFrame([], rows.schema)
     for k in range(parts):
-        part = rows.where(f"arrival_seq * {parts} BETWEEN {k * (last + 1)} AND {(k + 1) * (last + 1) - 1}")
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        # Plain bounds reach the scan.
+        part = rows.where(f"arrival_seq BETWEEN {-(-k * end // parts)} AND {((k + 1) * end - 1) // parts}")
+        part.repartition(files).sortWithinPartitions("arrival_seq").write.mode("append").parquet(path)
+        for _ in range((k + 1) * files - sum(n.startswith("part-") for n in Folder(spark, path).names(""))):
+            empty.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tidemark.operators.rolling import FRAME_ROWS, NEAR_PLACES, add_rolling, dates_near
 from tidemark.operators.running import SLICE_ROWS, apply_by_heat, key_heat
 from tidemark.operators.scan import MERCHANTS, scan_features
-from tidemark.operators.visits import add_visits, check_window
+from tidemark.operators.visits import add_visits, check_window, ids_repeat
 from tidemark.schemas import CUSTOMER_FEATURES, HOME_COUNTRY, MERCHANT_RISK, VISIT_WINDOW_DAYS
 from tidemark.session import cut_lineage
 
@@ -48,6 +48,7 @@ def transaction_features(
     def windows(part: DataFrame, older: DataFrame | None, sliced: bool) -> DataFrame:
         frames_fit = not sliced and heat.largest_cool <= frame_rows
         lists_fit = frames_fit and (stored is None or key_heat([stored], "customer_id", slice_rows).largest <= frame_rows)
+        lists_fit = lists_fit and not ids_repeat(tx)
         near = frames_fit and 2 * heat.largest_cool <= NEAR_PLACES and dates_near(tx)
         rolled = add_rolling(part, home, sliced=sliced, frames=frames_fit, near=near)
         return add_visits(rolled, window_days, sliced=sliced, stored=older, lists=lists_fit).select(*shown)

@@ -82,15 +82,22 @@ def merchant_visit_features(
     heat = key_heat([transactions], "customer_id", slice_rows)
 
     def build(tx: DataFrame, sliced: bool) -> DataFrame:
-        return add_visits(tx, window_days, sliced=sliced, lists=not sliced and heat.largest_cool <= LIST_ROWS)
+        lists = not sliced and heat.largest_cool <= LIST_ROWS and not ids_repeat(transactions)
+        return add_visits(tx, window_days, sliced=sliced, lists=lists)
 
     return apply_by_heat(build, [transactions], "customer_id", heat)
 
 
+def ids_repeat(transactions: DataFrame) -> bool:
+    """Whether a customer has rows of the same transaction; such rows stay with the way that makes one row of them."""
+    largest = transactions.groupBy("customer_id", "transaction_id").agg(F.count(F.lit(1)).alias("n")).selectExpr("max(n) AS n").first()["n"]
+    return (largest or 0) > 1
+
+
 def add_visits(
     tx: DataFrame, window_days: int = VISIT_WINDOW_DAYS, *, sliced: bool, stored: DataFrame | None = None, lists: bool = False
 ) -> DataFrame:
-    """``stored`` are day buckets of transactions that are not among ``tx``; with ``lists`` every customer has few rows in both."""
+    """``stored`` are day buckets of transactions that are not among ``tx``; with ``lists`` every customer has few rows in both, of different ids."""
     source = tx if sliced else by_key(tx, "customer_id")
     buckets = merchant_day_buckets(source)
     if stored is not None:
@@ -222,14 +229,8 @@ def _by_lists(tx: DataFrame, earlier: DataFrame, others: list[str]) -> DataFrame
         f"filter(ahead, a -> (a.level = so_far AND {_smaller('merchant_id', 'a.merchant_id')}) "
         f"OR (a.level = so_far - 1 AND {_smaller('a.merchant_id', 'merchant_id')}))"
     )
-    # Rows of one transaction and moment become one, as on the other ways.
-    same, place = "OVER (PARTITION BY customer_id, day, today, ms, transaction_id)", "struct(so_far, merchant_id, came)"
-    return (
-        rows.selectExpr(
-            "* EXCEPT (dawn, ahead)", f"if(dawn IS NULL, 0L, cast(size({at_dawn}) AS bigint)) AS ahead_at_dawn", f"cast(size({passed}) AS bigint) AS _passed"
-        )
-        .selectExpr("*", f"sum(_passed) {same} AS overtakes", f"{place} <=> min({place}) {same} AS _first")
-        .where("_first")
+    return rows.selectExpr(
+        "* EXCEPT (dawn, ahead)", f"if(dawn IS NULL, 0L, cast(size({at_dawn}) AS bigint)) AS ahead_at_dawn", f"cast(size({passed}) AS bigint) AS overtakes"
     )
 
 

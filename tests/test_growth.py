@@ -1,12 +1,17 @@
 """Ways for large tables against those they replace."""
 
+import random
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from test_features import frame, make_rows
+from test_stream_state import batch_frame, feed, memory
 from test_streaming import folder
 from tidemark.checks import queries
 from tidemark.operators.rolling import add_rolling, dates_near
-from tidemark.operators.visits import add_visits
+from tidemark.operators.visits import add_visits, ids_repeat
+from tidemark.streaming import features
 
 VISITS = [
     "transaction_id", "customer_id", "current_merchant_visit_count_30d", "current_merchant_visit_share_30d", "current_merchant_rank_30d",
@@ -31,6 +36,11 @@ def test_visits_by_lists_equal_visits_by_rows(spark):
         assert lists.count() == tx.count() and lists.exceptAll(rows).count() == 0 and rows.exceptAll(lists).count() == 0
 
 
+def test_repeated_ids_keep_their_way(spark):
+    tx = odd(spark)
+    assert not ids_repeat(tx) and not ids_repeat(tx.limit(0)) and ids_repeat(tx.unionByName(tx.limit(3)))
+
+
 def test_lists_sort_one_row_per_day_and_no_blocks(spark):
     """A day's merchants are not rows among the transactions, nor is a transaction multiplied."""
     plan = add_visits(odd(spark), 30, sliced=False, lists=True)._jdf.queryExecution().optimizedPlan().toString()
@@ -60,3 +70,22 @@ def test_micro_batches_have_many_files(spark, monkeypatch):
     ids = [k if k < 90 else 3 * k for k in range(100)]
     assert seen == {k: [i for i in ids if i * 3 // 298 == k] for k in range(3)}
     assert files[:2] == [3, 0]
+
+
+def test_a_large_micro_batch_of_one_customer_in_pieces(monkeypatch):
+    """State and rows are the same whether a micro-batch is handed out in pieces or at once, and none of it is one large entry."""
+    rng = random.Random(5)
+    events = [
+        {"id": f"t{rng.randrange(2500)}", "merchant": f"m-{rng.randrange(9)}", "cents": rng.randrange(1, 9999), "abroad": rng.randrange(2),
+         "ms": 1_700_000_000_000 + rng.randrange(9 * 86_400) * 1000, "arrived": 1_700_800_000_000}
+        for _ in range(3000)
+    ]
+    found = []
+    for pieces in (10_000, 100):
+        monkeypatch.setattr(features, "ROWS_AT_ONCE", pieces)
+        made = memory()
+        found.append(pd.concat([feed(made, events[:2000]), feed(made, events[2000:])], ignore_index=True))
+        assert max(len(ids) for ids, _ in made.maps["markers"].entries.values()) <= 4 * features.MARKERS
+    pd.testing.assert_frame_equal(*found)
+    made = memory()
+    assert max(len(out) for out in made.handleInputRows(("c",), iter([batch_frame(events)]), None)) == 100

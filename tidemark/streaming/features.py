@@ -18,6 +18,8 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -40,6 +42,10 @@ _MAPS = ("rows", "sums", "visits", "markers")
 ARRIVAL_DELAY = timedelta(minutes=10)
 
 _CARRIED = "merchant_category string, amount double, country string, requested_model string"
+_CARRIED_NAMES = [c.split()[0] for c in _CARRIED.split(", ")]
+_SHOWN = ["customer_id", "transaction_id", "merchant_id", "event_timestamp", *_CARRIED_NAMES, *CUSTOMER_FEATURES, "beyond_horizon"]
+#: Rows of a customer's micro-batch that are handed out at once.
+ROWS_AT_ONCE = 100_000
 
 
 def transaction_stream(spark: SparkSession, path: str, fmt: str = "json", schema: str = TRANSACTION, **options: str) -> DataFrame:
@@ -187,33 +193,44 @@ class _CustomerMemory(StatefulProcessor):
         pass
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows), ignore_index=True)
-        arrived = arrived.sort_values(["ms", "transaction_id"], kind="stable").drop_duplicates("transaction_id", ignore_index=True)
+        columns, ids = _arranged(rows)
         known = self.known.get()
-        clock, newest, written, timer, ids, groups, _ = known or (-(2**62), -(2**62), -(2**62), -1, 0, 1, None)
+        clock, newest, written, timer, marked, groups, _ = known or (-(2**62), -(2**62), -(2**62), -1, 0, 1, None)
         self._open(known)
-        ms = arrived["ms"].to_numpy()
+        if len(ids) > ROWS_AT_ONCE:
+            self._spread()
+        ms = columns["ms"]
         # The newest transaction ahead of each; also the clock, where event time is the clock.
         ahead = np.maximum(newest, np.concatenate([[newest], ms[:-1]]))
-        clocks = arrived["arrived_ms"].to_numpy() if self.expire else np.maximum(np.maximum(ahead, ms), clock)
+        clocks = columns["arrived_ms"] if self.expire else np.maximum(np.maximum(ahead, ms), clock)
         now = max(clock, int(clocks.max()))
         if self.expire and written + self.rolling_ms <= now:
             self._forget_rolling()
 
         late = (ms // DAY_MS <= ahead // DAY_MS - self.window_days - VISIT_GRACE_DAYS) & self.late_rows
-        new, counted, ids = self._mark(arrived["transaction_id"].tolist(), clocks.tolist(), known is None, ids, groups, now)
-        part = arrived[new & ~late].reset_index(drop=True)
-        if len(part):
-            newest, written = max(newest, int(part["ms"].iloc[-1])), now
-            rolling = self._rolling(part, known is None)
-            visited = self._visited(part, counted[new & ~late], known is None, newest, now)
-            yield self._output(part, [a + b for a, b in zip(rolling, visited)], False)
-        beyond = arrived[new & late].reset_index(drop=True)
-        if len(beyond):
-            yield self._output(beyond, [[None] * len(CUSTOMER_FEATURES)] * len(beyond), True)
-        if ids > 2 * MARKERS * groups:
-            groups = self._regroup(ids)
-        self._close((now, newest, written, self._remind(now, written, timer) if self.expire else timer, ids, groups))
+        if marked + len(ids) > 2 * MARKERS * groups and known is not None:
+            groups = self._regroup(groups, marked + len(ids))
+        elif known is None:
+            groups = _groups(groups, len(ids))
+        new, counted, marked = self._mark(ids, clocks, known is None, marked, groups, now)
+        del clocks, ahead
+        at = np.flatnonzero(new & ~late)
+        if len(at):
+            newest, written = max(newest, int(ms[at[-1]])), now
+            merchants = columns["merchant_id"][at].tolist()
+            rolling = self._rolling(ms[at], columns["cents"][at], columns["abroad"][at], merchants, known is None)
+            visits = self._visited(ms[at], merchants, counted[at], known is None, newest, now)
+            for low in range(0, len(at), ROWS_AT_ONCE):
+                part = at[low : low + ROWS_AT_ONCE]
+                visited = [next(visits) for _ in range(len(part))]
+                found = [c[low : low + ROWS_AT_ONCE] for c in rolling] + list(zip(*visited))
+                yield self._output(columns, ids, part, found, False)
+            # The state of the visits is written behind the last one.
+            next(visits, None)
+        beyond = np.flatnonzero(new & late)
+        for low in range(0, len(beyond), ROWS_AT_ONCE):
+            yield self._output(columns, ids, beyond[low : low + ROWS_AT_ONCE], None, True)
+        self._close((now, newest, written, self._remind(now, written, timer) if self.expire else timer, marked, groups))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         known = self.known.get()
@@ -226,41 +243,60 @@ class _CustomerMemory(StatefulProcessor):
             for (day,), value in list(self.visits.iterator()) if self.visits.exists() else []:
                 if value[4] + self.visit_ms <= now:
                     self.visits.removeKey((day,))
-            for (part,), value in list(self.markers.iterator()) if self.markers.exists() else []:
-                ids += self._write_markers(part, dict(zip(*value)), now) - len(value[0])
+            for part in range(groups) if self.markers.exists() else []:
+                value = self.markers.getValue((part,))
+                if value:
+                    ids += self._write_markers(part, dict(zip(*value)), now) - len(value[0])
             if self.rows.exists() or self.visits.exists() or self.markers.exists():
                 self._close((clock, newest, written, self._remind(now, written, -1), ids, groups))
             else:
                 self.known.clear()
         return iter(())
 
-    def _output(self, part: pd.DataFrame, features: list[list], beyond: bool) -> pd.DataFrame:
-        carried = ["customer_id", "transaction_id", "merchant_id", "event_timestamp", *[c.split()[0] for c in _CARRIED.split(", ")]]
-        values = pd.DataFrame(features, columns=list(CUSTOMER_FEATURES))
+    def _output(self, columns: dict[str, np.ndarray], ids: pa.Array, at: np.ndarray, found: list | None, beyond: bool) -> pd.DataFrame:
+        out = {c: columns[c][at] for c in ("customer_id", "merchant_id", "event_timestamp", *_CARRIED_NAMES)}
+        out["transaction_id"] = ids.take(pa.array(at)).to_pylist()
         if beyond:
-            values = values.astype({c: "object" if kind == "string" else "Float64" if kind == "double" else "Int64" for c, kind in CUSTOMER_FEATURES.items()})
-        return pd.concat([part[carried], values], axis=1).assign(beyond_horizon=beyond)
+            kinds = {"string": "object", "double": "Float64"}
+            out |= {c: pd.array([None] * len(at), dtype=kinds.get(kind, "Int64")) for c, kind in CUSTOMER_FEATURES.items()}
+        else:
+            out |= dict(zip(CUSTOMER_FEATURES, found))
+        out["beyond_horizon"] = np.full(len(at), beyond)
+        return pd.DataFrame({c: out[c] for c in _SHOWN})
 
     def _mark(
-        self, ids: list[str], clocks: list[int], fresh: bool, marked: int, groups: int, now: int
+        self, ids: pa.Array, clocks: np.ndarray, fresh: bool, marked: int, groups: int, now: int
     ) -> tuple[np.ndarray, np.ndarray, int]:
-        """(not seen within the rolling horizon, not seen within that of the visits either, ids marked by now); marks the first."""
+        """(not seen within the rolling horizon, not seen within that of the visits either, ids marked by now); marks the first.
+
+        One group of markers is held at a time.
+        """
         new, counted = np.ones(len(ids), bool), np.ones(len(ids), bool)
-        parts: dict[int, list[int]] = {}
-        for k, i in enumerate(ids):
-            parts.setdefault(crc32(i.encode()) % groups, []).append(k)
-        for part, places in parts.items():
+        if groups == 1:
+            order, ends = np.arange(len(ids)), [len(ids)]
+        else:
+            group = np.concatenate(
+                [[crc32(i.encode()) % groups for i in ids[k : k + ROWS_AT_ONCE].to_pylist()] for k in range(0, len(ids), ROWS_AT_ONCE)]
+            )
+            order = np.argsort(group, kind="stable")
+            ends = [*(np.flatnonzero(np.diff(group[order])) + 1).tolist(), len(ids)]
+        low = 0
+        for high in ends:
+            places = order[low:high]
+            mine = ids.take(pa.array(places)).to_pylist()
+            part = 0 if groups == 1 else int(group[places[0]])
             stored = None if fresh else self.markers.getValue((part,))
             seen = dict(zip(*stored)) if stored else {}
             before = len(seen)
-            for k in places:
-                if ids[k] in seen:
-                    age = clocks[k] - seen[ids[k]]
+            for k, i, at in zip(places.tolist(), mine, clocks[places].tolist()):
+                if i in seen:
+                    age = at - seen[i]
                     new[k], counted[k] = age >= self.rolling_ms, age >= self.visit_ms
                 if new[k]:
-                    seen[ids[k]] = clocks[k]
+                    seen[i] = at
             # Later micro-batches are not behind this clock.
             marked += self._write_markers(part, seen, now) - before
+            low = high
         return new, counted, marked
 
     def _write_markers(self, part: int, seen: dict[str, int], now: int) -> int:
@@ -272,21 +308,32 @@ class _CustomerMemory(StatefulProcessor):
             self.markers.removeKey((part,))
         return len(kept)
 
-    def _regroup(self, ids: int) -> int:
-        """Deal the markers to so many groups that each holds about ``MARKERS``; as the number doubles, an id is dealt a few times in all."""
-        groups = 1
-        while ids > MARKERS * groups:
-            groups *= 2
-        dealt: dict[int, tuple[list, list]] = {}
-        for (part,), value in list(self.markers.iterator()):
-            self.markers.removeKey((part,))
-            for i, at in zip(*value):
-                here = dealt.setdefault(crc32(i.encode()) % groups, ([], []))
+    def _regroup(self, groups: int, ids: int) -> int:
+        """Deal the markers to so many groups that each holds about ``MARKERS`` of ``ids``, one group after the other; returns their number.
+
+        As the number doubles, an id is dealt a few times in all, and a group is dealt to groups that no other is dealt to.
+        """
+        more = _groups(groups, ids)
+        for part in range(groups) if more > groups else []:
+            value = self.markers.getValue((part,))
+            dealt: dict[int, tuple[list, list]] = {}
+            for i, at in zip(*value) if value else []:
+                here = dealt.setdefault(crc32(i.encode()) % more, ([], []))
                 here[0].append(i)
                 here[1].append(at)
-        for part, value in dealt.items():
-            self.markers.updateValue((part,), value)
-        return groups
+            if value and part not in dealt:
+                self.markers.removeKey((part,))
+            for to, entry in dealt.items():
+                self.markers.updateValue((to,), entry)
+        return more
+
+    def _spread(self) -> None:
+        """Move entries held in one piece to the maps, ahead of a micro-batch that is too much for one piece."""
+        if isinstance(self.rows, _Entries):
+            for name in _MAPS:
+                for k, v in getattr(self, name).items():
+                    self.maps[name].updateValue(k, v)
+            vars(self).update(self.maps)
 
     def _forget_rolling(self) -> None:
         self.rows.clear()
@@ -302,9 +349,7 @@ class _CustomerMemory(StatefulProcessor):
             self.handle.registerTimer(due)
         return due
 
-    def _rolling(self, part: pd.DataFrame, fresh: bool) -> list[list]:
-        ms, merchants = part["ms"].to_numpy(), part["merchant_id"].tolist()
-        cents, abroad = part["cents"].to_numpy(), part["abroad"].to_numpy()
+    def _rolling(self, ms: np.ndarray, cents: np.ndarray, abroad: np.ndarray, merchants: list[str], fresh: bool) -> list[np.ndarray]:
         first, last = int(ms[0]), int(ms[-1])
         gone = last - WEEK_MS - 1  # what has left for good after this micro-batch
         entries = sorted(tuple(k) for k in self.rows.keys()) if not fresh and self.rows.exists() else []
@@ -333,13 +378,19 @@ class _CustomerMemory(StatefulProcessor):
                 self._remove_rows(entry)
                 held.pop(entry, None)
         split = {day for day, hour in entries if hour >= 0}
-        added: dict[tuple[int, int], list[int]] = {}
-        for k in np.flatnonzero(ms > gone).tolist():
-            day = int(ms[k]) // DAY_MS
-            added.setdefault((day, int(ms[k]) % DAY_MS // HOUR_MS if day in split else -1), []).append(k)
+        # Rows of an entry follow each other.
+        added: dict[tuple[int, int], tuple[int, int]] = {}
+        low = int(np.searchsorted(ms, gone, "right"))
+        while low < len(ms):
+            day, hour = int(ms[low]) // DAY_MS, int(ms[low]) % DAY_MS // HOUR_MS
+            entry = (day, hour if day in split else -1)
+            high = int(np.searchsorted(ms, _span(entry)[1], "right"))
+            added[entry] = low, high
+            low = high
         for entry in {*added, *[e for e in held if _span(e)[0] <= gone]}:
             kept = [r for r in zip(*held.get(entry, ([], [], [], []))) if r[0] > gone]
-            kept += [(int(ms[k]), int(cents[k]), int(abroad[k]), merchants[k]) for k in added.get(entry, [])]
+            low, high = added.get(entry, (0, 0))
+            kept += zip(*[c[low:high].tolist() for c in (ms, cents, abroad)], merchants[low:high])
             self._write_rows(entry, sorted(kept, key=lambda r: r[0]))
         return found
 
@@ -364,7 +415,8 @@ class _CustomerMemory(StatefulProcessor):
         if entry[1] >= 0:
             self.sums.removeKey(entry)
 
-    def _visited(self, part: pd.DataFrame, counted: np.ndarray, fresh: bool, newest: int, now: int) -> list[list]:
+    def _visited(self, moments: np.ndarray, merchants: list[str], counted: np.ndarray, fresh: bool, newest: int, now: int) -> Iterator[list]:
+        """The visit features of each row; the state is written when the last one has been taken."""
         kept = {day: value for (day,), value in self.visits.iterator()} if not fresh and self.visits.exists() else {}
         oldest = newest // DAY_MS - self.window_days - VISIT_GRACE_DAYS
         if self.expire:
@@ -372,12 +424,13 @@ class _CustomerMemory(StatefulProcessor):
                 self.visits.removeKey((day,))
                 del kept[day]
         standing = Standing({(d, m): v for d, value in kept.items() for m, *v in zip(*value[:4])}, self.window_days)
-        found, touched = [], {}
-        for ms, merchant, counts in zip(part["ms"].tolist(), part["merchant_id"].tolist(), counted.tolist()):
+        touched: dict[int, dict[str, list[int]]] = {}
+        for k, merchant in enumerate(merchants):
+            ms = int(moments[k])
             day = ms // DAY_MS
             standing.move_to(day)
-            found.append(standing.features(merchant, ms))
-            if counts:
+            yield standing.features(merchant, ms)
+            if counted[k]:
                 touched.setdefault(day, {})[merchant] = standing.count(merchant, ms, day)
         for day, changed in touched.items():
             if self.expire or day > oldest:
@@ -388,7 +441,48 @@ class _CustomerMemory(StatefulProcessor):
             for day in kept:
                 if day <= oldest:
                     self.visits.removeKey((day,))
-        return found
+
+
+def _groups(groups: int, ids: int) -> int:
+    """The number of groups of markers: doubled until so many ids fit."""
+    if ids > 2 * MARKERS * groups:
+        while ids > MARKERS * groups:
+            groups *= 2
+    return groups
+
+
+def _arranged(rows: Iterator[pd.DataFrame]) -> tuple[dict[str, np.ndarray], pa.Array]:
+    """(columns, transaction ids) in order of event time and id, the first row of each id.
+
+    Of texts that repeat one copy is held, and ids lie end to end, so a row takes about a hundred bytes.
+    """
+    parts: dict[str, list[np.ndarray]] = {}
+    texts: dict[str, str] = {}
+    found = []
+    for frame in rows:
+        found.append(pa.array(frame["transaction_id"], pa.large_string()))
+        for name in (*_CARRIED_NAMES, "customer_id", "merchant_id", "event_timestamp", "ms", "cents", "abroad", "arrived_ms"):
+            values = frame[name].to_numpy()
+            if values.dtype == object and isinstance(values[0], str):
+                values = np.array([texts.setdefault(v, v) for v in values], object)
+            parts.setdefault(name, []).append(values)
+    ids = found[0] if len(found) == 1 else pa.concat_arrays(found)
+    del found
+    ms = np.concatenate(parts["ms"])
+    order = pc.sort_indices(pa.table({"ms": ms, "id": ids}), [("ms", "ascending"), ("id", "ascending")])
+    ids, order = ids.take(order), order.to_numpy()
+    if len(ids) > ROWS_AT_ONCE:
+        first = pa.table({"id": ids, "at": np.arange(len(ids))}).group_by("id").aggregate([("at", "min")])["at_min"]
+        first = np.sort(first.to_numpy())
+    else:
+        first, seen = [], set()
+        for k, i in enumerate(ids.to_pylist()):
+            if i not in seen:
+                seen.add(i)
+                first.append(k)
+    if len(first) < len(ids):
+        ids, order = ids.take(pa.array(first)), order[first]
+    return {name: np.concatenate(parts.pop(name))[order] for name in list(parts)}, ids
 
 
 def _span(entry: tuple[int, int]) -> tuple[int, int]:

@@ -38,8 +38,8 @@ def _range_max(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
 
 def rolling_values(
     old: tuple[np.ndarray, ...], old_merchants: list[str], blocks: tuple[np.ndarray, ...], new: tuple[np.ndarray, ...], new_merchants: list[str]
-) -> list[list]:
-    """The seven rolling features of each new row.
+) -> list[np.ndarray]:
+    """The seven rolling features of all new rows.
 
     ``old`` and ``new`` are (ms, cents, abroad) in order of time, ``blocks`` are whole stretches of older rows as (ms, cents, abroad, rows,
     largest): rows that all new rows see in their week and none in its day. A row sees old rows up to its own millisecond
@@ -66,8 +66,9 @@ def rolling_values(
 
     present: dict[str, int] = {}
     left = right = 0
-    distinct = []
-    for low, high in zip(day.tolist(), end.tolist()):
+    distinct = np.empty(len(at), np.int64)
+    for k in range(len(at)):
+        low, high = int(day[k]), int(end[k])
         while right < high:
             m = merchants[right]
             present[m] = present.get(m, 0) + 1
@@ -79,13 +80,9 @@ def rolling_values(
             else:
                 present[m] -= 1
             left += 1
-        distinct.append(len(present))
-    return [
-        [a, b, c / 100.0, half_up(d, max(1, e), 0) / 100.0, f / 100.0, g, h]
-        for a, b, c, d, e, f, g, h in zip(
-            n1.tolist(), n24.tolist(), sum24.tolist(), sum7.tolist(), n7.tolist(), top7.tolist(), distinct, far7.tolist()
-        )
-    ]
+        distinct[k] = len(present)
+    mean = (2 * sum7 + n7) // (2 * n7)
+    return [n1, n24, sum24 / 100.0, mean / 100.0, top7 / 100.0, distinct, far7]
 
 
 class _Ordered:

@@ -289,3 +289,45 @@ def test_stream_equals_batch_over_many_micro_batches(spark, sf_dir, parts):
     assert got.count() == tx.count()
     assert got.select(*columns).exceptAll(want).count() == 0
     assert got.select(F.countDistinct("transaction_id")).first()[0] == tx.count()
+
+
+@pytest.mark.parametrize("limits", [(1000, 256, 50_000), (3, 2, 300)])
+def test_customers_of_a_group_share_a_call(limits, monkeypatch):
+    """One frame in and one out for all customers of a group, each with the rows of a memory of its own; timers leave nothing behind."""
+    for name, value in zip(("DAY_ROWS", "MARKERS", "SMALL"), limits):
+        monkeypatch.setattr(features, name, value)
+    rng = random.Random(8)
+    group = features._GroupMemory(30, True, True)
+    group.init(Handle())
+    alone = {c: memory(late_rows=True) for c in ("a", "b", "c", None)}
+    arrival = 1_700_000_000_000
+    for turn in range(6):
+        arrival += rng.choice([HOUR, 3 * DAY, 9 * DAY])
+        here = {c: [] for c in alone if turn % 2 or c != "a"}
+        for c, events in here.items():
+            for k in range(rng.randrange(1, 12)):
+                events.append(
+                    {"id": f"t{rng.randrange(40)}", "merchant": f"m-{rng.randrange(4)}", "cents": rng.randrange(1, 999), "abroad": k % 2,
+                     "ms": arrival - rng.randrange(40) * 5 * HOUR * (8 if k == 7 else 1), "arrived": arrival}
+                )
+        frames = [batch_frame(events).assign(customer_id=pd.Series([c] * len(events), dtype=object)) for c, events in here.items()]
+        mixed = pd.concat(frames, ignore_index=True).sample(frac=1, random_state=turn)
+        out = list(group.handleInputRows((1,), iter([mixed.iloc[:5], mixed.iloc[5:]]), None))
+        assert sorted(o["beyond_horizon"].iloc[0] for o in out) in ([False], [False, True])
+        found = {(r["customer_id"], r["transaction_id"]): r for o in out for r in o.astype(object).to_dict("records")}
+        expected = {}
+        for c in here:
+            mine = mixed[mixed["customer_id"].isna() if c is None else mixed["customer_id"] == c]
+            for o in alone[c].handleInputRows((c,), iter([mine]), None):
+                expected |= {(c, r["transaction_id"]): r for r in o.astype(object).to_dict("records")}
+        assert found.keys() == expected.keys()
+        for key, r in expected.items():
+            assert {k: v for k, v in found[key].items() if not pd.isna(v)} == {k: v for k, v in r.items() if not pd.isna(v)}
+    handle = group.scope.handle
+    while handle.timers:
+        due = min(handle.timers)
+        handle.timers.discard(due)
+        passed = SimpleNamespace(getCurrentWatermarkInMs=lambda: due)
+        list(group.handleExpiredTimer((1,), passed, SimpleNamespace(getExpiryTimeInMs=lambda: due)))
+    kept = [group.member.known.values, group.scope.lists, group.scope.due, *[p.entries for p in group.scope.parts]]
+    assert not any(m.entries for m in kept)

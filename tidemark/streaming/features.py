@@ -7,6 +7,9 @@ the order of event time and transaction id, so input in time order gives the bat
 State of a customer is a set of small entries, of which a micro-batch reads and writes those it touches: the transactions of a day, or of an hour of a
 busy day with their sums, the visits of a day, a group of markers of transaction ids. Days expire from the oldest one on, visits and markers by their horizon, so
 the state is bounded by the windows, not by the length of the stream, and the work of a micro-batch grows with its rows.
+
+Customers are dealt to groups, and a call of the stream's handler takes the rows of a group: what a call costs by itself, frames and their way
+between Python and Spark, is paid per group. State stays that of single customers; a micro-batch reads and writes those it has rows of.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 from datetime import timedelta
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -46,6 +50,8 @@ _CARRIED_NAMES = [c.split()[0] for c in _CARRIED.split(", ")]
 _SHOWN = ["customer_id", "transaction_id", "merchant_id", "event_timestamp", *_CARRIED_NAMES, *CUSTOMER_FEATURES, "beyond_horizon"]
 #: Rows of a customer's micro-batch that are handed out at once.
 ROWS_AT_ONCE = 100_000
+#: Groups of customers. A group's rows of a micro-batch are held by one call.
+GROUPS = 1024
 
 
 def transaction_stream(spark: SparkSession, path: str, fmt: str = "json", schema: str = TRANSACTION, **options: str) -> DataFrame:
@@ -75,6 +81,7 @@ def stream_features(
     *,
     arrived: str = "current_timestamp()",
     late_rows: bool = False,
+    groups: int = GROUPS,
 ) -> DataFrame:
     """Feature rows of a stream of valid transactions.
 
@@ -85,6 +92,8 @@ def stream_features(
 
     With ``late_rows`` the column ``beyond_horizon`` follows: such a transaction belongs to a day older than all days that are kept, it changes nothing and its
     features are null; ``split_late`` takes both kinds apart. Without it, it gets the features of an empty memory.
+
+    ``groups`` is fixed for the life of the state: a task takes whole groups, and one group's rows of a micro-batch have to fit its memory.
     """
     check_window(window_days)
     asked = "requested_model" if "requested_model" in stream.columns else "cast(null AS string)"
@@ -100,14 +109,15 @@ def stream_features(
     if expire:
         rows = rows.withWatermark("arrived", f"{int(ARRIVAL_DELAY.total_seconds())} seconds")
     rows = rows.withColumn("arrived_ms", F.expr("unix_millis(arrived)"))
+    rows = rows.withColumn("customer_group", F.expr(f"cast(pmod(xxhash64(customer_id), {groups}) AS int)"))
     features = ", ".join(f"{name} {kind}" for name, kind in CUSTOMER_FEATURES.items())
     output = f"customer_id string, transaction_id string, merchant_id string, event_timestamp timestamp, {_CARRIED}, {features}, beyond_horizon boolean"
     # Keyed state with many entries per key needs the store that reads single entries.
     stream.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     )
-    found = rows.groupBy("customer_id").transformWithStateInPandas(
-        _CustomerMemory(window_days, expire, late_rows), output, "Append", "EventTime" if expire else "None"
+    found = rows.groupBy("customer_group").transformWithStateInPandas(
+        _GroupMemory(window_days, expire, late_rows), output, "Append", "EventTime" if expire else "None"
     )
     return found if late_rows else found.drop("beyond_horizon")
 
@@ -193,7 +203,12 @@ class _CustomerMemory(StatefulProcessor):
         pass
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        columns, ids = _arranged(rows)
+        for _, columns, ids in _arranged(rows):
+            for piece in self.answers(columns, ids):
+                yield _frame([piece])
+
+    def answers(self, columns: dict[str, np.ndarray], ids: pa.Array) -> Iterator[tuple[dict, list | None]]:
+        """Pieces of the output for the arranged rows of the customer: (columns of the rows, their features; None beyond the horizon)."""
         known = self.known.get()
         clock, newest, written, timer, marked, groups, _ = known or (-(2**62), -(2**62), -(2**62), -1, 0, 1, None)
         self._open(known)
@@ -224,12 +239,12 @@ class _CustomerMemory(StatefulProcessor):
                 part = at[low : low + ROWS_AT_ONCE]
                 visited = [next(visits) for _ in range(len(part))]
                 found = [c[low : low + ROWS_AT_ONCE] for c in rolling] + list(zip(*visited))
-                yield self._output(columns, ids, part, found, False)
+                yield _picked(columns, ids, part), found
             # The state of the visits is written behind the last one.
             next(visits, None)
         beyond = np.flatnonzero(new & late)
         for low in range(0, len(beyond), ROWS_AT_ONCE):
-            yield self._output(columns, ids, beyond[low : low + ROWS_AT_ONCE], None, True)
+            yield _picked(columns, ids, beyond[low : low + ROWS_AT_ONCE]), None
         self._close((now, newest, written, self._remind(now, written, timer) if self.expire else timer, marked, groups))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -253,17 +268,6 @@ class _CustomerMemory(StatefulProcessor):
                 self.known.clear()
         return iter(())
 
-    def _output(self, columns: dict[str, np.ndarray], ids: pa.Array, at: np.ndarray, found: list | None, beyond: bool) -> pd.DataFrame:
-        out = {c: columns[c][at] for c in ("customer_id", "merchant_id", "event_timestamp", *_CARRIED_NAMES)}
-        out["transaction_id"] = ids.take(pa.array(at)).to_pylist()
-        if beyond:
-            kinds = {"string": "object", "double": "Float64"}
-            out |= {c: pd.array([None] * len(at), dtype=kinds.get(kind, "Int64")) for c, kind in CUSTOMER_FEATURES.items()}
-        else:
-            out |= dict(zip(CUSTOMER_FEATURES, found))
-        out["beyond_horizon"] = np.full(len(at), beyond)
-        return pd.DataFrame({c: out[c] for c in _SHOWN})
-
     def _mark(
         self, ids: pa.Array, clocks: np.ndarray, fresh: bool, marked: int, groups: int, now: int
     ) -> tuple[np.ndarray, np.ndarray, int]:
@@ -443,6 +447,159 @@ class _CustomerMemory(StatefulProcessor):
                     self.visits.removeKey((day,))
 
 
+class _Known:
+    """The value state of the customer at work, among those of a group."""
+
+    def __init__(self, scope: _Scope, values):
+        self.scope, self.values = scope, values
+
+    def get(self) -> tuple | None:
+        return self.values.getValue((self.scope.customer,))
+
+    def update(self, value: tuple) -> None:
+        self.values.updateValue((self.scope.customer,), value)
+
+    def clear(self) -> None:
+        self.values.removeKey((self.scope.customer,))
+
+
+class _Part:
+    """A map state of the customer at work, among those of a group; the keys it has are listed in an entry of their own.
+
+    The list is read only where a customer has more state than fits one piece.
+    """
+
+    def __init__(self, scope: _Scope, name: str, width: int, entries, lists):
+        self.scope, self.name, self.width, self.entries, self.lists = scope, name, width, entries, lists
+        self.listed: dict[tuple, None] | None = None
+        self.changed = False
+
+    def _keys(self) -> dict[tuple, None]:
+        if self.listed is None:
+            stored = self.lists.getValue((self.scope.customer, self.name))
+            flat = stored[0] if stored else []
+            self.listed = dict.fromkeys(zip(*[iter(flat)] * self.width))
+        return self.listed
+
+    def exists(self) -> bool:
+        return bool(self._keys())
+
+    def getValue(self, key: tuple) -> tuple | None:
+        return self.entries.getValue((self.scope.customer, *key)) if tuple(key) in self._keys() else None
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        if tuple(key) not in self._keys():
+            self.listed[tuple(key)] = None
+            self.changed = True
+        self.entries.updateValue((self.scope.customer, *key), value)
+
+    def removeKey(self, key: tuple) -> None:
+        if tuple(key) in self._keys():
+            del self.listed[tuple(key)]
+            self.changed = True
+            self.entries.removeKey((self.scope.customer, *key))
+
+    def clear(self) -> None:
+        for key in list(self._keys()):
+            self.removeKey(key)
+
+    def keys(self) -> Iterator[tuple]:
+        return iter(list(self._keys()))
+
+    def iterator(self) -> Iterator[tuple[tuple, tuple]]:
+        return ((key, self.getValue(key)) for key in self.keys())
+
+    def leave(self) -> None:
+        """Store the list of keys where it changed, ahead of the next customer."""
+        if self.changed:
+            at = (self.scope.customer, self.name)
+            if self.listed:
+                self.lists.updateValue(at, ([int(k) for key in self.listed for k in key],))
+            else:
+                self.lists.removeKey(at)
+        self.listed, self.changed = None, False
+
+
+class _Scope:
+    """States and timers of one customer after the other, on those of their group."""
+
+    def __init__(self, handle, timers: bool):
+        self.handle, self.customer = handle, None
+        self.parts: list[_Part] = []
+        self.lists = handle.getMapState("lists", "customer string, name string", "entries array<bigint>")
+        # Customers by the moment their timer is due; one whose timer has moved on stays listed.
+        self.due = handle.getMapState("due", "due bigint", "customers array<string>") if timers else None
+        self.asked: dict[int, list[str | None]] = {}
+
+    def getValueState(self, name: str, schema: str) -> _Known:
+        return _Known(self, self.handle.getMapState(name, "customer string", schema))
+
+    def getMapState(self, name: str, key: str, value: str) -> _Part:
+        entries = self.handle.getMapState(name, f"customer string, {key}", value)
+        self.parts.append(_Part(self, name, len(key.split(",")), entries, self.lists))
+        return self.parts[-1]
+
+    def registerTimer(self, at: int) -> None:
+        self.asked.setdefault(at, []).append(self.customer)
+
+    def deleteTimer(self, at: int) -> None:
+        """Others may wait for the same moment, so the timer stays, and finds a customer's due time moved on."""
+
+    def leave(self) -> None:
+        for part in self.parts:
+            part.leave()
+
+    def set_timers(self) -> None:
+        for at, customers in self.asked.items():
+            waiting = self.due.getValue((at,))
+            if not waiting:
+                self.handle.registerTimer(at)
+            self.due.updateValue((at,), (list(dict.fromkeys([*(waiting[0] if waiting else []), *customers])),))
+        self.asked = {}
+
+
+class _GroupMemory(StatefulProcessor):
+    """The customers of a group, one after the other, each with the state of a ``_CustomerMemory``."""
+
+    def __init__(self, window_days: int, expire: bool, late_rows: bool):
+        self.expire, self.member = expire, _CustomerMemory(window_days, expire, late_rows)
+
+    def init(self, handle) -> None:
+        self.scope = _Scope(handle, self.expire)
+        self.member.init(self.scope)
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        waiting: dict[bool, list] = {False: [], True: []}
+        held = {False: 0, True: 0}
+        for self.scope.customer, columns, ids in _arranged(rows):
+            for piece in self.member.answers(columns, ids):
+                beyond = piece[1] is None
+                if held[beyond] and held[beyond] + len(piece[0]["transaction_id"]) > ROWS_AT_ONCE:
+                    yield _frame(waiting[beyond])
+                    waiting[beyond], held[beyond] = [], 0
+                waiting[beyond].append(piece)
+                held[beyond] += len(piece[0]["transaction_id"])
+            self.scope.leave()
+        for pieces in waiting.values():
+            if pieces:
+                yield _frame(pieces)
+        self.scope.set_timers()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        waiting = self.scope.due.getValue((due,))
+        for self.scope.customer in waiting[0] if waiting else []:
+            known = self.member.known.get()
+            if known is not None and known[3] == due:
+                yield from self.member.handleExpiredTimer(key, timerValues, expiredTimerInfo)
+            self.scope.leave()
+        self.scope.due.removeKey((due,))
+        self.scope.set_timers()
+
+
 def _groups(groups: int, ids: int) -> int:
     """The number of groups of markers: doubled until so many ids fit."""
     if ids > 2 * MARKERS * groups:
@@ -451,8 +608,34 @@ def _groups(groups: int, ids: int) -> int:
     return groups
 
 
-def _arranged(rows: Iterator[pd.DataFrame]) -> tuple[dict[str, np.ndarray], pa.Array]:
-    """(columns, transaction ids) in order of event time and id, the first row of each id.
+def _picked(columns: dict[str, np.ndarray], ids: pa.Array, at: np.ndarray) -> dict:
+    out = {c: columns[c][at] for c in ("customer_id", "merchant_id", "event_timestamp", *_CARRIED_NAMES)}
+    out["transaction_id"] = ids.take(pa.array(at)).to_pylist()
+    return out
+
+
+def _end_to_end(parts: list):
+    if len(parts) == 1:
+        return parts[0]
+    return np.concatenate(parts) if isinstance(parts[0], np.ndarray) else list(chain.from_iterable(parts))
+
+
+def _frame(pieces: list[tuple[dict, list | None]]) -> pd.DataFrame:
+    """Output rows of pieces that all have features, or are all beyond the horizon."""
+    rows, found = [p for p, _ in pieces], [f for _, f in pieces]
+    out = {c: _end_to_end([p[c] for p in rows]) for c in rows[0]}
+    n, beyond = len(out["transaction_id"]), found[0] is None
+    if beyond:
+        kinds = {"string": "object", "double": "Float64"}
+        out |= {c: pd.array([None] * n, dtype=kinds.get(kind, "Int64")) for c, kind in CUSTOMER_FEATURES.items()}
+    else:
+        out |= {c: _end_to_end([f[k] for f in found]) for k, c in enumerate(CUSTOMER_FEATURES)}
+    out["beyond_horizon"] = np.full(n, beyond)
+    return pd.DataFrame({c: out[c] for c in _SHOWN})
+
+
+def _arranged(rows: Iterator[pd.DataFrame]) -> Iterator[tuple[str | None, dict[str, np.ndarray], pa.Array]]:
+    """(customer, columns, transaction ids) of each customer, in order of event time and id, the first row of each id.
 
     Of texts that repeat one copy is held, and ids lie end to end, so a row takes about a hundred bytes.
     """
@@ -468,21 +651,40 @@ def _arranged(rows: Iterator[pd.DataFrame]) -> tuple[dict[str, np.ndarray], pa.A
             parts.setdefault(name, []).append(values)
     ids = found[0] if len(found) == 1 else pa.concat_arrays(found)
     del found
-    ms = np.concatenate(parts["ms"])
-    order = pc.sort_indices(pa.table({"ms": ms, "id": ids}), [("ms", "ascending"), ("id", "ascending")])
+    numbers: dict[str | None, int] = {}
+    owner = np.concatenate([[numbers.setdefault(c, len(numbers)) for c in part] for part in parts["customer_id"]])
+    keys = {"ms": np.concatenate(parts["ms"]), "id": ids}
+    if len(numbers) > 1:
+        keys = {"owner": owner, **keys}
+    else:
+        del owner
+    order = pc.sort_indices(pa.table(keys), [(k, "ascending") for k in keys])
     ids, order = ids.take(order), order.to_numpy()
+    del keys
+    if len(numbers) > 1:
+        owner = owner[order]
     if len(ids) > ROWS_AT_ONCE:
-        first = pa.table({"id": ids, "at": np.arange(len(ids))}).group_by("id").aggregate([("at", "min")])["at_min"]
+        whose = {"owner": owner} if len(numbers) > 1 else {}
+        first = pa.table({**whose, "id": ids, "at": np.arange(len(ids))}).group_by([*whose, "id"]).aggregate([("at", "min")])["at_min"]
         first = np.sort(first.to_numpy())
     else:
         first, seen = [], set()
-        for k, i in enumerate(ids.to_pylist()):
+        for k, i in enumerate(zip(owner.tolist(), ids.to_pylist()) if len(numbers) > 1 else ids.to_pylist()):
             if i not in seen:
                 seen.add(i)
                 first.append(k)
+        del seen
     if len(first) < len(ids):
         ids, order = ids.take(pa.array(first)), order[first]
-    return {name: np.concatenate(parts.pop(name))[order] for name in list(parts)}, ids
+        if len(numbers) > 1:
+            owner = owner[first]
+    columns = {name: np.concatenate(parts.pop(name))[order] for name in list(parts)}
+    if len(numbers) == 1:
+        yield next(iter(numbers)), columns, ids
+        return
+    ends = [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), len(owner)]
+    for customer, low, high in zip(numbers, ends, ends[1:]):
+        yield customer, {name: values[low:high] for name, values in columns.items()}, ids[low:high]
 
 
 def _span(entry: tuple[int, int]) -> tuple[int, int]:

@@ -439,6 +439,29 @@ def test_masked_lm(docs, none):
     assert masked_lm.score(none, masked_lm.fit(none)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [300_000, 3])
+def test_masked_lm_gives_every_word_its_share(spark, chunk, monkeypatch):
+    """Words of one ending differ by their counts in the corpus, and the probabilities of all words add up to one."""
+    monkeypatch.setattr(masked_lm, "CHUNK_WORDS", chunk)
+    rare = {"qxing": 1, "zqxing": 6, "vwing": 3, "other": 2}
+    texts = [" ".join(f"top{k}" for k in range(masked_lm.TOP_WORDS))] * 9 + [" ".join([w] * n) for w, n in rare.items()]
+    model = masked_lm.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    words, params = model
+    classes = [masked_lm._ending(f"{k}".encode()) for k in range(200)]
+    unseen = {c: f"{classes.index(c)}" for c in range(masked_lm.ENDINGS)}
+    asked = [*rare, *[f"top{k}" for k in range(masked_lm.TOP_WORDS)], *unseen.values(), "yying", "qxing ZQXING other"]
+    rows = masked_lm.score(spark.createDataFrame([(w, w) for w in asked], "doc_id string, text string"), model).collect()
+    found = {r.doc_id: r.log_probability for r in rows}
+    assert len(rows) == len(asked) == len(found)
+    assert abs(found["zqxing"] - found["qxing"] - np.log(6)) < 1e-6 and abs(found["vwing"] - found["yying"] - np.log(3)) < 1e-6
+    row, at = masked_lm.stream([np.array([1])])
+    edge = masked_lm.conditionals(params, row, at)[2][0, masked_lm.EDGE]
+    assert abs(sum(np.exp(v) for w, v in found.items() if w not in ("yying", "qxing ZQXING other")) + edge - 1) < 1e-5
+    tokens = [np.array([words.token(w.encode()) for w in ("qxing", "zqxing", "other")])]
+    plain = masked_lm.log_probabilities(params, words.shared, tokens)[0]
+    assert abs(found["qxing ZQXING other"] - plain - np.log([1, 6, 2]).sum()) < 1e-5
+
+
 def test_masked_lm_gradient_and_order():
     """The gradient is that of the loss, and held-out text in its order scores above the same words shuffled."""
     rng = np.random.default_rng(0)

@@ -5,20 +5,23 @@ are added, passed through tanh, and a softmax over the vocabulary gives the cond
 document's score is the sum of the logarithms of these probabilities.
 
 The vocabulary comes from the word counts of the whole corpus: the most frequent words are tokens, the others fall
-into classes by their ending. A word of a class has the probability of the class, divided by the number of distinct words that
-the corpus has in it. Every task trains on all of its documents, from
+into classes by their ending. A word of a class has the probability of the class, times the share that its own count has of the
+counts of the class, so every word of the corpus has a probability of its own. No task holds all counts: chunks of scored documents ask for those of the words they
+have, by a join. Every task trains on all of its documents, from
 the same start; the parameters are averaged, weighted by tokens, in a tree of small groups. A parameter set has a
 fixed size, so what reaches the driver does not grow; what is gathered from the tasks grows with the corpus.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +35,8 @@ EDGE, VOCABULARY = 0, 1 + TOP_WORDS + ENDINGS
 SIDE, WIDTH = 2, 12
 #: Tokens between two updates of the parameters, and tokens whose text is held at once.
 BATCH, AT_ONCE = 2048, 400_000
+#: Distinct words of a chunk, and its words and documents, about.
+CHUNK_WORDS, CHUNK_SIZE = 300_000, 4_000_000
 RATE = 0.08
 #: Parameter sets averaged by one task.
 FAN_IN = 64
@@ -56,16 +61,24 @@ class Words:
     """Token numbers of words, remembered while they are few."""
 
     top: dict[bytes, int]
-    #: Logarithm of the words that a token stands for, by token.
+    #: Logarithm of what a token's words count together and one more, which the words share that the corpus has not; by token, 0 where it is one word.
     shared: np.ndarray
+    #: Counts of all words by hash; stays with the driver.
+    counts: DataFrame | None = None
     known: dict[bytes, int] = field(default_factory=dict)
 
+    def __getstate__(self) -> dict:
+        return {"top": self.top, "shared": self.shared, "counts": None, "known": {}}
+
+    def token(self, word: bytes) -> int:
+        return self.top.get(word) or 1 + TOP_WORDS + _ending(word)
+
     def tokens(self, text: str | None) -> np.ndarray:
         words = utf8(text).lower().split()
         if len(self.known) > 300_000:
             self.known = {}
         for w in set(words).difference(self.known):
-            self.known[w] = self.top.get(w) or 1 + TOP_WORDS + _ending(w)
+            self.known[w] = self.token(w)
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
 
@@ -109,12 +122,10 @@ def gradient(params: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
     inner = (error @ weights.T) * (1 - hidden * hidden)
     out = np.empty(_SIZE, np.float32)
     embeddings, by_weights, by_bias = _parts(out)
-    chosen = np.zeros((len(at), VOCABULARY), np.float32)
-    places = np.arange(len(at))
+    cells, inner = np.arange(WIDTH), inner.ravel().astype(np.float64)
     for k in range(len(_OFFSETS)):
-        chosen[places, contexts[:, k]] = 1
-        embeddings[k] = chosen.T @ inner
-        chosen[places, contexts[:, k]] = 0
+        into = (contexts[:, k, None] * WIDTH + cells).ravel()
+        embeddings[k] = np.bincount(into, inner, VOCABULARY * WIDTH).reshape(VOCABULARY, WIDTH)
     by_weights[:] = hidden.T @ error
     by_bias[:] = error.sum(axis=0)
     return out
@@ -179,6 +190,19 @@ def _average(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"member": [group["team"].iloc[0]], "n": [n], "params": [(total / n).astype(np.float32).tobytes()]})
 
 
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of words, handed on whenever there are ``CHUNK_WORDS`` of them."""
+    counts: Counter[bytes] = Counter()
+    for batch in batches:
+        for text in batch["text"]:
+            counts.update(utf8(text).lower().split())
+            if len(counts) > CHUNK_WORDS:
+                yield pd.DataFrame({"word": list(counts), "count": list(counts.values())})
+                counts = Counter()
+    if counts:
+        yield pd.DataFrame({"word": list(counts), "count": list(counts.values())})
+
+
 def fit(docs: DataFrame, *, text_col: str = "text", rounds: int = 1) -> tuple[Words, np.ndarray]:
     """(vocabulary, trained parameters), from all documents.
 
@@ -186,15 +210,16 @@ def fit(docs: DataFrame, *, text_col: str = "text", rounds: int = 1) -> tuple[Wo
     any words the parameters are those of the start.
     """
     texts = docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL")
-    split = F.expr(r"explode(split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'))")
-    counts = saved(texts.select(split.alias("word")).where("word <> ''").groupBy("word").count(), "word-counts")
+    partial = texts.mapInPandas(_counted, "word binary, count long").selectExpr("cast(word AS string) AS word", "count")
+    counts = saved(partial.groupBy("word").agg(F.sum("count").alias("count")), "word-counts")
     rows = counts.orderBy(F.desc("count"), "word").limit(TOP_WORDS).collect()
     top = {r["word"].encode("utf-8", "surrogatepass"): k + 1 for k, r in enumerate(rows)}
     # One row for each class.
-    sizes = counts.groupBy(F.expr(_ENDING).alias("ending")).count().collect()
+    others = counts.join(F.broadcast(counts.orderBy(F.desc("count"), "word").limit(TOP_WORDS).select("word")), "word", "left_anti")
+    sizes = others.groupBy(F.expr(_ENDING).alias("ending")).agg(F.sum("count").alias("count")).collect()
     shared = np.zeros(VOCABULARY)
     for r in sizes:
-        shared[1 + TOP_WORDS + r["ending"]] = np.log(r["count"])
+        shared[1 + TOP_WORDS + r["ending"]] = np.log(r["count"] + 1)
     words, params = Words(top, shared), start()
     for _ in range(rounds):
         trained = saved(texts.mapInPandas(_trainer(words, params.tobytes()), "member long, n long, params binary"), "trained")
@@ -206,22 +231,75 @@ def fit(docs: DataFrame, *, text_col: str = "text", rounds: int = 1) -> tuple[Wo
             if not members:
                 params = np.frombuffer(trained.first()["params"], np.float32)
                 break
+    words.counts = counts.selectExpr("xxhash64(word) AS hash", "count").groupBy("hash").agg(F.sum("count").alias("count"))
     return words, params
 
 
+class _Chunk:
+    """Numbers of the words of consecutive documents, from 0."""
+
+    def __init__(self, number: int):
+        self.number, self.size = number, 0
+        self.numbers: dict[bytes, int] = {}
+        self.tokens: list[int] = []
+        self.asked: list[int] = []
+
+    def take(self, text: str | None, words: Words) -> np.ndarray:
+        """The numbers of the words of a text."""
+        found = utf8(text).lower().split()
+        for w in set(found).difference(self.numbers):
+            self.numbers[w] = len(self.tokens)
+            self.tokens.append(words.token(w))
+            # The hash of Spark's xxhash64.
+            self.asked.append(xxhash.xxh64_intdigest(w, 42))
+        return np.fromiter(map(self.numbers.__getitem__, found), np.int32, len(found))
+
+
 def _scorer(words: Words, params: bytes):
+    """Rows of documents, and one row of every chunk with the hashes of its words."""
+    mine = np.frombuffer(params, np.float32)
+
+    def scored(chunk: _Chunk, batch: pd.DataFrame, numbers: list[np.ndarray]) -> pd.DataFrame:
+        tokens = np.array(chunk.tokens, np.int64)
+        sums = log_probabilities(mine, words.shared, [tokens[n] for n in numbers])
+        places = [n[tokens[n] > TOP_WORDS].tobytes() for n in numbers]
+        return batch.assign(chunk=chunk.number, n_tokens=[len(n) for n in numbers], log_probability=sums, places=places, asked=None)
+
+    def asking(chunk: _Chunk) -> pd.DataFrame:
+        asked = np.array(chunk.asked, np.uint64).view(np.int64)
+        return pd.DataFrame({"id": [None], "chunk": [chunk.number], "n_tokens": [0], "log_probability": [0.0], "places": [None], "asked": [asked]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine = np.frombuffer(params, np.float32)
+        first = TaskContext.get().partitionId() << 32
+        chunk = _Chunk(first)
         for batch in batches:
-            counts, sums = [], []
-            for documents in _gathered(batch.pop("text"), words):
-                counts += [len(d) for d in documents]
-                sums += log_probabilities(mine, words.shared, documents)
-            yield batch.assign(n_tokens=counts, log_probability=sums)
+            texts, low, numbers, size = batch.pop("text"), 0, [], 0
+            for k, text in enumerate(texts):
+                numbers.append(chunk.take(text, words))
+                size += len(numbers[-1])
+                chunk.size += 1 + len(numbers[-1])
+                full = len(chunk.tokens) > CHUNK_WORDS or chunk.size > CHUNK_SIZE
+                if full or size >= AT_ONCE or k + 1 == len(texts):
+                    yield scored(chunk, batch.iloc[low : k + 1], numbers)
+                    low, numbers, size = k + 1, [], 0
+                if full:
+                    yield asking(chunk)
+                    chunk = _Chunk(chunk.number + 1)
+        if chunk.tokens:
+            yield asking(chunk)
 
     return run
 
 
+def _with_shares(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    """Add the logarithms of the counts of a chunk's words to the sums of its documents; a word the corpus has not counts one."""
+    places = [np.frombuffer(p, np.int32) for p in docs.pop("places")]
+    logs = np.zeros(max([0, *[int(p.max()) + 1 for p in places if len(p)], *(answers["at"] + 1).nlargest(1)]))
+    logs[answers["at"].to_numpy()] = np.log(answers["count"].to_numpy())
+    added = [logs[p].sum() for p in places]
+    return docs.assign(log_probability=docs["log_probability"] + added)[["id", "n_tokens", "log_probability"]]
+
+
 def score(
     docs: DataFrame, model: tuple[Words, np.ndarray], *, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -233,7 +311,14 @@ def score(
     words, params = model
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = dict(docs.dtypes)["id"]
-    scored = docs.mapInPandas(_scorer(words, params.tobytes()), f"id {id_type}, n_tokens long, log_probability double")
+    kinds = f"id {id_type}, chunk long, n_tokens long, log_probability double, places binary, asked array<bigint>"
+    found = saved(docs.mapInPandas(_scorer(words, params.tobytes()), kinds), "scored")
+    asked = found.where("asked IS NOT NULL").selectExpr("chunk AS asker", "posexplode(asked) AS (at, hash)")
+    answers = asked.join(words.counts, "hash").select("asker", "at", "count")
+    scored = (
+        found.where("asked IS NULL").drop("asked").groupBy("chunk").cogroup(answers.groupBy("asker"))
+        .applyInPandas(_with_shares, f"id {id_type}, n_tokens long, log_probability double")
+    )
     return scored.select(
         F.col("id").alias(id_col), "n_tokens", "log_probability", F.expr("log_probability / nullif(n_tokens, 0) AS mean_log_probability")
     )

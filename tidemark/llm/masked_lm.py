@@ -98,8 +98,8 @@ def stream(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return row, np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
 
 
-def conditionals(params: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(contexts, hidden layer, probabilities of all tokens) at the given places."""
+def _exponents(params: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts, hidden layer, probabilities of all tokens up to a factor) at the given places."""
     embeddings, weights, bias = _parts(params)
     contexts = row[at[:, None] + np.array(_OFFSETS)]
     total = embeddings[0][contexts[:, 0]]
@@ -109,16 +109,22 @@ def conditionals(params: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[n
     logits = hidden @ weights + bias
     logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
     return contexts, hidden, logits
 
 
+def conditionals(params: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts, hidden layer, probabilities of all tokens) at the given places."""
+    contexts, hidden, found = _exponents(params, row, at)
+    found /= found.sum(axis=1, keepdims=True)
+    return contexts, hidden, found
+
+
 def gradient(params: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Gradient of the mean negative log-probability over the given places."""
     _, weights, _ = _parts(params)
-    contexts, hidden, error = conditionals(params, row, at)
-    error[np.arange(len(at)), row[at]] -= 1
-    error /= len(at)
+    contexts, hidden, error = _exponents(params, row, at)
+    error /= error.sum(axis=1, keepdims=True) * len(at)
+    error[np.arange(len(at)), row[at]] -= 1 / len(at)
     inner = (error @ weights.T) * (1 - hidden * hidden)
     out = np.empty(_SIZE, np.float32)
     embeddings, by_weights, by_bias = _parts(out)
@@ -148,7 +154,8 @@ def log_probabilities(params: np.ndarray, shared: np.ndarray, documents: list[np
     found = np.zeros(len(at) + 1)
     for k in range(0, len(at), BATCH):
         part = at[k : k + BATCH]
-        chosen = conditionals(params, row, part)[2][np.arange(len(part)), row[part]]
+        weighed = _exponents(params, row, part)[2]
+        chosen = weighed[np.arange(len(part)), row[part]] / weighed.sum(axis=1)
         found[k + 1 : k + 1 + len(part)] = np.log(np.maximum(chosen, 1e-30)) - shared[row[part]]
     sums = np.cumsum(found)
     ends = np.cumsum([len(d) for d in documents])

@@ -6,6 +6,7 @@ import re
 import struct
 from collections import Counter
 from math import log2
+from zlib import crc32
 
 import duckdb
 import numpy as np
@@ -482,6 +483,27 @@ def test_masked_lm_gradient_and_order():
     assert ordered > shuffled + 100
 
 
+def test_masked_lm_looks_words_up_once(monkeypatch):
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 3, 5, 18, 96, 128):
+        logits = rng.normal(size=(11, n)).astype(np.float32)
+        assert (masked_lm._largest(logits) == logits.max(axis=1, keepdims=True)).all()
+    texts = ["b TOP a b", None, "a c top", "xing \ud800x ring", "Zürich 日本語 ü üab é日本語ab"]
+    ending = lambda w: 1 + masked_lm.TOP_WORDS + crc32(w[-3:].encode("utf-8", "surrogatepass")) % masked_lm.ENDINGS
+    lowered = [["".join(c.lower() if c.isascii() else c for c in w) for w in (t or "").split()] for t in texts]
+    asked, plain = [], masked_lm._ending
+    monkeypatch.setattr(masked_lm, "_ending", lambda w: asked.append(w) or plain(w))
+    words = masked_lm.Words({b"top": 1}, np.zeros(masked_lm.VOCABULARY))
+    chunk = masked_lm._Chunk(3, words)
+    numbers = [chunk.take(t).tolist() for t in texts]
+    assert numbers == [[0, 1, 2, 0], [], [2, 3, 1], [4, 5, 6], [7, 8, 9, 10, 11]]
+    want = [[1 if w == "top" else ending(w) for w in ws] for ws in lowered]
+    assert [[chunk.tokens[n] for n in found] for found in numbers] == want
+    assert [words.tokens(t).tolist() for t in texts] == want
+    # An ending is looked at once, however many words have it.
+    assert [asked.count(w) for w in (b"a", b"b", b"ing", b"ich")] == [1, 1, 1, 1]
+
+
 def test_permutation_is_a_bijection():
     for n in (1, 2, 3, 10, 1000, 4097):
         order = training_order.Permutation(n, 5)

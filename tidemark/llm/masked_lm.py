@@ -31,6 +31,7 @@ from tidemark.llm.common import saved, utf8
 #: Tokens: the edge of a document, the most frequent words, and classes of the other words by a hash of their ending.
 TOP_WORDS, ENDINGS = 95, 32
 EDGE, VOCABULARY = 0, 1 + TOP_WORDS + ENDINGS
+assert VOCABULARY <= 256, "a token is a byte"
 #: Words seen on each side, and the width of the hidden layer.
 SIDE, WIDTH = 2, 12
 #: Tokens between two updates of the parameters, and tokens whose text is held at once.
@@ -56,30 +57,38 @@ def _parts(flat: np.ndarray) -> list[np.ndarray]:
     return [part.reshape(shape) for part, shape in zip(np.split(flat, ends[:-1]), _SHAPES)]
 
 
+class _Endings(dict):
+    """Tokens of the classes by a word's last three bytes; 0 where these are not its last three characters."""
+
+    def __missing__(self, last: bytes) -> int:
+        if not last.isascii():
+            return 0
+        found = self[last] = 1 + TOP_WORDS + _ending(last)
+        return found
+
+
 @dataclass
 class Words:
-    """Token numbers of words, remembered while they are few."""
+    """Token numbers of words."""
 
     top: dict[bytes, int]
     #: Logarithm of what a token's words count together and one more, which the words share that the corpus has not; by token, 0 where it is one word.
     shared: np.ndarray
     #: Counts of all words by hash; stays with the driver.
     counts: DataFrame | None = None
-    known: dict[bytes, int] = field(default_factory=dict)
+    endings: _Endings = field(default_factory=_Endings)
 
     def __getstate__(self) -> dict:
-        return {"top": self.top, "shared": self.shared, "counts": None, "known": {}}
+        return {"top": self.top, "shared": self.shared, "counts": None, "endings": _Endings()}
 
     def token(self, word: bytes) -> int:
-        return self.top.get(word) or 1 + TOP_WORDS + _ending(word)
+        return self.top.get(word) or self.endings[word[-3:]] or 1 + TOP_WORDS + _ending(word)
 
     def tokens(self, text: str | None) -> np.ndarray:
-        words = utf8(text).lower().split()
-        if len(self.known) > 300_000:
-            self.known = {}
-        for w in set(words).difference(self.known):
-            self.known[w] = self.token(w)
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        # Nothing is kept by word: few frequent words and endings stay in the processor's cache, all words would not.
+        top, endings, words = self.top.get, self.endings, utf8(text).lower().split()
+        found = bytes([top(w) or endings[w[-3:]] or self.token(w) for w in words])
+        return np.frombuffer(found, np.uint8).astype(np.int64)
 
 
 def _ending(word: bytes) -> int:
@@ -98,16 +107,25 @@ def stream(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return row, np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
 
 
+def _largest(logits: np.ndarray) -> np.ndarray:
+    """The largest value of each row, as a column; halves of the columns compare faster than a row in itself."""
+    while (n := logits.shape[1]) > 1 and n % 2 == 0:
+        logits = np.maximum(logits[:, : n // 2], logits[:, n // 2 :])
+    return logits.max(axis=1, keepdims=True) if logits.shape[1] > 1 else logits
+
+
 def _exponents(params: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(contexts, hidden layer, probabilities of all tokens up to a factor) at the given places."""
     embeddings, weights, bias = _parts(params)
-    contexts = row[at[:, None] + np.array(_OFFSETS)]
-    total = embeddings[0][contexts[:, 0]]
+    # Each offset's tokens lie together.
+    contexts = row[np.array(_OFFSETS)[:, None] + at].T
+    total = embeddings[0].take(contexts[:, 0], axis=0)
     for k in range(1, len(_OFFSETS)):
-        total += embeddings[k][contexts[:, k]]
+        total += embeddings[k].take(contexts[:, k], axis=0)
     hidden = np.tanh(total)
-    logits = hidden @ weights + bias
-    logits -= logits.max(axis=1, keepdims=True)
+    logits = hidden @ weights
+    logits += bias
+    logits -= _largest(logits)
     np.exp(logits, out=logits)
     return contexts, hidden, logits
 
@@ -242,24 +260,26 @@ def fit(docs: DataFrame, *, text_col: str = "text", rounds: int = 1) -> tuple[Wo
     return words, params
 
 
-class _Chunk:
-    """Numbers of the words of consecutive documents, from 0."""
+class _Chunk(dict):
+    """Numbers of the words of consecutive documents, from 0 in the order in which they are first asked for."""
 
-    def __init__(self, number: int):
-        self.number, self.size = number, 0
-        self.numbers: dict[bytes, int] = {}
+    def __init__(self, number: int, words: Words):
+        super().__init__()
+        self.number, self.size, self.words = number, 0, words
         self.tokens: list[int] = []
         self.asked: list[int] = []
 
-    def take(self, text: str | None, words: Words) -> np.ndarray:
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = len(self.tokens)
+        self.tokens.append(self.words.token(word))
+        # The hash of Spark's xxhash64.
+        self.asked.append(xxhash.xxh64_intdigest(word, 42))
+        return found
+
+    def take(self, text: str | None) -> np.ndarray:
         """The numbers of the words of a text."""
         found = utf8(text).lower().split()
-        for w in set(found).difference(self.numbers):
-            self.numbers[w] = len(self.tokens)
-            self.tokens.append(words.token(w))
-            # The hash of Spark's xxhash64.
-            self.asked.append(xxhash.xxh64_intdigest(w, 42))
-        return np.fromiter(map(self.numbers.__getitem__, found), np.int32, len(found))
+        return np.fromiter(map(self.__getitem__, found), np.int32, len(found))
 
 
 def _scorer(words: Words, params: bytes):
@@ -278,11 +298,11 @@ def _scorer(words: Words, params: bytes):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = TaskContext.get().partitionId() << 32
-        chunk = _Chunk(first)
+        chunk = _Chunk(first, words)
         for batch in batches:
             texts, low, numbers, size = batch.pop("text"), 0, [], 0
             for k, text in enumerate(texts):
-                numbers.append(chunk.take(text, words))
+                numbers.append(chunk.take(text))
                 size += len(numbers[-1])
                 chunk.size += 1 + len(numbers[-1])
                 full = len(chunk.tokens) > CHUNK_WORDS or chunk.size > CHUNK_SIZE
@@ -291,7 +311,7 @@ def _scorer(words: Words, params: bytes):
                     low, numbers, size = k + 1, [], 0
                 if full:
                     yield asking(chunk)
-                    chunk = _Chunk(chunk.number + 1)
+                    chunk = _Chunk(chunk.number + 1, words)
         if chunk.tokens:
             yield asking(chunk)
 

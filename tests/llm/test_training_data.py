@@ -10,6 +10,7 @@ from zlib import crc32
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -312,6 +313,19 @@ def test_byte_bpe_operator(docs, none, coders, monkeypatch):
     assert byte_bpe.encode_bytes(none, vocabulary=VOCABULARY, pattern=PATTERN).count() == 0
 
 
+def test_byte_bpe_hands_out_portions_and_forgets():
+    texts = [None, "", *(_sentence(k, 400) * 60 for k in range(15)), "last"]
+    batch = pd.DataFrame({"_id": range(len(texts)), "_text": texts})
+    found = list(byte_bpe._coder(VOCABULARY, PATTERN)(iter([batch, batch.iloc[:0]])))
+    whole = byte_bpe.Codec(byte_bpe.read_ranks(open(VOCABULARY, "rb").read()), PATTERN)
+    rows = [tuple(r) for part in found for r in part[["_id", "ids", "decoded"]].itertuples(index=False)]
+    assert rows == [(k, whole.encode([t])[0], (t or "").encode()) for k, t in enumerate(texts)]
+    longest = max(len(t or "") for t in texts)
+    assert len(found) > 2 and max(sum(map(len, part["decoded"].map(bytes.decode))) for part in found) < 500_000 + longest
+    # Nothing is remembered for a stage that comes later.
+    assert not byte_bpe.codec(VOCABULARY, PATTERN).known
+
+
 def _targets(sizes):
     """Share, cap, share the rest again, until no source is above its cap."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode defines it; the class ``\s`` of Python also holds four separators of ASCII.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Pre-tokens remembered by a worker, some 160 MB; the memory is emptied when it is full.
-REMEMBERED = 800_000
+#: Pre-tokens remembered by a worker, some 50 MB; the memory is emptied when it is full, and at the end of a task.
+REMEMBERED = 250_000
 #: Pre-tokens of more bytes are encoded each time.
 _LONGEST = 64
 
@@ -124,6 +124,9 @@ class Codec:
                 del self.known[p]
         return out
 
+    def forget(self) -> None:
+        self.known = {}
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -151,9 +154,14 @@ def _coder(vocabulary: str, pattern: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = codec(vocabulary, pattern)
         for batch in batches:
-            batch["ids"] = [ids for part in portions(batch.pop("_text")) for ids in coder.encode(part)]
-            batch["decoded"] = [coder.decode(ids) for ids in batch["ids"]]
-            yield batch
+            low = 0
+            # A portion at a time leaves, so that a worker never holds the results of a whole batch.
+            for part in portions(batch.pop("_text")):
+                ids = coder.encode(part)
+                yield batch.iloc[low : low + len(part)].assign(ids=ids, decoded=[coder.decode(i) for i in ids])
+                low += len(part)
+        # The worker may wait for other stages, which need the memory.
+        coder.forget()
 
     return run
 

@@ -436,6 +436,48 @@ def test_main_text_is_chosen_by_its_amount(page, expected):
     assert " ".join(rest if marked is None else marked) == expected
 
 
+def _some_words(seed, n):
+    return [f"{seed}x{(k * 7919 + seed) % 1000}" for k in range(n)]
+
+
+@pytest.mark.parametrize("chunk_tokens", [2_000_000, 10, 1])
+def test_repeated_parts_of_marked_articles(spark, chunk_tokens, monkeypatch):
+    """What a template puts into articles goes, under whatever name; what articles share in their text stays."""
+    monkeypatch.setattr(html_extract, "CHUNK_TOKENS", chunk_tokens)
+    line, quote = " ".join(f"s{k}" for k in range(18)), " ".join(f"q{k}" for k in range(20))
+    short = ["tell your friends", "and write to us", "every day of the week", "or on sundays", "in the morning", "if you like"]
+    pages, expected = [], {}
+
+    def page(host, body, text):
+        pages.append((len(pages), f"http://{host}.example/{len(pages)}", f"<nav>menu</nav><article class='post'>{body}</article>"))
+        expected[len(pages) - 1] = text
+
+    for k in range(6):
+        own = " ".join(_some_words(k, 150))
+        # A line and a list of the template around a text that starts and ends like others and quotes them.
+        page(
+            "a", f"<p>{quote}</p><p class='story-tools n{k}'>{line}</p><p>{own}</p><ul class='tools'>{''.join(f'<li>{x}</li>' for x in short)}</ul>"
+            f"<blockquote class='b'>{quote} b</blockquote><p>{line}</p>",
+            f"{quote} {own} {quote} b {line}",
+        )
+        # Copies with few changes, whose parts are as much alike as all else.
+        words = _some_words(99, 120)
+        words[10 * k + 5] = f"changed{k}"
+        page("b", f"<p>{' '.join(words)}</p><p class='summary'>{line}</p>", f"{' '.join(words)} {line}")
+        # A named part for all of the text.
+        page("c", f"<div class='text'><p>{quote}</p><p>{own}</p></div>", f"{quote} {own}")
+        page(f"d{k}", f"<p>{own}</p><p class='story-tools'>{line}</p>", f"{own} {line}")
+    for k in range(2):
+        own = " ".join(_some_words(20 + k, 90))
+        page("e", f"<p>{own}</p><p class='story-tools'>{line}</p>", f"{own} {line}")
+    # One page many times over is one page.
+    pages += [(100 + k, "http://e.example/again", pages[-1][2]) for k in range(4)]
+    last = expected[len(expected) - 1]
+    expected.update({100 + k: last for k in range(4)})
+    rows = html_extract.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in rows} == expected and len(rows) == len(pages)
+
+
 @given(st.lists(st.integers(0, 2), max_size=40))
 @settings(max_examples=100, deadline=None)
 def test_run_classes(tokens):

@@ -10,6 +10,7 @@ the state is bounded by the windows, not by the length of the stream, and the wo
 
 Customers are dealt to groups, and a call of the stream's handler takes the rows of a group: what a call costs by itself, frames and their way
 between Python and Spark, is paid per group. State stays that of single customers; a micro-batch reads and writes those it has rows of.
+Rows come to the handler in pieces of many (``packs``), state goes as arrays, and features are computed on arrays where a customer has many rows of a day.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from pyspark.sql.streaming import StatefulProcessor
 from tidemark.functions.scalars import DAY_MS, HOUR_MS, epoch_ms, is_cross_border, text_or_null, to_cents
 from tidemark.operators.visits import check_window
 from tidemark.schemas import CUSTOMER_FEATURES, DEFAULT_MODEL, HOME_COUNTRY, TRANSACTION, VISIT_WINDOW_DAYS
-from tidemark.streaming.memory import WEEK_MS, Standing, rolling_values
+from tidemark.streaming.memory import WEEK_MS, Crowd, Standing, rolling_values
+from tidemark.streaming.packs import TEXT, coded, columns_of, from_bytes, packer, plain, texts, to_bytes, unpacked
 
 # How long state outlives its last write.
 STATS_TTL = timedelta(days=8)
@@ -39,6 +41,8 @@ VISIT_GRACE_DAYS = 2
 
 #: Transactions of a day that stay in one entry, and ids of a group of markers, about.
 DAY_ROWS, MARKERS = 1000, 256
+#: Groups of markers from which on their size grows as well as their number.
+MANY_GROUPS = 512
 #: Characters of state that are held in one piece.
 SMALL = 50_000
 _MAPS = ("rows", "sums", "visits", "markers")
@@ -48,8 +52,18 @@ ARRIVAL_DELAY = timedelta(minutes=10)
 _CARRIED = "merchant_category string, amount double, country string, requested_model string"
 _CARRIED_NAMES = [c.split()[0] for c in _CARRIED.split(", ")]
 _SHOWN = ["customer_id", "transaction_id", "merchant_id", "event_timestamp", *_CARRIED_NAMES, *CUSTOMER_FEATURES, "beyond_horizon"]
+_ROW = columns_of(
+    f"customer_id string, transaction_id string, merchant_id string, {_CARRIED}, event_timestamp timestamp, "
+    "ms bigint, cents bigint, abroad bigint, arrived_ms bigint"
+)
+_NO_TIME = np.iinfo(np.int64).min
+_TEXTS = [c for c in _ROW.names if _ROW.field(c).type == TEXT and c != "transaction_id"]
 #: Rows of a customer's micro-batch that are handed out at once.
 ROWS_AT_ONCE = 100_000
+#: Rows of a customer on a day of a micro-batch, on average, from which on visits are taken many at a time.
+CROWD_ROWS = 50
+#: Bytes of rows that go to Python at once.
+BATCH_BYTES = 16 << 20
 #: Groups of customers. A group's rows of a micro-batch are held by one call.
 GROUPS = 1024
 
@@ -106,17 +120,23 @@ def stream_features(
         f"cast({is_cross_border('country', home)} AS bigint) AS abroad",
         f"cast({arrived} AS timestamp) AS arrived",
     )
-    if expire:
-        rows = rows.withWatermark("arrived", f"{int(ARRIVAL_DELAY.total_seconds())} seconds")
     rows = rows.withColumn("arrived_ms", F.expr("unix_millis(arrived)"))
     rows = rows.withColumn("customer_group", F.expr(f"cast(pmod(xxhash64(customer_id), {groups}) AS int)"))
+    # Rows of a piece share their time of arrival, so the watermark takes or leaves them as it would each of them.
+    keys = ["customer_group", "arrived"] if expire else ["customer_group"]
+    pieces = rows.mapInArrow(packer(keys, _ROW), "customer_group int, arrived timestamp, piece binary" if expire else "customer_group int, piece binary")
+    if expire:
+        pieces = pieces.withWatermark("arrived", f"{int(ARRIVAL_DELAY.total_seconds())} seconds")
     features = ", ".join(f"{name} {kind}" for name, kind in CUSTOMER_FEATURES.items())
     output = f"customer_id string, transaction_id string, merchant_id string, event_timestamp timestamp, {_CARRIED}, {features}, beyond_horizon boolean"
     # Keyed state with many entries per key needs the store that reads single entries.
-    stream.sparkSession.conf.set(
-        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    )
-    found = rows.groupBy("customer_group").transformWithStateInPandas(
+    conf = stream.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # A piece is one record to Spark, so frames are limited by bytes.
+    most = conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    if most is None or not most.isdigit() or int(most) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    found = pieces.groupBy("customer_group").transformWithStateInPandas(
         _GroupMemory(window_days, expire, late_rows), output, "Append", "EventTime" if expire else "None"
     )
     return found if late_rows else found.drop("beyond_horizon")
@@ -190,7 +210,9 @@ class _CustomerMemory(StatefulProcessor):
         """Store what is known, and the entries held in one piece: as such, or in the maps from the moment they are too much."""
         small = None
         if isinstance(self.rows, _Entries):
-            held = {name: [[list(k), list(v)] for k, v in getattr(self, name).items()] for name in _MAPS}
+            held = {
+                name: [[list(k), [x if isinstance(x, int) else plain(x) for x in v]] for k, v in getattr(self, name).items()] for name in _MAPS
+            }
             small = json.dumps(held, separators=(",", ":"))
             if len(small) > SMALL:
                 small = None
@@ -227,18 +249,17 @@ class _CustomerMemory(StatefulProcessor):
             groups = self._regroup(groups, marked + len(ids))
         elif known is None:
             groups = _groups(groups, len(ids))
-        new, counted, marked = self._mark(ids, clocks, known is None, marked, groups, now)
+        new, counted, marked = self._mark(ids, columns.get("hash"), clocks, known is None, marked, groups, now)
         del clocks, ahead
         at = np.flatnonzero(new & ~late)
         if len(at):
             newest, written = max(newest, int(ms[at[-1]])), now
-            merchants = columns["merchant_id"][at].tolist()
+            merchants = columns["merchant_id"][at].own()
             rolling = self._rolling(ms[at], columns["cents"][at], columns["abroad"][at], merchants, known is None)
             visits = self._visited(ms[at], merchants, counted[at], known is None, newest, now)
             for low in range(0, len(at), ROWS_AT_ONCE):
                 part = at[low : low + ROWS_AT_ONCE]
-                visited = [next(visits) for _ in range(len(part))]
-                found = [c[low : low + ROWS_AT_ONCE] for c in rolling] + list(zip(*visited))
+                found = [c[low : low + ROWS_AT_ONCE] for c in rolling] + next(visits)
                 yield _picked(columns, ids, part), found
             # The state of the visits is written behind the last one.
             next(visits, None)
@@ -261,7 +282,7 @@ class _CustomerMemory(StatefulProcessor):
             for part in range(groups) if self.markers.exists() else []:
                 value = self.markers.getValue((part,))
                 if value:
-                    ids += self._write_markers(part, dict(zip(*value)), now) - len(value[0])
+                    ids += self._write_markers(part, *value, now) - len(value[0])
             if self.rows.exists() or self.visits.exists() or self.markers.exists():
                 self._close((clock, newest, written, self._remind(now, written, -1), ids, groups))
             else:
@@ -269,7 +290,7 @@ class _CustomerMemory(StatefulProcessor):
         return iter(())
 
     def _mark(
-        self, ids: pa.Array, clocks: np.ndarray, fresh: bool, marked: int, groups: int, now: int
+        self, ids: pa.Array, hashes: np.ndarray | None, clocks: np.ndarray, fresh: bool, marked: int, groups: int, now: int
     ) -> tuple[np.ndarray, np.ndarray, int]:
         """(not seen within the rolling horizon, not seen within that of the visits either, ids marked by now); marks the first.
 
@@ -277,58 +298,57 @@ class _CustomerMemory(StatefulProcessor):
         """
         new, counted = np.ones(len(ids), bool), np.ones(len(ids), bool)
         if groups == 1:
-            order, ends = np.arange(len(ids)), [len(ids)]
+            order, ends = None, [(0, 0, len(ids))]
         else:
-            group = np.concatenate(
-                [[crc32(i.encode()) % groups for i in ids[k : k + ROWS_AT_ONCE].to_pylist()] for k in range(0, len(ids), ROWS_AT_ONCE)]
-            )
-            order = np.argsort(group, kind="stable")
-            ends = [*(np.flatnonzero(np.diff(group[order])) + 1).tolist(), len(ids)]
-        low = 0
-        for high in ends:
-            places = order[low:high]
-            mine = ids.take(pa.array(places)).to_pylist()
-            part = 0 if groups == 1 else int(group[places[0]])
+            order, ends = _dealt(_hashes(ids) if hashes is None else hashes, groups)
+            ids, clocks = ids.take(pa.array(order)), clocks[order]
+        for part, low, high in ends:
+            mine, at = ids[low:high], clocks[low:high]
             stored = None if fresh else self.markers.getValue((part,))
-            seen = dict(zip(*stored)) if stored else {}
-            before = len(seen)
-            for k, i, at in zip(places.tolist(), mine, clocks[places].tolist()):
-                if i in seen:
-                    age = at - seen[i]
-                    new[k], counted[k] = age >= self.rolling_ms, age >= self.visit_ms
-                if new[k]:
-                    seen[i] = at
+            if stored:
+                before, (marked_ids, marked_at) = len(stored[0]), (texts(stored[0]), np.array(stored[1], np.int64))
+                found = pc.fill_null(pc.index_in(mine, value_set=marked_ids), -1).to_numpy()
+                again, found = found >= 0, found[found >= 0]
+                age = at[again] - marked_at[found]
+                places = np.arange(low, high)[again] if order is None else order[low:high][again]
+                new[places], counted[places] = age >= self.rolling_ms, age >= self.visit_ms
+                marked_at[found] = np.where(age >= self.rolling_ms, at[again], marked_at[found])
+                mine = pa.concat_arrays([marked_ids, mine.filter(pa.array(~again))])
+                at = np.concatenate([marked_at, at[~again]])
+            else:
+                before = 0
             # Later micro-batches are not behind this clock.
-            marked += self._write_markers(part, seen, now) - before
-            low = high
+            marked += self._write_markers(part, mine, at, now) - before
         return new, counted, marked
 
-    def _write_markers(self, part: int, seen: dict[str, int], now: int) -> int:
+    def _write_markers(self, part: int, ids, clocks, now: int) -> int:
         """Store the markers of a group that are not due; returns how many."""
-        kept = {i: at for i, at in seen.items() if at + self.marker_ms > now}
-        if kept:
-            self.markers.updateValue((part,), (list(kept), list(kept.values())))
+        ids, clocks = texts(ids), np.asarray(clocks, np.int64)
+        kept = clocks + self.marker_ms > now
+        if not kept.all():
+            ids, clocks = ids.filter(pa.array(kept)), clocks[kept]
+        if len(ids):
+            self.markers.updateValue((part,), (ids, clocks))
         else:
             self.markers.removeKey((part,))
-        return len(kept)
+        return len(ids)
 
     def _regroup(self, groups: int, ids: int) -> int:
-        """Deal the markers to so many groups that each holds about ``MARKERS`` of ``ids``, one group after the other; returns their number.
+        """Deal the markers to so many groups that each holds about as many of ``ids`` as it should, one group after the other; returns their number.
 
         As the number doubles, an id is dealt a few times in all, and a group is dealt to groups that no other is dealt to.
         """
         more = _groups(groups, ids)
         for part in range(groups) if more > groups else []:
             value = self.markers.getValue((part,))
-            dealt: dict[int, tuple[list, list]] = {}
-            for i, at in zip(*value) if value else []:
-                here = dealt.setdefault(crc32(i.encode()) % more, ([], []))
-                here[0].append(i)
-                here[1].append(at)
-            if value and part not in dealt:
+            if not value:
+                continue
+            order, ends = _dealt(_hashes(texts(value[0])), more)
+            held, clocks = texts(value[0]).take(pa.array(order)), np.asarray(value[1], np.int64)[order]
+            if all(to != part for to, _, _ in ends):
                 self.markers.removeKey((part,))
-            for to, entry in dealt.items():
-                self.markers.updateValue((to,), entry)
+            for to, low, high in ends:
+                self.markers.updateValue((to,), (held[low:high], clocks[low:high]))
         return more
 
     def _spread(self) -> None:
@@ -353,11 +373,12 @@ class _CustomerMemory(StatefulProcessor):
             self.handle.registerTimer(due)
         return due
 
-    def _rolling(self, ms: np.ndarray, cents: np.ndarray, abroad: np.ndarray, merchants: list[str], fresh: bool) -> list[np.ndarray]:
+    def _rolling(self, ms: np.ndarray, cents: np.ndarray, abroad: np.ndarray, merchants: _Texts, fresh: bool) -> list[np.ndarray]:
         first, last = int(ms[0]), int(ms[-1])
         gone = last - WEEK_MS - 1  # what has left for good after this micro-batch
         entries = sorted(tuple(k) for k in self.rows.keys()) if not fresh and self.rows.exists() else []
-        held: dict[tuple[int, int], tuple] = {}
+        numbers = {m: k for k, m in enumerate(merchants.names)}
+        held: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
         blocks = []
         for entry in entries:
             start, end = _span(entry)
@@ -367,14 +388,13 @@ class _CustomerMemory(StatefulProcessor):
                 n, total, far, largest = self.sums.getValue(entry)
                 blocks.append((end, total, far, n, largest))
             else:
-                held[entry] = self.rows.getValue(entry)
-        old = [np.array([v for h in held.values() for v in h[k]], np.int64) for k in range(3)]
-        names = [m for h in held.values() for m in h[3]]
+                *values, names = self.rows.getValue(entry)
+                held[entry] = (*[np.asarray(v, np.int64) for v in values], coded(names, numbers))
+        new = (ms, cents, abroad, merchants.codes)
+        old = tuple(np.concatenate([np.zeros(0, new[k].dtype), *[h[k] for h in held.values()]]) for k in range(4))
         order = np.argsort(old[0], kind="stable")
-        old, names = tuple(o[order] for o in old), [names[k] for k in order.tolist()]
-        found = rolling_values(
-            old, names, tuple(np.array([b[k] for b in blocks], np.int64) for k in range(5)), (ms, cents, abroad), merchants
-        )
+        found = rolling_values(tuple(o[order] for o in old), tuple(np.array([b[k] for b in blocks], np.int64) for k in range(5)), new)
+        del old, order
 
         # The oldest entries leave first; only the entry that is cut and those with new rows are written.
         for entry in entries:
@@ -391,61 +411,124 @@ class _CustomerMemory(StatefulProcessor):
             high = int(np.searchsorted(ms, _span(entry)[1], "right"))
             added[entry] = low, high
             low = high
+        names = _names(numbers)
         for entry in {*added, *[e for e in held if _span(e)[0] <= gone]}:
-            kept = [r for r in zip(*held.get(entry, ([], [], [], []))) if r[0] > gone]
             low, high = added.get(entry, (0, 0))
-            kept += zip(*[c[low:high].tolist() for c in (ms, cents, abroad)], merchants[low:high])
-            self._write_rows(entry, sorted(kept, key=lambda r: r[0]))
+            kept = [c[low:high] for c in new]
+            if entry in held:
+                left = held[entry][0] > gone
+                kept = [np.concatenate([h[left], c]) for h, c in zip(held[entry], kept)]
+                order = np.argsort(kept[0], kind="stable")
+                kept = [c[order] for c in kept]
+            self._write_rows(entry, *kept[:3], names[kept[3]])
         return found
 
-    def _write_rows(self, entry: tuple[int, int], kept: list[tuple]) -> None:
-        if not kept:
+    def _write_rows(self, entry: tuple[int, int], ms: np.ndarray, cents: np.ndarray, abroad: np.ndarray, merchants: np.ndarray) -> None:
+        if not len(ms):
             self._remove_rows(entry)
-        elif entry[1] < 0 and len(kept) > DAY_ROWS:
+        elif entry[1] < 0 and len(ms) > DAY_ROWS:
             self._remove_rows(entry)
-            by_hour: dict[int, list[tuple]] = {}
-            for r in kept:
-                by_hour.setdefault(r[0] % DAY_MS // HOUR_MS, []).append(r)
-            for hour, part in by_hour.items():
-                self._write_rows((entry[0], hour), part)
+            hours = ms % DAY_MS // HOUR_MS
+            begin = [0, *(np.flatnonzero(np.diff(hours)) + 1).tolist(), len(ms)]
+            for low, high in zip(begin, begin[1:]):
+                self._write_rows((entry[0], int(hours[low])), *[c[low:high] for c in (ms, cents, abroad, merchants)])
         else:
-            lists = [list(c) for c in zip(*kept)]
-            self.rows.updateValue(entry, tuple(lists))
+            self.rows.updateValue(entry, (ms, cents, abroad, merchants))
             if entry[1] >= 0:
-                self.sums.updateValue(entry, (len(kept), sum(lists[1]), sum(lists[2]), max(lists[1])))
+                self.sums.updateValue(entry, (len(ms), int(cents.sum()), int(abroad.sum()), int(cents.max())))
 
     def _remove_rows(self, entry: tuple[int, int]) -> None:
         self.rows.removeKey(entry)
         if entry[1] >= 0:
             self.sums.removeKey(entry)
 
-    def _visited(self, moments: np.ndarray, merchants: list[str], counted: np.ndarray, fresh: bool, newest: int, now: int) -> Iterator[list]:
-        """The visit features of each row; the state is written when the last one has been taken."""
+    def _visited(self, moments: np.ndarray, merchants: _Texts, counted: np.ndarray, fresh: bool, newest: int, now: int) -> Iterator[list]:
+        """The visit features of the rows that are handed out at once, in columns; the state is written when the last ones have been taken."""
         kept = {day: value for (day,), value in self.visits.iterator()} if not fresh and self.visits.exists() else {}
         oldest = newest // DAY_MS - self.window_days - VISIT_GRACE_DAYS
         if self.expire:
             for day in [d for d, value in kept.items() if value[4] + self.visit_ms <= now]:
                 self.visits.removeKey((day,))
                 del kept[day]
-        standing = Standing({(d, m): v for d, value in kept.items() for m, *v in zip(*value[:4])}, self.window_days)
-        touched: dict[int, dict[str, list[int]]] = {}
-        for k, merchant in enumerate(merchants):
-            ms = int(moments[k])
-            day = ms // DAY_MS
-            standing.move_to(day)
-            yield standing.features(merchant, ms)
-            if counted[k]:
-                touched.setdefault(day, {})[merchant] = standing.count(merchant, ms, day)
-        for day, changed in touched.items():
+        days = moments // DAY_MS
+        # A merchant without id has no place in the order of ids.
+        many = len(days) >= CROWD_ROWS * (1 + np.count_nonzero(np.diff(days))) and not any(m is None for m in merchants.names)
+        many = many and not any(texts(value[0]).null_count for value in kept.values())
+        changed: dict[int, tuple] = {}
+        yield from (self._crowded if many else self._single)(moments, days, merchants, counted, kept, changed)
+        for day, value in changed.items():
             if self.expire or day > oldest:
-                merged = {m: v for m, *v in zip(*kept[day][:4])} if day in kept else {}
-                merged.update(changed)
-                self.visits.updateValue((day,), (list(merged), *[list(c) for c in zip(*merged.values())], now))
+                self.visits.updateValue((day,), (*value, now))
         if not self.expire:
             for day in kept:
                 if day <= oldest:
                     self.visits.removeKey((day,))
 
+    def _single(self, moments: np.ndarray, days: np.ndarray, merchants: _Texts, counted: np.ndarray, kept: dict, changed: dict) -> Iterator[list]:
+        """Visits one after the other; leaves the buckets of days with visits in ``changed``."""
+        kept = {day: [plain(v) for v in value[:4]] for day, value in kept.items()}
+        standing = Standing({(d, m): v for d, value in kept.items() for m, *v in zip(*value)}, self.window_days)
+        touched: dict[int, dict[str, list[int]]] = {}
+        out = []
+        for ms, day, merchant, counts in zip(moments.tolist(), days.tolist(), merchants.shown().tolist(), counted.tolist()):
+            standing.move_to(day)
+            out.append(standing.features(merchant, ms))
+            if counts:
+                touched.setdefault(day, {})[merchant] = standing.count(merchant, ms, day)
+            if len(out) == ROWS_AT_ONCE:
+                yield list(zip(*out))
+                out = []
+        if out:
+            yield list(zip(*out))
+        for day, here in touched.items():
+            merged = {m: v for m, *v in zip(*kept[day])} if day in kept else {}
+            merged.update(here)
+            changed[day] = (list(merged), *[list(c) for c in zip(*merged.values())])
+
+    def _crowded(self, moments: np.ndarray, days: np.ndarray, merchants: _Texts, counted: np.ndarray, kept: dict, changed: dict) -> Iterator[list]:
+        """The same for many visits of a day at a time."""
+        numbers = {m: k for k, m in enumerate(merchants.names)}
+        buckets = {day: (coded(value[0], numbers), *[np.asarray(v, np.int64) for v in value[1:4]]) for day, value in kept.items()}
+        names = sorted(numbers)
+        place = np.empty(len(names), np.int64)
+        place[[numbers[m] for m in names]] = np.arange(len(names))
+        crowd = Crowd({day: (place[who], *rest) for day, (who, *rest) in buckets.items()}, len(names), self.window_days)
+        # Without any visit there is no top merchant; its number is -1.
+        shown, who = np.array([*names, ""], object), place[merchants.codes]
+        for low in range(0, len(days), ROWS_AT_ONCE):
+            high = min(low + ROWS_AT_ONCE, len(days))
+            ends = [low, *(np.flatnonzero(np.diff(days[low:high])) + low + 1).tolist(), high]
+            found = []
+            for a, b in zip(ends, ends[1:]):
+                crowd.move_to(int(days[a]))
+                found.append(crowd.features(who[a:b], moments[a:b], counted[a:b]))
+            *columns, top = [np.concatenate(c) for c in zip(*found)]
+            yield [*columns, shown[top]]
+        crowd.leave()
+        for day in crowd.touched:
+            at, *rest = crowd.buckets[day]
+            changed[day] = shown[at], *rest
+
+
+class _Texts:
+    """Texts by number, each of them once."""
+
+    def __init__(self, codes: np.ndarray, names: np.ndarray):
+        self.codes, self.names = codes, names
+
+    def __getitem__(self, at) -> _Texts:
+        return _Texts(self.codes[at], self.names)
+
+    def shown(self) -> np.ndarray:
+        return self.names[self.codes]
+
+    def own(self) -> _Texts:
+        """With the names of others left out, where there are more names than texts."""
+        if len(self.names) <= len(self.codes):
+            return self
+        used, codes = np.unique(self.codes, return_inverse=True)
+        return _Texts(codes.astype(np.int32), self.names[used])
+
 
 class _Known:
     """The value state of the customer at work, among those of a group."""
@@ -469,8 +552,8 @@ class _Part:
     The list is read only where a customer has more state than fits one piece.
     """
 
-    def __init__(self, scope: _Scope, name: str, width: int, entries, lists):
-        self.scope, self.name, self.width, self.entries, self.lists = scope, name, width, entries, lists
+    def __init__(self, scope: _Scope, name: str, width: int, kinds: pa.Schema, entries, lists):
+        self.scope, self.name, self.width, self.kinds, self.entries, self.lists = scope, name, width, kinds, entries, lists
         self.listed: dict[tuple, None] | None = None
         self.changed = False
 
@@ -485,13 +568,16 @@ class _Part:
         return bool(self._keys())
 
     def getValue(self, key: tuple) -> tuple | None:
-        return self.entries.getValue((self.scope.customer, *key)) if tuple(key) in self._keys() else None
+        if tuple(key) not in self._keys():
+            return None
+        stored = self.entries.getValue((self.scope.customer, *key))
+        return from_bytes(stored[0], self.kinds) if stored else None
 
     def updateValue(self, key: tuple, value: tuple) -> None:
         if tuple(key) not in self._keys():
             self.listed[tuple(key)] = None
             self.changed = True
-        self.entries.updateValue((self.scope.customer, *key), value)
+        self.entries.updateValue((self.scope.customer, *key), (to_bytes(value, self.kinds),))
 
     def removeKey(self, key: tuple) -> None:
         if tuple(key) in self._keys():
@@ -535,8 +621,8 @@ class _Scope:
         return _Known(self, self.handle.getMapState(name, "customer string", schema))
 
     def getMapState(self, name: str, key: str, value: str) -> _Part:
-        entries = self.handle.getMapState(name, f"customer string, {key}", value)
-        self.parts.append(_Part(self, name, len(key.split(",")), entries, self.lists))
+        entries = self.handle.getMapState(name, f"customer string, {key}", "packed binary")
+        self.parts.append(_Part(self, name, len(key.split(",")), columns_of(value), entries, self.lists))
         return self.parts[-1]
 
     def registerTimer(self, at: int) -> None:
@@ -600,16 +686,50 @@ class _GroupMemory(StatefulProcessor):
         self.scope.set_timers()
 
 
+def _holds(groups: int) -> int:
+    """Ids that so many groups of markers are meant for; of very many ids both the groups and their sizes grow with the square root."""
+    return MARKERS * groups * max(1, groups // MANY_GROUPS)
+
+
 def _groups(groups: int, ids: int) -> int:
     """The number of groups of markers: doubled until so many ids fit."""
-    if ids > 2 * MARKERS * groups:
-        while ids > MARKERS * groups:
+    if ids > 2 * _holds(groups):
+        while ids > _holds(groups):
             groups *= 2
     return groups
 
 
-def _picked(columns: dict[str, np.ndarray], ids: pa.Array, at: np.ndarray) -> dict:
-    out = {c: columns[c][at] for c in ("customer_id", "merchant_id", "event_timestamp", *_CARRIED_NAMES)}
+def _hashes(ids: pa.Array) -> np.ndarray:
+    found = np.empty(len(ids), np.uint32)
+    for low in range(0, len(ids), ROWS_AT_ONCE):
+        part = pc.fill_null(ids[low : low + ROWS_AT_ONCE], "").cast(pa.large_binary()).to_pylist()
+        found[low : low + len(part)] = np.fromiter(map(crc32, part), np.uint32, len(part))
+    return found
+
+
+def _dealt(hashes: np.ndarray, groups: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(places of ids, those of a group of markers end to end; group, begin and end of each group there)."""
+    found = hashes % np.uint32(groups)
+    order = np.argsort(found, kind="stable")
+    found = found[order]
+    ends = [0, *(np.flatnonzero(np.diff(found)) + 1).tolist(), len(found)]
+    return order, [(int(found[low]), low, high) for low, high in zip(ends, ends[1:])]
+
+
+def _repeated(ids: pa.Array, owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of ids that came before for the same owner; only those with the hash of another one are compared."""
+    order = np.argsort(hashes, kind="stable")
+    same = np.diff(hashes[order]) == 0
+    places = np.sort(order[np.append(same, False) | np.append(False, same)])
+    del order, same
+    found = pa.table({"owner": owner[places], "id": ids.take(pa.array(places)), "at": places})
+    first = found.group_by(["owner", "id"]).aggregate([("at", "min")])["at_min"].to_numpy()
+    return np.setdiff1d(places, first, assume_unique=True)
+
+
+def _picked(columns: dict, ids: pa.Array, at: np.ndarray) -> dict:
+    out = {c: columns[c][at].shown() for c in ("customer_id", "merchant_id")}
+    out |= {c: columns[c][at].shown() if c in _TEXTS else columns[c][at] for c in ("event_timestamp", *_CARRIED_NAMES)}
     out["transaction_id"] = ids.take(pa.array(at)).to_pylist()
     return out
 
@@ -630,61 +750,85 @@ def _frame(pieces: list[tuple[dict, list | None]]) -> pd.DataFrame:
         out |= {c: pd.array([None] * n, dtype=kinds.get(kind, "Int64")) for c, kind in CUSTOMER_FEATURES.items()}
     else:
         out |= {c: _end_to_end([f[k] for f in found]) for k, c in enumerate(CUSTOMER_FEATURES)}
+    out["event_timestamp"] = pd.DatetimeIndex(out["event_timestamp"].view("M8[us]")).tz_localize("UTC")
     out["beyond_horizon"] = np.full(n, beyond)
     return pd.DataFrame({c: out[c] for c in _SHOWN})
 
 
-def _arranged(rows: Iterator[pd.DataFrame]) -> Iterator[tuple[str | None, dict[str, np.ndarray], pa.Array]]:
+def _arranged(rows: Iterator[pd.DataFrame]) -> Iterator[tuple[str | None, dict, pa.Array]]:
     """(customer, columns, transaction ids) of each customer, in order of event time and id, the first row of each id.
 
     Of texts that repeat one copy is held, and ids lie end to end, so a row takes about a hundred bytes.
     """
+    numbers: dict[str, dict[str | None, int]] = {name: {} for name in _TEXTS}
     parts: dict[str, list[np.ndarray]] = {}
-    texts: dict[str, str] = {}
     found = []
     for frame in rows:
-        found.append(pa.array(frame["transaction_id"], pa.large_string()))
-        for name in (*_CARRIED_NAMES, "customer_id", "merchant_id", "event_timestamp", "ms", "cents", "abroad", "arrived_ms"):
-            values = frame[name].to_numpy()
-            if values.dtype == object and isinstance(values[0], str):
-                values = np.array([texts.setdefault(v, v) for v in values], object)
-            parts.setdefault(name, []).append(values)
+        here = unpacked(frame, _ROW)
+        # Copies, so that the pieces can go.
+        found.append(pa.concat_arrays([*here["transaction_id"].chunks, pa.array([], TEXT)]))
+        for name in _ROW.names:
+            column = here[name]
+            if name in _TEXTS:
+                values = np.concatenate([coded(c, numbers[name]) for c in column.chunks])
+            elif name == "event_timestamp":
+                values = column.cast(pa.int64()).fill_null(_NO_TIME).to_numpy()
+            elif name == "amount":
+                values = np.array(column.to_numpy(), np.float64)
+            elif name == "abroad":
+                values = column.fill_null(0).to_numpy().astype(np.int8)
+            elif name != "transaction_id":
+                if column.null_count:
+                    raise ValueError(f"a transaction without {name}")
+                values = np.array(column.to_numpy(), np.int64)
+            if name != "transaction_id":
+                parts.setdefault(name, []).append(values)
+        del here
     ids = found[0] if len(found) == 1 else pa.concat_arrays(found)
     del found
-    numbers: dict[str | None, int] = {}
-    owner = np.concatenate([[numbers.setdefault(c, len(numbers)) for c in part] for part in parts["customer_id"]])
-    keys = {"ms": np.concatenate(parts["ms"]), "id": ids}
-    if len(numbers) > 1:
-        keys = {"owner": owner, **keys}
-    else:
-        del owner
-    order = pc.sort_indices(pa.table(keys), [(k, "ascending") for k in keys])
-    ids, order = ids.take(order), order.to_numpy()
-    del keys
-    if len(numbers) > 1:
-        owner = owner[order]
+    several = len(numbers["customer_id"]) > 1
+    ms = np.concatenate(parts.pop("ms"))
+    owner = np.concatenate(parts.pop("customer_id"))
+    order = np.lexsort((ms, owner)) if several else np.argsort(ms, kind="stable")
+    ms, owner = ms[order], owner[order]
+    # Of rows at the same moment the id decides.
+    tied = ms[1:] == ms[:-1]
+    if several:
+        tied &= owner[1:] == owner[:-1]
+    if tied.any():
+        at = np.flatnonzero(np.append(tied, False) | np.append(False, tied))
+        run = np.cumsum(~np.append(False, tied))[at]
+        order[at] = order[at][pc.sort_indices(pa.table({"run": run, "id": ids.take(pa.array(order[at]))}), [("run", "ascending"), ("id", "ascending")])]
+    ids = ids.take(pa.array(order))
+    columns: dict = {}
     if len(ids) > ROWS_AT_ONCE:
-        whose = {"owner": owner} if len(numbers) > 1 else {}
-        first = pa.table({**whose, "id": ids, "at": np.arange(len(ids))}).group_by([*whose, "id"]).aggregate([("at", "min")])["at_min"]
-        first = np.sort(first.to_numpy())
+        columns["hash"] = _hashes(ids)
+        again = _repeated(ids, owner, columns["hash"])
     else:
-        first, seen = [], set()
-        for k, i in enumerate(zip(owner.tolist(), ids.to_pylist()) if len(numbers) > 1 else ids.to_pylist()):
-            if i not in seen:
-                seen.add(i)
-                first.append(k)
+        again, seen = [], set()
+        for k, i in enumerate(zip(owner.tolist(), ids.to_pylist()) if several else ids.to_pylist()):
+            if i in seen:
+                again.append(k)
+            seen.add(i)
         del seen
-    if len(first) < len(ids):
-        ids, order = ids.take(pa.array(first)), order[first]
-        if len(numbers) > 1:
-            owner = owner[first]
-    columns = {name: np.concatenate(parts.pop(name))[order] for name in list(parts)}
-    if len(numbers) == 1:
-        yield next(iter(numbers)), columns, ids
-        return
+    if len(again):
+        first = np.delete(np.arange(len(ids)), again)
+        ids, order, ms, owner = ids.take(pa.array(first)), order[first], ms[first], owner[first]
+        columns = {name: values[first] for name, values in columns.items()}
+    columns["ms"] = ms
+    for name in list(parts):
+        values = np.concatenate(parts.pop(name))[order]
+        columns[name] = _Texts(values, _names(numbers[name])) if name in _TEXTS else values
+    customers = _names(numbers["customer_id"])
     ends = [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), len(owner)]
-    for customer, low, high in zip(numbers, ends, ends[1:]):
-        yield customer, {name: values[low:high] for name, values in columns.items()}, ids[low:high]
+    for customer, low, high in zip(customers, ends, ends[1:]):
+        mine = {name: values[low:high] for name, values in columns.items()}
+        mine["customer_id"] = _Texts(np.zeros(high - low, np.int32), np.array([customer, None], object))
+        yield customer, mine, ids[low:high]
+
+
+def _names(numbers: dict[str | None, int]) -> np.ndarray:
+    return np.array([*numbers, None], object)[:-1]
 
 
 def _span(entry: tuple[int, int]) -> tuple[int, int]:

@@ -36,53 +36,66 @@ def _range_max(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
     return out
 
 
+def _distinct(codes: np.ndarray, low: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Distinct codes of ``codes[low:end]`` for ranges whose ends only move forward.
+
+    An entry stands for its code while it is in the range and the next entry with its code is not, so it is counted from the first range that
+    it is in to the last ahead of both.
+    """
+    order = np.argsort(codes, kind="stable")
+    following = np.full(len(codes), len(codes), np.int64)
+    same = codes[order[1:]] == codes[order[:-1]]
+    following[order[:-1][same]] = order[1:][same]
+    del order, same
+    places = np.arange(len(codes) + 1)
+    enters, leaves = np.searchsorted(end, places, "right"), np.searchsorted(low, places[:-1], "right")
+    del places
+    leaves = np.minimum(leaves, enters[following])
+    enters = enters[:-1]
+    counted = leaves > enters
+    steps = np.bincount(enters[counted], minlength=len(low) + 1) - np.bincount(leaves[counted], minlength=len(low) + 1)
+    return np.cumsum(steps[: len(low)])
+
+
 def rolling_values(
-    old: tuple[np.ndarray, ...], old_merchants: list[str], blocks: tuple[np.ndarray, ...], new: tuple[np.ndarray, ...], new_merchants: list[str]
+    old: tuple[np.ndarray, ...], blocks: tuple[np.ndarray, ...], new: tuple[np.ndarray, ...]
 ) -> list[np.ndarray]:
     """The seven rolling features of all new rows.
 
-    ``old`` and ``new`` are (ms, cents, abroad) in order of time, ``blocks`` are whole stretches of older rows as (ms, cents, abroad, rows,
-    largest): rows that all new rows see in their week and none in its day. A row sees old rows up to its own millisecond
+    ``old`` and ``new`` are (ms, cents, abroad, numbers of merchants) in order of time, ``blocks`` are whole stretches of older rows as (ms, cents,
+    abroad, rows, largest): rows that all new rows see in their week and none in its day. A row sees old rows up to its own millisecond
     and the new rows ahead of it.
     """
-    ms, cents, abroad = (np.concatenate([b, o, n]) for b, o, n in zip(blocks[:3], old, new))
-    rows = np.concatenate([blocks[3], np.ones(len(old[0]) + len(new[0]), np.int64)])
-    largest = np.concatenate([blocks[4], old[1], new[1]])
-    merchants = [None] * len(blocks[0]) + old_merchants + new_merchants
+    ahead = len(blocks[0]) + len(old[0])
+    ms = np.concatenate([blocks[0], old[0], new[0]])
     order = np.argsort(ms, kind="stable")
-    ms, cents, abroad, rows, largest = ms[order], cents[order], abroad[order], rows[order], largest[order]
-    merchants = [merchants[k] for k in order.tolist()]
-    at = np.flatnonzero(order >= len(blocks[0]) + len(old[0]))
-    end, now = at + 1, ms[at]
-
-    def running(values: np.ndarray) -> np.ndarray:
-        return np.concatenate([[0], np.cumsum(values)])
-
-    hour, day, week = (np.searchsorted(ms, now - width, "left") for width in (HOUR_MS, DAY_MS, WEEK_MS))
-    n, total, far = running(rows), running(cents), running(abroad)
-    n1, n24, n7 = n[end] - n[hour], n[end] - n[day], n[end] - n[week]
-    sum24, sum7, far7 = total[end] - total[day], total[end] - total[week], far[end] - far[week]
-    top7 = _range_max(largest, week, end)
-
-    present: dict[str, int] = {}
-    left = right = 0
-    distinct = np.empty(len(at), np.int64)
-    for k in range(len(at)):
-        low, high = int(day[k]), int(end[k])
-        while right < high:
-            m = merchants[right]
-            present[m] = present.get(m, 0) + 1
-            right += 1
-        while left < low:
-            m = merchants[left]
-            if present[m] == 1:
-                del present[m]
-            else:
-                present[m] -= 1
-            left += 1
-        distinct[k] = len(present)
-    mean = (2 * sum7 + n7) // (2 * n7)
-    return [n1, n24, sum24 / 100.0, mean / 100.0, top7 / 100.0, distinct, far7]
+    ms = ms[order]
+    end = np.flatnonzero(order >= ahead) + 1
+    hour, day, week = (np.searchsorted(ms, new[0] - width, "left") for width in (HOUR_MS, DAY_MS, WEEK_MS))
+    del ms
+
+    def sums(*parts: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(np.concatenate(parts)[order])])
+
+    if len(blocks[0]):
+        n = sums(blocks[3], np.ones(len(order) - len(blocks[0]), np.int64))
+        n1, n24, n7 = n[end] - n[hour], n[end] - n[day], n[end] - n[week]
+        del n
+    else:
+        n1, n24, n7 = end - hour, end - day, end - week
+    del hour
+    total = sums(blocks[1], old[1], new[1])
+    sum24, sum7 = total[end] - total[day], total[end] - total[week]
+    total = sums(blocks[2], old[2], new[2])
+    far7 = total[end] - total[week]
+    del total
+    mean = ((2 * sum7 + n7) // (2 * n7)) / 100.0
+    del sum7
+    top7 = _range_max(np.concatenate([blocks[4], old[1], new[1]])[order], week, end) / 100.0
+    del week
+    # Blocks have left the day ahead of all new rows.
+    distinct = _distinct(np.concatenate([np.full(len(blocks[0]), -1, np.int32), old[3], new[3]])[order], day, end)
+    return [n1, n24, sum24 / 100.0, mean, top7, distinct, far7]
 
 
 class _Ordered:
@@ -209,3 +222,146 @@ class Standing:
         bucket[1], bucket[2] = min(bucket[1], now), max(bucket[2], now)
         self._change(merchant, 1)
         return bucket
+
+
+def _first_of(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+
+
+def _smaller_ahead(groups: np.ndarray, values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each entry the weights of entries ahead of it in its group with a smaller value; groups lie together.
+
+    Values are compared bit by bit from the highest one on. Entries that are equal so far lie together; of two of them the one with the bit is larger.
+    """
+    n = len(values)
+    found, place = np.zeros(n, np.int64), np.arange(n)
+    begin = _first_of(groups)
+    length = np.diff(np.append(begin, n))
+    start, stop = np.repeat(begin, length), np.repeat(begin + length, length)
+    for bit in range(int(values.max(initial=0)).bit_length() - 1, -1, -1):
+        one = (values >> bit) & 1 == 1
+        weight = np.concatenate([[0], np.cumsum(np.where(one, 0, weights))])
+        found[place[one]] += (weight[:-1] - weight[start])[one]
+        zeros = np.concatenate([[0], np.cumsum(~one)])
+        ahead, middle = zeros[:-1] - zeros[start], start + zeros[stop] - zeros[start]
+        to = np.where(one, middle + np.arange(n) - start - ahead, start + ahead)
+        start, stop = np.where(one, middle, start), np.where(one, stop, middle)
+        moved = np.empty(n, np.int64)
+        moved[to] = np.arange(n)
+        place, values, weights, start, stop = place[moved], values[moved], weights[moved], start[moved], stop[moved]
+    return found
+
+
+_NEVER = 2**62
+
+
+class Crowd:
+    """The features of ``Standing`` for many visits at a time, all of one day, in arrays; merchants are numbers in the order of their ids.
+
+    ``buckets`` holds (merchants, visits, first, last) by day. What changes among the visits at hand follows from the order in which merchants reach a
+    number of visits: a merchant is behind those that reached one more than it has, and behind those with as many and a smaller id, which are
+    those that reached as many less those that reached one more.
+    """
+
+    def __init__(self, buckets: dict[int, tuple[np.ndarray, ...]], merchants: int, window_days: int):
+        self.buckets, self.merchants, self.window_days = buckets, merchants, window_days
+        self.day: int | None = None
+        self.touched: list[int] = []
+
+    def move_to(self, day: int) -> None:
+        """Finish the day at hand and take up a later one."""
+        if day == self.day:
+            return
+        self.leave()
+        self.day = day
+        self.visits = np.zeros(self.merchants, np.int64)
+        self.first, self.last = np.full(self.merchants, _NEVER), np.full(self.merchants, -_NEVER)
+        for d, (who, visits, first, last) in self.buckets.items():
+            if day - self.window_days < d <= day:
+                self.visits[who] += visits
+                self.first[who] = np.minimum(self.first[who], first)
+                self.last[who] = np.maximum(self.last[who], last)
+        self.today = np.zeros(self.merchants, np.int64)
+        self.today_first, self.today_last = np.full(self.merchants, _NEVER), np.full(self.merchants, -_NEVER)
+
+    def leave(self) -> None:
+        """Add the visits of the day at hand to its bucket."""
+        if self.day is None or not self.today.any():
+            return
+        if self.day in self.buckets:
+            who, visits, first, last = self.buckets[self.day]
+            self.today[who] += visits
+            self.today_first[who] = np.minimum(self.today_first[who], first)
+            self.today_last[who] = np.maximum(self.today_last[who], last)
+        who = np.flatnonzero(self.today)
+        self.buckets[self.day] = who, self.today[who], self.today_first[who], self.today_last[who]
+        self.touched.append(self.day)
+
+    def features(self, who: np.ndarray, ms: np.ndarray, counted: np.ndarray) -> list[np.ndarray]:
+        """The nine visit features of visits in order, each ahead of counting it; the last one is the number of a merchant, -1 for none."""
+        n, weight = len(who), counted.astype(np.int64)
+        order = np.argsort(who, kind="stable")
+        mine, first, last = (np.empty(n, np.int64) for _ in range(3))
+        by_merchant, times, weights = who[order], ms[order], weight[order]
+        begin = _first_of(by_merchant)
+        length = np.diff(np.append(begin, n))
+        running = np.cumsum(weights) - weights
+        before = running - np.repeat(running[begin], length)
+        here = np.full(len(begin), _NEVER)
+        earliest, group = (before == 0) & (weights == 1), np.repeat(np.arange(len(begin)), length)
+        here[group[earliest]] = times[earliest]
+        known = np.where(weights == 1, np.arange(n), -1)
+        newest = np.concatenate([[-1], np.maximum.accumulate(known)[:-1]])
+        seen = before > 0
+        mine[order] = self.visits[by_merchant] + before
+        first[order] = np.minimum(self.first[by_merchant], np.where(seen, here[group], _NEVER))
+        last[order] = np.maximum(self.last[by_merchant], np.where(seen, times[newest], -_NEVER))
+
+        total = self.visits.sum() + np.cumsum(weight) - weight
+        new = counted & (mine == 0)
+        distinct = np.count_nonzero(self.visits) + np.cumsum(new) - new
+        standing = np.flatnonzero(self.visits)
+        places = np.sort(self.visits[standing] * self.merchants + standing)
+        # The most visits, then the smallest merchant; numbers of visits only grow.
+        best = -(places[-1] // self.merchants) if len(places) else 0
+        top = np.searchsorted(places, -best * self.merchants)
+        reached = np.where(counted, -(mine + 1) * self.merchants + who, _NEVER)
+        best = best * self.merchants + places[top] % self.merchants if len(places) else _NEVER
+        best = np.minimum.accumulate(np.concatenate([[best], reached[:-1]]))
+        top = np.where(total > 0, best % self.merchants, -1)
+
+        # A visit asks at the number of visits that its merchant has, and stands at the next one.
+        level = np.stack([mine, mine + 1], 1).ravel()
+        asked = np.argsort(level, kind="stable")
+        level, weights = level[asked], np.stack([np.zeros(n, np.int64), weight], 1).ravel()[asked]
+        smaller, reached = np.empty(2 * n, np.int64), np.empty(2 * n, np.int64)
+        smaller[asked] = _smaller_ahead(level, np.repeat(who, 2)[asked], weights)
+        running = np.cumsum(weights) - weights
+        begin = _first_of(level)
+        reached[asked] = running - np.repeat(running[begin], np.diff(np.append(begin, 2 * n)))
+        above = len(places) - np.searchsorted(places, (mine + 1) * self.merchants) + reached[1::2]
+        equal = np.searchsorted(places, mine * self.merchants + who) - np.searchsorted(places, mine * self.merchants)
+        rank = 1 + above + equal + smaller[::2] - smaller[1::2]
+
+        known = mine > 0
+        since = [np.where(known, _half_up(np.maximum(0, ms - np.where(known, m, ms)), DAY_MS, 6), -1.0) for m in (first, last)]
+        share = np.where(known, _half_up(mine, np.maximum(total, 1), 6), 0.0)
+        out = [mine, share, np.where(known, rank, 0), (known & (rank == 1)).astype(np.int64), *since, distinct, (~known).astype(np.int64), top]
+
+        # Numbers of merchants are in order, so each group is written once.
+        group, visits = by_merchant[_first_of(by_merchant)], np.add.reduceat(weight[order], _first_of(by_merchant))
+        latest = np.maximum.reduceat(np.where(weight[order] == 1, times, -_NEVER), _first_of(by_merchant))
+        self.visits[group] += visits
+        self.today[group] += visits
+        for to in (self.first, self.today_first):
+            to[group] = np.minimum(to[group], here)
+        for to in (self.last, self.today_last):
+            to[group] = np.maximum(to[group], latest)
+        return out
+
+
+def _half_up(numerator: np.ndarray, denominator: np.ndarray | int, digits: int) -> np.ndarray:
+    """``half_up`` of arrays whose products with twice the scale fit 64 bits."""
+    scale = 10**digits
+    return ((2 * scale * numerator + denominator) // (2 * denominator)) / scale

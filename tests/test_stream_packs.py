@@ -91,6 +91,20 @@ def test_rows_of_a_customer_reach_the_handler_in_few_pieces(monkeypatch):
     assert sorted(rows, key=lambda r: r[3]) == list(frame[["customer_group", "transaction_id", "merchant_id", "cents"]].itertuples(index=False, name=None))
 
 
+def test_rows_leave_the_handler_in_pieces(monkeypatch):
+    """Few records for many rows, each with a place of its own, so that many tasks read and write them; before, the task of the customer did."""
+    monkeypatch.setattr(packs, "PIECE_ROWS", 100)
+    events = [{"id": f"t{k}", "merchant": f"m{k % 3}", "cents": k, "abroad": 0, "ms": 900 * DAY + k, "arrived": 1000 * DAY} for k in range(950)]
+    made = [kind(30, True, True) for kind in (features._PieceMemory, features._GroupMemory)]
+    for m in made:
+        m.init(Handle())
+    out, plain = (pd.concat(list(m.handleInputRows((3,), iter([batch_frame(events)]), None)), ignore_index=True) for m in made)
+    assert len(out) == out["place"].nunique() == 10
+    batches = packs.unpacker(features._OUT)(pa.RecordBatch.from_pandas(out[["piece"]], preserve_index=False).slice(k, 5) for k in (0, 5))
+    found = pa.Table.from_batches(batches).to_pandas()
+    pd.testing.assert_frame_equal(found, plain, check_dtype=False)
+
+
 def test_state_values_are_one_piece():
     kinds = packs.columns_of("merchants array<string>, visits array<bigint>, written bigint")
     for value in ((["a", None, "ö"], [1, 2, 3], 7), ([], [], 0)):
@@ -104,7 +118,7 @@ def test_groups_of_markers_stay_few():
     for ids in range(9_000_000, 36_000_001, 9_000_000):
         groups = features._groups(groups, ids)
     assert groups <= 16_384 and 36_000_000 / groups < 10_000
-    assert features._groups(1, 100_000) == 512
+    assert features._groups(1, 100_000) == 256
 
 
 def test_entries_of_a_group_are_binary():

@@ -33,7 +33,7 @@ from tidemark.functions.scalars import DAY_MS, HOUR_MS, epoch_ms, is_cross_borde
 from tidemark.operators.visits import check_window
 from tidemark.schemas import CUSTOMER_FEATURES, DEFAULT_MODEL, HOME_COUNTRY, TRANSACTION, VISIT_WINDOW_DAYS
 from tidemark.streaming.memory import WEEK_MS, Crowd, Standing, rolling_values
-from tidemark.streaming.packs import TEXT, coded, columns_of, from_bytes, packer, plain, texts, to_bytes, unpacked
+from tidemark.streaming.packs import TEXT, coded, columns_of, from_bytes, packer, pieces_of, plain, texts, to_bytes, unpacked, unpacker
 
 # How long state outlives its last write.
 STATS_TTL = timedelta(days=8)
@@ -42,7 +42,7 @@ VISIT_GRACE_DAYS = 2
 #: Transactions of a day that stay in one entry, and ids of a group of markers, about.
 DAY_ROWS, MARKERS = 1000, 256
 #: Groups of markers from which on their size grows as well as their number.
-MANY_GROUPS = 512
+MANY_GROUPS = 128
 #: Characters of state that are held in one piece.
 SMALL = 50_000
 _MAPS = ("rows", "sums", "visits", "markers")
@@ -51,6 +51,12 @@ ARRIVAL_DELAY = timedelta(minutes=10)
 
 _CARRIED = "merchant_category string, amount double, country string, requested_model string"
 _CARRIED_NAMES = [c.split()[0] for c in _CARRIED.split(", ")]
+_OUT_TEXT = ", ".join(
+    ["customer_id string, transaction_id string, merchant_id string, event_timestamp timestamp", _CARRIED]
+    + [f"{name} {kind}" for name, kind in CUSTOMER_FEATURES.items()]
+    + ["beyond_horizon boolean"]
+)
+_OUT = columns_of(_OUT_TEXT)
 _SHOWN = ["customer_id", "transaction_id", "merchant_id", "event_timestamp", *_CARRIED_NAMES, *CUSTOMER_FEATURES, "beyond_horizon"]
 _ROW = columns_of(
     f"customer_id string, transaction_id string, merchant_id string, {_CARRIED}, event_timestamp timestamp, "
@@ -127,8 +133,6 @@ def stream_features(
     pieces = rows.mapInArrow(packer(keys, _ROW), "customer_group int, arrived timestamp, piece binary" if expire else "customer_group int, piece binary")
     if expire:
         pieces = pieces.withWatermark("arrived", f"{int(ARRIVAL_DELAY.total_seconds())} seconds")
-    features = ", ".join(f"{name} {kind}" for name, kind in CUSTOMER_FEATURES.items())
-    output = f"customer_id string, transaction_id string, merchant_id string, event_timestamp timestamp, {_CARRIED}, {features}, beyond_horizon boolean"
     # Keyed state with many entries per key needs the store that reads single entries.
     conf = stream.sparkSession.conf
     conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -137,8 +141,10 @@ def stream_features(
     if most is None or not most.isdigit() or int(most) > BATCH_BYTES:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     found = pieces.groupBy("customer_group").transformWithStateInPandas(
-        _GroupMemory(window_days, expire, late_rows), output, "Append", "EventTime" if expire else "None"
+        _PieceMemory(window_days, expire, late_rows), "place bigint, piece binary", "Append", "EventTime" if expire else "None"
     )
+    # Whoever reads or writes the rows of a large customer does it in many tasks.
+    found = found.repartition("place").select("piece").mapInArrow(unpacker(_OUT), _OUT_TEXT)
     return found if late_rows else found.drop("beyond_horizon")
 
 
@@ -254,9 +260,10 @@ class _CustomerMemory(StatefulProcessor):
         at = np.flatnonzero(new & ~late)
         if len(at):
             newest, written = max(newest, int(ms[at[-1]])), now
-            merchants = columns["merchant_id"][at].own()
-            rolling = self._rolling(ms[at], columns["cents"][at], columns["abroad"][at], merchants, known is None)
-            visits = self._visited(ms[at], merchants, counted[at], known is None, newest, now)
+            kept = at if len(at) < len(ids) else slice(None)  # all rows are not copied
+            merchants = columns["merchant_id"][kept].own()
+            rolling = self._rolling(ms[kept], columns["cents"][kept], columns["abroad"][kept], merchants, known is None)
+            visits = self._visited(ms[kept], merchants, counted[kept], known is None, newest, now)
             for low in range(0, len(at), ROWS_AT_ONCE):
                 part = at[low : low + ROWS_AT_ONCE]
                 found = [c[low : low + ROWS_AT_ONCE] for c in rolling] + next(visits)
@@ -389,12 +396,12 @@ class _CustomerMemory(StatefulProcessor):
                 blocks.append((end, total, far, n, largest))
             else:
                 *values, names = self.rows.getValue(entry)
-                held[entry] = (*[np.asarray(v, np.int64) for v in values], coded(names, numbers))
+                held[entry] = (*[np.asarray(v, kind) for v, kind in zip(values, (np.int64, np.int64, np.int8))], coded(names, numbers))
         new = (ms, cents, abroad, merchants.codes)
+        # Entries follow each other in time, and so do the rows of each.
         old = tuple(np.concatenate([np.zeros(0, new[k].dtype), *[h[k] for h in held.values()]]) for k in range(4))
-        order = np.argsort(old[0], kind="stable")
-        found = rolling_values(tuple(o[order] for o in old), tuple(np.array([b[k] for b in blocks], np.int64) for k in range(5)), new)
-        del old, order
+        found = rolling_values(old, tuple(np.array([b[k] for b in blocks], np.int64) for k in range(5)), new)
+        del old
 
         # The oldest entries leave first; only the entry that is cut and those with new rows are written.
         for entry in entries:
@@ -686,6 +693,17 @@ class _GroupMemory(StatefulProcessor):
         self.scope.set_timers()
 
 
+class _PieceMemory(_GroupMemory):
+    """The same with the rows that go out in pieces, each with a number by which it is dealt to a task."""
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        place = key[0] << 32
+        for frame in super().handleInputRows(key, rows, timerValues):
+            pieces = list(pieces_of(frame, _OUT))
+            yield pd.DataFrame({"place": np.arange(place, place + len(pieces)), "piece": pieces})
+            place += len(pieces)
+
+
 def _holds(groups: int) -> int:
     """Ids that so many groups of markers are meant for; of very many ids both the groups and their sizes grow with the square root."""
     return MARKERS * groups * max(1, groups // MANY_GROUPS)

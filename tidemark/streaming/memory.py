@@ -42,15 +42,17 @@ def _distinct(codes: np.ndarray, low: np.ndarray, end: np.ndarray) -> np.ndarray
     An entry stands for its code while it is in the range and the next entry with its code is not, so it is counted from the first range that
     it is in to the last ahead of both.
     """
-    order = np.argsort(codes, kind="stable")
-    following = np.full(len(codes), len(codes), np.int64)
+    number = np.int32 if len(codes) < 2**31 - 1 else np.int64
+    order = np.argsort(codes, kind="stable").astype(number)
+    following = np.full(len(codes), len(codes), number)
     same = codes[order[1:]] == codes[order[:-1]]
     following[order[:-1][same]] = order[1:][same]
     del order, same
-    places = np.arange(len(codes) + 1)
-    enters, leaves = np.searchsorted(end, places, "right"), np.searchsorted(low, places[:-1], "right")
-    del places
-    leaves = np.minimum(leaves, enters[following])
+    # The first range whose end is behind a place, or whose beginning is.
+    enters, leaves = (
+        np.cumsum(np.bincount(edge, minlength=len(codes) + 1), dtype=number) for edge in (end, low)
+    )
+    leaves = np.minimum(leaves[:-1], enters[following])
     enters = enters[:-1]
     counted = leaves > enters
     steps = np.bincount(enters[counted], minlength=len(low) + 1) - np.bincount(leaves[counted], minlength=len(low) + 1)
@@ -75,7 +77,9 @@ def rolling_values(
     del ms
 
     def sums(*parts: np.ndarray) -> np.ndarray:
-        return np.concatenate([[0], np.cumsum(np.concatenate(parts)[order])])
+        found = np.zeros(len(order) + 1, np.int64)
+        np.cumsum(np.concatenate(parts)[order], out=found[1:])
+        return found
 
     if len(blocks[0]):
         n = sums(blocks[3], np.ones(len(order) - len(blocks[0]), np.int64))

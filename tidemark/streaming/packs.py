@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 DEALT_ROWS, PIECE_ROWS = 100_000, 20_000
 
 TEXT = pa.large_string()
-_KINDS = {"string": TEXT, "bigint": pa.int64(), "double": pa.float64(), "timestamp": pa.timestamp("us", "UTC")}
+_KINDS = {"string": TEXT, "bigint": pa.int64(), "double": pa.float64(), "timestamp": pa.timestamp("us", "UTC"), "boolean": pa.bool_()}
 
 
 def columns_of(text: str) -> pa.Schema:
@@ -69,6 +69,23 @@ def unpacked(frame: pd.DataFrame, rows: pa.Schema) -> pa.Table:
     return pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(p), rows) for p in frame["piece"]], rows)
 
 
+def pieces_of(frame: pd.DataFrame, rows: pa.Schema) -> Iterator[bytes]:
+    data = pa.RecordBatch.from_pandas(frame, rows, preserve_index=False)
+    for low in range(0, len(frame), PIECE_ROWS):
+        yield data.slice(low, PIECE_ROWS).serialize().to_pybytes()
+
+
+def unpacker(rows: pa.Schema):
+    """A function for ``mapInArrow``: the rows of pieces."""
+
+    def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in batch.column(0):
+                yield pa.ipc.read_record_batch(piece.as_buffer(), rows)
+
+    return unpack
+
+
 def to_bytes(value: Sequence, kinds: pa.Schema) -> bytes:
     """A state value, arrays of numbers or texts or single numbers, in one piece."""
     arrays = []
